@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, simhash
+from tessera.llm import fingerprint, mixing, simhash, urlfilter
 from tessera.session import table
 
 
@@ -14,13 +14,72 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: action, host, path
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op7_mix_sources, op8_url_filters, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix_sources": OP7_SQL, "op8_url_filters": OP8_SQL}
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT doc_id, source, coalesce(length(text), 0) AS chars,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS unit
+  FROM documents),
+keyed AS (
+  SELECT *, -ln(unit) / (CASE WHEN size > 0 THEN 0.5::DOUBLE + 1.0::DOUBLE / (1.0::DOUBLE + abs(chars::DOUBLE / size::DOUBLE - 6.0::DOUBLE)) ELSE 0.5::DOUBLE END) AS k
+  FROM words),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+ranked AS (
+  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
+         2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS nth
+  FROM per),
+filled AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM ranked),
+found AS (SELECT arg_min(level, nth2) AS level FROM (SELECT level, row_number() OVER (ORDER BY cap / w, nth) AS nth2, cap / w AS full_at FROM filled) WHERE level < full_at),
+targets AS (
+  SELECT source, source_size, coalesce(least(cap, found.level * w), cap) AS target FROM filled, found),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets),
+rests AS (SELECT *, floor(target - epochs * source_size + 0.5::DOUBLE)::BIGINT AS rest FROM plan),
+run AS (
+  SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS earlier
+  FROM keyed d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(rest - earlier, size)))::BIGINT AS taken FROM run
+"""
+
+OP8_SQL = r"""
+WITH parts AS (
+  SELECT page_id, row_number() OVER () AS nth,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (
+  SELECT nth, h || p AS rule, action, row_number() OVER (PARTITION BY nth ORDER BY length(h || p) DESC, length(h) DESC, action DESC) AS place
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (nth)
+"""
