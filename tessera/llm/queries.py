@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, mixing, simhash, urlfilter
+from tessera.llm import credentials, fingerprint, mixing, pieces, quality, simhash, urlfilter
 from tessera.session import table
 
 
@@ -14,6 +14,23 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+#: A public SentencePiece model; it is read where it is installed.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digests(credentials.scan(table(spark, sf_dir, "documents")))
+
+
 #: action, host, path
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -31,7 +48,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op7_mix_sources, op8_url_filters, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_document_fingerprints, op3_sentencepiece, op4_quality_classifier, op5_secret_scans, op7_mix_sources, op8_url_filters, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
