@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import credentials, fingerprint, mixing, pieces, quality, simhash, urlfilter
-from tessera.session import table
+from tessera.llm import credentials, extract, fingerprint, mixing, neighbours, pieces, quality, simhash, urlfilter, warc
+from tessera.session import new_folder, table
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECES)
 
@@ -35,6 +39,12 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.page_rows(warc.read_archives(spark, folder))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
@@ -47,13 +57,43 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_document_fingerprints, op3_sentencepiece, op4_quality_classifier, op5_secret_scans, op7_mix_sources, op8_url_filters, op9_simhash_near_dedup)}
+    found = (
+        op1_document_fingerprints,
+        op2_html_extraction,
+        op3_sentencepiece,
+        op4_quality_classifier,
+        op5_secret_scans,
+        op6_warc,
+        op7_mix_sources,
+        op8_url_filters,
+        op9_simhash_near_dedup,
+        op10_nearest_neighbours,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": OP7_SQL, "op8_url_filters": OP8_SQL}
-
+    return {"op6_warc": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_url_filters": OP8_SQL}
+
+
+# base32 has no function in DuckDB: the 40 hex digits of the digest are cut into 32 groups of five bits
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS sha FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      (((('0x' || substr(sha, (i // 8 * 10 + 1)::INT, 10))::BIGINT) >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY sha) AS first
+  FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM b
+"""
 
 OP7_SQL = r"""
 WITH words AS (
