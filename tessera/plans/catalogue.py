@@ -1,4 +1,8 @@
-"""All queries of the reference's operators, with their SQL twins."""
+"""All queries of the imaging operators, with their SQL twins.
+
+The driver's tables stand in for imaging records: line items are pixel observations of a 640 by 480 label raster, parts
+are tiles of a grid of 50 rows, events are a journal per user, embeddings are spectra.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import journals, numerics, rasters, spectra, tiles
+
+PARTS = (rasters, tiles, journals, spectra, numerics)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.SQL.items()}
