@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.portions import by_length, portions
+
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: What a character without a piece costs below the lowest score, as the format's lattices have it.
 UNKNOWN_PENALTY = 10.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words of which a worker keeps the ids, pairs of pieces of which it keeps the verdict, characters taken at a time.
-WORDS, PAIRS, CHARS = 300_000, 400_000, 500_000
+#: Words of which a worker keeps the ids, characters taken at a time, bits of the tables of pairs and of hashes.
+WORDS, CHARS, PAIR_BITS, SEEN_BITS = 300_000, 2_000_000, 20, 22
 
 
 @dataclass(frozen=True)
@@ -68,6 +70,8 @@ class Coder:
         keys = np.array([self._hash(np.array([[ord(c) for c in p]], np.uint64))[0] for p in usable])
         order = np.argsort(keys)
         self.keys, self.at = keys[order], np.fromiter(usable.values(), np.int64)[order]
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.seen[(self.keys >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] = True
         self.scores = np.array(model.scores)
         self.letters = np.full((len(model.pieces), self.longest), -1, np.int32)
         for p, i in self.ids.items():
@@ -78,7 +82,7 @@ class Coder:
         line = "" if "\n" in known else "\n"
         self.word = re.compile(f"{line}|{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if line else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+        self.codes, self.verdicts = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.out = [p.replace(SPACE, " ").encode() for p in model.pieces]
         for b, i in self.raw.items():
             self.out[i] = bytes([b])
@@ -128,19 +132,22 @@ class Coder:
                 j += 1
 
     def agree(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Which pairs of pieces stay as they are when their characters are merged."""
-        codes, back = np.unique(left * len(self.scores) + right, return_inverse=True)
-        out = np.empty(len(codes), bool)
-        for n, code in enumerate(codes.tolist()):
-            known = self.pairs.get(code)
-            if known is None:
-                a, b = divmod(code, len(self.scores))
-                known = self.apart_still(self.past[a], self.past[b])
-                if len(self.pairs) >= PAIRS:
-                    self.pairs.clear()
-                self.pairs[code] = known
-            out[n] = known
-        return out[back]
+        """Which pairs of pieces stay as they are when their characters are merged.
+
+        Verdicts are kept in a table of fixed size with one place per hash; what another pair took is found again.
+        """
+        codes = left * len(self.scores) + right
+        place = (codes.astype(np.uint64) * FACTOR >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.verdicts[place]
+        missing = np.flatnonzero(self.codes[place] != codes)
+        if len(missing):
+            new, back = np.unique(codes[missing], return_inverse=True)
+            found = np.array([self.apart_still(self.past[a], self.past[b]) for a, b in zip(*(x.tolist() for x in divmod(new, len(self.scores))), strict=True)])
+            out[missing] = found[back]
+            self.codes[place[missing]] = codes[missing]
+            # of pairs with one place the last stays: its verdict is read back by the code that is there
+            self.verdicts[place[missing]] = out[missing]
+        return out
 
     def lattice(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, all moved on together a character at a time."""
@@ -157,15 +164,18 @@ class Coder:
         for i in range(1, size + 1):
             for k in range(1, min(i, self.longest) + 1):
                 h = prefix[:, i] - prefix[:, i - k] * powers[k]
-                place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                rows = np.flatnonzero((self.keys[place] == h) & (best[:, i - k] > -np.inf))
+                # most substrings are no piece: a table of leading bits tells before the sorted keys are searched
+                rows = np.flatnonzero(self.seen[(h >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] & (best[:, i - k] > -np.inf))
+                place = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+                hit = self.keys[place] == h[rows]
+                rows, place = rows[hit], place[hit]
                 if k == 1:
                     lone = np.setdiff1d(np.flatnonzero(best[:, i - 1] > -np.inf), rows, assume_unique=True)
                     cost = 0.0 if self.model.merges else self.least - UNKNOWN_PENALTY
                     best[lone, i], step[lone, i] = best[lone, i - 1] + cost, 1
                 if not len(rows):
                     continue
-                ids = self.at[place[rows]]
+                ids = self.at[place]
                 same = (self.letters[ids, :k] == letters[rows, i - k : i]).all(axis=1)
                 if k < self.longest:
                     same &= self.letters[ids, k] == -1
@@ -177,17 +187,26 @@ class Coder:
                 better = same & (score > best[rows, i])
                 rows = rows[better]
                 best[rows, i], step[rows, i], piece[rows, i] = score[better], k, ids[better]
-        return [self._walk(word, step[r], piece[r]) for r, word in enumerate(words)]
-
-    def _walk(self, word: str, step: np.ndarray, piece: np.ndarray) -> bytes:
-        found, at = [], len(word)
-        while at:
-            if piece[at] >= 0:
-                found.append(int(piece[at]))
-            else:
-                found += [self.raw[b] for b in reversed(word[at - 1].encode("utf-8", "surrogatepass"))]
-            at -= int(step[at])
-        return np.array(found[::-1], np.int32).tobytes()
+        return self._walk(words, step, piece)
+
+    def _walk(self, words: list[str], step: np.ndarray, piece: np.ndarray) -> list[bytes]:
+        """Follow the backpointers of all words together, from their ends; words with unknown characters by themselves."""
+        rows, at = np.arange(len(words)), np.full(len(words), len(words[0]))
+        columns = []
+        while at.any():
+            columns.append(np.where(at > 0, piece[rows, at], -2))
+            at = at - np.where(at > 0, step[rows, at], 0)
+        found = np.stack(columns[::-1], axis=1).astype(np.int32)
+        start = (found == -2).argmin(axis=1)
+        data, wide = found.tobytes(), 4 * found.shape[1]
+        out = [data[r * wide + 4 * k : (r + 1) * wide] for r, k in enumerate(start.tolist())]
+        for r in np.flatnonzero((found == -1).any(axis=1)).tolist():
+            ids, place = [], 0
+            for x in found[r, start[r] :].tolist():
+                ids += [x] if x >= 0 else [self.raw[b] for b in words[r][place].encode("utf-8", "surrogatepass")]
+                place += len(self.model.pieces[x]) if x >= 0 else 1
+            out[r] = np.array(ids, np.int32).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = []
@@ -197,13 +216,8 @@ class Coder:
             split.append(self.word.findall(t) if self.apart else [t] if t else [])
         if len(self.words) > WORDS:
             self.words.clear()
-        by_size: dict[int, list[str]] = {}
-        for w in {w for ws in split for w in ws if w not in self.words}:
-            by_size.setdefault(len(w), []).append(w)
-        for size, group in by_size.items():
-            most = max(1, 2_000_000 // size)
-            for i in range(0, len(group), most):
-                self.words.update(zip(group[i : i + most], self.lattice(group[i : i + most]), strict=True))
+        for group in by_length({w for ws in split for w in ws if w not in self.words}, 2_000_000):
+            self.words.update(zip(group, self.lattice(group), strict=True))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in split]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -217,18 +231,6 @@ def coder(model: Model) -> Coder:
     return Coder(model)
 
 
-def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about CHARS characters, one text at least."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > CHARS:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
-
-
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``(doc_id, ids, n_ids, decoded)`` per document: the whole text's piece ids, and the text decoded from
     the ids again. A null or empty text has no ids and decodes to the empty text; repeated rows stay; an empty table
@@ -241,7 +243,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         own = coder(model.value)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for start, end in _portions(texts):
+            for start, end in portions(texts, CHARS):
                 ids = own.encode(texts[start:end])
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
