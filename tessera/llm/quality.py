@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,21 +14,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tessera.llm.portions import by_length, portions
+
 FEATURES = 1 << 16
 #: The feature of a word bigram whose words are equal, whatever the word, and how often such a bigram counts.
 REPEAT, WEIGHT = 0, 8
 #: Zero vectors that every average includes, so that a few features alone decide nothing.
 PAD = 40
-#: Up to so many different words are kept with their scores by a worker; then the store starts anew.
-KEPT = 100_000
-
-
-def subwords(word: str, low: int = 3, high: int = 5) -> list[int]:
-    """Hashed features of a word: itself and its character n-grams with marks at both ends. A word of over 200
-    characters has its n-grams too, all of them."""
-    marked = f"<{word}>"
-    data = [marked, *(marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1))]
-    return [1 + crc32(x.encode("utf-8", "surrogatepass")) % (FEATURES - 1) for x in data]
+#: Character n-grams of these lengths.
+LOW, HIGH = 3, 5
+FACTOR, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+#: Up to so many different words are kept with their scores by a worker, then the store starts anew; characters of text
+#: and letters of words taken at a time.
+KEPT, CHARS, LETTERS = 300_000, 2_000_000, 500_000
+
+
+def features(words: list[str]) -> np.ndarray:
+    """Hashed features of words of one length, a row each: the word with marks at both ends, and the character n-grams
+    of it. All n-grams of all words are hashed together."""
+    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+    whole = np.zeros((len(words), 1), np.uint64)
+    for column in letters.T:
+        whole[:, 0] = whole[:, 0] * FACTOR + column
+    found, grams = [whole], letters
+    for n in range(2, HIGH + 1):
+        grams = grams[:, :-1] * FACTOR + letters[:, n - 1 :]
+        if n >= LOW:
+            found.append(grams)
+    mixed = np.concatenate(found, axis=1) * MIX
+    return (1 + (mixed >> np.uint64(40)) % np.uint64(FEATURES - 1)).astype(np.int32)
 
 
 def counted(text: str | None) -> tuple[Counter[str], int]:
@@ -40,12 +54,14 @@ def counted(text: str | None) -> tuple[Counter[str], int]:
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature ids and how often each occurs over the whole text."""
     words, repeats = counted(text)
-    counts: Counter[int] = Counter({REPEAT: repeats * WEIGHT} if repeats else {})
-    for word, n in words.items():
-        for f in subwords(word):
-            counts[f] += n
-    ids = np.fromiter(sorted(counts), np.int32, len(counts))
-    return ids, np.array([counts[i] for i in ids.tolist()], np.float32)
+    total = np.zeros(FEATURES)
+    total[REPEAT] = repeats * WEIGHT
+    for group in by_length(words, LETTERS):
+        ids = features(group)
+        times = np.repeat(np.array([words[w] for w in group], float), ids.shape[1])
+        total += np.bincount(ids.ravel(), times, FEATURES)
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids].astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -55,20 +71,23 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def score(self, text: str | None, kept: dict[str, tuple[float, int]]) -> float:
-        words, repeats = counted(text)
-        total, n = repeats * WEIGHT * float(self.weight[REPEAT]), PAD + repeats * WEIGHT
-        for word, times in words.items():
-            if (found := kept.get(word)) is None:
-                ids = subwords(word)
-                found = (float(self.weight[ids].sum(dtype=np.float64)), len(ids))
-                if len(kept) >= KEPT:
-                    kept.clear()
-                if len(word) <= 100:
-                    kept[word] = found
-            total += times * found[0]
-            n += times * found[1]
-        return 1.0 / (1.0 + float(np.exp(-total / n - self.bias)))
+    def score(self, texts: list[str | None], kept: dict[str, tuple[float, int]]) -> list[float]:
+        """Scores of texts; ``kept`` holds what words have been found to add, and how many features they have."""
+        parts = [counted(t) for t in texts]
+        if len(kept) > KEPT:
+            kept.clear()
+        for group in by_length({w for words, _ in parts for w in words if w not in kept}, LETTERS):
+            ids = features(group)
+            kept.update((w, (x, ids.shape[1])) for w, x in zip(group, self.weight[ids].sum(axis=1, dtype=np.float64).tolist(), strict=True))
+        out = []
+        for words, repeats in parts:
+            total, n = repeats * WEIGHT * float(self.weight[REPEAT]), PAD + repeats * WEIGHT
+            for word, times in words.items():
+                adds, count = kept[word]
+                total += times * adds
+                n += times * count
+            out.append(1.0 / (1.0 + math.exp(min(700.0, -total / n - self.bias))))
+        return out
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 8, rate: float = 0.5, seed: int = 3) -> Model:
@@ -139,7 +158,8 @@ def score(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[float, int]] = {}
         for b in batches:
-            found = [shared.value.score(t, kept) for t in b.column(at).to_pylist()]
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            found = [x for start, end in portions(texts, CHARS) for x in shared.value.score(texts[start:end], kept)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, name])
 
     return rows.mapInArrow(run, schema)
