@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import settle
 
-#: Vectors and queries that meet in one task.
-BLOCK, QUERIES = 1024, 1024
+#: Vectors and queries that meet in one task. A block gives k rows per query, so large blocks keep what is merged last
+#: small against what is searched; a task holds some 15 MB of vectors and orders and 16 MB of distances.
+BLOCK, QUERIES = 8192, 512
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -85,8 +86,8 @@ def _block_search(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, share: f
 def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int = 256, length: int = 64, share: float = 0.2, least: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query row its k nearest other rows by inner product.
 
-    Every vector becomes the order of its nearest pivots. Vectors are dealt into blocks and queries into sets of about
-    a thousand rows each by a hash of their id; each set meets each block once. There the inverted files give the
+    Every vector becomes the order of its nearest pivots. Vectors are dealt into blocks and queries into sets of a
+    bounded size each by a hash of their id; each set meets each block once. There the inverted files give the
     footrule distance of all pairs, the ``share`` of the block (``least`` rows at least) that it ranks first is scored
     exactly in double precision, and the block's k best go on; last, each query's are merged. Recall grows with
     ``share``; 1 makes the search exact.
