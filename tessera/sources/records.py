@@ -29,7 +29,7 @@ def strict_journals(spark: SparkSession, path: str, schema: str) -> DataFrame:
     A last line without a newline is not committed: it is left out and ``torn_tail`` says so. A malformed committed
     line has a null event, which ``assert_clean`` refuses.
     """
-    files = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     parts = files.select("file", F.split("value", "\n").alias("lines"))
     torn = F.element_at("lines", -1) != ""
     lines = parts.select("file", torn.alias("torn_tail"), F.posexplode(F.expr("slice(lines, 1, size(lines) - 1)")).alias("n", "line"))
