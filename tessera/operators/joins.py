@@ -133,3 +133,43 @@ def insert_if_absent(target: DataFrame, new: DataFrame, key: str, value: str) ->
     fresh = new.join(target, key, "left_anti")
     conflict = new.join(target.select(F.col(key).alias("_k"), F.col(value).alias("_v")), F.col(key) == F.col("_k")).where(~F.col(value).eqNullSafe(F.col("_v"))).select(key)
     return fresh, conflict
+
+
+def box_overlaps(alarms: DataFrame, windows: DataFrame, cell: int) -> DataFrame:
+    """Pairs ``(alarm, window)`` of half-open boxes that overlap on both axes. Boxes meet on the cells of a raster that
+    both touch, so the join is on equal keys; pairs that share several cells count once."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell)))
+    spread = lambda df, key: df.withColumn("cx", cells("x1", "x2")).withColumn("cy", cells("y1", "y2")).select("cx", "cy", key, *(F.col(c).alias(f"{key}_{c}") for c in ("x1", "y1", "x2", "y2")))
+    met = spread(alarms, "alarm").join(spread(windows, "window"), ["cx", "cy"])
+    inside = (F.col("alarm_x1") < F.col("window_x2")) & (F.col("window_x1") < F.col("alarm_x2")) & (F.col("alarm_y1") < F.col("window_y2")) & (F.col("window_y1") < F.col("alarm_y2"))
+    return met.where(inside).select("alarm", "window").distinct()
+
+
+def first_label(rows: DataFrame, labels: DataFrame, keys: Sequence[str], label_key: str, value: str) -> DataFrame:
+    """The label under the first of several keys that has one."""
+    out, found = rows, []
+    for i, k in enumerate(keys):
+        out = out.join(labels.select(F.col(label_key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}")), F.col(k) == F.col(f"_k{i}"), "left")
+        found.append(F.col(f"_v{i}"))
+    return out.withColumn(value, F.coalesce(*found)).drop(*(f"_{c}{i}" for i in range(len(keys)) for c in "kv"))
+
+
+def attribute_lines(lines: DataFrame, log: str, order: str, mark: str, line: str) -> DataFrame:
+    """Each line with what the last marked line before it (or itself) names."""
+    named = F.nullif(F.regexp_extract(line, mark, 1), F.lit(""))
+    w = Window.partitionBy(log).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("run", F.last(named, ignorenulls=True).over(w))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows that only one side has."""
+    return a.exceptAll(b).distinct().withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).distinct().withColumn("side", F.lit("right")))
+
+
+def conflict_scores(edges: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Tiles that share a bucket (the whole part of their key) with others: their edges' number, mean and least score,
+    and how many siblings there are."""
+    ends = edges.select(F.col("src").alias("id"), "score").unionByName(edges.select(F.col("dst").alias("id"), "score"))
+    buckets = tiles.select("id", "col", F.floor("key").alias("bucket"))
+    many = buckets.groupBy("col", "bucket").agg((F.count("*") - 1).alias("siblings")).where("siblings > 0")
+    return buckets.join(many, ["col", "bucket"]).join(ends, "id", "left").groupBy("id", "col", "bucket", "siblings").agg(F.count("score").alias("edges"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("least_score"))

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import journals, models, numerics, rasters, spectra, tiles
+from tessera.plans import journals, models, numerics, rasters, records, spectra, tiles
 
-PARTS = (rasters, tiles, journals, spectra, numerics, models)
+PARTS = (rasters, tiles, journals, spectra, numerics, records, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
