@@ -176,6 +176,8 @@ def read_range(file, start: int, end: int, payloads: bool = False) -> Iterator[d
     while at < end:
         file.seek(at)
         block = file.read(min(BLOCK, end - at) + len(MAGIC) - 1)
+        if len(block) < len(MAGIC):  # the file ends
+            return
         found = block.find(MAGIC)
         if found < 0 or at + found >= end:
             at += max(1, len(block) - len(MAGIC) + 1)
@@ -217,7 +219,8 @@ def read_archives(spark: SparkSession, folder: str, split: int = 16 << 20, paylo
     digest and size of a payload are those of the bytes that were read; a revisit's are what its headers say.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "length").where("length > 0")
-    ranges = files.select("path", F.explode(F.expr(f"sequence(0L, length - 1, {split}L)")).alias("start")).withColumn("end", F.col("start") + split)
+    ranges = files.select("path", F.explode(F.expr(f"sequence(0L, length - 1, {split}L)")).alias("start"))
+    ranges = ranges.withColumn("end", F.col("start") + split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
