@@ -24,15 +24,26 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
 
 
-def choose_pivots(vectors: DataFrame, n: int = 256) -> np.ndarray:
-    """Pivots at unit length: the vectors whose ids hash lowest, all of the commonest length. Their number is fixed,
-    so what comes to the driver and is sent along with the tasks is bounded."""
+def choose_pivots(vectors: DataFrame, n: int = 256, sample: int = 2048) -> np.ndarray:
+    """Pivots at unit length, from the ``sample`` vectors of the commonest length whose ids hash lowest: both numbers are
+    fixed, so what comes to the driver and is sent along with the tasks is bounded."""
     common = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).head()
     if common is None:
         return np.zeros((0, 0))
-    rows = vectors.where(F.size("v") == common.d).orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id", F.xxhash64("v")).limit(n).collect()
-    pivots = np.array([r.v for r in rows])
-    return pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
+    rows = vectors.where(F.size("v") == common.d).orderBy(F.xxhash64(F.lit(11), "vec_id"), "vec_id", F.xxhash64("v")).limit(sample).collect()
+    return spread_out(np.array([r.v for r in rows]), n)
+
+
+def spread_out(x: np.ndarray, n: int, near: float = 0.9) -> np.ndarray:
+    """The first n directions that are not near one taken before; what was passed over fills up. A crowd of alike
+    vectors so gets one pivot rather than its share, which would put the crowd first in every order."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    taken: list[int] = []
+    for i in range(len(x)):
+        if len(taken) < n and (not taken or (x[taken] @ x[i]).max() < near):
+            taken.append(i)
+    passed = np.setdiff1d(np.arange(len(x)), taken).tolist()
+    return x[(taken + passed)[:n]]
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:

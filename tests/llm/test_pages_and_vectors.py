@@ -99,6 +99,12 @@ def test_ranges_own_what_starts_inside():
         assert [r["payload"] for r in found] == bodies
 
 
+def test_a_range_may_reach_past_the_end():
+    data = warc.page_record(1, "u", b"x", None)
+    assert len(list(warc.read_range(io.BytesIO(data), 0, 1 << 40))) == 1
+    assert not list(warc.read_range(io.BytesIO(data), len(data), 1 << 40))
+
+
 def test_large_members_end_in_an_empty_one():
     member = gzip.compress(b"abc", mtime=0)[:-1] + b"\x01"
     assert warc._ended(member)[: len(member)] == member and (warc._ended(member) + b"\0").endswith(warc.EMPTY)
