@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,3 +95,17 @@ def redact_map(m: Column, secret: str = r"(?i)(secret|token|password|key)") -> C
 def parse_stamp(stamp: Column) -> Column:
     """Local folder stamps ``YYYYmmdd_HHMMSS``; null if it is none."""
     return F.try_to_timestamp(F.regexp_extract(stamp, r"(\d{8}_\d{6})", 1), F.lit("yyyyMMdd_HHmmss"))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode normal form C, in Arrow batches: the JVM side has no function for it."""
+    @F.pandas_udf("string")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFC")
+
+    return normal(text)
+
+
+def region_key(sample: Column, x: Column, y: Column, area: Column) -> Column:
+    """The identity of a region: its sample, its middle to a tenth, and its area."""
+    return F.struct(sample.alias("sample"), F.round(x, 1).alias("x"), F.round(y, 1).alias("y"), area.alias("area"))

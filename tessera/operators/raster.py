@@ -202,3 +202,37 @@ def accept_edges(edges: DataFrame, prior_dx: float, prior_dy: float, least_ncc:
     out = edges.withColumn("why", why)
     keep = F.col("why").isNull()
     return out.withColumn("dx", F.when(keep, F.col("dx")).otherwise(prior_dx)).withColumn("dy", F.when(keep, F.col("dy")).otherwise(prior_dy)).withColumn("w", F.when(keep, F.col("ncc")).otherwise(1e-3))
+
+
+def grow_region(px: DataFrame, by: str, seed: tuple[int, int], tolerance: float) -> DataFrame:
+    """The component around a seed pixel of the colours near the seed's."""
+    x, y = seed
+    at = px.where((F.col("x") == x) & (F.col("y") == y)).select(by, *(F.col(c).alias(f"_{c}") for c in "rgb"))
+    # a pixel per image
+    near = px.join(F.broadcast(at), by).withColumn("_near", F.sqrt(sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in "rgb")) <= tolerance)
+    parts = label_components(near, by, F.col("_near"))
+    mine = parts.where((F.col("x") == x) & (F.col("y") == y)).select(by, "component")
+    return parts.join(mine, [by, "component"], "left_semi")
+
+
+def satellites(parts: DataFrame, by: str, main: int, radius: int, least: int = 1, most: int = 6) -> DataFrame:
+    """Components of which a pixel lies within a radius of the main one, largest first. Pixels meet in boxes of the
+    radius's size, by equal keys."""
+    boxed = lambda df: df.withColumn("bx", F.floor(F.col("x") / radius)).withColumn("by_", F.floor(F.col("y") / radius))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    core = boxed(parts.where(F.col("component") == main)).select(by, F.col("x").alias("mx"), F.col("y").alias("my"), "bx", "by_", around.alias("d")).select(by, "mx", "my", (F.col("bx") + F.col("d.i")).alias("bx"), (F.col("by_") + F.col("d.j")).alias("by_"))
+    near = boxed(parts.where(F.col("component") != main)).join(core, [by, "bx", "by_"]).where((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2 <= radius * radius).select(by, "component").distinct()
+    sizes = parts.join(near, [by, "component"], "left_semi").groupBy(by, "component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("size"), "component"))
+    return sizes.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def background_colour(px: DataFrame, by: str, tolerance: float = 6.0, least: float = 0.1) -> DataFrame:
+    """Per image the median colour of the flat pixels in its brightest bin of luminance that holds a share of them; of
+    all flat pixels where no bin does."""
+    flat = flat_mask(px, by, tolerance).where("flat").withColumn("bin", F.floor(F.col("grey") / 16))
+    bins = flat.groupBy(by, "bin").agg(F.count("*").alias("n"))
+    total = bins.groupBy(by).agg(F.sum("n").alias("total"))
+    best = bins.join(total, by).groupBy(by).agg(F.max(F.when(F.col("n") >= least * F.col("total"), F.col("bin"))).alias("best"))
+    inside = flat.join(best, by).where(F.col("best").isNull() | (F.col("bin") == F.col("best")))
+    return inside.groupBy(by).agg(*(F.percentile(c, 0.5).alias(c) for c in "rgb"), F.first(F.when(F.col("best").isNull(), "all_flat").otherwise("plateau")).alias("source"), F.count("*").alias("pixels"))

@@ -88,3 +88,12 @@ def interpolate(x: Sequence[float], y: str, at: str) -> Column:
         case when g <= {at}[0] then {y}[0] when g >= element_at({at}, -1) then element_at({y}, -1)
         else aggregate(sequence(0, size({at}) - 2), cast(null as double), (acc, i) ->
             coalesce(acc, if(g >= {at}[i] and g < {at}[i + 1], {y}[i] + (g - {at}[i]) / ({at}[i + 1] - {at}[i]) * ({y}[i + 1] - {y}[i]), null))) end)""")
+
+
+def clean(samples: DataFrame, by: str, low: float, high: float) -> DataFrame:
+    """Points ``(by, x, y)`` that are finite and inside the window, without those far off the rolling median."""
+    from tessera.operators.aggregates import finite
+    from tessera.operators.windows import rolling_median_clean
+
+    inside = samples.where(finite(F.col("x")) & finite(F.col("y")) & F.col("x").between(low, high))
+    return rolling_median_clean(inside, by, ["x"], "y")
