@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import quantile
+
 #: Median absolute deviation to standard deviation of a normal distribution.
 TO_SIGMA = 1.4826
 
@@ -15,11 +17,18 @@ def median(c: Column | str) -> Column:
     return F.percentile(c, 0.5)
 
 
+def _deviation(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per group the median, the median absolute deviation and the number of values; exact at any size of a group."""
+    base = quantile(df, by, value, 0.5, "med")
+    # a row per group; Spark decides by its size how it is joined
+    off = df.join(base.select(*by, "med"), list(by)).select(*by, F.abs(F.col(value) - F.col("med")).alias("_off"))
+    return base.join(quantile(off, by, "_off", 0.5, "mad").select(*by, "mad"), list(by))
+
+
 def robust_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, z: float = 3.0) -> DataFrame:
     """The median where fewer than four values or no spread are there; else the weighted mean of what lies within z
-    deviations of it. Two group passes and a join of their small result."""
-    base = df.groupBy(*by).agg(median(value).alias("med"), F.count(value).alias("n"))
-    spread = df.join(base, list(by)).groupBy(*by).agg(F.first("med").alias("med"), F.first("n").alias("n"), median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    deviations of it. Rows with a null group stay out."""
+    spread = _deviation(df, by, value)
     near = F.abs(F.col(value) - F.col("med")) <= z * TO_SIGMA * F.col("mad")
     out = df.join(spread, list(by)).groupBy(*by).agg(F.first("med").alias("med"), F.first("mad").alias("mad"), F.first("n").alias("n"), F.sum(F.when(near, F.col(value) * F.col(weight))).alias("s"), F.sum(F.when(near, F.col(weight))).alias("w"))
     robust = F.when((F.col("mad") < 1e-6) | (F.col("n") < 4), F.col("med")).otherwise(F.try_divide("s", "w"))
@@ -28,8 +37,7 @@ def robust_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, z: fl
 
 def mad_z(df: DataFrame, by: Sequence[str], value: str, name: str = "z") -> DataFrame:
     """Deviations from the group's median in scaled median absolute deviations; a spread of 0 counts as 1e-9."""
-    base = df.groupBy(*by).agg(median(value).alias("_med"))
-    spread = df.join(base, list(by)).groupBy(*by).agg(F.first("_med").alias("_med"), median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
+    spread = _deviation(df, by, value).select(*by, F.col("med").alias("_med"), F.col("mad").alias("_mad"))
     scale = TO_SIGMA * F.when(F.col("_mad") == 0, 1e-9).otherwise(F.col("_mad"))
     return df.join(spread, list(by)).withColumn(name, (F.col(value) - F.col("_med")) / scale).drop("_med", "_mad")
 
