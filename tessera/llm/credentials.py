@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.automata import Automaton, infer, symbols
+from tessera.llm.portions import slices
 
 # The base patterns, the group whose length counts, and the least length.
 BASE = (
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             found = [[{"kind": k, "start": s, "end": e} for s, e, k in spans(t, models, limit)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
@@ -155,7 +156,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             columns = list(b.columns)
             texts = [t if t is None else redacted(t, spans(t, models, limit)) for t in b.column(at).to_pylist()]
             columns[at] = pa.array(texts, b.schema.types[at])

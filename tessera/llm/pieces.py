@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.portions import by_length, portions
+from tessera.llm.portions import by_length, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: What a character without a piece costs below the lowest score, as the format's lattices have it.
 UNKNOWN_PENALTY = 10.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words of which a worker keeps the ids, characters taken at a time, bits of the tables of pairs and of hashes.
-WORDS, CHARS, PAIR_BITS, SEEN_BITS = 300_000, 2_000_000, 20, 22
+#: Words of which a worker keeps the ids, bits of the tables of pairs and of hashes.
+WORDS, PAIR_BITS, SEEN_BITS = 200_000, 20, 22
 
 
 @dataclass(frozen=True)
@@ -103,13 +103,15 @@ class Coder:
         Neighbours are merged, always the pair of the highest score, of equal ones the leftmost.
         """
         s, done = list(text), [(0.0, text[0], text[-1])]
+        own = self.model.pieces  # the pieces' own strings and scores are kept, not copies
         while True:
             scored = [(-self.model.scores[self.ids[a + b]], i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)) if a + b in self.ids]
             if not scored:
                 return done
-            cost, i = min(scored)
-            s[i : i + 2] = [s[i] + s[i + 1]]
-            done.append((-cost, s[0], s[-1]))
+            i = min(scored)[1]
+            piece = self.ids[s[i] + s[i + 1]]
+            s[i : i + 2] = [own[piece]]
+            done.append((self.model.scores[piece], s[0], s[-1]))
 
     def apart_still(self, left: list[tuple[float, str, str]], right: list[tuple[float, str, str]]) -> bool:
         """Whether no merge crosses the border of two texts when both are merged side by side.
@@ -241,14 +243,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model.value)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for start, end in portions(texts, CHARS):
-                ids = own.encode(texts[start:end])
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), lists, pa.array(np.diff(ends), pa.int64()), pa.array([own.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "n_ids", "decoded"])
+        for b in slices(batches, 1):
+            ids = own.encode([t or "" for t in b.column(1).to_pylist()])
+            ends = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array([own.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "n_ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, decoded string").withColumnRenamed("doc_id", id_col)

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-def portions(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about so many characters, one text at least."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about so many bytes, one row at least, so that only that much is ever held
+    as Python objects. In the end the memory that Arrow keeps for later is given back: a worker lives on."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield b.slice(start, end - start)
+            start = end
+    pa.default_memory_pool().release_unused()
 
 
 def by_length(words: Iterable[str], letters: int) -> Iterator[list[str]]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.portions import by_length, portions
+from tessera.llm.portions import by_length, slices
 
 FEATURES = 1 << 16
 #: The feature of a word bigram whose words are equal, whatever the word, and how often such a bigram counts.
@@ -24,9 +24,9 @@ PAD = 40
 #: Character n-grams of these lengths.
 LOW, HIGH = 3, 5
 FACTOR, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-#: Up to so many different words are kept with their scores by a worker, then the store starts anew; characters of text
-#: and letters of words taken at a time.
-KEPT, CHARS, LETTERS = 300_000, 2_000_000, 500_000
+#: Up to so many different words are kept with their scores by a worker, then the store starts anew; letters of words
+#: taken at a time.
+KEPT, LETTERS = 200_000, 500_000
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             bags = [bag(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.tobytes() for i, _ in bags], pa.binary()), pa.array([c.tobytes() for _, c in bags], pa.binary())], ["k", "y", "ids", "counts"])
 
@@ -157,9 +157,8 @@ def score(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[float, int]] = {}
-        for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            found = [x for start, end in portions(texts, CHARS) for x in shared.value.score(texts[start:end], kept)]
+        for b in slices(batches, at):
+            found = shared.value.score(b.column(at).to_pylist(), kept)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, name])
 
     return rows.mapInArrow(run, schema)

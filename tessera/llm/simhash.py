@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.portions import slices
 from tessera.operators.graph import connected_components
 from tessera.session import settle
 
@@ -40,7 +41,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, fp)``, a row per document; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             out = np.fromiter((fingerprint(x, words) for x in b.column(1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "fp"])
 
