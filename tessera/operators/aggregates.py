@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.quantiles import quantile
+from tessera.session import settle
 
 #: Median absolute deviation to standard deviation of a normal distribution.
 TO_SIGMA = 1.4826
@@ -19,10 +20,10 @@ def median(c: Column | str) -> Column:
 
 def _deviation(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Per group the median, the median absolute deviation and the number of values; exact at any size of a group."""
-    base = quantile(df, by, value, 0.5, "med")
+    base = settle(quantile(df, by, value, 0.5, "med"))  # stored: both steps below use it
     # a row per group; Spark decides by its size how it is joined
     off = df.join(base.select(*by, "med"), list(by)).select(*by, F.abs(F.col(value) - F.col("med")).alias("_off"))
-    return base.join(quantile(off, by, "_off", 0.5, "mad").select(*by, "mad"), list(by))
+    return settle(base.join(quantile(off, by, "_off", 0.5, "mad").select(*by, "mad"), list(by)))
 
 
 def robust_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, z: float = 3.0) -> DataFrame:
