@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours: a permutation index of ordered pivots with inverted files."""
+"""Nearest neighbours: a permutation index of ordered pivots with inverted files, made exact by bounds."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from tessera.session import settle
 #: Vectors and queries that meet in one task. A block gives k rows per query, so large blocks keep what is merged last
 #: small against what is searched; a task holds some 15 MB of vectors and orders and 16 MB of distances.
 BLOCK, QUERIES = 8192, 512
+#: Queries of a set that are bounded and multiplied at once.
+STEP = 64
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -24,6 +26,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; scaled first, so that squares neither vanish nor overflow."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    x = x / top
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        return x / size, (size * top)[:, 0]
+
+
 def choose_pivots(vectors: DataFrame, n: int = 256, sample: int = 2048) -> np.ndarray:
     """Pivots at unit length, from the ``sample`` vectors of the commonest length whose ids hash lowest: both numbers are
     fixed, so what comes to the driver and is sent along with the tasks is bounded."""
@@ -37,7 +48,7 @@ def choose_pivots(vectors: DataFrame, n: int = 256, sample: int = 2048) -> np.nd
 def spread_out(x: np.ndarray, n: int, near: float = 0.9) -> np.ndarray:
     """The first n directions that are not near one taken before; what was passed over fills up. A crowd of alike
     vectors so gets one pivot rather than its share, which would put the crowd first in every order."""
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = directions(x)[0]
     taken: list[int] = []
     for i in range(len(x)):
         if len(taken) < n and (not taken or (x[taken] @ x[i]).max() < near):
@@ -71,25 +82,57 @@ def footrule_gain(mine: np.ndarray, theirs: np.ndarray, pivots: int) -> np.ndarr
     return gain
 
 
-def _block_search(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, share: float, least: int, pivots: int) -> pd.DataFrame:
-    """The best of one block for one set of queries, by exact inner products of those that the footrule ranks first."""
+def _reachable(unit_q: np.ndarray, unit_x: np.ndarray, first: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """An upper bound of each pair's cosine: with the pivot that is the vector's nearest, what lies along it multiplies,
+    and what lies across it is at most parallel. The margin is above what rounding can do."""
+    along = np.clip(unit_q @ points.T, -1, 1)
+    own = np.clip((unit_x * points[first]).sum(axis=1), -1, 1)
+    return along[:, first] * own + np.sqrt(1 - along * along)[:, first] * np.sqrt(1 - own * own) + 1e-6
+
+
+def _block_search(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, share: float, least: int, points: np.ndarray) -> pd.DataFrame:
+    """The best of one block for one set of queries by inner product.
+
+    What the footrule ranks first is scored first; its k-th best is a floor. Every other vector whose length and nearest
+    pivot still allow a product of the floor is scored too, so none that belongs to the best is left out.
+    """
     if not len(queries) or not len(vectors):
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     vectors = vectors.sort_values("vec_id", kind="stable")
     ids, own = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
     x, q = np.stack(vectors["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-    gain = footrule_gain(np.stack(queries["near"].to_numpy()), np.stack(vectors["near"].to_numpy()), pivots)
+    near = np.stack(vectors["near"].to_numpy())
+    gain = footrule_gain(np.stack(queries["near"].to_numpy()), near, len(points))
     gain[own[:, None] == ids[None, :]] = -1
     n = min(len(ids), max(least, int(np.ceil(share * len(ids)))) + 1)
+    (unit_q, long_q), (unit_x, long_x) = directions(q), directions(x)
     out = []
-    for i in range(len(own)):
-        # the n of the largest gain, ties to the smaller id: ids ascend, so the code falls along them
-        code = gain[i].astype(np.int64) * len(ids) - np.arange(len(ids))
-        first = np.argpartition(-code, n - 1)[:n] if n < len(ids) else np.arange(len(ids))
-        first = first[gain[i, first] >= 0]
-        score = (x[first] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[first], -score))[:k]
-        out.append((np.full(len(best), own[i]), ids[first][best], score[best]))
+    for start in range(0, len(own), STEP):
+        part = range(start, min(start + STEP, len(own)))
+        floor = np.full(len(part), -np.inf)
+        for at, i in enumerate(part):
+            # the n of the largest gain, ties to the smaller id: ids ascend, so the code falls along them
+            code = gain[i].astype(np.int64) * len(ids) - np.arange(len(ids))
+            first = np.argpartition(-code, n - 1)[:n] if n < len(ids) else np.arange(len(ids))
+            first = first[gain[i, first] >= 0]
+            if len(first) >= k:
+                floor[at] = -np.partition(-(x[first] * q[i]).sum(axis=1), k - 1)[k - 1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            # comparisons are the other way round, so that what isn't a number stays
+            most = long_q[part.start : part.stop, None] * long_x
+            some = np.flatnonzero((~(most * _reachable(unit_q[part.start : part.stop], unit_x, near[:, 0], points) < floor[:, None])).any(axis=0))
+            product = q[part.start : part.stop] @ x[some].T
+            blur = 4 * x.shape[1] * np.finfo(float).eps * most[:, some]
+            for at, i in enumerate(part):
+                other = np.flatnonzero(gain[i, some] >= 0)
+                best = product[at, other]
+                if len(best) > k:
+                    low = best - blur[at, other]
+                    other = other[~(best + blur[at, other] < -np.partition(-low, k - 1)[k - 1])]
+                rows = some[other]
+                score = (x[rows] * q[i]).sum(axis=1)
+                best = np.lexsort((ids[rows], -score))[:k]
+                out.append((np.full(len(best), own[i]), ids[rows][best], score[best]))
     query, vec, score = (np.concatenate(c) for c in zip(*out, strict=True))
     return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
@@ -130,7 +173,7 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int
     right = index.select(dealt(2, blocks).alias("block"), every(sets).alias("set"), "vec_id", "v", "near")
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _block_search(q, v, k, share, least, max(1, pivots))
+        return _block_search(q, v, k, share, least, shared.value)
 
     met = left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")

@@ -210,6 +210,21 @@ def test_recall_over_several_blocks(spark, monkeypatch):
     assert np.mean([len(got[i] & {v for v, _ in best}) / 20 for i, best in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("cosine", [0.8, 0.95])
+def test_search_is_exact_with_a_crowd_and_unequal_lengths(spark, cosine):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = np.sqrt(cosine) * x[0] + np.sqrt(1 - cosine) * x[::3]
+    x *= rng.lognormal(0, 0.5, (3000, 1))
+    x[40], x[41] = x[40] * 1e200, x[41] * 1e-200
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_nearest(rows)
+
+
 def test_footrule_by_hand():
     rng = np.random.default_rng(2)
     a, b = (np.stack([rng.permutation(12)[:5] for _ in range(6)]) for _ in "ab")
