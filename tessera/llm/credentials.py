@@ -22,6 +22,8 @@ BASE = (
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 INFERRED = "grammar"
+#: The least length of a candidate, and the marks in it that may join two strings.
+LEAST, MARKS = 20, "+/_=-"
 #: Strings per format in the labelled set; what the automata hold is bounded by it.
 LABELLED = 120
 
@@ -102,18 +104,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, kind) for a, _, b, kind in sorted(found)]
 
 
+def left_over(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers; base spans by start."""
+    parts, at = [], start
+    for a, b, _ in base:
+        if a < end and b > at:
+            if a > at:
+                parts.append((at, a))
+            at = b
+    return [*parts, (at, end)] if at < end else parts
+
+
 def spans(text: str | None, models: tuple[Automaton, Automaton], limit: float) -> list[tuple[int, int, str]]:
-    """All spans of a text, by start, then kind in the order of BASE; a candidate that touches a base span adds none.
+    """All spans of a text, by start, then kind in the order of BASE.
 
-    A candidate holds a digit and letters: a string without them is a word or a number.
+    Every candidate is scored. Of one that base spans cover in part the parts left are scored, with and without the
+    mark that joins them to the base span, and if none is a credential the whole; one they cover adds nothing.
     """
     text = text or ""
     base = base_spans(text)
     more = []
+    score = lambda span: likelihood(text[span[0] : span[1]], models)
     for m in CANDIDATE.finditer(text):
-        x = m[0]
-        if any(c.isdigit() for c in x) and not x.isdigit() and not any(a < m.end() and m.start() < b for a, b, _ in base) and likelihood(x, models) > limit:
-            more.append((m.start(), m.end(), INFERRED))
+        start, end = m.span()
+        found = []
+        parts = left_over(start, end, base)
+        for a, b in parts:
+            firsts = (a, a + 1) if a > start and text[a] in MARKS else (a,)
+            lasts = (b, b - 1) if b < end and text[b - 1] in MARKS else (b,)
+            best = max(((x, y) for x in firsts for y in lasts if y - x >= LEAST), key=score, default=None)
+            if best and score(best) > limit:
+                found.append((*best, INFERRED))
+        if parts and not found and parts != [(start, end)] and score((start, end)) > limit:
+            found = [(start, end, INFERRED)]
+        more += found
     order = {kind: i for i, (kind, *_) in enumerate(BASE)}
     return sorted(base + more, key=lambda s: (s[0], order.get(s[2], len(order)), s[1]))
 

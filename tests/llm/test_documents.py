@@ -233,6 +233,23 @@ def test_more_formats_are_found_and_prose_is_not(spark, sf_dir):
     assert not extra
 
 
+def test_credentials_without_digits_or_beside_base_spans_are_found():
+    (models, limit), rng = credentials.fitted(), np.random.default_rng(4)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    letters, all_ = credentials.LOWER + credentials.UPPER, credentials.LOWER + credentials.UPPER + credentials.DIGIT
+    for head, n in (("glpat-", 20), ("sk_live_", 24), ("ghp_", 36)):
+        tokens = [head + pick(letters, n) for _ in range(100)]
+        assert np.mean([credentials.spans(f"see {t} here", models, limit) == [(4, 4 + len(t), "grammar")] for t in tokens]) > 0.6
+    for _ in range(20):
+        secret, token, access, commit = pick(all_ + "+/", 40), "ghp_" + pick(all_, 36), "AKIA" + pick(credentials.UPPER + credentials.DIGIT, 16), pick("0123456789abcdef", 40)
+        for text, kept in ((f"{access}/{secret}", secret), (f"{commit}/{token}", token), (f"{token}/{commit}", token)):
+            found = [(a, b) for a, b, kind in credentials.spans(text, models, limit) if kind == "grammar"]
+            assert len(found) == 1 and found[0][0] <= text.index(kept) and found[0][1] >= text.index(kept) + len(kept)
+            assert kept not in credentials.redacted(text, credentials.spans(text, models, limit))
+    for plain in ("getElementByClassNameAndAttributeValue", "MAX_CONNECTION_RETRY_COUNT_EXCEEDED", "src/main/java/" + "0123456789abcdef" * 2 + "/some_file_of_a_longer_name", "1234567890" * 3, "=" * 40):
+        assert not [s for s in credentials.spans(plain, models, limit) if s[2] == "grammar"]
+
+
 def test_redaction(odd, none):
     rows = {r.doc_id: r for r in credentials.redact(odd).collect()}
     assert rows[9].text == "[secret]\"" and rows[9].n_chars == 9 and rows[2].text is None
