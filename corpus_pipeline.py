@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import credentials, mixing, pieces, quality, simhash
+from tessera.llm import alike, credentials, mixing, pieces, quality
 from tessera.session import new_folder, settle, table
 
 #: Ids of this many rows (two numbers each) are broadcast at most.
@@ -30,10 +30,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document whose id is its group's smallest stays; of rows that repeat an id, only one row with the id.
 
+    Groups are linked by SimHash (``op9``'s rule) and by five-word shingles of which four fifths are shared.
     Rows with a null id stay. The ids that go or repeat are found first; up to FEW of them are broadcast, so that no
     text is shuffled, beyond that the join is.
     """
-    found = simhash.near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("odd"))
+    found = alike.groups(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("odd"))
     odd = settle(found.agg(F.max(F.col("doc_id") > F.col("component_id")).alias("goes"), F.count("*").alias("times")).where("goes or times > 1"))
     names = docs.columns
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
