@@ -32,13 +32,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder of this machine is taken.
+    Only where that setting is absent and the master is local (tests) a temporary folder of this machine is taken; on
+    a cluster its absence is an error, as executors would not see such a folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         known = context._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tessera-")
+        if known.isDefined():
+            folder = known.get()
+        elif context.master == "local" or context.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="tessera-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return folder
@@ -54,5 +60,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str = "rows") -> tuple[DataFrame, str]:
+    """The rows written to the shared folder and read again, and where they lie. Unlike a checkpoint the result knows
+    its true size, so estimates don't grow from round to round, and it can be removed when it is no longer read."""
+    spark = df.sparkSession
+    folder = new_folder(spark, what)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that nothing reads any more, wherever they lie."""
+    context = spark.sparkContext
+    for folder in folders:
+        place = context._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -49,6 +49,36 @@ def test_components_match_union_find(spark, seed):
     assert got == {x: root(x) for x in parent}
 
 
+def _shapes(n):
+    up = list(range(n))
+    half = n // 2
+    return {
+        "path": list(zip(up, up[1:], strict=False)),
+        "zigzag": list(zip([0, *up[:0:-1]], up[:0:-1], strict=False)),
+        "comb": [(i, i + 1) for i in range(half - 1)] + [(i, i + half) for i in range(half)],
+        "outer comb": [(i + half, i + half + 1) for i in range(half - 1)] + [(i, i + half) for i in range(half)],
+        "star": [(n - 1, i) for i in range(n - 1)],
+    }
+
+
+@pytest.mark.parametrize("shape", ["path", "zigzag", "comb", "outer comb", "star"])
+def test_components_of_long_shapes(spark, shape, monkeypatch):
+    rounds = []
+    starry = graph._is_starry
+    monkeypatch.setattr(graph, "_is_starry", lambda e: rounds.append(1) or starry(e))
+    edges = _shapes(20_000)[shape]
+    found = graph.connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    assert found.where("component <> 0").isEmpty()
+    assert found.count() == len({x for e in edges for x in e})
+    assert len(rounds) <= 20
+
+
+def test_components_keep_loops_and_names(spark):
+    edges = [("b", "c"), ("c", "a"), ("d", "d"), ("c", "c"), (None, "e")]
+    found = graph.connected_components(spark.createDataFrame(edges, "src string, dst string"))
+    assert {r.node: r.component for r in found.collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
 def test_components_of_nothing(spark):
     assert graph.connected_components(spark.createDataFrame([(None, 1)], "src long, dst long")).count() == 0
 
