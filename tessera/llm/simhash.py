@@ -13,22 +13,33 @@ from pyspark.sql import functions as F
 
 from tessera.llm.portions import slices
 from tessera.operators.graph import connected_components
-from tessera.session import settle
+from tessera.session import Scratch, shuffle_partitions, stored
 
 PIECE = 50_000
 
 
+def split(text: str | None) -> list[bytes]:
+    """The words of a text: A-Z lower-cased, ended by ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def joined(parts: list[bytes], words: int) -> Iterator[bytes]:
+    """All runs of so many words in order, repeats included; fewer words are one run."""
+    if len(parts) < words:
+        return iter([b" ".join(parts)])
+    return map(b" ".join, zip(*(islice(parts, i, None) for i in range(words)), strict=False))
+
+
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The signed 64-bit SimHash of a text's word shingles, repeats included.
 
     A-Z are lower-cased, words end at ASCII white space; a text of fewer words is one shingle, one without words
     gives zero. A bit is set if more than half of the shingles' XXH64 values have it.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    parts = split(text)
     if not parts:
         return 0
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)))) if len(parts) >= words else iter([b" ".join(parts)])  # noqa: B905
-    votes, n, hashed = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
+    shingles, votes, n, hashed = joined(parts, words), np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
     while block := [hashed(x, seed) for x in islice(shingles, PIECE)]:
         votes += np.unpackbits(np.array(block, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(block)
@@ -65,6 +76,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     if radius % 2 or radius < 0:
         raise ValueError("the radius must be even")
     masks = ",".join("-9223372036854775807L - 1L" if m == -(1 << 63) else f"{m}L" for m in ball(radius // 2))
+    # a row becomes a ball of rows, so few rows are dealt to many tasks first
+    prints = prints.repartition(shuffle_partitions(prints.sparkSession), "fp")
     variants = prints.select("fp", F.explode(F.expr(f"transform(array({masks}), m -> fp ^ m)")).alias("variant"))
     low = F.expr("min(fp) over (partition by variant)")
     met = variants.select("fp", low.alias("low")).where("fp <> low")
@@ -78,11 +91,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty, repeated rows stay, a null id gets a row whose component counts only the other ids
     (null if there are none), an empty table gives no rows; other columns are not read.
     """
-    own = settle(fingerprints(docs, id_col, text_col, words))
-    distinct = settle(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    keep = Scratch(docs.sparkSession)
+    own, _ = stored(fingerprints(docs, id_col, text_col, words), "prints")
+    distinct = keep.keep(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     members = connected_components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    linked = distinct.join(members, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    groups = settle(linked.join(least, "component").select(F.col("fp").alias("print"), "component_id"))
+    # stored, so that a component with most of the fingerprints, and a fingerprint with most of the rows, can be split
+    linked = keep.keep(distinct.join(members, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    least = keep.keep(linked.groupBy("component").agg(F.min("least").alias("component_id")))
+    groups, _ = stored(linked.join(least, "component").select(F.col("fp").alias("print"), "component_id"), "groups")
+    keep.clear()
     out = own.join(groups, own["fp"] == groups["print"])
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
