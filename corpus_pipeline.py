@@ -12,11 +12,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from tessera.llm import alike, credentials, mixing, pieces, quality
-from tessera.session import new_folder, settle, table
+from tessera.session import remove, settle, stored, table
 
-#: Ids of this many rows (two numbers each) are broadcast at most.
+#: Keys of so many rows (two numbers each) are broadcast at most.
 FEW = 500_000
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -28,46 +29,51 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose id is its group's smallest stays; of rows that repeat an id, only one row with the id.
+    """One row of each group stays: that of the least id (null last), of its texts the one of the least hash. Of rows
+    that repeat id and text one stays; which, their other columns of sortable types decide. Different texts of one id
+    are documents of their own.
 
     Groups are linked by SimHash (``op9``'s rule) and by five-word shingles of which four fifths are shared.
-    Rows with a null id stay. The ids that go or repeat are found first; up to FEW of them are broadcast, so that no
-    text is shuffled, beyond that the join is.
+    The ids and text hashes that go or repeat are found first; up to FEW of them are broadcast, so that no text is
+    shuffled, beyond that the join is.
     """
-    found = alike.groups(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("odd"))
-    odd = settle(found.agg(F.max(F.col("doc_id") > F.col("component_id")).alias("goes"), F.count("*").alias("times")).where("goes or times > 1"))
+    odd = settle(alike.leavers(docs).toDF("odd_id", "odd_key", "goes"))
     names = docs.columns
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    key = F.col(f"c{names.index('doc_id')}")
-    joined = numbered.join(F.broadcast(odd) if odd.limit(FEW + 1).count() <= FEW else odd, key == F.col("odd"), "left")
-    once = joined.where("odd is null").select(*numbered.columns)
-    again = joined.where("not goes").groupBy("odd").agg(F.min(F.struct(*numbered.columns)).alias("row")).select("row.*")
+    at = {x: F.col(f"c{names.index(x)}") for x in ("doc_id", "text")}
+    keyed = numbered.withColumn("key", alike.text_key(at["text"].cast("string")))
+    same = at["doc_id"].cast("long").eqNullSafe(F.col("odd_id")) & (F.col("key") == F.col("odd_key"))
+    joined = keyed.join(F.broadcast(odd) if odd.limit(FEW + 1).count() <= FEW else odd, same, "left")
+    once = joined.where("goes is null").select(*numbered.columns)
+    row = F.struct(*numbered.columns)
+    order = F.struct(*(f.name for f in numbered.schema.fields if _sortable(f.dataType)))
+    again = joined.where("not goes").groupBy("odd_id", "odd_key").agg(F.min_by(row, order).alias("row")).select("row.*")
     return once.unionByName(again).toDF(*names)
 
 
+def _sortable(kind: DataType) -> bool:
+    """Whether values of a type can be put in order; maps, and what holds them, can't."""
+    if isinstance(kind, StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return _sortable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span that the scan finds is masked in the text; no document goes."""
     return credentials.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it: a row per whole time, and a row with the words that are left
-    for the one document of a source in which its budget ends. Documents without words are in no mix and go."""
+    """Each document comes whole, as often as the mix takes it. The one document of a source in which its budget ends
+    comes once more if at least half of it is taken, so a source misses its target by half a document at most.
+    Documents without words are in no mix and go."""
     names = docs.columns
     numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = {x: f"c{names.index(x)}" for x in ("doc_id", "text", "source")}
     mixed = mixing.mix(numbered, id_col=at["doc_id"], text_col=at["text"], source_col=at["source"], carry=numbered.columns)
-    times = F.expr("cast(ceil(taken / size) as int)")
-    rows = mixed.where("taken > 0").select("carried.*", "size", "taken", F.explode(F.sequence(F.lit(1), times)).alias("nth"))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size"))
-    rows = rows.withColumn("words", words)
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(at["text"]), F.lit(mixing.WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), part).otherwise(F.col(at["text"]))
-    out = rows.withColumn(at["text"], text)
-    if "n_chars" in names:
-        chars = f"c{names.index('n_chars')}"
-        out = out.withColumn(chars, F.when(F.col("words") < F.col("size"), F.length(at["text"]).cast("long")).otherwise(F.col(chars)))
-    return out.select(*numbered.columns).toDF(*names)
+    times = F.expr("cast(floor(taken / size + 0.5) as int)")
+    rows = mixed.where("size > 0 and 2 * taken >= size").select("carried.*", F.explode(F.sequence(F.lit(1), times)).alias("nth"))
+    return rows.select(*numbered.columns).toDF(*names)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,11 +94,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet to the shared folder and read again by the next."""
+    """All stages in turn, each written as Parquet to the shared folder and read again by the next; what only the next
+    one reads is removed after it."""
 
-    def step(docs: DataFrame, stage: tuple) -> DataFrame:
-        folder = new_folder(spark, stage[0].replace(" ", "-"))
-        stage[1](spark, docs, sf_dir).write.parquet(folder)
-        return spark.read.parquet(folder)
+    def step(done: tuple[DataFrame, str | None], stage: tuple) -> tuple[DataFrame, str | None]:
+        docs, was = done
+        out, folder = stored(stage[1](spark, docs, sf_dir), stage[0].replace(" ", "-"))
+        remove(spark, *[was] * bool(was))
+        return out, folder
 
-    return reduce(step, STAGES, table(spark, sf_dir, "documents"))
+    return reduce(step, STAGES, (table(spark, sf_dir, "documents"), None))[0]

@@ -77,5 +77,21 @@ def remove(spark: SparkSession, *folders: str) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Tables written on the way to a result, removed together once it is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def keep(self, df: DataFrame, what: str = "rows") -> DataFrame:
+        out, folder = stored(df, what)
+        self.folders.append(folder)
+        return out
+
+    def clear(self) -> None:
+        remove(self.spark, *self.folders)
+        self.folders = []
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
