@@ -8,8 +8,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Symbols of the alphabet: letters and digits fall into classes, marks stand for themselves; 0 is anything else.
-CLASSES = ("ghijklmnopqrstuvwxyz", "abcdef", "GHIJKLMNOPQRSTUVWXYZ", "ABCDEF", "0123456789", "+", "/", "_", ".", "=", "-")
+#: Symbols of the alphabet: letters fall into classes by case, by vowel or consonant and by whether they are hex
+#: digits, decimal digits are one class, marks stand for themselves; 0 is anything else.
+CLASSES = ("ghjklmnpqrstvwxyz", "iou", "bcdf", "ae", "GHJKLMNPQRSTVWXYZ", "IOU", "BCDF", "AE", "0123456789", "+", "/", "_", ".", "=", "-")
 SYMBOLS = len(CLASSES) + 1
 END = SYMBOLS
 TO_SYMBOL = bytes(next((i + 1 for i, c in enumerate(CLASSES) if chr(b) in c), 0) for b in range(256))

@@ -20,10 +20,10 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-](?:[A-Za-z0-9+/_.=-]*[A-Za-z0-9+/_=-])?")
 INFERRED = "grammar"
 #: The least length of a candidate, and the marks in it that may join two strings.
-LEAST, MARKS = 20, "+/_=-"
+LEAST, MARKS = 16, "+/_.=-"
 #: Strings per format in the labelled set; what the automata hold is bounded by it.
 LABELLED = 120
 
@@ -41,6 +41,14 @@ CREDENTIALS = (
     ((UPPER + LOWER + DIGIT, 32),),
     ((UPPER + LOWER + DIGIT + "+/", 43), ("=",)),
     ((UPPER + DIGIT, 40),),
+    ((UPPER + LOWER + DIGIT, 20),),
+    ((UPPER + LOWER + DIGIT, 16),),
+    ((UPPER + LOWER, 24),),
+    (("eyJ",), (UPPER + LOWER + DIGIT, 33), (".eyJ",), (UPPER + LOWER + DIGIT, 60), (".",), (UPPER + LOWER + DIGIT + "_-", 43)),
+    (("SG.",), (UPPER + LOWER + DIGIT + "_-", 22), (".",), (UPPER + LOWER + DIGIT + "_-", 43)),
+    (("npm_",), (UPPER + LOWER + DIGIT, 36)),
+    (("hf_",), (UPPER + LOWER, 34)),
+    (("ya29.",), (UPPER + LOWER + DIGIT + "_-", 60)),
 )
 
 
@@ -55,48 +63,64 @@ def _pick(source: Iterator[int], n: int) -> int:
     return ((next(source) << 16) + (next(source) << 8) + next(source)) % n
 
 
-def labelled() -> tuple[list[str], list[str]]:
-    """Credentials by the formats above, and strings of the same length that are none: words run together or joined
-    by marks, in lower, upper and camel case, paths, dates and plain numbers."""
-    good, plain = [], []
+def labelled() -> tuple[list[str], list[list[str]]]:
+    """Credentials by the formats above, and strings of the same lengths that are none: words and numbers run together
+    or joined by marks, in lower, upper and camel case, a list for each; addresses, files and versions; dates, numbers
+    and rules of one sign; hex ids in groups."""
+    good, plain, names, numbers, ids = [], ([], [], []), [], [], []
     for k, parts in enumerate(CREDENTIALS):
         source = _stream(f"credential {k}")
         good += ["".join(p[0] if len(p) == 1 else "".join(p[0][_pick(source, len(p[0]))] for _ in range(p[1])) for p in parts) for _ in range(LABELLED)]
     source = _stream("plain")
     vowels, rest = "aeiou", "bcdfghjklmnpqrstvwxyz"
 
+    def some(letters: str, least: int, most: int) -> str:
+        return "".join(letters[_pick(source, len(letters))] for _ in range(least + _pick(source, most - least + 1)))
+
     def word() -> str:
-        return "".join(rest[_pick(source, 21)] + vowels[_pick(source, 5)] + (rest[_pick(source, 21)] if _pick(source, 2) else "") for _ in range(1 + _pick(source, 4)))
+        return "".join(some(rest, 0, 2) + some(vowels, 1, 2) + some(rest, 0, 2) for _ in range(1 + _pick(source, 4)))
 
-    marks = ("", "_", "-", "/", "-", "_")
-    for n in range(LABELLED * 8):
+    marks = ("", "_", "-", "/", "-", "_", ".", ".")
+    for n in range(LABELLED * 40):
         words = [word() for _ in range(12)]
         words = [w.upper() if n % 5 == 1 else w.capitalize() if n % 5 == 2 or (n % 5 == 3 and i) else w for i, w in enumerate(words)]
         if n % 3 == 0:
             words.insert(_pick(source, 4), str(_pick(source, 10 ** (1 + _pick(source, 6)))))
         text = marks[_pick(source, len(marks))].join(words)
-        plain.append(text[: 20 + _pick(source, 40)].rstrip("/_-"))
+        plain[(0, 1, 2, 2, 0)[n % 5]].append(text[: LEAST + _pick(source, 44)].rstrip("/_-."))
     for _ in range(LABELLED):
+        # addresses, files, versions, dates, numbers, rules of one sign, ids in groups
         year, rest_of = 1990 + _pick(source, 60), [f"{_pick(source, 60):02d}" for _ in range(6)]
-        plain.append(f"{year}-" + "-".join(rest_of) + f"/{_pick(source, 10**6)}")
-        plain.append("".join(DIGIT[_pick(source, 10)] for _ in range(20 + _pick(source, 20))))
-        plain.append("=-_/+"[_pick(source, 5)] * (20 + _pick(source, 60)))
-    return good, plain
+        numbers.append(f"{year}-" + "-".join(rest_of) + f"/{_pick(source, 10**6)}")
+        names.append(f"www.{word()}{word()}.{word()[:3]}/{word()}/{word()}{_pick(source, 1000)}/{word()}-{word()}.html")
+        names.append(f"{word()}-{word()}-{_pick(source, 30)}.{_pick(source, 30)}.{_pick(source, 300)}.tar.gz")
+        names.append("-".join((f"{word()[:1 + _pick(source, 4)]}{_pick(source, 100)}_{_pick(source, 100)}", *(word()[: 2 + _pick(source, 4)] for _ in range(3)), str(_pick(source, 30)))))
+        names.append(f"/{word()}/{word()}/{word()}{_pick(source, 10)}.{_pick(source, 10)}/{word()}-{word()}/{word()}_{word()}.py")
+        numbers.append("".join(DIGIT[_pick(source, 10)] for _ in range(LEAST + _pick(source, 24))))
+        numbers.append("-".join("".join(DIGIT[_pick(source, 10)] for _ in range(4)) for _ in range(4 + _pick(source, 3))))
+        ids.append("-".join("".join("0123456789abcdef"[_pick(source, 16)] for _ in range(k)) for k in (8, 4, 4, 4, 12)))
+        numbers.append(".".join(str(_pick(source, 256)) for _ in range(4 + _pick(source, 3))) + f"/{_pick(source, 33)}-{rest_of[0]}")
+        numbers.append("=-_/+."[_pick(source, 6)] * (LEAST + _pick(source, 64)))
+    return good, [*plain, names, numbers, ids]
+
+
+Models = tuple[Automaton, ...]
 
 
-def likelihood(text: str, models: tuple[Automaton, Automaton]) -> float:
-    """How much likelier, in nats per character, the credentials' automaton makes a string than the other one."""
+def likelihood(text: str, models: Models) -> float:
+    """How much likelier, in nats per character, the first automaton, of credentials, makes a string than the likeliest
+    of the others."""
     s = symbols(text)
-    return (models[0].score(s) - models[1].score(s)) / max(1, len(s))
+    return (models[0].score(s) - max(m.score(s) for m in models[1:])) / max(1, len(s))
 
 
 @functools.lru_cache(1)
-def fitted() -> tuple[tuple[Automaton, Automaton], float]:
-    """Automata for both labels, and the limit: learnt from two thirds of the labelled strings, the limit set on the
-    rest so that all plain ones stay below it."""
+def fitted() -> tuple[Models, float]:
+    """Automata of the credentials and of each list of plain strings, and the limit: learnt from two thirds of the
+    labelled strings, the limit set on the rest so that all plain ones stay below it."""
     good, plain = labelled()
-    models = infer(x for i, x in enumerate(good) if i % 3), infer(x for i, x in enumerate(plain) if i % 3)
-    return models, max(0.05, 1.1 * max(likelihood(x, models) for i, x in enumerate(plain) if not i % 3))
+    models = tuple(infer(x for i, x in enumerate(xs) if i % 3) for xs in (good, *plain))
+    return models, max(0.05, 1.1 * max(likelihood(x, models) for xs in plain for i, x in enumerate(xs) if not i % 3))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -115,7 +139,7 @@ def left_over(start: int, end: int, base: list[tuple[int, int, str]]) -> list[tu
     return [*parts, (at, end)] if at < end else parts
 
 
-def spans(text: str | None, models: tuple[Automaton, Automaton], limit: float) -> list[tuple[int, int, str]]:
+def spans(text: str | None, models: Models, limit: float) -> list[tuple[int, int, str]]:
     """All spans of a text, by start, then kind in the order of BASE.
 
     Every candidate is scored. Of one that base spans cover in part the parts left are scored, with and without the
@@ -127,6 +151,8 @@ def spans(text: str | None, models: tuple[Automaton, Automaton], limit: float) -
     score = lambda span: likelihood(text[span[0] : span[1]], models)
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
+        if end - start < LEAST:
+            continue
         found = []
         parts = left_over(start, end, base)
         for a, b in parts:
@@ -156,8 +182,9 @@ def redacted(text: str, found: list[tuple[int, int, str]], mask: str = "[secret]
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, spans)`` per document, spans an array of ``(kind, start, end)`` in code points, end exclusive.
 
-    A null text counts as empty and has no spans; repeated rows stay; an empty table gives no rows; other columns
-    are not read.
+    A null text counts as empty and has no spans; texts of any length are searched whole; spans that start together
+    come in the order of the kinds, those found by the automata last; repeated rows stay; an empty table gives no rows;
+    other columns are not read.
     """
     models, limit = fitted()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -7,11 +7,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import shuffle_partitions
+from tessera.llm.portions import slices
+from tessera.session import Scratch, shuffle_partitions
 
 BUCKETS = 256
 #: The places of a triplet's second and third byte after its first: all that fit into five bytes.
@@ -80,37 +81,57 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row ``(id, n_chars, fingerprint)`` per document. A null text counts as empty, repeated rows stay,
-    an empty table gives no rows; other columns are not read."""
+    """One row ``(id, n_chars, fingerprint)`` per document. A null text counts as empty, a text of any length is read
+    whole, repeated rows stay, an empty table gives no rows; other columns are not read."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [x if isinstance(x, str) else "" for x in b["t"]]
-            yield pd.DataFrame({"k": b["k"].astype("Int64"), "n_chars": [len(x) for x in texts], "fingerprint": [digest(x) for x in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(digest, texts), pa.string())], ["k", "n_chars", "fingerprint"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "k long, n_chars long, fingerprint string")
+    out = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "k long, n_chars long, fingerprint string")
     return out.withColumnRenamed("k", id_col)
 
 
+def _starts(keys: DataFrame, m: int) -> list[tuple[int, int]]:
+    """Up to ``m`` keys ``(k, h)`` of the table, ascending, the least first, that cut its rows into about equal parts.
+
+    They are weighted quantiles of the distinct keys whose hashes are lowest, 64 for each part, so what comes to the
+    driver is bounded by ``m``; the keys themselves are compared, never rounded.
+    """
+    keep = Scratch(keys.sparkSession)
+    counted = keep.keep(keys.groupBy("k", "h").agg(F.count("*").alias("n")))
+    low = counted.agg(F.min(F.struct("k", "h")).alias("low")).head().low
+    rows = sorted((r.k, r.h, r.n) for r in counted.orderBy(F.xxhash64(F.lit(5), "k", "h"), "k", "h").limit(64 * m).collect())
+    keep.clear()
+    total, seen, starts = sum(n for *_, n in rows), 0, set() if low is None else {tuple(low)}
+    for k, h, n in rows:
+        if seen * m // total != (seen + n) * m // total:
+            starts.add((k, h))
+        seen += n
+    return sorted(starts)
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Documents in partitions sorted by id, each bucket followed by the document that comes after it.
+    """Documents in buckets in the order of id and text hash, each bucket sorted and followed by the document that comes
+    after it.
 
-    Bucket bounds are ids taken from an approximate quantile summary, four buckets per partition. A document
-    that starts a bucket is also sent, as a guest, to the bucket before it; the very first to the last bucket.
+    A bucket starts at a key of the table (``_starts``), so the document that starts one is known by its key and is
+    also sent, as a guest, to the bucket before; the very first to the last bucket. Rows that share an id, or have
+    none, are split by their texts' hashes.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("k", F.expr("coalesce(doc_id, -9223372036854775808)"))
-    m = 4 * n
-    low, cuts = rows.agg(F.min("k"), F.percentile_approx("k", [i / m for i in range(m)], max(10_000, 20 * m))).head()
-    starts = sorted({low, *(cuts or [])}) if low is not None else [0]
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("k", F.expr(f"coalesce(doc_id, {_literal(-(1 << 63))})")).withColumn("h", F.xxhash64("text"))
+    starts = _starts(rows.select("k", "h"), 4 * n) or [(0, 0)]
     wide = math.isqrt(len(starts) - 1) + 1
     groups = [starts[i : i + wide] for i in range(0, len(starts), wide)]
-    literal = lambda xs: "array(" + ",".join("-9223372036854775807L - 1L" if x == -(1 << 63) else f"{x}L" for x in xs) + ")"
-    rows = rows.withColumn("c", F.expr(f"greatest(size(filter({literal([g[0] for g in groups])}, v -> v <= k)) - 1, 0)"))
-    rows = rows.withColumn("g", F.expr(f"element_at(array({','.join(map(literal, groups))}), c + 1)"))
-    rows = rows.withColumn("b", F.expr(f"c * {wide} + greatest(size(filter(g, v -> v <= k)) - 1, 0)"))
-    first = F.expr(f"element_at(g, b - c * {wide} + 1) = k")
+    array = lambda xs: f"array({','.join(f'struct({_literal(k)} as k, {_literal(h)} as h)' for k, h in xs)})"
+    rows = rows.withColumn("at", F.struct("k", "h"))
+    rows = rows.withColumn("c", F.expr(f"greatest(size(filter({array([g[0] for g in groups])}, v -> v <= at)) - 1, 0)"))
+    rows = rows.withColumn("g", F.expr(f"element_at(array({','.join(map(array, groups))}), c + 1)"))
+    rows = rows.withColumn("b", F.expr(f"c * {wide} + greatest(size(filter(g, v -> v <= at)) - 1, 0)"))
+    first = F.expr(f"element_at(g, b - c * {wide} + 1) = at")
     places = F.array_compact(
         F.array(
             F.struct(F.col("b").alias("bucket"), F.lit(0).alias("guest")),
@@ -118,43 +139,49 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.when(first & (F.col("b") == 0), F.struct(F.lit(len(starts) - 1).alias("bucket"), F.lit(1).alias("guest"))),
         )
     )
-    placed = rows.select("doc_id", "k", "text", F.explode(places).alias("p")).select("p.bucket", "p.guest", "k", "doc_id", "text")
-    return placed.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "k", "text")
+    placed = rows.select("doc_id", "k", "h", "text", F.explode(places).alias("p")).select("p.bucket", "p.guest", "k", "h", "doc_id", "text")
+    return placed.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "k", "h", "text")
+
+
+def _literal(x: int) -> str:
+    return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every whole text's digest beside that of its edited text, whose last quarter is the start of the next document.
 
-    The next document is the next by ascending id (the first after the last). A null id sorts before all others,
-    equal ids follow their texts, a null text counts as empty, a single document is its own successor, an empty
-    table gives no rows. Only the id and the text are read, so other columns may have any name.
+    The next document is the next by ascending id (the first after the last). A null id counts as the least 64-bit
+    number, equal ids go by their texts' XXH64 as signed numbers (``xxhash64``), then by text; a null text counts as
+    empty, texts of any length are taken whole, repeated rows stay and follow each other, a single document is its own
+    successor, an empty table gives no rows. Only the id and the text are read, so other columns may have any name.
     """
 
-    def row(now: tuple, after: tuple) -> tuple:
-        doc, text, own = now
-        cut = len(text) // 4
-        other = text[: len(text) - cut] + after[1][:cut]
-        edited = digest(other)
-        return doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, edited, likeness(own, edited), likeness(own, after[2])
-
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, before = None, None
-        for b in batches:
-            out = []
-            for bucket, guest, doc, text in zip(b["bucket"], b["guest"], b["doc_id"].astype("Int64"), b["text"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = before = None
+        for b in slices(batches, 3):
+            out: list[tuple] = []
+            for bucket, guest, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != at:
                     at, before = bucket, None
                 elif before is None:
-                    continue  # a second guest: equal ids
-                text = text if isinstance(text, str) else ""
-                now = (doc, text, digest(text))
+                    continue  # a second guest: rows repeat the first one
+                text = text or ""
+                now = (doc, text, before[2] if before is not None and before[1] == text else digest(text))
                 if before is not None:
-                    out.append(row(before, now))
+                    out.append(_edited(before, now))
                 before = None if guest else now
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+            yield pa.RecordBatch.from_pylist([dict(zip(EDITED.names, x, strict=True)) for x in out], EDITED)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _dealt(docs, id_col, text_col).select("bucket", "guest", "doc_id", "text").mapInPandas(run, schema).withColumnRenamed("doc_id", id_col)
+    return _dealt(docs, id_col, text_col).select("bucket", "guest", "doc_id", "text").mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+
+
+EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+
+
+def _edited(now: tuple, after: tuple) -> tuple:
+    doc, text, own = now
+    cut = len(text) // 4
+    other = text[: len(text) - cut] + after[1][:cut]
+    edited = digest(other)
+    return doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), own, edited, likeness(own, edited), likeness(own, after[2])

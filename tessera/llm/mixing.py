@@ -50,23 +50,27 @@ def _by_source(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
     return left.join(F.broadcast(right) if few else right, F.col("source").eqNullSafe(F.col("other"))).drop("other")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row ``(doc_id, size, source_size, target, taken)`` per document, with the columns named in ``carry``.
 
     A source is taken in complete epochs as often as its target holds its size; the rest of the target is a fractional
-    epoch: documents in the order of their exponential keys ``-ln(u) / weight``, u from the hash of seed and id, until
-    the rest is used up. The last one counts with the words that are left, so taken words meet the rounded target.
+    epoch: documents in the order of their exponential keys ``-ln(u) / weight``, u from the hash of seed, id and whole
+    text, until the rest is used up. The last one counts with the words that are left, so taken words meet the rounded
+    target. The weight is ``weight_col``, a quality score such as the classifier's (null and below 0.001: 0.001), or
+    without that column ``prose_weight``.
 
     Where a source's rest ends is found by buckets of the keys, 1,024 to a step, from sums per source and bucket; only
     the rows of the one bucket in which it ends are sorted. No source's rows ever meet in one task.
 
-    Null texts have size 0 and take nothing, null sources are one source, the last; equal keys go by id and size;
-    repeated rows each count; an empty table gives no rows; ``most`` bounds each document's share as well.
+    Null texts have size 0 and take nothing, texts of any length count whole, null sources are one source, the last;
+    rows without an id or that share one have keys of their own by their texts, equal keys go by id and size; repeated
+    rows each count; an empty table gives no rows; ``most`` bounds each document's share as well.
     """
     size = word_count(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.col(text_col).alias("text"), *(F.struct(*carry).alias("carried") for _ in carry[:1]))
-    unit = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    rows = rows.withColumn("key", -F.log(unit) / prose_weight(F.col("text"), F.col("size"))).drop("text")
+    weight = prose_weight(F.col(text_col), size) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.001))
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    unit = (F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), (-F.log(unit) / weight).alias("key"), *(F.struct(*carry).alias("carried") for _ in carry[:1]))
     rows = rows.withColumn("place", F.least(F.floor((1.0 - F.exp(-F.col("key"))) * float(1 << 50)), F.lit((1 << 50) - 1)).cast("long"))
     sized = settle(rows.drop("carried"))
 

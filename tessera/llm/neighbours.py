@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,8 @@ def _block_search(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, share: f
     ids, own = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
     x, q = np.stack(vectors["v"].to_numpy()), np.stack(queries["v"].to_numpy())
     near = np.stack(vectors["near"].to_numpy())
-    gain = footrule_gain(np.stack(queries["near"].to_numpy()), near, len(points))
+    known = near.shape[1] > 0  # vectors of a length that has no pivots are bounded by their own lengths alone
+    gain = footrule_gain(np.stack(queries["near"].to_numpy()), near, len(points)) if known else np.zeros((len(own), len(ids)), np.int32)
     gain[own[:, None] == ids[None, :]] = -1
     n = min(len(ids), max(least, int(np.ceil(share * len(ids)))) + 1)
     (unit_q, long_q), (unit_x, long_x) = directions(q), directions(x)
@@ -120,7 +122,8 @@ def _block_search(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, share: f
         with np.errstate(over="ignore", invalid="ignore"):
             # comparisons are the other way round, so that what isn't a number stays
             most = long_q[part.start : part.stop, None] * long_x
-            some = np.flatnonzero((~(most * _reachable(unit_q[part.start : part.stop], unit_x, near[:, 0], points) < floor[:, None])).any(axis=0))
+            cosine = _reachable(unit_q[part.start : part.stop], unit_x, near[:, 0], points) if known else 1 + 1e-6
+            some = np.flatnonzero((~(most * cosine < floor[:, None])).any(axis=0))
             product = q[part.start : part.stop] @ x[some].T
             blur = 4 * x.shape[1] * np.finfo(float).eps * most[:, some]
             for at, i in enumerate(part):
@@ -143,13 +146,15 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int
     Every vector becomes the order of its nearest pivots. Vectors are dealt into blocks and queries into sets of a
     bounded size each by a hash of their id; each set meets each block once. There the inverted files give the
     footrule distance of all pairs, the ``share`` of the block (``least`` rows at least) that it ranks first is scored
-    exactly in double precision, and the block's k best go on; last, each query's are merged. Recall grows with
-    ``share``; 1 makes the search exact.
-
-    Left out are rows with a null id, null, empty and zero vectors, those with null or non-finite components, and
-    those whose length is not the commonest. Of rows that repeat an id each is a candidate, and an id that is a query
-    more than once is searched with each of its vectors' best, merged; a query's own id is no candidate. Ties go to
-    the smaller id. With k or fewer candidates all are returned; empty tables give no rows.
+    exactly in double precision, and so is all else that lengths and nearest pivots don't rule out; the block's k best go
+    on, and last each query's are merged. The result is exact; ``share`` decides how much work it is.
+
+    Left out are rows with a null id, null, empty and zero vectors, and those with null or non-finite components.
+    Vectors have products with those of as many components alone: each number of components is searched for itself,
+    the commonest with pivots, the others by the bounds of their lengths. Of rows that repeat an id each is a
+    candidate, and an id that is a query more than once is searched with each of its vectors' best, merged; a query's
+    own id is no candidate. Ties go to the smaller id. With k or fewer candidates all are returned; empty tables give
+    no rows.
     """
     own = usable(vectors, id_col, vector_col)
     points = choose_pivots(own, pivots)
@@ -157,24 +162,26 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int
     shared = own.sparkSession.sparkContext.broadcast(points)
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots_of, kind = shared.value, pa.list_(pa.int16())
         for b in batches:
-            size = shared.value.shape[1] if len(shared.value) else -1
-            b = b.filter(pa.array([len(v) == size for v in b.column(1).to_pylist()], pa.bool_()))
-            if b.num_rows:
-                near = orders(np.array(b.column(1).to_pylist()), shared.value, length)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int16()))], ["vec_id", "v", "near"])
-
-    index = settle(own.mapInArrow(permute, "vec_id long, v array<double>, near array<smallint>"))
+            sizes = np.asarray(pc.list_value_length(b.column(1)))
+            for size in np.unique(sizes).tolist():
+                part = b.filter(pa.array(sizes == size))
+                x = np.array(part.column(1).to_pylist())
+                near = orders(x, pivots_of, length) if len(pivots_of) and pivots_of.shape[1] == size else np.zeros((len(x), 0), np.int16)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(near), kind), pa.array(np.full(len(x), size), pa.int32())], ["vec_id", "v", "near", "d"])
+
+    index = settle(own.mapInArrow(permute, "vec_id long, v array<double>, near array<smallint>, d int"))
     asked = index.where(F.expr(is_query) if isinstance(is_query, str) else is_query)
     blocks, sets = (max(1, -(-df.count() // size)) for df, size in ((index, BLOCK), (asked, QUERIES)))
     dealt = lambda seed, n: F.expr(f"cast(pmod(xxhash64({seed}, vec_id), {n}) as int)")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n - 1})"))
-    left = asked.select(dealt(1, sets).alias("set"), every(blocks).alias("block"), "vec_id", "v", "near")
-    right = index.select(dealt(2, blocks).alias("block"), every(sets).alias("set"), "vec_id", "v", "near")
+    left = asked.select(dealt(1, sets).alias("set"), every(blocks).alias("block"), "vec_id", "v", "near", "d")
+    right = index.select(dealt(2, blocks).alias("block"), every(sets).alias("set"), "vec_id", "v", "near", "d")
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         return _block_search(q, v, k, share, least, shared.value)
 
-    met = left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    met = left.groupBy("set", "block", "d").cogroup(right.groupBy("set", "block", "d")).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
     return met.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

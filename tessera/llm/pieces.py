@@ -21,6 +21,8 @@ UNKNOWN_PENALTY = 10.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words of which a worker keeps the ids, bits of the tables of pairs and of hashes.
 WORDS, PAIR_BITS, SEEN_BITS = 200_000, 20, 22
+#: Longer words are cut where no piece crosses; letters of words that are taken at a time.
+LONG, LETTERS = 64, 200_000
 
 
 @dataclass(frozen=True)
@@ -76,6 +78,8 @@ class Coder:
         self.letters = np.full((len(model.pieces), self.longest), -1, np.int32)
         for p, i in self.ids.items():
             self.letters[i, : len(p)] = [ord(c) for c in p]
+        self.sizes = (self.letters >= 0).sum(axis=1)
+        self.inner = np.array(sorted({ord(a) << 21 | ord(b) for p in self.ids for a, b in zip(p, p[1:], strict=False)} or {-1}), np.int64)
         known = {c for p in self.ids for c in p}
         # a border where no piece can lie across: before a run of spaces, and around a newline that no piece holds
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
@@ -151,54 +155,88 @@ class Coder:
             self.verdicts[place[missing]] = out[missing]
         return out
 
+    def found(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every place in words of one length where a piece lies, or a character without one (id -1): ends, rows,
+        lengths and ids, by end and then by length. All substrings of a length are hashed and probed together."""
+        n, size = letters.shape
+        units, hashes, parts = letters.astype(np.uint64) + np.uint64(1), None, []
+        for k in range(1, min(size, self.longest) + 1):
+            hashes = units if hashes is None else hashes[:, :-1] * FACTOR + units[:, k - 1 :]
+            # most substrings are no piece: a table of leading bits tells before the sorted keys are searched
+            rows, starts = np.nonzero(self.seen[(hashes >> np.uint64(64 - SEEN_BITS)).astype(np.int64)])
+            own = hashes[rows, starts]
+            place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[place] == own)
+            rows, starts, ids = rows[hit], starts[hit], self.at[place[hit]]
+            same = self.sizes[ids] == k
+            for j in range(k):
+                same &= self.letters[ids, j] == letters[rows, starts + j]
+            rows, starts, ids = rows[same], starts[same], ids[same]
+            if k == 1:
+                alone = np.ones((n, size), bool)
+                alone[rows, starts] = False
+                lone = np.nonzero(alone)
+                rows, starts, ids = np.concatenate([rows, lone[0]]), np.concatenate([starts, lone[1]]), np.concatenate([ids, np.full(len(lone[0]), -1)])
+            parts.append((starts + k, rows, np.full(len(ids), k, np.int32), ids))
+        ends, rows, lengths, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], rows[order], lengths[order], ids[order]
+
     def lattice(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, all moved on together a character at a time."""
         n, size = len(words), len(words[0])
         letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32).reshape(n, size)
-        prefix = np.zeros((n, size + 1), np.uint64)
-        for i in range(size):
-            prefix[:, i + 1] = prefix[:, i] * FACTOR + letters[:, i].astype(np.uint64) + np.uint64(1)
-        powers = np.ones(self.longest + 1, np.uint64)
-        powers[1:] = np.cumprod(np.full(self.longest, FACTOR))
+        ends, rows, lengths, ids = self.found(letters)
+        bounds = np.searchsorted(ends, np.arange(size + 2)).tolist()
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0.0
         step, piece = np.zeros((n, size + 1), np.int32), np.full((n, size + 1), -1, np.int64)
+        gains = np.zeros(len(ids)) if self.model.merges else np.where(ids >= 0, self.scores[ids], self.least - UNKNOWN_PENALTY)
         for i in range(1, size + 1):
-            for k in range(1, min(i, self.longest) + 1):
-                h = prefix[:, i] - prefix[:, i - k] * powers[k]
-                # most substrings are no piece: a table of leading bits tells before the sorted keys are searched
-                rows = np.flatnonzero(self.seen[(h >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] & (best[:, i - k] > -np.inf))
-                place = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
-                hit = self.keys[place] == h[rows]
-                rows, place = rows[hit], place[hit]
-                if k == 1:
-                    lone = np.setdiff1d(np.flatnonzero(best[:, i - 1] > -np.inf), rows, assume_unique=True)
-                    cost = 0.0 if self.model.merges else self.least - UNKNOWN_PENALTY
-                    best[lone, i], step[lone, i] = best[lone, i - 1] + cost, 1
-                if not len(rows):
-                    continue
-                ids = self.at[place]
-                same = (self.letters[ids, :k] == letters[rows, i - k : i]).all(axis=1)
-                if k < self.longest:
-                    same &= self.letters[ids, k] == -1
-                if self.model.merges:
-                    before = piece[rows, i - k]
-                    pair = same & (before >= 0)
-                    same[pair] = self.agree(before[pair], ids[pair])
-                score = best[rows, i - k] + (0.0 if self.model.merges else self.scores[ids])
-                better = same & (score > best[rows, i])
-                rows = rows[better]
-                best[rows, i], step[rows, i], piece[rows, i] = score[better], k, ids[better]
+            part = slice(bounds[i], bounds[i + 1])
+            r, k, p = rows[part], lengths[part], ids[part]
+            score = best[r, i - k] + gains[part]
+            ok = score > -np.inf
+            if self.model.merges:
+                before = piece[r, i - k]
+                pair = np.flatnonzero(ok & (before >= 0) & (p >= 0))
+                if len(pair):
+                    ok[pair] = self.agree(before[pair], p[pair])
+                ok = np.flatnonzero(ok)
+            else:
+                np.maximum.at(best[:, i], r, score)
+                # of equal sums the shortest piece stays: it is written last
+                ok = np.flatnonzero(ok & (score == best[r, i]))[::-1]
+            r = r[ok]
+            best[r, i], step[r, i], piece[r, i] = score[ok], k[ok], p[ok]
         return self._walk(words, step, piece)
 
+    def parts(self, word: str) -> list[str]:
+        """A long word cut wherever two characters meet that stand together in no piece: neither a piece nor a merge
+        crosses such a border, so the parts are encoded for themselves, and those of one length together."""
+        if len(word) <= LONG:
+            return [word]
+        letters = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.int32).astype(np.int64)
+        codes = letters[:-1] << 21 | letters[1:]
+        place = np.minimum(np.searchsorted(self.inner, codes), len(self.inner) - 1)
+        cuts = (np.flatnonzero(self.inner[place] != codes) + 1).tolist()
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
     def _walk(self, words: list[str], step: np.ndarray, piece: np.ndarray) -> list[bytes]:
         """Follow the backpointers of all words together, from their ends; words with unknown characters by themselves."""
-        rows, at = np.arange(len(words)), np.full(len(words), len(words[0]))
-        columns = []
-        while at.any():
-            columns.append(np.where(at > 0, piece[rows, at], -2))
-            at = at - np.where(at > 0, step[rows, at], 0)
-        found = np.stack(columns[::-1], axis=1).astype(np.int32)
+        if len(words) == 1:
+            steps, ids, at, path = step[0].tolist(), piece[0].tolist(), len(words[0]), []
+            while at:
+                path.append(ids[at])
+                at -= steps[at]
+            found = np.array([path[::-1]], np.int32)
+        else:
+            rows, at = np.arange(len(words)), np.full(len(words), len(words[0]))
+            columns = []
+            while at.any():
+                columns.append(np.where(at > 0, piece[rows, at], -2))
+                at = at - np.where(at > 0, step[rows, at], 0)
+            found = np.stack(columns[::-1], axis=1).astype(np.int32)
         start = (found == -2).argmin(axis=1)
         data, wide = found.tobytes(), 4 * found.shape[1]
         out = [data[r * wide + 4 * k : (r + 1) * wide] for r, k in enumerate(start.tolist())]
@@ -215,10 +253,11 @@ class Coder:
         for t in texts:
             t = t.replace(" ", SPACE)
             t = SPACE + t if self.model.dummy_prefix and t else t
-            split.append(self.word.findall(t) if self.apart else [t] if t else [])
+            words = self.word.findall(t) if self.apart else [t] if t else []
+            split.append([x for w in words for x in self.parts(w)] if max(map(len, words), default=0) > LONG else words)
         if len(self.words) > WORDS:
             self.words.clear()
-        for group in by_length({w for ws in split for w in ws if w not in self.words}, 2_000_000):
+        for group in by_length({w for ws in split for w in ws if w not in self.words}, LETTERS):
             self.words.update(zip(group, self.lattice(group), strict=True))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in split]
 
@@ -235,8 +274,9 @@ def coder(model: Model) -> Coder:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row ``(doc_id, ids, n_ids, decoded)`` per document: the whole text's piece ids, and the text decoded from
-    the ids again. A null or empty text has no ids and decodes to the empty text; repeated rows stay; an empty table
-    gives no rows; other columns are not read. Text that holds the space mark U+2581 itself decodes to spaces there.
+    the ids again. A null or empty text has no ids and decodes to the empty text; a text of any length, with or without
+    spaces, is encoded whole; of paths with equal sums the one with the shorter last piece is taken; repeated rows stay;
+    an empty table gives no rows; other columns are not read. Text that holds the space mark U+2581 itself decodes to spaces there.
     The model, of a fixed size, is read on the driver and broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(path))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have about so many bytes, one row at least, so that only that much is ever held
-    as Python objects. In the end the memory that Arrow keeps for later is given back: a worker lives on."""
+    as Python objects. In the end the memory that is kept for later is given back: a worker lives on."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
         start = 0
@@ -20,7 +21,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 2_000_000
             end = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield b.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system: Arrow's, and the C library's where it can."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def by_length(words: Iterable[str], letters: int) -> Iterator[list[str]]:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from operator import eq
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +16,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tessera.llm.portions import by_length, slices
 
 FEATURES = 1 << 16
-#: The feature of a word bigram whose words are equal, whatever the word, and how often such a bigram counts.
-REPEAT, WEIGHT = 0, 8
 #: Zero vectors that every average includes, so that a few features alone decide nothing.
 PAD = 40
 #: Character n-grams of these lengths.
@@ -27,11 +24,13 @@ FACTOR, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Up to so many different words are kept with their scores by a worker, then the store starts anew; letters of words
 #: taken at a time.
 KEPT, LETTERS = 200_000, 500_000
+#: Features of the labelled documents that the driver holds at most, six bytes each.
+ROOM = 30_000_000
 
 
-def features(words: list[str]) -> np.ndarray:
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words of one length, a row each: the word with marks at both ends, and the character n-grams
-    of it. All n-grams of all words are hashed together."""
+    of it; and the words' hashes. All n-grams of all words are hashed together."""
     letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
     whole = np.zeros((len(words), 1), np.uint64)
     for column in letters.T:
@@ -41,27 +40,61 @@ def features(words: list[str]) -> np.ndarray:
         grams = grams[:, :-1] * FACTOR + letters[:, n - 1 :]
         if n >= LOW:
             found.append(grams)
-    mixed = np.concatenate(found, axis=1) * MIX
-    return (1 + (mixed >> np.uint64(40)) % np.uint64(FEATURES - 1)).astype(np.int32)
-
-
-def counted(text: str | None) -> tuple[Counter[str], int]:
-    """How often each word occurs in the whole text, and how many bigrams repeat a word."""
-    words = (text or "").split()
-    return Counter(words), sum(map(eq, words, words[1:]))
-
-
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids and how often each occurs over the whole text."""
-    words, repeats = counted(text)
-    total = np.zeros(FEATURES)
-    total[REPEAT] = repeats * WEIGHT
-    for group in by_length(words, LETTERS):
-        ids = features(group)
-        times = np.repeat(np.array([words[w] for w in group], float), ids.shape[1])
-        total += np.bincount(ids.ravel(), times, FEATURES)
+    return _places(np.concatenate(found, axis=1)), whole[:, 0]
+
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * MIX >> np.uint64(48)).astype(np.int32)
+
+
+def bigrams(hashes: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of the word bigrams of documents that lie one after the other, and whose they are. A bigram is
+    hashed by the difference of its words' hashes: another order is another feature, and a word twice in a row is the
+    same one whatever the word."""
+    inside = np.flatnonzero(document[1:] == document[:-1])
+    return _places(hashes[inside] - hashes[inside + 1]), document[inside]
+
+
+@dataclass
+class Words:
+    """What is known of words: a place for each, and by place the sum of its features' weights, their number and the
+    word's hash. Without weights the features themselves are kept instead of their sum."""
+
+    weight: np.ndarray | None = None
+    place: dict[str, int] = field(default_factory=dict)
+    rows: list[np.ndarray] = field(default_factory=list)
+    adds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all words of the texts, one after the other, and the text that each belongs to."""
+        parts = [(t or "").split() for t in texts]
+        if len(self.place) > KEPT:
+            self.__init__(self.weight)
+        adds, counts, hashes = [self.adds], [self.counts], [self.hashes]
+        for group in by_length({w for ws in parts for w in ws if w not in self.place}, LETTERS):
+            ids, own = features(group)
+            self.place.update(zip(group, range(len(self.place), len(self.place) + len(group)), strict=True))
+            if self.weight is None:
+                self.rows.extend(ids)
+            adds.append(self.weight[ids].sum(axis=1, dtype=np.float64) if self.weight is not None else np.zeros(len(group)))
+            counts.append(np.full(len(group), ids.shape[1]))
+            hashes.append(own)
+        self.adds, self.counts, self.hashes = np.concatenate(adds), np.concatenate(counts), np.concatenate(hashes)
+        sizes = np.array([len(ws) for ws in parts], np.int64)
+        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum())), np.repeat(np.arange(len(parts)), sizes)
+
+
+def bag(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Feature ids and how often each occurs over the whole text; ``words`` has no weights."""
+    at, document = words.read([text])
+    total = np.bincount(bigrams(words.hashes[at], document)[0], minlength=FEATURES)
+    known, times = np.unique(at, return_counts=True)
+    for i, n in zip(known.tolist(), times.tolist(), strict=True):
+        np.add.at(total, words.rows[i], n)
     ids = np.flatnonzero(total)
-    return ids.astype(np.int32), total[ids].astype(np.float32)
+    return ids.astype(np.uint16), total[ids].astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -71,23 +104,15 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def score(self, texts: list[str | None], kept: dict[str, tuple[float, int]]) -> list[float]:
-        """Scores of texts; ``kept`` holds what words have been found to add, and how many features they have."""
-        parts = [counted(t) for t in texts]
-        if len(kept) > KEPT:
-            kept.clear()
-        for group in by_length({w for words, _ in parts for w in words if w not in kept}, LETTERS):
-            ids = features(group)
-            kept.update((w, (x, ids.shape[1])) for w, x in zip(group, self.weight[ids].sum(axis=1, dtype=np.float64).tolist(), strict=True))
-        out = []
-        for words, repeats in parts:
-            total, n = repeats * WEIGHT * float(self.weight[REPEAT]), PAD + repeats * WEIGHT
-            for word, times in words.items():
-                adds, count = kept[word]
-                total += times * adds
-                n += times * count
-            out.append(1.0 / (1.0 + math.exp(min(700.0, -total / n - self.bias))))
-        return out
+    def score(self, texts: list[str | None], words: Words | None = None) -> list[float]:
+        """Scores of texts; ``words`` holds what words have been found to add, and must be of this model's weights."""
+        words = words or Words(self.weight)
+        at, document = words.read(texts)
+        pairs, whose = bigrams(words.hashes[at], document)
+        # sums in the order of each text's own words, so that equal texts score alike in any company
+        total = np.bincount(document, words.adds[at], len(texts)) + np.bincount(whose, self.weight[pairs].astype(np.float64), len(texts))
+        n = PAD + np.bincount(document, words.counts[at], len(texts)) + np.bincount(whose, minlength=len(texts))
+        return [1.0 / (1.0 + math.exp(min(700.0, -x - self.bias))) for x in (total / n).tolist()]
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int = 8, epochs: int = 8, rate: float = 0.5, seed: int = 3) -> Model:
@@ -127,38 +152,49 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Learn from at most ``most`` labelled documents that are not held out: those whose ids hash lowest.
+    """Learn from at most ``most`` labelled documents that are not held out, of those that are there the ones whose ids
+    hash lowest, and of these from as many as have ROOM features in all.
 
-    Whole texts are turned into counted features on the executors; only these come to the driver. Null labels and
-    labels other than 0 and 1 are left out; of rows with one id and different labels each counts.
+    Whole texts, however long, are turned into counted features on the executors; only these come to the driver. Null
+    labels and labels other than 0 and 1 are left out; of rows with one id and different labels or texts each counts.
+    Equal hashes go by id, then label, then features, so a rerun learns the same.
     """
     known = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
+    ids = docs.select(F.col(id_col).cast("long").alias("k"))
     # the sample has at most ``most`` rows of two numbers, which bounds what is broadcast
-    sample = known.orderBy(F.xxhash64("k"), "k", "y").limit(most)
+    sample = known.join(ids, "k", "left_semi").orderBy(F.xxhash64("k"), "k", "y").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for b in slices(batches, 2):
-            bags = [bag(t) for t in b.column(2).to_pylist()]
+            bags = [bag(t, words) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.tobytes() for i, _ in bags], pa.binary()), pa.array([c.tobytes() for _, c in bags], pa.binary())], ["k", "y", "ids", "counts"])
 
-    rows = texts.select("k", "y", "text").mapInArrow(run, "k long, y int, ids binary, counts binary").orderBy(F.xxhash64("k"), "k", "y", F.xxhash64("ids", "counts")).limit(most).collect()
-    return train([(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.float32)) for r in rows], [r.y for r in rows])
+    rows = texts.select("k", "y", "text").mapInArrow(run, "k long, y int, ids binary, counts binary").orderBy(F.xxhash64("k"), "k", "y", F.xxhash64("ids", "counts")).limit(most)
+    bags, marks, room = [], [], ROOM
+    for r in rows.toLocalIterator():
+        room -= len(r.ids) // 2
+        if room < 0 and bags:
+            break
+        bags.append((np.frombuffer(r.ids, np.uint16), np.frombuffer(r.counts, np.float32)))
+        marks.append(r.y)
+    return train(bags, marks)
 
 
 def score(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     """The rows with a score from 0 to 1 added as column ``name``: how likely label 1 is, from the whole text alone.
 
-    Equal texts score alike; null and empty texts score as the labels' share.
+    Equal texts score alike, texts of any length are read whole; null and empty texts score as the labels' share.
     """
     at = rows.columns.index(text_col)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, tuple[float, int]] = {}
+        words = Words(shared.value.weight)
         for b in slices(batches, at):
-            found = shared.value.score(b.column(at).to_pylist(), kept)
+            found = shared.value.score(b.column(at).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, name])
 
     return rows.mapInArrow(run, schema)

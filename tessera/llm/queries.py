@@ -99,7 +99,7 @@ OP7_SQL = r"""
 WITH words AS (
   SELECT doc_id, source, coalesce(length(text), 0) AS chars,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS unit
+         (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS unit
   FROM documents),
 keyed AS (
   SELECT *, -ln(unit) / (CASE WHEN size > 0 THEN 0.5::DOUBLE + 1.0::DOUBLE / (1.0::DOUBLE + abs(chars::DOUBLE / size::DOUBLE - 6.0::DOUBLE)) ELSE 0.5::DOUBLE END) AS k

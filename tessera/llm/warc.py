@@ -18,8 +18,6 @@ from tessera.session import settle, shuffle_partitions
 MAGIC = b"\x1f\x8b\x08"
 EMPTY = gzip.compress(b"", mtime=0)
 BLOCK = 1 << 20
-#: No header of a record or an HTTP message is longer.
-HEADER = 1 << 20
 END = b"\r\n\r\n"
 
 
@@ -54,7 +52,8 @@ def write_pages(pages: DataFrame, folder: str, least: int = 0, id_col: str = "pa
 
     Of the pages whose payloads (html in UTF-8, null: empty) are equal and have ``least`` bytes or more, the one with
     the smallest id becomes a response and the others revisit it; rows that repeat that id are responses too, and
-    where all ids are null all are. An empty table leaves no records. Only the three columns are read.
+    where all ids are null all are. An empty table leaves no records. Only the three columns are read; pages and urls
+    of any length are written and read whole.
 
     The text writer puts a separator after each row; here it is a zero byte, the last byte of a member (its size's
     highest byte). Members of 16 MiB and more end otherwise and get an empty member added, which ends so.
@@ -88,7 +87,7 @@ class _Member:
     """The decompressed bytes of the gzip member that starts at an offset, in pieces."""
 
     def __init__(self, file, start: int):
-        self.file, self.at, self.inflate, self.buffer = file, start, zlib.decompressobj(31), b""
+        self.file, self.at, self.inflate, self.buffer = file, start, zlib.decompressobj(31), bytearray()
         self.tail = 0
 
     def fill(self) -> bool:
@@ -111,24 +110,32 @@ class _Member:
         return False
 
     def head(self) -> bytes | None:
-        """What comes before an empty line, if it comes within bounds."""
-        while (end := self.buffer.find(END)) < 0:
-            if len(self.buffer) > HEADER or not self.fill():
+        """What comes before an empty line, however long it is; None where the member ends without one."""
+        seen = 0
+        while (end := self.buffer.find(END, seen)) < 0:
+            seen = max(0, len(self.buffer) - len(END) + 1)
+            if not self.fill():
                 return None
         out, self.buffer = self.buffer[:end], self.buffer[end + len(END) :]
         return out
 
+    def starts(self, mark: bytes) -> bool:
+        while len(self.buffer) < len(mark) and self.fill():
+            pass
+        return self.buffer.startswith(mark)
+
     def take(self, n: int) -> Iterator[bytes]:
         while n:
             if not self.buffer and not self.fill():
                 raise zlib.error("the record is cut off")
-            piece, self.buffer = self.buffer[:n], self.buffer[n:]
+            piece = bytes(self.buffer[:n])
+            del self.buffer[:n]
             n -= len(piece)
             yield piece
 
     def end(self) -> int:
         while self.fill():
-            self.buffer = b""
+            self.buffer.clear()
         return self.at - self.tail
 
 
@@ -142,23 +149,27 @@ def _record(member: _Member, head: bytes, payloads: bool) -> dict:
     f = _fields(head)
     left = int(f.get("content-length", 0))
     out = {"record_id": f.get("warc-record-id", "").strip("<>"), "kind": f.get("warc-type"), "url": f.get("warc-target-uri"), "refers_to": (f.get("warc-refers-to") or "").strip("<>") or None}
-    digest, size, kept, front, is_http = hashlib.sha1(), 0, [], b"", f.get("content-type", "").startswith("application/http")
+    digest, size, kept, front, is_http = hashlib.sha1(), 0, [], bytearray(), f.get("content-type", "").startswith("application/http")
     http: dict[str, str] = {}
-    for piece in member.take(left):
-        if is_http:
-            front += piece
-            at = front.find(END)
-            if at < 0 and len(front) <= HEADER:
-                continue
-            is_http = False
-            if at >= 0:
-                http, piece = _fields(front[:at]), front[at + len(END) :]
-            else:
-                piece = front
+
+    def payload(piece: bytes) -> None:
+        nonlocal size
         digest.update(piece)
         size += len(piece)
         if payloads:
-            kept.append(piece)
+            kept.append(bytes(piece))
+
+    for piece in member.take(left):
+        if not is_http:
+            payload(piece)
+            continue
+        seen = max(0, len(front) - len(END) + 1)
+        front += piece
+        if (at := front.find(END, seen)) >= 0:
+            is_http, http = False, _fields(bytes(front[:at]))
+            payload(front[at + len(END) :])
+    if is_http:  # no empty line: all of it is payload
+        payload(front)
     if out["kind"] == "revisit":
         return out | {"payload_bytes": int(http["content-length"]) if http.get("content-length", "").isdigit() else None, "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload": None}
     return out | {"payload_bytes": size, "payload_digest": base64.b32encode(digest.digest()).decode(), "payload": b"".join(kept) if payloads else None}
@@ -167,10 +178,11 @@ def _record(member: _Member, head: bytes, payloads: bool) -> dict:
 def read_range(file, start: int, end: int, payloads: bool = False) -> Iterator[dict]:
     """All records of the members that start in a byte range.
 
-    The range is searched for the gzip magic. A candidate counts if it inflates to a record header; the next one is
-    then looked for at its end, else one byte on. Records of members that start before the range belong to the task
-    before; a member that starts inside is read to its end, wherever that is. A member that turns out damaged after
-    a valid header raises an error.
+    The range is searched for the gzip magic. A candidate counts if what it inflates to begins as a record header does;
+    the next one is then looked for at its end, else one byte on. Records of members that start before the range belong
+    to the task before; a member that starts inside is read to its end, wherever that is, and its headers whatever
+    their length. A member that begins so and then turns out damaged, cut off or without a whole header raises an
+    error: no record is passed over.
     """
     at = start
     while at < end:
@@ -185,15 +197,18 @@ def read_range(file, start: int, end: int, payloads: bool = False) -> Iterator[d
         at += found
         member = _Member(file, at)
         try:
-            head = member.head() if member.fill() and member.buffer[:5] == b"WARC/" else None
+            known = member.fill() and member.starts(b"WARC/")
         except zlib.error:
-            head = None
-        if head is None:
+            known = False
+        if not known:
             at += 1
             continue
+        head = member.head()
+        if head is None:
+            raise ValueError(f"a record at byte {at} has no whole header")
         while head is not None:
             if head.lstrip().startswith(b"WARC/"):
-                yield _record(member, head.lstrip(), payloads)
+                yield _record(member, bytes(head.lstrip()), payloads)
                 for _ in member.take(len(END)):
                     pass
             head = member.head()

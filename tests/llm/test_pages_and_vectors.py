@@ -6,12 +6,13 @@ import hashlib
 import html as H
 import io
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import extract, mincut, neighbours, urlfilter, warc
+from tessera.llm import extract, mincut, neighbours, pagemaker, urlfilter, warc
 from tessera.llm import queries as q
 from tessera.session import table
 from tests.compare import same
@@ -48,6 +49,23 @@ def test_url_rules_on_odd_rows(spark, odd):
     assert {r.verdict for r in urlfilter.judge(odd, rules.limit(0), "block").collect()} == {"block"}
 
 
+def test_ranges_of_a_hot_host_and_many_rules(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(urlfilter, "COPIES", 16)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "d.net", "xa.com", "a.com.net"]
+    rules = sorted({(str(rng.choice(["allow", "block"])), str(rng.choice(hosts)), "/" + "/".join(rng.choice(list("pqr"), int(rng.integers(0, 4))))) for _ in range(60)})
+    urls = ["http://c.b.a.com/p/q"] * 300 + [f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(list("pqrs"), int(rng.integers(0, 6)))) for _ in range(600)]
+    rows = [(None if i % 7 == 0 else i % 500, u) for i, u in enumerate(urls)]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(5), urlfilter.rule_table(spark, rules)).collect()
+
+    def brute(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        fits = [(len(h + p), len(h), a, h + p) for a, h, p in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return (max(fits)[3], max(fits)[2]) if fits else (None, "allow")
+
+    assert sorted((str(r.page_id), r.rule or "", r.verdict) for r in got) == sorted((str(i), brute(u)[0] or "", brute(u)[1]) for i, u in rows)
+
+
 def test_nested_rules_unwind(spark):
     rules = [("block", "a.com", ""), ("allow", "a.com", "/x"), ("block", "a.com", "/x/y"), ("allow", "a.com", "/x/y/z"), ("block", "com", "/x/y/zz"), ("block", "a.com", "/x"), ("allow", "b.a.com", "")]
     urls = ["http://a.com", "http://a.com/x", "http://a.com/x/y", "http://a.com/x/y/z/1", "http://a.com/x/z", "http://a.com/w", "http://c.b.a.com/x/y", "http://d.com/x/y/zz", "http://aa.com/x", "http://a.com/x/y/zzz"]
@@ -105,15 +123,32 @@ def test_a_range_may_reach_past_the_end():
     assert not list(warc.read_range(io.BytesIO(data), len(data), 1 << 40))
 
 
+def test_long_headers_and_pages_are_read_whole(spark, tmp_path):
+    rows = [(1, "http://a/" + "x" * 3_000_000, "<p>one</p>"), (2, "http://b/", "<p>two</p>" * 400_000), (3, None, None)]
+    folder = str(tmp_path / "w")
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = {r.record_id: (r.url, r.payload_bytes) for r in warc.read_archives(spark, folder, split=1 << 16).where("kind = 'response'").collect()}
+    assert got == {f"urn:page:{i}": (u, len((h or "").encode())) for i, u, h in rows}
+
+
+def test_http_blocks_without_an_empty_line_are_payload():
+    data = warc.record("response", "1", {"Content-Type": "application/http"}, b"no headers here")
+    assert [(r["payload"], r["payload_bytes"]) for r in warc.read_range(io.BytesIO(data), 0, len(data), True)] == [(b"no headers here", 15)]
+
+
 def test_large_members_end_in_an_empty_one():
     member = gzip.compress(b"abc", mtime=0)[:-1] + b"\x01"
     assert warc._ended(member)[: len(member)] == member and (warc._ended(member) + b"\0").endswith(warc.EMPTY)
 
 
 def test_damaged_record_is_an_error():
-    data = warc.page_record(1, "u", bytes(range(256)) * 40, None)
-    with pytest.raises(Exception):
-        list(warc.read_range(io.BytesIO(data[:-200]), 0, len(data) - 200))
+    data = warc.page_record(1, "http://a/" + np.random.default_rng(1).bytes(30_000).hex(), bytes(range(256)) * 40, None)
+    for cut in (len(data) - 20, 10_000):  # in the block, and in the header
+        with pytest.raises((zlib.error, ValueError)):
+            list(warc.read_range(io.BytesIO(data[:cut]), 0, cut))
+    headless = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n")
+    with pytest.raises(ValueError):
+        list(warc.read_range(io.BytesIO(headless), 0, len(headless)))
 
 
 def brute_cut(source, sink, edges):
@@ -157,6 +192,53 @@ def test_main_text_without_article_tags():
     assert extract.main_text(PAGE).split("\n") == ["My title", "First & second para with some words. It has two sentences, long enough to be told.", "Short.", "Quote is here", "One item", "Two item", "Last paragraph of the article ends here. Bye to all of the readers of it."]
 
 
+BODY = "<h1>Title here</h1><p>" + "A sentence of the article that is long enough to count. " * 5 + "</p><p>Another paragraph with <math><mi>x</mi></math> in it.</p>"
+WRAPPERS = [
+    ("<article>", "</article>"),
+    ('<div class="has-sidebar"><article>', "</article></div>"),
+    ('<div class="overflow-hidden"><main>', "</main></div>"),
+    ('<div class="page-with-sidebar nav-open"><article>', "</article></div>"),
+    ('<div class="search-wrapper"><article>', "</article></div>"),
+    ('<div id="main"><div class="row social-enabled">', "</div></div>"),
+    ('<div class="content no-sidebar">', "</div>"),
+    ('<form id="form1"><div class="widget"><article>', "</article></div></form>"),
+    ('<div class="comments-open">', "</div>"),
+    ("<div>", "</div>"),
+]
+
+
+@pytest.mark.parametrize("around", WRAPPERS)
+@pytest.mark.parametrize("body", ["<body>", '<body class="nav-open with-sidebar">'])
+def test_wrappers_notices_and_comments(around, body):
+    page = f"""<html>{body}<nav><a href=/>Home</a></nav>{around[0]}{BODY}{around[1]}<div>We use cookies to make this site better. Accept</div>
+    <div><h3>2 Comments</h3><div><p>I liked this very much, thank you for writing it all down.</p></div></div><footer>&copy; 2020 Site</footer></body></html>"""
+    sentence = " ".join(["A sentence of the article that is long enough to count."] * 5)
+    assert extract.main_text(page).split("\n") == ["Title here", sentence, "Another paragraph with x in it."]
+
+
+def test_classifier_on_pages_it_has_not_seen():
+    right = []
+    for html, content in pagemaker.pages(200, 77):
+        found = extract.blocks(html)
+        right += [(b.text in content) == keep for b, keep in zip(found, extract.label(found), strict=True)]
+    assert np.mean(right) > 0.995
+
+
+def test_newton_finds_the_least_loss():
+    rng = np.random.default_rng(1)
+    x = np.c_[np.ones(300), rng.normal(size=(300, 2))]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [0.5, 1.0, -2.0])))).astype(float)
+    loss = lambda w: np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w)).sum() + 0.5 * 2e-4 * len(x) * w @ w
+    best = np.array(extract.train(x, y))
+    assert all(loss(best) <= loss(best + d) + 1e-9 for d in rng.normal(size=(200, 3)) * 0.05)
+
+
+def test_long_pages_are_read_whole():
+    many = "".join(f"<p>Paragraph number {i} of a long page, with words enough.</p>" for i in range(20_000))
+    text = extract.main_text(f"<article>{many}</article>")
+    assert text.count("\n") == 19_999 and text.endswith("Paragraph number 19999 of a long page, with words enough.")
+
+
 def test_extraction_of_odd_rows(odd):
     got = extract.extract(odd).collect()
     assert len(got) == odd.count() and all(r.n_chars == len(r.text) for r in got)
@@ -239,12 +321,15 @@ def test_footrule_by_hand():
 
 def test_odd_vectors(spark):
     good = [(i, [float(i % 5), 1.0, 0.5]) for i in range(30)]
-    rows = [*good, (40, None), (60, []), (80, [0.0, 0.0, 0.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]), (140, [None, 1.0, 1.0]), (160, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (7, good[7][1])]
+    rows = [*good, (50, None), (60, []), (80, [0.0, 0.0, 0.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]), (140, [None, 1.0, 1.0]), (160, [1.0, 2.0]), (161, [3.0, -1.0]), (162, [0.5, 0.5]), (40, [2.0] * 5), (41, [1.0] * 5), (42, [1.0] * 4), (None, [1.0, 1.0, 1.0]), (7, good[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "near": F.lit(2), "block": F.lit(3)})
     got = neighbours.nearest(df, "vec_id % 20 = 0", k=6).collect()
-    assert {r.query_id for r in got} == {0, 20}
-    # all vectors with a 4 in front tie as the best: the smallest ids come first, after the query's own direction
-    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 20] == [1, 2, 3, 4, 5, 6] or len(got) == 12
+    usable = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    for i, v in usable:
+        if i % 20 == 0:
+            scored = sorted((-(v * w).sum(), j) for j, w in usable if j != i and len(w) == len(v))[:6]
+            assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] == [(j, -s) for s, j in scored]
+    assert {r.query_id for r in got} == {0, 20, 40, 160}
     few = neighbours.nearest(df.where("vec_id < 3"), "vec_id % 20 = 0").collect()
     assert sorted((r["rank"], r.vec_id) for r in few) == [(1, 1), (2, 2)]
     assert neighbours.nearest(df.limit(0), "vec_id % 20 = 0").count() == 0

@@ -34,7 +34,7 @@ def test_stages_are_named_and_keep_columns(steps):
 
 def test_rejected_documents_go(spark, sf_dir, steps):
     model = quality.fit(steps[0], table(spark, sf_dir, "labels"))
-    want = sorted(r.doc_id for r in steps[0].collect() if model.score([r.text], {})[0] >= 0.5)
+    want = sorted(r.doc_id for r in steps[0].collect() if model.score([r.text])[0] >= 0.5)
     assert sorted(r.doc_id for r in steps[1].collect()) == want
     clean = {r.doc_id for r in table(spark, sf_dir, "labels").where("quality = 1").collect()}
     assert len(clean & set(want)) >= 0.97 * len(clean)
