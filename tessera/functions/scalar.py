@@ -109,3 +109,73 @@ def nfc(text: Column) -> Column:
 def region_key(sample: Column, x: Column, y: Column, area: Column) -> Column:
     """The identity of a region: its sample, its middle to a tenth, and its area."""
     return F.struct(sample.alias("sample"), F.round(x, 1).alias("x"), F.round(y, 1).alias("y"), area.alias("area"))
+
+
+def safe_number(text: Column, default: float | None = 0.5) -> Column:
+    """A finite number, or the default."""
+    x = text.try_cast("double")
+    return F.coalesce(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x), F.lit(default).cast("double"))
+
+
+def safe_int(text: Column, default: int = 0) -> Column:
+    """A number's whole part, or the default."""
+    return F.coalesce(safe_number(text, None).cast("long"), F.lit(default).cast("long"))
+
+
+def direction(x: Column) -> Column:
+    return F.signum(x).cast("int")
+
+
+def countable(decision: Column) -> Column:
+    """Whether an answer's decision can be counted: a word for true or for false."""
+    return as_bool(decision).isNotNull()
+
+
+def parse_utc(text: Column) -> Column:
+    """A time in ISO form as UTC: without a zone it counts as UTC; null if it is none."""
+    zoned = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
+def local_date(text: Column) -> Column:
+    """The date as written, whatever the zone; null if it is none."""
+    return F.nullif(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+
+
+def now_utc() -> Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def format_share(x: Column) -> Column:
+    return F.format_string("%.2f %%", 100.0 * x)
+
+
+def readback(value: Column, status: Column) -> Column:
+    """A value with its status, or the status alone where there is no value."""
+    return F.when(value.isNull(), status).otherwise(F.concat(value, F.when(status != "", F.concat(F.lit(" ("), status, F.lit(")"))).otherwise("")))
+
+
+def report_line(name: str, n: str, matched: str) -> Column:
+    return F.format_string("container %s: %d files, %d matched (%.1f %%)", F.col(name), F.col(n), F.col(matched), 100.0 * F.col(matched) / F.col(n))
+
+
+def grid_step(field: Column, overlap: Column) -> Column:
+    """The step that leaves an overlap of a field of view, rounded half to even."""
+    return F.rint(field - overlap).cast("long")
+
+
+def box_key(sample: Column, x0: Column, x1: Column, y0: Column, y1: Column, area: Column) -> Column:
+    return region_key(sample, (x0 + x1) / 2.0, (y0 + y1) / 2.0, area.cast("long"))
+
+
+def two_peaks(x: Column, first: tuple[Column, Column, Column], second: tuple[Column, Column, Column], ground: tuple[Column, Column, Column]) -> Column:
+    """Two Gaussians ``(centre, width, height)`` on a quadratic ground."""
+    return gauss(x, *first) + gauss(x, *second) + ground[0] + ground[1] * x + ground[2] * x * x
+
+
+def inside(path: Column) -> Column:
+    """A relative path in plain form; null for one that is absolute or leads out of its folder."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    step = lambda done, p: F.when(done.isNull(), done).when(p == "..", F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))).otherwise(F.concat(done, F.array(p)))
+    plain = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(~path.startswith("/") & plain.isNotNull(), F.array_join(plain, "/"))

@@ -170,3 +170,25 @@ def split_gain(df: DataFrame, by: Sequence[str], red: str, green: str, blue: str
     m = m.withColumn("brightness", bright)
     off = F.greatest(*(F.abs(F.col(c) / F.col("brightness") - 1.0) for c in "rgb"))
     return m.select(*by, F.round("brightness", 6).alias("brightness"), *(F.round(F.col(c) / F.col("brightness"), 6).alias(f"balance_{c}") for c in "rgb"), F.round(off, 6).alias("max_deviation"))
+
+
+def defocus_verdict(score: Column, reference: Column, ratio: float = 0.4, confidence: float = 0.8) -> Column:
+    """The verdict of a closed rule, that asks nobody: a frame whose score is below the ratio of the reference goes.
+    Null for other frames."""
+    share = F.try_divide(score, reference)
+    return F.when(share < ratio, F.struct(F.lit("defocus").alias("category"), F.lit(False).alias("keep"), F.lit(confidence).alias("confidence"), share.alias("ratio")))
+
+
+def outliers(rows: DataFrame, deviation: str, limit: float, tie: str, n: int) -> DataFrame:
+    """The n rows that lie furthest off, of those beyond the limit: a report of bounded length."""
+    return rows.where(F.col(deviation) > limit).orderBy(F.desc(deviation), tie).limit(n)
+
+
+def argmax(rows: DataFrame, by: Sequence[str], score: str, tie: str) -> DataFrame:
+    """Per group the row of the largest score, of equals the smallest ``tie``."""
+    return rows.groupBy(*by).agg(F.max_by(tie, F.struct(F.col(score), -F.col(tie))).alias(tie), F.max(score).alias(score))
+
+
+def with_flags(flags: Column, own: Column, names: Sequence[str]) -> Column:
+    """Flags with those that this maker may set replaced by the ones it sets now; others stay."""
+    return F.array_union(F.array_except(flags, F.array(*map(F.lit, names))), own)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.windows import smoothing_weights
+
 SCHEMA = "id string, ea double, eb double, wa double, wb double, aa double, ab double, noise double, split_mev double, snr double"
 
 
@@ -50,39 +52,52 @@ def levenberg(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray,
     return p
 
 
-def fit_one(x: np.ndarray, y: np.ndarray, bands: tuple[tuple[float, float], tuple[float, float]], widths: tuple[float, float] = (0.01, 0.2), least_points: int = 150, least_ratio: float = 2.5, edge: float = 0.008) -> dict | None:
-    """The fit of a spectrum; None with too few points, a peak near its band's edge, or one lost in the noise."""
-    fine = np.isfinite(x) & np.isfinite(y)
-    x, y = x[fine], y[fine]
-    if len(x) < least_points:
+# The window of energies, the least points, each peak's bounds of centre and width, their starts, and the
+# guards: peaks above so many deviations of the rest, centres so far from their bounds.
+WINDOW, POINTS = (1.72, 2.14), 150
+CENTRES, WIDTHS = ((1.76, 1.92), (1.90, 2.10)), ((0.012, 0.07), (0.012, 0.08))
+STARTS = ((1.86, 0.03), (2.00, 0.035))
+ABOVE, INSIDE = 2.5, 0.008
+
+
+def fit_one(x: np.ndarray, y: np.ndarray) -> dict | None:
+    """The fit of a spectrum: two Gaussians in their bounds on a quadratic ground, from fixed starts with heights of three
+    tenths of the smoothed range. None with too few points inside the window, a peak lost in the noise, or a centre
+    near one of its bounds."""
+    inside = np.isfinite(x) & np.isfinite(y) & (x > WINDOW[0]) & (x < WINDOW[1])
+    x, y = x[inside], y[inside]
+    if len(x) < POINTS:
         return None
-    order = np.argsort(x)
-    x, y = x[order], y[order]
-    ground = np.polynomial.Polynomial.fit(x, y, 1)(x)
+    smooth = _smooth(y)
+    range_ = float(smooth.max() - smooth.min())
     start, low, high = [], [], []
-    for a, b in bands:
-        inside = (x >= a) & (x <= b)
-        if inside.sum() < 5:
-            return None
-        top = x[inside][np.argmax((y - ground)[inside])]
-        start += [top, 0.04, max(1e-6, float((y - ground)[inside].max()))]
-        low += [a, widths[0], 0.0]
-        high += [b, widths[1], np.inf]
-    p = levenberg(x, y, np.array([*start, float(np.median(y)), 0.0, 0.0]), np.array([*low, -np.inf, -np.inf, -np.inf]), np.array([*high, np.inf, np.inf, np.inf]))
+    for (centre, width), bounds, widths, top in zip(STARTS, CENTRES, WIDTHS, (5.0, 5.0), strict=True):
+        start += [centre, width, 0.3 * range_]
+        low += [bounds[0], widths[0], 0.001 * range_]
+        high += [bounds[1], widths[1], top * range_]
+    free = [-np.inf] * 3, [np.inf] * 3
+    p = levenberg(x, y, np.array([*start, float(smooth.min()), 0.0, 0.0]), np.array(low + free[0]), np.array(high + free[1]))
     noise = float(np.std(y - model(p, x)))
-    for (a, b), i in zip(bands, (0, 3), strict=True):
-        if p[i + 2] < least_ratio * noise or p[i] - a < edge or b - p[i] < edge:
+    for i, (a, b) in zip((0, 3), CENTRES, strict=True):
+        if p[i + 2] < ABOVE * noise or min(p[i] - a, b - p[i]) < INSIDE:
             return None
     return {"ea": p[0], "eb": p[3], "wa": p[1], "wb": p[4], "aa": p[2], "ab": p[5], "noise": noise, "split_mev": 1000 * (p[3] - p[0]), "snr": min(p[2], p[5]) / max(noise, 1e-12)}
 
 
-def fit_spectra(spectra: DataFrame, ident: str = "id", x: str = "x", y: str = "y", bands: tuple[tuple[float, float], tuple[float, float]] = ((1.75, 1.95), (1.9, 2.15))) -> DataFrame:
+def _smooth(y: np.ndarray, size: int = 21, degree: int = 3) -> np.ndarray:
+    """A cubic over a moving window, the ends on the first and last window's."""
+    weights, half, n = np.array(smoothing_weights(size, degree)), size // 2, len(y)
+    starts = np.clip(np.arange(n) - half, 0, n - size)
+    return (weights[np.arange(n) - starts] * y[starts[:, None] + np.arange(size)]).sum(axis=1)
+
+
+def fit_spectra(spectra: DataFrame, ident: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """One row per spectrum; the fit's columns are null where there is none."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [{"id": r.id} | (fit_one(np.asarray(r.x, float), np.asarray(r.y, float), bands) or {}) for r in b.itertuples()]
+            out = [{"id": r.id} | (fit_one(np.asarray(r.x, float), np.asarray(r.y, float)) or {}) for r in b.itertuples()]
             yield pd.DataFrame(out, columns=names)
 
     return spectra.select(F.col(ident).cast("string").alias("id"), F.col(x).alias("x"), F.col(y).alias("y")).mapInPandas(run, SCHEMA)

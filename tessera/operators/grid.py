@@ -129,3 +129,15 @@ def feather_blend(px: DataFrame, value: str, tile_w: int, tile_h: int, by: Seque
     weight = F.greatest(F.least(tx + 1, tile_w - tx) * F.least(ty + 1, tile_h - ty) / F.lit(top), F.lit(1e-4))
     out = px.withColumn("w", weight).groupBy(*by).agg(F.sum(F.col(value) * F.col("w")).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n"))
     return out.select(*by, "n", F.round(F.col("s") / F.col("w"), 6).alias("blended"), F.floor(F.round(F.col("s") / F.col("w"), 6) + 0.5).cast("long").alias("pixel"))
+
+
+def overlay(labels: DataFrame, support: DataFrame, exclusion: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """Pixels ``(x, y, label, valid, excluded)`` from label, support and exclusion sources put together by place.
+
+    A place that the support lacks is not valid. What the exclusion raster holds or a rectangle covers is excluded,
+    once, and only inside the support.
+    """
+    held = exclusion.select("x", "y").distinct().withColumn("_e", F.lit(True))
+    px = labels.join(support.select("x", "y", "valid"), ["x", "y"], "left").join(held, ["x", "y"], "left")
+    px = px.withColumn("valid", F.coalesce("valid", F.lit(False))).withColumn("excluded", F.col("_e").isNotNull()).drop("_e")
+    return mark_rectangles(px, rectangles).withColumn("excluded", F.col("valid") & F.col("excluded"))

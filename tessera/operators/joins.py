@@ -173,3 +173,55 @@ def conflict_scores(edges: DataFrame, tiles: DataFrame) -> DataFrame:
     buckets = tiles.select("id", "col", F.floor("key").alias("bucket"))
     many = buckets.groupBy("col", "bucket").agg((F.count("*") - 1).alias("siblings")).where("siblings > 0")
     return buckets.join(many, ["col", "bucket"]).join(ends, "id", "left").groupBy("id", "col", "bucket", "siblings").agg(F.count("score").alias("edges"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("least_score"))
+
+
+def manifest_summary(manifest: DataFrame, files: DataFrame, key: str, by: str, total: str | None = None) -> DataFrame:
+    """Per run: the outputs that its manifest names, those that are there with size and digest, those that are missing,
+    and whether all are as they should be; with ``total`` the sum of a column."""
+    there = files.select(F.col(key).alias("_k"), F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
+    met = manifest.join(there, F.col(key) == F.col("_k"), "left")
+    same = F.coalesce((F.col("bytes") == F.col("_b")) & (F.col("sha256") == F.col("_s")), F.lit(False))
+    more = [F.sum(total).alias("total")] if total else []
+    return met.groupBy(by).agg(F.count("*").alias("outputs"), F.count_if(same).alias("verified"), F.count_if(F.col("_k").isNull()).alias("missing"), F.bool_and(same).alias("whole"), *more)
+
+
+def derived_state(selected: DataFrame, listed: DataFrame, by: str, name: str) -> DataFrame:
+    """Per dataset: ``raw`` without a list of corrected tiles, ``already_corrected`` if the list holds just the selected
+    tiles with their digests, else ``invalid``."""
+    other = listed.select(F.col(by).alias("_b"), F.col(name).alias("_n"), F.col("sha256").alias("_s"))
+    met = selected.join(other, (F.col(by) == F.col("_b")) & (F.col(name) == F.col("_n")), "full_outer")
+    same = F.bool_and(F.col("sha256").eqNullSafe(F.col("_s")))
+    state = F.when(F.count("_n") == 0, "raw").when(same, "already_corrected").otherwise("invalid")
+    return met.groupBy(F.coalesce(by, "_b").alias(by)).agg(state.alias("state"), F.count("*").alias("tiles"))
+
+
+def same_fingerprint(prepared: DataFrame, current: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """Per dataset: its rows, and whether its fingerprint is the same in both tables. A fingerprint sums the digests of
+    the rows, so their order plays no part and no row is gathered anywhere."""
+    digest = lambda df: df.groupBy(by).agg(F.count("*").alias("tiles"), *(F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns)), 256), at, 12), 16, 10).cast("decimal(30,0)")).alias(f"f{at}") for at in (1, 13, 25, 37)))
+    now = digest(current)
+    now = now.select(F.col(by).alias("_b"), F.struct("tiles", *(c for c in now.columns if c.startswith("f"))).alias("_f"))
+    was = digest(prepared)
+    own = F.struct("tiles", *(c for c in was.columns if c.startswith("f")))
+    return was.join(now, F.col(by) == F.col("_b"), "left").select(by, "tiles", F.coalesce(own == F.col("_f"), F.lit(False)).alias("bound"))
+
+
+def unmatched(parts: Sequence[DataFrame], known: DataFrame) -> DataFrame:
+    """Distinct ids of any part that are not known."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct().join(known, known.columns, "left_anti")
+
+
+def first_seen(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
+    """A row per key, with the least order in which it was given."""
+    return rows.groupBy(*key).agg(F.min(order).alias(order))
+
+
+def equal_sets(left: DataFrame, right: DataFrame, by: str, ident: str) -> DataFrame:
+    """Per group: whether both tables hold the same ids, and how many only one of them holds."""
+    a, b = left.select(by, ident).distinct(), right.select(F.col(by).alias("_b"), F.col(ident).alias("_i")).distinct()
+    met = a.join(b, (F.col(by) == F.col("_b")) & (F.col(ident) == F.col("_i")), "full_outer")
+    lone = F.col(ident).isNull() | F.col("_i").isNull()
+    return met.groupBy(F.coalesce(by, "_b").alias(by)).agg(F.bool_and(~lone).alias("same"), F.count_if(lone).alias("differing"))

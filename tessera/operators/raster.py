@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -120,14 +122,20 @@ def central_exclusion(found: DataFrame, by: str, width: int, height: int, pad: f
 
 
 def overlap_ratio(a: DataFrame, b: DataFrame, dx: int, dy: int, low: int = 20, high: int = 245, least: int = 500) -> DataFrame:
-    """Channel medians' ratios over the overlap of two images, where b lies at an offset; null with too few pixels."""
+    """Channel medians' ratios over the overlap of two images, where b lies at an offset, of all pixels that are well
+    exposed in both and of their brighter half, and the share of pixels on one level of brightness; null with too few."""
     shifted = b.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *(F.col(c).alias(f"{c}2") for c in "rgb"))
     inside = F.lit(True)
     for c in ("r", "g", "b", "r2", "g2", "b2"):
         inside = inside & (F.col(c) > low) & (F.col(c) < high)
-    m = a.select("x", "y", "r", "g", "b").join(shifted, ["x", "y"]).where(inside)
-    out = m.agg(F.count("*").alias("pixels"), *(F.percentile(c, 0.5).alias(c) for c in ("r", "g", "b", "r2", "g2", "b2")))
-    return out.select("pixels", *(F.when(F.col("pixels") >= least, F.try_divide(F.col(f"{c}2"), F.col(c))).alias(f"ratio_{c}") for c in "rgb"))
+    m = a.select("x", "y", "r", "g", "b").join(shifted, ["x", "y"]).where(inside).withColumn("_l", luminance(F.col("r"), F.col("g"), F.col("b")))
+    # one pair of images: its overlap is bounded by the size of an image; the middle is one row
+    m = m.join(F.broadcast(m.agg(F.percentile("_l", 0.5).alias("_m"))))
+    channels = ("r", "g", "b", "r2", "g2", "b2")
+    bright = lambda c: F.percentile(F.when(F.col("_l") >= F.col("_m"), F.col(c)), 0.5).alias(f"{c}_bright")
+    out = m.agg(F.count("*").alias("pixels"), F.avg((F.abs(F.col("_l") - F.col("_m")) <= 0.1 * F.col("_m")).cast("double")).alias("flat"), *(F.percentile(c, 0.5).alias(c) for c in channels), *map(bright, channels))
+    enough = lambda c, name: F.when(F.col("pixels") >= least, c).alias(name)
+    return out.select("pixels", *(enough(F.try_divide(F.col(c), F.col(f"{c}2")), f"ratio_{c}") for c in "rgb"), *(enough(F.try_divide(F.col(f"{c}_bright"), F.col(f"{c}2_bright")), f"bright_{c}") for c in "rgb"), enough(F.col("flat"), "flat_fraction"))
 
 
 def overlap_ncc(a: DataFrame, b: DataFrame, dx: int, dy: int, least: int = 16) -> DataFrame:
@@ -137,12 +145,49 @@ def overlap_ncc(a: DataFrame, b: DataFrame, dx: int, dy: int, least: int = 16) -
     return m.select("pixels", F.when((F.col("pixels") < least) | F.col("r").isNull() | F.isnan("r"), -1.0).otherwise(F.col("r")).alias("ncc"))
 
 
-def flat_field(px: DataFrame, value: str = "grey", least: int = 8) -> DataFrame:
-    """Per pixel the median over tiles of values divided by their tile's mean, scaled to a mean of 1."""
+def usable_samples(px: DataFrame, by: str, value: str, least_std: float = 3.0, mean: tuple[float, float] = (8.0, 247.0), rails: tuple[float, float] = (2.0, 253.0)) -> DataFrame:
+    """Per image whether it says anything about the light: not blank, not too dark or bright, and less than half of it
+    at the ends of the range."""
+    v = F.col(value)
+    m = px.groupBy(by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg(((v <= rails[0]) | (v >= rails[1])).cast("double")).alias("rails"))
+    return m.withColumn("usable", (F.col("std") >= least_std) & F.col("mean").between(*mean) & (F.col("rails") <= 0.5))
+
+
+def blur_reach(sigma: float) -> int:
+    return max(1, round(4 * sigma))
+
+
+def gaussian(px: DataFrame, by: str, value: str, sigma: float) -> DataFrame:
+    """A Gaussian blur along x, then along y; beyond the border the outermost pixel goes on. Every pixel is sent to the
+    places within reach, a number that sigma fixes, and those at the border beyond it as well."""
+    reach = blur_reach(sigma)
+    weights = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-reach, reach + 1)]
+    kernel = F.array(*(F.struct(F.lit(i - reach).alias("o"), F.lit(w / sum(weights)).alias("w")) for i, w in enumerate(weights)))
+    size = px.groupBy(by).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    out = px.select(by, "x", "y", F.col(value).cast("double").alias("_v")).join(size, by)
+    for c, lo, hi in (("x", "x0", "x1"), ("y", "y0", "y1")):
+        # the outermost pixel also stands for those beyond it
+        beyond = F.when(F.col(lo) == F.col(hi), F.sequence(F.col(c) - reach, F.col(c) + reach)).when(F.col(c) == F.col(lo), F.sequence(F.col(c) - reach, F.col(c))).when(F.col(c) == F.col(hi), F.sequence(F.col(c), F.col(c) + reach)).otherwise(F.array(c))
+        held = out.withColumn("_at", F.explode(beyond)).withColumn("_k", F.explode(kernel))
+        held = held.withColumn(c, F.col("_at") - F.col("_k.o")).where(F.col(c).between(F.col(lo), F.col(hi)))
+        out = held.groupBy(by, "x", "y", "x0", "x1", "y0", "y1").agg(F.sum(F.col("_v") * F.col("_k.w")).alias("_v"))
+    return out.select(by, "x", "y", F.col("_v").alias(value))
+
+
+def flat_field(px: DataFrame, value: str = "grey", least: int = 8, blur: float | None = None) -> DataFrame:
+    """Per pixel the median over tiles of values divided by their tile's mean, blurred by an eighth of the longer side
+    (or by ``blur``; 0: not at all), kept above a thousandth of the largest, and scaled to a mean of 1."""
     tiles = px.groupBy("tile").agg(F.avg(value).alias("_m")).where("_m > 0")
     ratio = px.join(tiles, "tile").groupBy("x", "y").agg(F.percentile(F.col(value) / F.col("_m"), 0.5).alias("gain"), F.count("*").alias("n"))
-    whole = ratio.agg(F.avg("gain").alias("_g"), F.min("n").alias("_n"))
-    return ratio.join(F.broadcast(whole)).where(F.col("_n") >= least).select("x", "y", (F.col("gain") / F.col("_g")).alias("gain"))
+    fewest = ratio.agg(F.min("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y")).head()
+    if fewest.n is None or fewest.n < least:
+        return ratio.select("x", "y", "gain").limit(0)
+    sigma = (max(fewest.x, fewest.y) + 1) / 8 if blur is None else blur
+    smooth = gaussian(ratio.withColumn("_t", F.lit(0)), "_t", "gain", sigma) if sigma else ratio
+    top = smooth.agg(F.max("gain").alias("_top"))
+    kept = smooth.join(F.broadcast(top)).select("x", "y", F.greatest("gain", F.col("_top") * 1e-3).alias("gain"))
+    whole = kept.agg(F.avg("gain").alias("_g"))
+    return kept.join(F.broadcast(whole)).select("x", "y", (F.col("gain") / F.col("_g")).alias("gain"))
 
 
 def render(px: DataFrame, positions: DataFrame, tile_w: int, tile_h: int, background: float = 0.0) -> DataFrame:
@@ -151,7 +196,7 @@ def render(px: DataFrame, positions: DataFrame, tile_w: int, tile_h: int, backgr
     placed = px.join(F.broadcast(positions.select(F.col("tile").alias("_t"), "left", "top")), F.col("tile") == F.col("_t"))
     w = F.greatest(F.least(F.col("x") + 1, tile_w - F.col("x")) * F.least(F.col("y") + 1, tile_h - F.col("y")) / F.lit(float((tile_w + 1) // 2 * ((tile_h + 1) // 2))), F.lit(1e-4))
     out = placed.select((F.col("x") + F.col("left")).alias("x"), (F.col("y") + F.col("top")).alias("y"), (F.col("grey") * w).alias("v"), w.alias("w")).groupBy("x", "y").agg((F.sum("v") / F.sum("w")).alias("v"), F.count("*").alias("tiles"))
-    return out.select("x", "y", "tiles", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.coalesce("v", F.lit(background)) + 0.5))).cast("int").alias("grey"))
+    return out.select("x", "y", "tiles", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(F.coalesce("v", F.lit(background)), 9) + 0.5))).cast("int").alias("grey"))
 
 
 def merge_first(preds: DataFrame) -> DataFrame:
@@ -236,3 +281,94 @@ def background_colour(px: DataFrame, by: str, tolerance: float = 6.0, least: flo
     best = bins.join(total, by).groupBy(by).agg(F.max(F.when(F.col("n") >= least * F.col("total"), F.col("bin"))).alias("best"))
     inside = flat.join(best, by).where(F.col("best").isNull() | (F.col("bin") == F.col("best")))
     return inside.groupBy(by).agg(*(F.percentile(c, 0.5).alias(c) for c in "rgb"), F.first(F.when(F.col("best").isNull(), "all_flat").otherwise("plateau")).alias("source"), F.count("*").alias("pixels"))
+
+
+def mirrored_border(px: DataFrame, by: str, width: int, height: int, reach: int) -> DataFrame:
+    """The image with a border of its own outermost pixels mirrored, each of them repeated."""
+    out = px
+    for c, size in (("x", width), ("y", height)):
+        before = out.where(F.col(c).between(0, reach - 1)).withColumn(c, -1 - F.col(c))
+        after = out.where(F.col(c).between(size - reach, size - 1)).withColumn(c, 2 * size - 1 - F.col(c))
+        out = out.unionByName(before).unionByName(after)
+    return out
+
+
+def downsample(px: DataFrame, by: str, width: int, height: int, most: int = 1024) -> DataFrame:
+    """Brightness by blocks of whole pixels, so that the longer side has ``most`` pixels at most; what is left over at
+    the right and lower border is cut."""
+    step = -(-max(width, height) // most)
+    inside = px.where((F.col("x") < width // step * step) & (F.col("y") < height // step * step))
+    return inside.groupBy(by, F.floor(F.col("x") / step).alias("x"), F.floor(F.col("y") / step).alias("y")).agg(F.avg(luminance(F.col("r"), F.col("g"), F.col("b"))).alias("grey"))
+
+
+def closed(px: DataFrame, by: str, name: str, reach: int, width: int, height: int) -> DataFrame:
+    """A mask closed by a box: widened, then narrowed; what lies beyond the image counts as outside the mask, so nothing
+    within reach of the border is left."""
+    out = close_mask(px, by, name, reach)
+    return out.withColumn(name, F.col(name) & F.col("x").between(reach, width - 1 - reach) & F.col("y").between(reach, height - 1 - reach))
+
+
+def alarms(px: DataFrame, by: str, width: int, height: int, reach: int = 16, var_limit: float = 3.0, dark: float = 60.0, least: int = 1250) -> DataFrame:
+    """Connected regions that are featureless or nearly black, yet labelled crystal: ``(by, component, area_px, x0, x1,
+    y0, y1, dominant, pct_of_class, mean_grey, mean_var)``, from pixels ``(x, y, grey, label, valid)``.
+
+    Variances are those of a box whose border is mirrored; regions of fewer pixels than ``least`` are no alarms.
+    """
+    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    rough = local_variance(mirrored_border(px, by, width, height, reach), by, reach).where(inside)
+    crystal = (F.col("label") > 0) & F.col("valid")
+    parts = label_components(rough, by, ((F.col("variance") < var_limit) | (F.col("grey") < dark)) & crystal)
+    met = parts.join(rough, [by, "x", "y"])
+    classes = rough.where("label > 0 and valid").groupBy(by, F.col("label").alias("dominant")).agg(F.count("*").alias("_all"))
+    counts = met.groupBy(by, "component", "label").agg(F.count("*").alias("n"))
+    top = counts.groupBy(by, "component").agg(F.max_by(F.struct("label", "n"), F.struct(F.col("n"), -F.col("label"))).alias("top"))
+    out = met.groupBy(by, "component").agg(F.count("*").alias("area_px"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.avg("grey").alias("mean_grey"), F.avg("variance").alias("mean_var"))
+    out = out.where(F.col("area_px") >= least).join(top, [by, "component"]).withColumn("dominant", F.col("top.label"))
+    return out.join(classes, [by, "dominant"]).withColumn("pct_of_class", 100.0 * F.col("top.n") / F.col("_all")).drop("top", "_all")
+
+
+def candidates(px: DataFrame, by: str, target: int, width: int, height: int, reach: int = 2, least_pct: float = 1.0, most: int = 8) -> DataFrame:
+    """The largest regions of a class after closing, at most ``most`` of ``least_pct`` percent of it and more: area of the
+    class's own pixels, shares of class and crystal, box, fill of the box, mean grey. From ``(x, y, grey, label, valid)``."""
+    own = px.withColumn("_sel", (F.col("label") == target) & F.col("valid"))
+    shut = closed(own.withColumn("_closed", F.col("_sel")), by, "_closed", reach, width, height)
+    parts = label_components(shut, by, F.col("_closed"))
+    box = parts.groupBy(by, "component").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
+    held = parts.join(own.where("_sel"), [by, "x", "y"]).groupBy(by, "component").agg(F.count("*").alias("area_px"), F.avg("grey").alias("mean_grey"))
+    totals = own.groupBy(by).agg(F.count_if("_sel").alias("_class"), F.count_if((F.col("label") > 0) & F.col("valid")).alias("_crystal"))
+    out = held.join(box, [by, "component"]).join(totals, by).withColumns({"pct_of_class": 100.0 * F.col("area_px") / F.col("_class"), "pct_of_crystal": 100.0 * F.col("area_px") / F.col("_crystal"), "bbox_fill": F.col("area_px") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))})
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("area_px"), "component"))
+    return out.where(F.col("pct_of_class") >= least_pct).withColumn("rank", rank).where(F.col("rank") <= most).drop("_class", "_crystal")
+
+
+def exclusion_mask(px: DataFrame, by: str, parts: DataFrame, excluded: DataFrame, width: int, height: int, reach: int = 4) -> DataFrame:
+    """Pixels with ``_out``: the excluded components closed and their holes filled, so that all inside a region's rim
+    leaves the count. ``parts`` has ``(by, x, y, component)``, ``excluded`` ``(by, component)``."""
+    painted = parts.join(excluded, [by, "component"], "left_semi").select(by, "x", "y").withColumn("_p", F.lit(True))
+    marked = px.join(painted, [by, "x", "y"], "left").withColumn("_out", F.col("_p").isNotNull()).drop("_p")
+    return fill_holes(closed(marked, by, "_out", reach, width, height), by, "_out")
+
+
+def central_rectangle(px: DataFrame, by: str, target: int, width: int, height: int, pad: float = 0.08, margin: float = 0.02, least_area: float = 0.01, most_box: float = 0.40) -> DataFrame:
+    """One row per candidate region with the reasons against it, its padded rectangle, and ``selected`` where just one
+    region of the image has none: a large region in the interior whose box holds the middle."""
+    found = candidates(px, by, target, width, height)
+    box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    mx, my = -(-width * margin // 1), -(-height * margin // 1)
+    sel = (F.col("label") == target) & F.col("valid")
+    touching = label_components(px, by, sel).groupBy(by, "component").agg(F.max((F.col("x").isin(0, width - 1)) | (F.col("y").isin(0, height - 1))).alias("edge"))
+    rim = label_components(px, by, sel).join(touching.where("edge"), [by, "component"], "left_semi").select(by, F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    parts = label_components(closed(px.withColumn("_closed", sel), by, "_closed", 2, width, height), by, F.col("_closed"))
+    bound = parts.join(rim, (parts[by] == rim[by]) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select(parts[by], "component").distinct().withColumn("_edge", F.lit(True))
+    rules = [
+        ("off_centre", ~((F.col("x0") <= width / 2) & (F.col("x1") > width / 2) & (F.col("y0") <= height / 2) & (F.col("y1") > height / 2))),
+        ("too_small", F.col("area_px") < width * height * least_area),
+        ("box_too_large", box > width * height * most_box),
+        ("not_interior", (F.col("x0") < mx) | (F.col("y0") < my) | (F.col("x1") > width - mx) | (F.col("y1") > height - my)),
+        ("connected_to_edge", F.col("_edge").isNotNull()),
+    ]
+    out = found.join(bound, [by, "component"], "left").withColumn("reasons", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules))))
+    px_, py_ = F.ceil((F.col("x1") - F.col("x0")) * pad), F.ceil((F.col("y1") - F.col("y0")) * pad)
+    out = out.withColumns({"rx1": F.greatest(F.lit(0), F.col("x0") - px_), "ry1": F.greatest(F.lit(0), F.col("y0") - py_), "rx2": F.least(F.lit(width), F.col("x1") + px_), "ry2": F.least(F.lit(height), F.col("y1") + py_)})
+    lone = F.count_if(F.size("reasons") == 0).over(Window.partitionBy(by)) == 1
+    return out.withColumn("selected", (F.size("reasons") == 0) & lone).drop("_edge")

@@ -61,13 +61,60 @@ def calibrate(fits: DataFrame, by: Sequence[str], klass: Column, value: Column,
     return m.select(*by, F.round("low_median", 6).alias("low_median"), F.round("high_median", 6).alias("high_median"), F.round(threshold, 6).alias("threshold"), F.coalesce(F.col("high_min") - F.col("low_max") >= gap, F.lit(False)).alias("separated"))
 
 
-def assign(fits: DataFrame, split: Column, ratio: Column, threshold: Column, band: tuple[float, float] = (0.8, 1.25)) -> DataFrame:
-    """Rule labels: below the threshold one layer; above it more, unless the amplitude ratio vetoes it. A ratio inside
-    the band is ambiguous; without a fit there is no label."""
-    lo, hi = band
-    label = F.when(split.isNull(), None).when(split < threshold, "1L").when(ratio < lo, "1L").otherwise("2L")
-    flag = F.when(split.isNull(), "no_fit").when((split >= threshold) & (ratio < lo), "amplitude_veto").when((ratio >= lo) & (ratio <= hi), "ambiguous").otherwise("clear")
-    return fits.withColumn("rule_label", label).withColumn("rule_flag", flag)
+#: An amplitude ratio above this is too weak to overrule the splitting; between these bounds amplitudes decide nothing
+#: where classes have no gap; an energy gap must be this wide (meV), and a decision this far from its threshold.
+VETO_CLEAR, NO_GAP, EA_GAP, EA_CLEAR = 0.8, (0.8, 1.25), 8.0, 3.0
+
+
+def with_reference(fits: DataFrame, reference: DataFrame, substrate: str, threshold: float = 150.0) -> DataFrame:
+    """Fits with what is calibrated for their substrate: ``threshold`` (else the default, and ``calibrated`` is false),
+    ``amplitude`` between one layer and two (null: not decided by it), ``amp_gap`` and ``ea_gap`` whether amplitude or
+    energy separate the classes, ``ea_threshold`` and ``ea_gap_mev``."""
+    # a row per substrate
+    known = F.broadcast(reference.withColumnRenamed(substrate, "_s"))
+    out = fits.join(known, F.col(substrate) == F.col("_s"), "left").withColumn("calibrated", F.col("_s").isNotNull())
+    return out.withColumns({"threshold": F.coalesce("threshold", F.lit(threshold)), "amp_gap": F.coalesce("amp_gap", F.lit(False)), "ea_gap": F.coalesce("ea_gap", F.lit(False))}).drop("_s")
+
+
+def assign(fits: DataFrame, split: str = "split", amplitude: str = "aa", energy: str = "ea") -> DataFrame:
+    """Labels by rule of fits with their reference (``with_reference``).
+
+    A splitting from the threshold on says 2H; where amplitudes have a gap, one of a single layer overrules it (1L), and
+    one that is low but not clearly so leaves the label and flags it. Below the threshold the amplitude decides between
+    1L and 3R, where it is calibrated (else ``3R-or-1L``); where amplitudes have no gap but energies do, the energy
+    does, flagged if it is near its threshold or a clear amplitude says otherwise. Without either, an amplitude near
+    its threshold is flagged. On a substrate that was not calibrated all is flagged and the confidence is 0. A missing
+    splitting gives no label and the flag ``no_fit``.
+    """
+    s, a, e = F.col(split), F.col(amplitude), F.col(energy)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    out = fits.withColumns({"margin_mev": s - F.col("threshold"), "amp_ratio": F.try_divide(a, F.col("amplitude")), "_tall": s >= F.col("threshold")})
+    tall, ratio, margin = F.col("_tall"), F.col("amp_ratio"), F.col("margin_mev")
+    out = out.withColumns({"_low": yes(tall & F.col("amp_gap") & (ratio < 1)), "_by_ea": yes(~tall & F.col("amplitude").isNotNull() & ~F.col("amp_gap") & F.col("ea_gap")), "ea_margin_mev": (e - F.col("ea_threshold")) * 1000})
+    low, by_ea, away = F.col("_low"), F.col("_by_ea"), F.col("ea_margin_mev")
+    vetoed = low & (ratio <= VETO_CLEAR)
+    by_amplitude, by_energy = F.when(a < F.col("amplitude"), "1L").otherwise("3R"), F.when(away >= 0, "1L").otherwise("3R")
+    undecided = (ratio > NO_GAP[0]) & (ratio < NO_GAP[1])
+    label = F.when(tall, F.when(vetoed, "1L").otherwise("2H")).when(F.col("amplitude").isNull(), "3R-or-1L").when(by_ea, by_energy).otherwise(by_amplitude)
+    flag = F.when(s.isNull(), "no_fit").when(~F.col("calibrated"), "substrate_uncalibrated").when(low & ~vetoed, "amp_veto_ambiguous").when(by_ea & (F.abs(away) < EA_CLEAR), "ea_ambiguous").when(by_ea & (by_energy != by_amplitude) & ~undecided, "ea_amp_conflict")
+    flag = flag.when(yes(~tall & F.col("amplitude").isNotNull() & ~by_ea & ~F.col("amp_gap") & undecided), "amp_nogap_ambiguous").otherwise("")
+    within = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    base, weak = within(F.abs(margin) / 15.0), within((1 - ratio) / (1 - VETO_CLEAR))
+    sure = F.when(~F.col("calibrated"), 0.0).when(vetoed, weak).when(low, F.least(base, weak)).when(by_ea, F.least(base, within(F.abs(away) / F.greatest(F.lit(EA_CLEAR), F.col("ea_gap_mev") / 2)))).otherwise(base)
+    decided = F.when(by_ea, "E_A").when(~tall & F.col("amplitude").isNotNull(), "amplitude").otherwise("splitting")
+    out = out.withColumns({"rule_label": F.when(s.isNotNull(), label), "stacking": F.when(tall, "2H").otherwise("3R-or-1L"), "rule_flag": flag, "vetoed": vetoed, "decided_by": decided, "confidence": sure})
+    return out.withColumn("ea_margin_mev", F.when(by_ea, away)).drop("_tall", "_low", "_by_ea")
+
+
+def gate(rules: DataFrame, near: float = 4.0, no_gap: str = "escalate") -> DataFrame:
+    """``to_model``: labels that the rule leaves open, splittings nearer to the threshold than ``near``, and, under the
+    policy ``model``, ambiguous amplitudes. ``escalates``: what the rule itself hands to a person."""
+    open_ = (F.col("rule_label") == "3R-or-1L") | (F.abs("margin_mev") < near)
+    ambiguous = F.col("rule_flag") == "amp_nogap_ambiguous"
+    to_model = F.coalesce(open_ | (ambiguous & F.lit(no_gap == "model")), F.lit(False))
+    out = rules.withColumn("to_model", to_model)
+    said = F.col("rule_flag").isin("amp_veto_ambiguous", "ea_ambiguous", "ea_amp_conflict", "substrate_uncalibrated")
+    return out.withColumn("escalates", said | (ambiguous & ~(F.col("to_model") & F.lit(no_gap == "model"))))
 
 
 def agreement(rows: DataFrame, by: Sequence[str], truth: Column, label: Column, also: Sequence[tuple[str, str]] = ()) -> DataFrame:

@@ -77,3 +77,24 @@ def plan_against_actual(plan: DataFrame, actual: DataFrame, key: Sequence[str],
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keyed replacement: new rows, and old ones whose key is not among them."""
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
+
+
+def audit_summary(windows: DataFrame, votes: int, flagged: Sequence[str], systematic: str) -> DataFrame:
+    """One row over sampled windows ``(votes, kinds, verdict, confidence)``: how many were answered, flagged, split, of
+    one mind about a systematic fault, and how many votes were lost. A lost vote is no dissent."""
+    answered, flag = F.col("votes") > 0, F.col("verdict").isin(*flagged)
+    out = windows.agg(
+        F.count("*").alias("sampled"),
+        F.count_if(answered).alias("answered"),
+        F.count_if(flag).alias("flagged"),
+        F.count_if(F.col("kinds") > 1).alias("split"),
+        F.count_if((F.col("kinds") == 1) & (F.col("verdict") == systematic)).alias("unanimous_systematic"),
+        F.sum(F.when(answered, votes - F.col("votes")).otherwise(0)).alias("lost_votes"),
+        F.avg("confidence").alias("mean_confidence"),
+    )
+    return out.withColumn("flagged_frac", F.try_divide(F.col("flagged").cast("double"), F.col("answered")))
+
+
+def usage(calls: DataFrame, by: str) -> DataFrame:
+    """Per role: calls, those answered from the store, failed and cut off, and the tokens of those that were made."""
+    return calls.groupBy(by).agg(F.count("*").alias("calls"), *(F.count_if(c).alias(c) for c in ("cached", "failed", "truncated")), F.sum(F.when(~F.col("cached"), F.col("tokens")).otherwise(0)).alias("tokens"))

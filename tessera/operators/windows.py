@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +104,26 @@ def consecutive(rows: DataFrame, by: Sequence[str], order: Sequence[str], column
     for c in columns:
         out = out.withColumn(f"next_{c}", F.lead(c).over(w))
     return out.where(F.col(f"next_{columns[0]}").isNotNull())
+
+
+def smoothing_weights(size: int, degree: int) -> list[list[float]]:
+    """What each of so many samples adds to the least-squares polynomial at each of them: the middle row smooths, the
+    others are for the ends."""
+    x = np.arange(size) - size // 2
+    powers = np.vander(x, degree + 1, increasing=True).astype(float)
+    return (powers @ np.linalg.pinv(powers)).tolist()
+
+
+def smoothed(values: Column, n: int, size: int = 21, degree: int = 3) -> Column:
+    """An array column of n samples smoothed by polynomials over a moving window; the first and last samples lie on the
+    polynomial of the first and last window. All in array functions of the JVM."""
+    rows = ",".join("array(" + ",".join(f"{w!r}D" for w in row) + ")" for row in smoothing_weights(size, degree))
+    weights = F.expr(f"array({rows})")
+    half = size // 2
+
+    def at(i: Column) -> Column:
+        start = F.least(F.greatest(i - half, F.lit(0)), F.lit(n - size))
+        terms = F.zip_with(F.get(weights, i - start), F.slice(values, start + 1, F.lit(size)), lambda w, v: w * v)
+        return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import fitting, joins, raster, solve
-from tessera.plans.base import Registry, journal, px, tiles
+from tessera.operators import fitting, joins, solve
+from tessera.plans.base import JOURNAL, Registry, journal, rounded, tiles
 from tessera.session import table
 from tessera.streaming import journal as streams
 
@@ -40,30 +40,8 @@ def spectrum_fits(spark: SparkSession, d: str) -> DataFrame:
     return fitting.fit_spectra(s)
 
 
-def _image(spark: SparkSession, d: str) -> DataFrame:
-    """One grey value per place of the raster: the mean of its observations."""
-    return px(spark, d).groupBy(F.lit("scan").alias("image"), F.expr("x div 10").cast("int").alias("x"), F.expr("y div 10").cast("int").alias("y")).agg(F.avg(F.col("value") * 5).alias("grey"), F.max(F.expr("cast(valid as int)")).alias("v"))
-
-
-@registry.add()
-def tile_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return raster.tile_metrics(_image(spark, d), "image")
-
-
-@registry.add()
-def low_variance_regions(spark: SparkSession, d: str) -> DataFrame:
-    rough = raster.local_variance(_image(spark, d), "image", 2)
-    typical = rough.agg(F.percentile("variance", 0.3).alias("cut"))
-    return raster.label_components(rough.join(F.broadcast(typical)), "image", F.col("variance") < F.col("cut")).groupBy("image", "component").agg(F.count("*").alias("size"))
-
-
-@registry.add()
-def region_proposals(spark: SparkSession, d: str) -> DataFrame:
-    rows = _image(spark, d).withColumn("label", F.when(F.col("grey") > 128, 3).otherwise(1))
-    return raster.regions(rows, "image", 3)
-
-
-@registry.add()
+@registry.add(f"""WITH {JOURNAL}, k AS (SELECT user_id, sequence, event_id, coalesce(lag(sequence) OVER (PARTITION BY user_id ORDER BY sequence), 0) + 1 AS upcoming FROM journal WHERE event <> 'view')
+SELECT user_id::VARCHAR AS stream_id, sequence, event_id::VARCHAR AS event_id, 'gap' AS fault FROM k WHERE sequence > upcoming UNION ALL SELECT user_id::VARCHAR, sequence, event_id::VARCHAR, 'no start' FROM k WHERE sequence = 1""")
 def journal_stream(spark: SparkSession, d: str) -> DataFrame:
     """Faults that the streaming check finds in the journals without their view events."""
     j = journal(spark, d).where("event <> 'view'").selectExpr("cast(user_id as string) as stream_id", "sequence", "cast(event_id as string) as event_id", "event")
@@ -74,7 +52,22 @@ def journal_stream(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_available(spark, streams.validate_stream(spark.readStream.schema(j.schema).parquet(folder)), "faults")
 
 
-@registry.add()
+@registry.add(f"""WITH RECURSIVE {JOURNAL}, r(user_id, sequence, recent, reference, accepted) AS (SELECT DISTINCT user_id, 0::BIGINT, []::DOUBLE[], NULL::DOUBLE, true FROM journal
+UNION ALL SELECT j.user_id, j.sequence, CASE WHEN m.ok THEN list_slice(list_append(r.recent, j.value), greatest(1, len(r.recent) - 13), len(r.recent) + 1) ELSE r.recent END, m.ref, m.ok
+FROM r JOIN journal j ON j.user_id = r.user_id AND j.sequence = r.sequence + 1, LATERAL (SELECT CASE WHEN len(r.recent) >= 3 THEN list_median(r.recent) END AS ref, len(r.recent) < 3 OR j.value >= 0.6 * list_median(r.recent) AS ok) m)
+SELECT user_id::VARCHAR AS stream_id, sequence, round(reference, 6) AS reference, accepted FROM r WHERE sequence > 0""")
 def running_focus(spark: SparkSession, d: str) -> DataFrame:
     frames = journal(spark, d).selectExpr("cast(user_id as string) as stream_id", "sequence", "value as score")
-    return streams.running_focus_batch(frames)
+    return rounded(streams.running_focus_batch(frames), "reference")
+
+
+@registry.add("SELECT event_type AS event, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+def mirrored_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events that come twice, mirrored once: by their id, within a delay of a day."""
+    from tessera.session import new_folder
+
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"))
+    folder = new_folder(spark, "mirror")
+    e.unionByName(e.where("event_id % 3 = 0")).write.parquet(folder)
+    out = streams.run_available(spark, streams.mirror(spark.readStream.schema(e.schema).parquet(folder), delay="36500 days"), "mirrored")
+    return out.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))

@@ -62,13 +62,6 @@ def calibrate_thresholds(spark: SparkSession, d: str) -> DataFrame:
     return spectra.calibrate(_fits(spark, d), ["substrate"], F.col("truth"), F.col("split"), "1L", "2L", 140.0, 8.0)
 
 
-@registry.add(f"""WITH {FITS}, r AS (SELECT *, CASE WHEN split < 150 THEN '1L' WHEN ratio < 0.8 THEN '1L' ELSE '2L' END AS rule_label, CASE WHEN split >= 150 AND ratio < 0.8 THEN 'amplitude_veto' WHEN ratio >= 0.8 AND ratio <= 1.25 THEN 'ambiguous' ELSE 'clear' END AS rule_flag FROM fits)
-SELECT substrate, rule_flag, count(*) AS n, count(rule_label) AS labelled, count(*) FILTER (WHERE truth = rule_label) AS agreed, round(count(*) FILTER (WHERE truth = rule_label)::DOUBLE / count(rule_label), 6) AS rate FROM r GROUP BY ALL""")
-def rule_labels(spark: SparkSession, d: str) -> DataFrame:
-    labelled = spectra.assign(_fits(spark, d), F.col("split"), F.col("ratio"), F.lit(150.0))
-    return spectra.agreement(labelled, ["substrate", "rule_flag"], F.col("truth"), F.col("rule_label"))
-
-
 @registry.add("""SELECT lang, count(*) AS n, count(quality) AS labelled, count(*) FILTER (WHERE quality = (CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END)) AS agreed, round(count(*) FILTER (WHERE quality = (CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END))::DOUBLE / nullif(count(quality), 0), 6) AS rate FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang""")
 def agreement_rate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("guess"))

@@ -57,7 +57,13 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: the rows are computed once and survive lost executors."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return gathered(df).checkpoint(eager=True)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """The rows in four partitions for each core at most: what is written on the way to a result then has a file for
+    each of these, rather than for each shuffle partition, however many there are."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def stored(df: DataFrame, what: str = "rows") -> tuple[DataFrame, str]:
@@ -65,7 +71,7 @@ def stored(df: DataFrame, what: str = "rows") -> tuple[DataFrame, str]:
     its true size, so estimates don't grow from round to round, and it can be removed when it is no longer read."""
     spark = df.sparkSession
     folder = new_folder(spark, what)
-    df.write.parquet(folder)
+    gathered(df).write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), folder
 
 

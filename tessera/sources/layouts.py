@@ -60,3 +60,17 @@ def companions(logs: DataFrame, runs: DataFrame, stamp: str = "stamp", first: st
     """Logs whose date lies from a day before the first run to a day after the last."""
     span = runs.agg(F.date_sub(F.min(first), 1).alias("_a"), F.date_add(F.max(last), 1).alias("_b"))
     return logs.join(F.broadcast(span)).where(F.col(stamp).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def member_report(names: DataFrame, container: str = "container", member: str = "member", size: str = "bytes") -> DataFrame:
+    """Per container: members and their bytes, and how many were skipped as dotfiles or parts of a resource folder."""
+    skipped = F.col(member).contains("__MACOSX") | F.col(member).rlike(r"(^|/)\.")
+    return names.groupBy(container).agg(F.count_if(~skipped).alias("members"), F.sum(F.when(~skipped, F.col(size))).alias("bytes"), F.count_if(skipped).alias("skipped"))
+
+
+def spectra_names(files: DataFrame, column: str = "name") -> DataFrame:
+    """Files of spectra by name, with ``ext`` and ``book``: names that end in ``-2`` are reference spots and stay out,
+    as does a csv whose workbook number an xlsx has."""
+    ext, book = F.regexp_extract(column, r"\.([A-Za-z]+)$", 1), F.regexp_extract(column, r"book(\d+)", 1)
+    rows = files.withColumn("ext", F.lower(ext)).withColumn("book", F.nullif(book, F.lit("")).try_cast("long"))
+    return shadowed(rows.where(F.col("ext").isin("csv", "xlsx") & ~F.col(column).rlike(r"-2\.[A-Za-z]+$")), "book", "ext")

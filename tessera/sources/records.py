@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -108,3 +109,73 @@ def palette_labels(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     # a palette has at most as many rows as there are classes
     out = pixels.join(F.broadcast(palette), ["r", "g", "b"], "left")
     return out.withColumn("label", F.when(F.col("label").isNull(), F.raise_error(F.concat_ws(",", F.lit("unknown colour"), "r", "g", "b"))).otherwise(F.col("label")).cast("int"))
+
+
+def reference_colour(json: Column, default: float = 0.1) -> Column:
+    """A reference colour's record as ``(state, mean_rgb, tolerance)``: ``absent`` for null, ``invalid`` if schema, kind,
+    values or tolerance are not as they must be, so that a damaged record is not taken for none."""
+    r = F.from_json(json, "schema_version int, kind string, mean_rgb array<double>, std_rgb array<double>, tolerance_fraction double")
+    channels = lambda c: (F.size(c) == 3) & F.forall(c, lambda v: v.between(0, 255))
+    tolerance = F.coalesce(r["tolerance_fraction"], F.lit(default))
+    fine = (r["schema_version"] == 1) & (r["kind"] == "reference_substrate_colour") & channels(r["mean_rgb"]) & channels(r["std_rgb"]) & (tolerance > 0) & (tolerance < 1)
+    fine = F.coalesce(fine, F.lit(False))
+    state = F.when(json.isNull(), "absent").when(fine, "valid").otherwise("invalid")
+    return F.struct(state.alias("state"), F.when(fine, r["mean_rgb"]).alias("mean_rgb"), F.when(json.isNotNull() & fine, tolerance).alias("tolerance"))
+
+
+def spectra(spark: SparkSession, path: str) -> DataFrame:
+    """Points ``(file, x, y)`` of spectra by the path's extension: CSV, or Parquet with arrays ``x`` and ``y``."""
+    if path.endswith(".csv"):
+        return spectra_csv(spark, path)
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path).select(F.input_file_name().alias("file"), F.inline(F.arrays_zip("x", "y")))
+    raise ValueError(f"{path}: only .csv and .parquet are read")
+
+
+def sheet_spectrum(cells: DataFrame, key: str) -> DataFrame:
+    """``(key, x_col, x, y)`` of sheets given as cells ``(key, row, col, text)``.
+
+    The heading is the first of the first three rows with a cell that starts with ``X [``. If the row above it names a
+    column ``1-B/A``, the first such one holds x, else the last one headed ``X [``; y is the column after it. Sheets
+    without a heading have no rows, cells that are no numbers are left out.
+    """
+    text = F.trim("text")
+    heads = cells.where((F.col("row") < 3) & text.startswith("X [")).groupBy(key).agg(F.min("row").alias("head"))
+    top = cells.join(heads, key).where("row between head - 1 and head")
+    ratio = F.when((F.col("row") < F.col("head")) & (F.upper(text) == "1-B/A"), F.col("col"))
+    last = F.when((F.col("row") == F.col("head")) & text.startswith("X ["), F.col("col"))
+    chosen = top.groupBy(key).agg(F.coalesce(F.min(ratio), F.max(last)).alias("x_col"))
+    near = cells.join(chosen, key).where("col = x_col or col = x_col + 1").withColumn("value", text.try_cast("double"))
+    pick = lambda c: F.max(F.when(F.col("col") == c, F.col("value")))
+    return near.groupBy(key, "x_col", "row").agg(pick(F.col("x_col")).alias("x"), pick(F.col("x_col") + 1).alias("y")).where("x is not null and y is not null").drop("row")
+
+
+def limited(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each group by an order; the limit is kept while groups are sorted."""
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return rows.withColumn("_n", nth).where(F.col("_n") <= n).drop("_n")
+
+
+def png_pixels(files: DataFrame, column: str) -> DataFrame:
+    """Pixels ``(image, y, x, value)`` of grey 8-bit PNG files whose rows carry no filter, as ``sinks.png_images`` makes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, parts, wide, high = 8, [], 0, 0
+                while at < len(data):
+                    size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+                    body = data[at + 8 : at + 8 + size]
+                    if zlib.crc32(kind + body) != int.from_bytes(data[at + 8 + size : at + 12 + size], "big"):
+                        raise ValueError(f"{image}: a damaged chunk")
+                    if kind == b"IHDR":
+                        wide, high = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+                    parts += [body] * (kind == b"IDAT")
+                    at += 12 + size
+                rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(high, wide + 1)
+                if rows[:, 0].any():
+                    raise ValueError(f"{image}: filtered rows")
+                y, x = np.indices((high, wide), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([image] * y.size), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(rows[:, 1:].ravel().astype(np.int32))], ["image", "y", "x", "value"])
+
+    return files.select("image", column).mapInArrow(run, "image string, y int, x int, value int")

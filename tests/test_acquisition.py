@@ -48,8 +48,10 @@ def test_scale_plans_and_candidates(spark):
 
 
 def test_clean_field(spark):
-    df = spark.createDataFrame([(0.9, 0.8, 3.0, 0.0, 120.0), (0.9, 0.8, 30.0, 0.0, None)], "flat_fraction double, plateau_share double, std double, clip_frac double, luminance double")
-    assert [(r.clean, r.reasons) for r in acq.clean_field(df).collect()] == [(True, []), (False, ["spread", "luminance"])]
+    rows = [(0.9, 0.9, 0, 3.0, 0.0, 120.0), (0.9, 0.8, 0, 30.0, 0.01, 120.0), (0.4, 0.9, 1, 3.0, 0.0, 30.0), (0.9, None, 0, 3.0, 0.0, 120.0)]
+    df = spark.createDataFrame(rows, "flat_fraction double, plateau_share double, other_plateaus int, std double, saturated double, luminance double")
+    got = [(r.clean, r.reasons, r.exposure) for r in acq.clean_field(df).collect()]
+    assert got == [(True, [], "ok"), (False, ["plateau", "spread"], "saturated"), (False, ["flat", "other_material"], "too_dark"), (False, ["plateau"], "ok")]
 
 
 def test_regions_around_a_seed(spark):

@@ -159,9 +159,9 @@ def test_gains_even_out_a_step(spark):
 def test_fit_recovers_two_peaks():
     x = np.linspace(1.55, 2.5, 1300)
     y = 0.1 + 0.02 * x + np.exp(-((x - 1.85) ** 2) / (2 * 0.03**2)) + 0.5 * np.exp(-((x - 2.0) ** 2) / (2 * 0.04**2)) + np.random.default_rng(1).normal(0, 0.01, 1300)
-    f = fitting.fit_one(x, y, ((1.75, 1.95), (1.9, 2.15)))
+    f = fitting.fit_one(x, y)
     assert f["ea"] == pytest.approx(1.85, abs=0.003) and f["eb"] == pytest.approx(2.0, abs=0.005)
-    assert fitting.fit_one(x[:100], y[:100], ((1.75, 1.95), (1.9, 2.15))) is None
+    assert fitting.fit_one(x[:100], y[:100]) is None
 
 
 def test_ties_are_undecided(spark):
