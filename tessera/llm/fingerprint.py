@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.portions import slices
-from tessera.session import Scratch, shuffle_partitions
+from tessera.session import shuffle_partitions
 
 BUCKETS = 256
 #: The places of a triplet's second and third byte after its first: all that fit into five bytes.
@@ -99,11 +99,9 @@ def _starts(keys: DataFrame, m: int) -> list[tuple[int, int]]:
     They are weighted quantiles of the distinct keys whose hashes are lowest, 64 for each part, so what comes to the
     driver is bounded by ``m``; the keys themselves are compared, never rounded.
     """
-    keep = Scratch(keys.sparkSession)
-    counted = keep.keep(keys.groupBy("k", "h").agg(F.count("*").alias("n")))
+    counted = keys.groupBy("k", "h").agg(F.count("*").alias("n"))
     low = counted.agg(F.min(F.struct("k", "h")).alias("low")).head().low
     rows = sorted((r.k, r.h, r.n) for r in counted.orderBy(F.xxhash64(F.lit(5), "k", "h"), "k", "h").limit(64 * m).collect())
-    keep.clear()
     total, seen, starts = sum(n for *_, n in rows), 0, set() if low is None else {tuple(low)}
     for k, h, n in rows:
         if seen * m // total != (seen + n) * m // total:
