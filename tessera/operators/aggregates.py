@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.quantiles import quantile
-from tessera.session import settle
+from tessera.session import settle, small
 
 #: Median absolute deviation to standard deviation of a normal distribution.
 TO_SIGMA = 1.4826
@@ -21,9 +21,14 @@ def median(c: Column | str) -> Column:
 def _deviation(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Per group the median, the median absolute deviation and the number of values; exact at any size of a group."""
     base = settle(quantile(df, by, value, 0.5, "med"))  # stored: both steps below use it
-    # a row per group; Spark decides by its size how it is joined
-    off = df.join(base.select(*by, "med"), list(by)).select(*by, F.abs(F.col(value) - F.col("med")).alias("_off"))
-    return settle(base.join(quantile(off, by, "_off", 0.5, "mad").select(*by, "mad"), list(by)))
+    off = _beside(df, base.select(*by, "med"), by).select(*by, F.abs(F.col(value) - F.col("med")).alias("_off"))
+    return settle(_beside(base, quantile(off, by, "_off", 0.5, "mad").select(*by, "mad"), by))
+
+
+def _beside(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their group, which has a row in ``groups``: broadcast where these have been counted to
+    be few, so that a hot group's rows stay where they are. Without keys there is one group, and one row."""
+    return df.join(small(groups), list(by)) if by else df.join(F.broadcast(groups))
 
 
 def robust_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, z: float = 3.0) -> DataFrame:
@@ -31,7 +36,7 @@ def robust_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, z: fl
     deviations of it. Rows with a null group stay out."""
     spread = _deviation(df, by, value)
     near = F.abs(F.col(value) - F.col("med")) <= z * TO_SIGMA * F.col("mad")
-    out = df.join(spread, list(by)).groupBy(*by).agg(F.first("med").alias("med"), F.first("mad").alias("mad"), F.first("n").alias("n"), F.sum(F.when(near, F.col(value) * F.col(weight))).alias("s"), F.sum(F.when(near, F.col(weight))).alias("w"))
+    out = _beside(df, spread, by).groupBy(*by).agg(F.first("med").alias("med"), F.first("mad").alias("mad"), F.first("n").alias("n"), F.sum(F.when(near, F.col(value) * F.col(weight))).alias("s"), F.sum(F.when(near, F.col(weight))).alias("w"))
     robust = F.when((F.col("mad") < 1e-6) | (F.col("n") < 4), F.col("med")).otherwise(F.try_divide("s", "w"))
     return out.select(*by, "n", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.round(robust, 6).alias("robust"))
 
@@ -40,13 +45,12 @@ def mad_z(df: DataFrame, by: Sequence[str], value: str, name: str = "z") -> Data
     """Deviations from the group's median in scaled median absolute deviations; a spread of 0 counts as 1e-9."""
     spread = _deviation(df, by, value).select(*by, F.col("med").alias("_med"), F.col("mad").alias("_mad"))
     scale = TO_SIGMA * F.when(F.col("_mad") == 0, 1e-9).otherwise(F.col("_mad"))
-    return df.join(spread, list(by)).withColumn(name, (F.col(value) - F.col("_med")) / scale).drop("_med", "_mad")
+    return _beside(df, spread, by).withColumn(name, (F.col(value) - F.col("_med")) / scale).drop("_med", "_mad")
 
 
 def focus_reference(df: DataFrame, score: str, contrast: str, least_contrast: float, least: int = 3) -> DataFrame:
     """One row: the upper quartile of the textured scores, null with fewer than three or if it is not positive."""
-    textured = F.when(F.col(contrast) >= least_contrast, F.col(score))
-    out = df.agg(F.percentile(textured, 0.75).alias("p75"), F.count(textured).alias("n"))
+    out = quantile(df.where(F.col(contrast) >= least_contrast), [], score, 0.75, "p75")
     return out.select(F.when((F.col("n") >= least) & (F.col("p75") > 0), F.col("p75")).alias("reference"))
 
 
@@ -69,8 +73,7 @@ def focus_decisions(df: DataFrame, score: str, contrast: str, least_contrast: fl
 def flag_tiles(df: DataFrame, score: str, contrast: str, std: str, size: str, clip: str, key: str) -> DataFrame:
     """An array of flags per tile, set anew on each call: flags of other makers are kept."""
     own = ["low_texture", "defocus", "focus_band", "low_contrast", "small_file", "clipped", "irregular_index"]
-    one = df.withColumn("_all", F.lit(1))
-    scored = mad_z(mad_z(one, ["_all"], std, "_zs"), ["_all"], size, "_zb").drop("_all")
+    scored = mad_z(mad_z(df, [], std, "_zs"), [], size, "_zb")
     rows = scored.join(F.broadcast(focus_reference(df, score, contrast, 4.0)))
     ratio = F.try_divide(F.col(score), F.col("reference"))
     flag = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
@@ -105,7 +108,9 @@ def edge_diagnostics(df: DataFrame, residual: Column, weight: Column, strong: fl
     """Weighted RMS, the RMS of strong edges alone, 95th percentile and maximum of the residuals, log-RMS of ratios."""
     e = df.select(residual.alias("r"), weight.alias("w"))
     rms = lambda cond: F.sqrt(F.sum(F.when(cond, F.col("w") * F.col("r") * F.col("r"))) / F.sum(F.when(cond, F.col("w"))))
-    return e.agg(F.count("*").alias("edges"), F.round(rms(F.lit(True)), 6).alias("rms"), F.round(rms(F.col("w") > strong), 6).alias("strong_rms"), F.round(F.percentile(F.abs("r"), 0.95), 6).alias("p95"), F.round(F.max(F.abs("r")), 6).alias("worst"))
+    sums = e.agg(F.count("*").alias("edges"), F.round(rms(F.lit(True)), 6).alias("rms"), F.round(rms(F.col("w") > strong), 6).alias("strong_rms"), F.round(F.max(F.abs("r")), 6).alias("worst"))
+    p95 = quantile(e.select(F.abs("r").alias("a")), [], "a", 0.95, "p95").select(F.round("p95", 6).alias("p95"))
+    return sums.join(F.broadcast(p95)).select("edges", "rms", "strong_rms", "p95", "worst")  # a row each
 
 
 def log_rms(df: DataFrame, by: Sequence[str], ratio: Column) -> DataFrame:
@@ -131,7 +136,10 @@ def placement_check(df: DataFrame, x: Column, y: Column, value: Column, short_si
     fit = affine_fit(df, x, y, value)
     rows = df.select(x.alias("x"), y.alias("y"), value.alias("v")).join(F.broadcast(fit))
     r = F.abs(F.col("v") - F.col("c0") - F.col("cx") * F.col("x") - F.col("cy") * F.col("y"))
-    out = rows.withColumn("r", r).groupBy("n", "c0", "cx", "cy").agg(median("r").alias("p50"), F.percentile("r", 0.95).alias("p95"), F.max("r").alias("worst"), F.count_if(F.col("r") > 0.25 * short_side).alias("outliers"))
+    rows = rows.withColumn("r", r)
+    out = rows.groupBy("n", "c0", "cx", "cy").agg(F.max("r").alias("worst"), F.count_if(F.col("r") > 0.25 * short_side).alias("outliers"))
+    for p, name in ((0.5, "p50"), (0.95, "p95")):
+        out = out.join(F.broadcast(quantile(rows, [], "r", p, name).select(name)))  # a row
     return out.select("n", "outliers", *(F.round(c, 6).alias(c) for c in ("c0", "cx", "cy", "p50", "p95", "worst")))
 
 

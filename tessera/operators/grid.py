@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Boxes that are gathered into one array.
+MOST = 10_000
+
 LAYERS = (1, 2, 3)
 
 
@@ -38,16 +41,29 @@ def stride_sample(px: DataFrame, step: int) -> DataFrame:
 def mark_rectangles(px: DataFrame, rectangles: DataFrame, name: str = "excluded") -> DataFrame:
     """Set ``name`` where a pixel lies in any half-open box ``(x1, y1, x2, y2)``, or was set before.
 
-    The boxes are drawn by hand and few; they are gathered into one array per row of the plan, so pixels are neither
-    shuffled nor multiplied and overlapping boxes count once.
+    Up to MOST boxes, which are counted first, are gathered into one array, so pixels are neither shuffled nor
+    multiplied. More of them meet the pixels on the cells of a raster that they cover. Overlapping boxes count once.
     """
+    if rectangles.limit(MOST + 1).count() > MOST:
+        return _mark_by_cells(px, rectangles, name)
     boxes = rectangles.agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
     hit = F.exists("boxes", lambda b: (F.col("x") >= b["x1"]) & (F.col("x") < b["x2"]) & (F.col("y") >= b["y1"]) & (F.col("y") < b["y2"]))
     before = F.coalesce(F.col(name), F.lit(False)) if name in px.columns else F.lit(False)
-    # one row of boxes: its size is bounded by the boxes that a person has drawn
+    # one row of MOST boxes at most
     return px.join(F.broadcast(boxes)).withColumn(name, before | hit).drop("boxes")
 
 
+def _mark_by_cells(px: DataFrame, rectangles: DataFrame, name: str, cell: int = 64) -> DataFrame:
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(b) - 1) / cell))
+    spread = rectangles.where("x1 < x2 and y1 < y2").withColumn("_cx", F.explode(cells("x1", "x2"))).withColumn("_cy", F.explode(cells("y1", "y2")))
+    places = px.select(F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    met = places.withColumn("_cx", F.floor(F.col("_x") / cell)).withColumn("_cy", F.floor(F.col("_y") / cell)).join(spread, ["_cx", "_cy"])
+    inside = met.where("_x >= x1 and _x < x2 and _y >= y1 and _y < y2").select("_x", "_y").distinct()
+    before = F.coalesce(F.col(name), F.lit(False)) if name in px.columns else F.lit(False)
+    out = px.join(inside, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left")
+    return out.withColumn(name, before | F.col("_x").isNotNull()).drop("_x", "_y")
+
+
 def _counts() -> list[Column]:
     kept = F.expr("valid and not excluded")
     return [

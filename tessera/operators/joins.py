@@ -57,7 +57,9 @@ def nearest_by_key(left: DataFrame, right: DataFrame, key: str, at: str, right_a
     both = left.withColumn("_side", F.lit(0)).withColumn("_at", F.col(at)).unionByName(right.select(F.col(key), F.col(right_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[c for c in right.columns if c != key]).alias("_row")), allowMissingColumns=True)
     order = Window.partitionBy(key).orderBy("_at", F.desc("_side"))
     back = F.last("_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    forth = F.first("_row", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # looking back in the reversed order: a running value, where a frame to the end would be read anew for each row
+    turned = Window.partitionBy(key).orderBy(F.desc("_at"), "_side")
+    forth = F.last("_row", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0))
     met = both.withColumn("_b", back).withColumn("_f", forth).where("_side = 0")
     nearer = F.when(F.col("_b").isNull() | (F.abs(F.col(f"_f.{right_at}") - F.col("_at")) < F.abs(F.col(f"_b.{right_at}") - F.col("_at"))), F.col("_f")).otherwise(F.col("_b"))
     return met.withColumn("nearest", nearer).drop("_side", "_at", "_row", "_b", "_f")

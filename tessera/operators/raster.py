@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import luminance
 from tessera.operators.graph import connected_components
+from tessera.session import settle, small
 
 
 def valid_region(px: DataFrame, filler: str = "white", tolerance: int = 5) -> DataFrame:
@@ -78,16 +79,16 @@ def trim_border(px: DataFrame, by: str, width: int, height: int, trim: int) -> D
 
 def label_components(px: DataFrame, by: str, mask: Column) -> DataFrame:
     """Four-connected components of a mask over tables of any size: ``(by, x, y, component)``, components named after
-    their first pixel in scan order."""
-    kept = px.where(mask).select(by, "x", "y").withColumn("node", F.col("y").cast("long") * 1_000_003 + F.col("x"))
-    key = F.struct(by, "node")
-    here = kept.select(key.alias("dst"), by, "x", "y")
-    near = kept.select(key.alias("src"), by, "x", "y")
-    right = near.withColumn("x", F.col("x") + 1).join(here, [by, "x", "y"]).select("src", "dst")
-    below = near.withColumn("y", F.col("y") + 1).join(here, [by, "x", "y"]).select("src", "dst")
-    alone = kept.select(key.alias("src"), key.alias("dst"))
-    found = connected_components(right.unionByName(below).unionByName(alone))
-    return found.select(F.col(f"node.{by}").alias(by), (F.col("node.node") % 1_000_003).cast("int").alias("x"), F.floor(F.col("node.node") / 1_000_003).cast("int").alias("y"), F.col("component.node").alias("component"))
+    their first pixel in scan order. Runs of pixels in a row are found first and are the nodes; runs that touch in
+    neighbouring rows are linked."""
+    kept = px.where(mask).select(by, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    row = Window.partitionBy(by, "y").orderBy("x")
+    runs = kept.withColumn("_g", F.col("x") - F.row_number().over(row)).withColumn("_s", F.min("x").over(Window.partitionBy(by, "y", "_g")))
+    runs = settle(runs.select(by, "x", "y", F.struct(by, (F.col("y").cast("long") * 1_000_003 + F.col("_s")).alias("node")).alias("run")))
+    below = runs.select(by, "x", (F.col("y") + 1).alias("y"), F.col("run").alias("src")).join(runs.select(by, "x", "y", F.col("run").alias("dst")), [by, "x", "y"])
+    alone = runs.select(F.col("run").alias("src"), F.col("run").alias("dst"))
+    found = connected_components(below.select("src", "dst").unionByName(alone).distinct())
+    return runs.join(found, F.col("run") == F.col("node")).select(by, "x", "y", F.col("component.node").alias("component"))
 
 
 def fill_holes(px: DataFrame, by: str, mask: str) -> DataFrame:
@@ -192,8 +193,7 @@ def flat_field(px: DataFrame, value: str = "grey", least: int = 8, blur: float |
 
 def render(px: DataFrame, positions: DataFrame, tile_w: int, tile_h: int, background: float = 0.0) -> DataFrame:
     """The mosaic of tiles at their positions: feather-weighted mean per canvas pixel, rounded by a half and clamped."""
-    # positions: a row per tile
-    placed = px.join(F.broadcast(positions.select(F.col("tile").alias("_t"), "left", "top")), F.col("tile") == F.col("_t"))
+    placed = px.join(small(positions.select(F.col("tile").alias("_t"), "left", "top"), 100_000), F.col("tile") == F.col("_t"))
     w = F.greatest(F.least(F.col("x") + 1, tile_w - F.col("x")) * F.least(F.col("y") + 1, tile_h - F.col("y")) / F.lit(float((tile_w + 1) // 2 * ((tile_h + 1) // 2))), F.lit(1e-4))
     out = placed.select((F.col("x") + F.col("left")).alias("x"), (F.col("y") + F.col("top")).alias("y"), (F.col("grey") * w).alias("v"), w.alias("w")).groupBy("x", "y").agg((F.sum("v") / F.sum("w")).alias("v"), F.count("*").alias("tiles"))
     return out.select("x", "y", "tiles", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(F.coalesce("v", F.lit(background)), 9) + 0.5))).cast("int").alias("grey"))
@@ -253,8 +253,7 @@ def grow_region(px: DataFrame, by: str, seed: tuple[int, int], tolerance: float)
     """The component around a seed pixel of the colours near the seed's."""
     x, y = seed
     at = px.where((F.col("x") == x) & (F.col("y") == y)).select(by, *(F.col(c).alias(f"_{c}") for c in "rgb"))
-    # a pixel per image
-    near = px.join(F.broadcast(at), by).withColumn("_near", F.sqrt(sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in "rgb")) <= tolerance)
+    near = px.join(small(at), by).withColumn("_near", F.sqrt(sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in "rgb")) <= tolerance)
     parts = label_components(near, by, F.col("_near"))
     mine = parts.where((F.col("x") == x) & (F.col("y") == y)).select(by, "component")
     return parts.join(mine, [by, "component"], "left_semi")

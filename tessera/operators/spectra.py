@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import small
+
 
 def points(spectra: DataFrame, ident: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per sample of each spectrum: position from 0 and value."""
@@ -25,8 +27,7 @@ def shape_correlation(spectra: DataFrame, template: DataFrame, ident: str, y: st
     cond = F.col("pos") == F.col("_p")
     for k in on:
         cond = cond & (F.col(k) == F.col(f"t_{k}"))
-    # templates: classes times positions, a table of fixed size
-    met = points(spectra, ident, y, on).join(F.broadcast(t), cond)
+    met = points(spectra, ident, y, on).join(small(t, 100_000), cond)
     r = met.groupBy(ident, *(f"t_{k}" for k in keys)).agg(F.corr("val", "median").alias("r"))
     return r.groupBy(ident).agg(F.max_by(F.struct(*(f"t_{k}" for k in keys)), F.struct("r", *(-F.col(f"t_{k}") for k in keys))).alias("best"), F.max("r").alias("r"))
 
@@ -70,8 +71,7 @@ def with_reference(fits: DataFrame, reference: DataFrame, substrate: str, thresh
     """Fits with what is calibrated for their substrate: ``threshold`` (else the default, and ``calibrated`` is false),
     ``amplitude`` between one layer and two (null: not decided by it), ``amp_gap`` and ``ea_gap`` whether amplitude or
     energy separate the classes, ``ea_threshold`` and ``ea_gap_mev``."""
-    # a row per substrate
-    known = F.broadcast(reference.withColumnRenamed(substrate, "_s"))
+    known = small(reference.withColumnRenamed(substrate, "_s"))
     out = fits.join(known, F.col(substrate) == F.col("_s"), "left").withColumn("calibrated", F.col("_s").isNotNull())
     return out.withColumns({"threshold": F.coalesce("threshold", F.lit(threshold)), "amp_gap": F.coalesce("amp_gap", F.lit(False)), "ea_gap": F.coalesce("ea_gap", F.lit(False))}).drop("_s")
 

@@ -35,10 +35,10 @@ va AS (SELECT i.x, i.y, any_value(i.grey) AS grey, any_value(i.label) AS label,
 
 @registry.add(f"""WITH RECURSIVE {IMG}, {VARIANCE}, hit AS (SELECT x, y FROM va WHERE (variance < 150 OR grey < 90) AND label > 0 AND valid), {_parts("comp", "hit")},
 m AS (SELECT component, va.* FROM comp JOIN va USING (x, y)), k AS (SELECT component, label, count(*) AS n FROM m GROUP BY ALL), top AS (SELECT component, arg_max(label, (n, -label)) AS dominant, max(n) AS n FROM k GROUP BY 1), cls AS (SELECT label, count(*) AS total FROM va WHERE label > 0 AND valid GROUP BY 1),
-g AS (SELECT component, count(*) AS area_px, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1, round(avg(grey), 6) AS mean_grey, round(avg(variance), 4) AS mean_var FROM m GROUP BY 1 HAVING count(*) >= 4)
+g AS (SELECT component, count(*) AS area_px, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1, round(avg(grey), 6) AS mean_grey, round(avg(variance), 4) AS mean_var FROM m GROUP BY 1 HAVING count(*) >= 2)
 SELECT g.*, dominant, round(100.0::DOUBLE * n / total, 6) AS pct_of_class FROM g JOIN top USING (component) JOIN cls ON label = dominant""")
 def low_variance_regions(spark: SparkSession, d: str) -> DataFrame:
-    out = raster.alarms(image(spark, d), "image", WIDE, HIGH, 2, 150.0, 90.0, 4)
+    out = raster.alarms(image(spark, d), "image", WIDE, HIGH, 2, 150.0, 90.0, 2)
     return rounded(rounded(out.drop("image"), "mean_grey", "pct_of_class"), "mean_var", places=4)
 
 

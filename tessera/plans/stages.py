@@ -178,13 +178,13 @@ def workflow_state(spark: SparkSession, d: str) -> DataFrame:
     return stages.latest_by(j.withColumnRenamed("event", "step"), "step", "place", ["user_id", "event_id"])
 
 
-@registry.add(f"""WITH RECURSIVE {IMG}, {VARIANCE}, hit AS (SELECT x, y FROM va WHERE (variance < 150 OR grey < 90) AND label > 0 AND valid), {_parts("comp", "hit")}, a AS (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= 4),
+@registry.add(f"""WITH RECURSIVE {IMG}, {VARIANCE}, hit AS (SELECT x, y FROM va WHERE (variance < 150 OR grey < 90) AND label > 0 AND valid), {_parts("comp", "hit")}, a AS (SELECT component FROM comp GROUP BY 1 HAVING count(*) >= 2),
 w AS (SELECT user_id, count(*) AS votes, count(DISTINCT event_type) AS kinds, min(event_type) AS verdict FROM events WHERE event_id % 8 = 0 GROUP BY 1), p AS (SELECT count(*) FILTER (WHERE verdict = 'error') AS flagged, count(*) AS answered, count(*) FILTER (WHERE kinds = 1 AND verdict = 'error') AS systematic FROM w)
 SELECT (SELECT count(*) FROM a) AS alarms, flagged, answered, systematic, (SELECT count(*) FROM a) > 0 OR flagged > 0.2 * answered OR systematic > 0 AS escalate FROM p""")
 def stage_audit(spark: SparkSession, d: str) -> DataFrame:
     """Alarms of the raster beside a sample's votes: any alarm, many flagged windows or one unanimous systematic fault
     ask for a person; split votes alone do not, and the mask is not touched."""
-    found = raster.alarms(image(spark, d), "image", WIDE, HIGH, 2, 150.0, 90.0, 4).agg(F.count("*").alias("alarms"))
+    found = raster.alarms(image(spark, d), "image", WIDE, HIGH, 2, 150.0, 90.0, 2).agg(F.count("*").alias("alarms"))
     answers = table(spark, d, "events").where("event_id % 8 = 0").groupBy("user_id").agg(F.count("*").alias("votes"), F.count_distinct("event_type").alias("kinds"), F.min("event_type").alias("verdict"), F.lit(1.0).alias("confidence"))
     pilot = votes.audit_summary(answers, 3, ("error",), "error").select("flagged", "answered", F.col("unanimous_systematic").alias("systematic"))
     both = found.join(F.broadcast(pilot))  # a row each

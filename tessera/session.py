@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tessera", cpus: int | None = None) -> SparkSession:
@@ -83,6 +84,12 @@ def remove(spark: SparkSession, *folders: str) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table to join with: marked for broadcast if it has been counted to have ``most`` rows or fewer, else as it is,
+    for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 class Scratch:
     """Tables written on the way to a result, removed together once it is stored."""
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions import scalar
+from tessera.session import small
 
 
 def tolerant_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -106,8 +107,7 @@ def image_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 def palette_labels(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """Labels by exact colour ``(r, g, b, label)``; a colour that the palette lacks fails the job."""
-    # a palette has at most as many rows as there are classes
-    out = pixels.join(F.broadcast(palette), ["r", "g", "b"], "left")
+    out = pixels.join(small(palette), ["r", "g", "b"], "left")
     return out.withColumn("label", F.when(F.col("label").isNull(), F.raise_error(F.concat_ws(",", F.lit("unknown colour"), "r", "g", "b"))).otherwise(F.col("label")).cast("int"))
 
 

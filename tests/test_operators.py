@@ -29,6 +29,7 @@ def test_overlapping_rectangles_count_once(spark):
     boxes = spark.createDataFrame([(0, 0, 2, 2), (1, 1, 3, 3)], "x1 int, y1 int, x2 int, y2 int")
     assert grid.mark_rectangles(px, boxes).where("excluded").count() == 7
     assert grid.mark_rectangles(px, boxes.limit(0)).where("excluded").count() == 0
+    assert sorted(map(str, grid._mark_by_cells(px, boxes, "excluded", 2).collect())) == sorted(map(str, grid.mark_rectangles(px, boxes).collect()))
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
