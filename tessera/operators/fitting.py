@@ -30,18 +30,22 @@ def _slopes(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def levenberg(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Damped least squares inside bounds: steps are cut at them."""
-    p, damp = np.clip(start, low, high), 1e-2
+def levenberg(x: np.ndarray, y: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """Damped least squares inside bounds: a parameter at a bound that would leave it stays there for the step, and
+    steps are cut at the bounds."""
+    p, damp = np.clip(start, low, high), 1.0
     error = float(((model(p, x) - y) ** 2).sum())
     for _ in range(rounds):
         j = _slopes(p, x)
         a, g = j.T @ j, j.T @ (y - model(p, x))
-        step = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), g, rcond=None)[0]
+        free = np.flatnonzero(~(((p <= low) & (g < 0)) | ((p >= high) & (g > 0))))
+        part = a[np.ix_(free, free)]
+        step = np.zeros_like(p)
+        step[free] = np.linalg.lstsq(part + damp * np.diag(np.maximum(np.diag(part), 1e-12)), g[free], rcond=None)[0]
         tried = np.clip(p + step, low, high)
         now = float(((model(tried, x) - y) ** 2).sum())
         if now < error:
-            small = error - now <= 1e-10 * error
+            small = error - now <= 1e-12 * error
             p, error, damp = tried, now, max(1e-9, damp / 3)
             if small:
                 break

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import Scratch, remove, stored
+
 
 def neighbour_pairs(tiles: DataFrame, value: str = "metric") -> DataFrame:
     """Each tile with the next below and the next to the right, by the place in the sorted list of rows and columns.
@@ -227,3 +229,40 @@ def equal_sets(left: DataFrame, right: DataFrame, by: str, ident: str) -> DataFr
     met = a.join(b, (F.col(by) == F.col("_b")) & (F.col(ident) == F.col("_i")), "full_outer")
     lone = F.col(ident).isNull() | F.col("_i").isNull()
     return met.groupBy(F.coalesce(by, "_b").alias(by)).agg(F.bool_and(~lone).alias("same"), F.count_if(lone).alias("differing"))
+
+
+def cached_answers(requests: DataFrame, stored_answers: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """Requests with the answer that is stored under the digest of their payload, if there is one: a request that was
+    asked before is not asked again."""
+    asked = requests.withColumn("request", F.sha2(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}), 256))
+    known = stored_answers.select(F.col("request").alias("_r"), "answer")
+    return asked.join(known, F.col("request") == F.col("_r"), "left").drop("_r").withColumn("cached", F.col("answer").isNotNull())
+
+
+def first_seen_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Greedy groups of pairs ``(a, b)``, a the smaller: ``(leader, member)``.
+
+    In ascending order an id that is in no group yet leads one, of itself and all larger ids it is paired with that
+    are in none. So an id leads if none of its smaller partners does, and is a member of its least partner that leads.
+    Each round decides the ids whose smaller partners are all decided; what is decided is written and the last round's
+    tables removed.
+    """
+    spark = pairs.sparkSession
+    keep = Scratch(spark)
+    edges = keep.keep(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x < y").distinct())
+    ids = edges.select(F.col("x").alias("id")).unionByName(edges.select(F.col("y").alias("id"))).distinct()
+    state, folder = stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "groups")
+    while not state.where("leads is null").isEmpty():
+        smaller = state.select(F.col("id").alias("x"), F.col("leads").alias("l"))
+        below = edges.join(smaller, "x").groupBy("y").agg(F.coalesce(F.bool_or("l"), F.lit(False)).alias("some"), F.bool_and(F.col("l").isNotNull()).alias("all"))
+        met = state.join(below, F.col("id") == F.col("y"), "left")
+        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("some", F.lit(False)), False).when(F.coalesce("all", F.lit(True)), True)
+        was = folder
+        state, folder = stored(met.select("id", leads.alias("leads")), "groups")
+        remove(spark, was)
+    leaders = state.where("leads").select("id")
+    own = edges.join(leaders, edges["x"] == leaders["id"], "left_semi").groupBy("y").agg(F.min("x").alias("leader")).select("leader", F.col("y").alias("member"))
+    out, _ = stored(own.join(leaders, own["member"] == leaders["id"], "left_anti"), "groups")
+    keep.clear()
+    remove(spark, folder)
+    return out

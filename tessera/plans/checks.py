@@ -456,3 +456,23 @@ SELECT substrate, flag AS rule_flag, count(*) AS n, count(label) AS labelled, co
 def rule_labels(spark: SparkSession, d: str) -> DataFrame:
     truth = F.element_at(F.array(F.lit("2H"), F.lit("1L"), F.lit("3R")), (F.col("vec_id") % 3 + 1).cast("int"))
     return spectra.agreement(_rules(spark, d), ["substrate", "rule_flag"], truth, F.col("rule_label"), (("1L", "3R-or-1L"), ("3R", "3R-or-1L")))
+
+
+@registry.add("""SELECT event_id, event_id % 4 = 0 AS cached, CASE WHEN event_id % 4 = 0 THEN 'seen ' || event_type END AS answer FROM events""")
+def cached_answers(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("role"), (F.col("event_id") % 1000).alias("part"))
+    payload = ["event_id", "role", "part"]
+    store = e.where("event_id % 4 = 0").select(F.sha2(F.to_json(F.struct(*payload)), 256).alias("request"), F.concat(F.lit("seen "), F.col("role")).alias("answer"))
+    return joins.cached_answers(e, store, payload).select("event_id", "cached", "answer")
+
+
+NEAR = "pos AS (SELECT p_partkey AS id, (p_partkey * 37 % 400)::DOUBLE AS x, (p_size * 8)::DOUBLE AS y FROM part), pr AS (SELECT a.id AS a, b.id AS b FROM pos a JOIN pos b ON a.id < b.id AND abs(a.x - b.x) < 8 AND abs(a.y - b.y) < 12)"
+
+
+@registry.add(f"""WITH RECURSIVE {NEAR}, nb AS (SELECT b AS id, list(a) AS smaller FROM pr GROUP BY 1), ids AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT a AS id FROM pr UNION SELECT b FROM pr)), seq AS (SELECT n, ids.id, coalesce(smaller, []) AS smaller FROM ids LEFT JOIN nb USING (id)),
+r(n, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT r.n + 1, CASE WHEN list_has_any(r.leaders, s.smaller) THEN r.leaders ELSE list_append(r.leaders, s.id) END FROM r JOIN seq s ON s.n = r.n + 1), last AS (SELECT unnest(arg_max(leaders, n)) AS id FROM r)
+SELECT min(a) AS leader, b AS member FROM pr WHERE a IN (SELECT id FROM last) AND b NOT IN (SELECT id FROM last) GROUP BY b""")
+def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles at nearly one place, grouped greedily in the order of their ids."""
+    pos = table(spark, d, "part").selectExpr("p_partkey as id", "cast(p_partkey * 37 % 400 as double) as x", "cast(p_size * 8 as double) as y")
+    return joins.first_seen_groups(joins.band_pairs(pos, 8.0, 12.0, "id"))

@@ -5,7 +5,7 @@ from tessera.plans import catalogue
 from tests.compare import same
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
-MAY_BE_EMPTY = {"count_outlier_groups", "console_line_scan", "spatial_duplicates", "components"}
+MAY_BE_EMPTY = {"low_variance_regions", "count_outlier_groups", "console_line_scan", "spatial_duplicates", "components"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
