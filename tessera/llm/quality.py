@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.portions import by_length, slices
+from tessera.llm.portions import by_length, give_back, slices
 
 FEATURES = 1 << 16
 #: Zero vectors that every average includes, so that a few features alone decide nothing.
@@ -24,7 +24,8 @@ FACTOR, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Up to so many different words are kept with their scores by a worker, then the store starts anew; letters of words
 #: taken at a time.
 KEPT, LETTERS = 200_000, 500_000
-#: Features of the labelled documents that the driver holds at most, six bytes each.
+#: Features of the labelled documents that the driver holds at most, four bytes each (ten in texts that hold one more than
+#: 65,535 times).
 ROOM = 30_000_000
 
 
@@ -94,7 +95,8 @@ def bag(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
     for i, n in zip(known.tolist(), times.tolist(), strict=True):
         np.add.at(total, words.rows[i], n)
     ids = np.flatnonzero(total)
-    return ids.astype(np.uint16), total[ids].astype(np.float32)
+    found = total[ids]
+    return ids.astype(np.uint16), found.astype(np.uint16 if found.max(initial=0) < 1 << 16 else np.uint64)
 
 
 @dataclass(frozen=True)
@@ -126,13 +128,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], dim: int
         return Model(np.zeros(FEATURES, np.float32), float(prior[1] - prior[0]))
     vectors = rng.uniform(-1 / dim, 1 / dim, (FEATURES, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), prior.astype(np.float32)
-    shares = [(c / (c.sum() + PAD)).astype(np.float32) for _, c in bags]
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)).tolist():
             step = rate * (1 - done / steps)
             done += 1
-            ids, share = bags[i][0], shares[i]
+            ids, counts = bags[i]
+            share = (counts / (counts.sum(dtype=np.float64) + PAD)).astype(np.float32)
             mean = share @ vectors[ids] if len(ids) else np.zeros(dim, np.float32)
             logits = out @ mean + bias
             p = np.exp(logits - logits.max())
@@ -177,9 +179,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc
         room -= len(r.ids) // 2
         if room < 0 and bags:
             break
-        bags.append((np.frombuffer(r.ids, np.uint16), np.frombuffer(r.counts, np.float32)))
+        bags.append((np.frombuffer(r.ids, np.uint16), np.frombuffer(r.counts, np.uint16 if len(r.counts) == len(r.ids) else np.uint64)))
         marks.append(r.y)
-    return train(bags, marks)
+    model = train(bags, marks)
+    del bags, rows
+    give_back()
+    return model
 
 
 def score(rows: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
