@@ -113,10 +113,12 @@ def _block_search(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, share: f
         part = range(start, min(start + STEP, len(own)))
         floor = np.full(len(part), -np.inf)
         for at, i in enumerate(part):
-            # the n of the largest gain, ties to the smaller id: ids ascend, so the code falls along them
-            code = gain[i].astype(np.int64) * len(ids) - np.arange(len(ids))
-            first = np.argpartition(-code, n - 1)[:n] if n < len(ids) else np.arange(len(ids))
-            first = first[gain[i, first] >= 0]
+            # what no file of the query's pivots holds is not ranked; of the rest the n of the largest gain, ties to the
+            # smaller id: ids ascend, so the code falls along them
+            first = np.flatnonzero(gain[i] > 0) if known else np.flatnonzero(gain[i] >= 0)
+            if len(first) > n:
+                code = gain[i, first].astype(np.int64) * len(ids) - first
+                first = first[np.argpartition(-code, n - 1)[:n]]
             if len(first) >= k:
                 floor[at] = -np.partition(-(x[first] * q[i]).sum(axis=1), k - 1)[k - 1]
         with np.errstate(over="ignore", invalid="ignore"):
@@ -140,14 +142,16 @@ def _block_search(queries: pd.DataFrame, vectors: pd.DataFrame, k: int, share: f
     return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
 
 
-def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int = 256, length: int = 64, share: float = 0.2, least: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int = 256, length: int = 16, share: float = 0.2, least: int = 128, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query row its k nearest other rows by inner product.
 
     Every vector becomes the order of its nearest pivots. Vectors are dealt into blocks and queries into sets of a
-    bounded size each by a hash of their id; each set meets each block once. There the inverted files give the
-    footrule distance of all pairs, the ``share`` of the block (``least`` rows at least) that it ranks first is scored
-    exactly in double precision, and so is all else that lengths and nearest pivots don't rule out; the block's k best go
-    on, and last each query's are merged. The result is exact; ``share`` decides how much work it is.
+    bounded size each by a hash of their id; each set meets each block once. There every vector is posted in the files
+    of its pivots, and a query looks into those of its own: vectors of which no pivot is among the query's are not
+    met. What is met is ranked by footrule distance, the ``share`` of the block (``least`` rows at least) that comes
+    first is scored exactly in double precision, and so is all else that lengths and nearest pivots don't rule out; the
+    block's k best go on, and last each query's are merged. The result is exact; ``length`` and ``share`` decide how
+    much work it is.
 
     Left out are rows with a null id, null, empty and zero vectors, and those with null or non-finite components.
     Vectors have products with those of as many components alone: each number of components is searched for itself,
