@@ -326,12 +326,17 @@ def alarms(px: DataFrame, by: str, width: int, height: int, reach: int = 16, var
     return out.join(classes, [by, "dominant"]).withColumn("pct_of_class", 100.0 * F.col("top.n") / F.col("_all")).drop("top", "_all")
 
 
-def candidates(px: DataFrame, by: str, target: int, width: int, height: int, reach: int = 2, least_pct: float = 1.0, most: int = 8) -> DataFrame:
-    """The largest regions of a class after closing, at most ``most`` of ``least_pct`` percent of it and more: area of the
-    class's own pixels, shares of class and crystal, box, fill of the box, mean grey. From ``(x, y, grey, label, valid)``."""
+def closed_parts(px: DataFrame, by: str, target: int, width: int, height: int, reach: int = 2) -> DataFrame:
+    """Components of a class after closing."""
+    shut = closed(px.withColumn("_closed", (F.col("label") == target) & F.col("valid")), by, "_closed", reach, width, height)
+    return label_components(shut, by, F.col("_closed"))
+
+
+def candidates(px: DataFrame, by: str, target: int, parts: DataFrame, least_pct: float = 1.0, most: int = 8) -> DataFrame:
+    """The largest regions of a class, at most ``most`` of ``least_pct`` percent of it and more: area of the class's own
+    pixels, shares of class and crystal, box, fill of the box, mean grey. From pixels ``(x, y, grey, label, valid)`` and
+    the class's ``closed_parts``."""
     own = px.withColumn("_sel", (F.col("label") == target) & F.col("valid"))
-    shut = closed(own.withColumn("_closed", F.col("_sel")), by, "_closed", reach, width, height)
-    parts = label_components(shut, by, F.col("_closed"))
     box = parts.groupBy(by, "component").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
     held = parts.join(own.where("_sel"), [by, "x", "y"]).groupBy(by, "component").agg(F.count("*").alias("area_px"), F.avg("grey").alias("mean_grey"))
     totals = own.groupBy(by).agg(F.count_if("_sel").alias("_class"), F.count_if((F.col("label") > 0) & F.col("valid")).alias("_crystal"))
@@ -351,13 +356,14 @@ def exclusion_mask(px: DataFrame, by: str, parts: DataFrame, excluded: DataFrame
 def central_rectangle(px: DataFrame, by: str, target: int, width: int, height: int, pad: float = 0.08, margin: float = 0.02, least_area: float = 0.01, most_box: float = 0.40) -> DataFrame:
     """One row per candidate region with the reasons against it, its padded rectangle, and ``selected`` where just one
     region of the image has none: a large region in the interior whose box holds the middle."""
-    found = candidates(px, by, target, width, height)
+    parts = closed_parts(px, by, target, width, height)
+    found = candidates(px, by, target, parts)
     box = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     mx, my = -(-width * margin // 1), -(-height * margin // 1)
     sel = (F.col("label") == target) & F.col("valid")
-    touching = label_components(px, by, sel).groupBy(by, "component").agg(F.max((F.col("x").isin(0, width - 1)) | (F.col("y").isin(0, height - 1))).alias("edge"))
-    rim = label_components(px, by, sel).join(touching.where("edge"), [by, "component"], "left_semi").select(by, F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
-    parts = label_components(closed(px.withColumn("_closed", sel), by, "_closed", 2, width, height), by, F.col("_closed"))
+    raw = label_components(px, by, sel)
+    touching = raw.groupBy(by, "component").agg(F.max((F.col("x").isin(0, width - 1)) | (F.col("y").isin(0, height - 1))).alias("edge"))
+    rim = raw.join(touching.where("edge"), [by, "component"], "left_semi").select(by, F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
     bound = parts.join(rim, (parts[by] == rim[by]) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select(parts[by], "component").distinct().withColumn("_edge", F.lit(True))
     rules = [
         ("off_centre", ~((F.col("x0") <= width / 2) & (F.col("x1") > width / 2) & (F.col("y0") <= height / 2) & (F.col("y1") > height / 2))),

@@ -50,7 +50,8 @@ cand AS (SELECT component, area_px, mean_grey, x0, x1, y0, y1, 100.0::DOUBLE * a
 
 @registry.add(f"WITH RECURSIVE {IMG}, {PROPOSED} SELECT component, area_px, x0, x1, y0, y1, rank, round(mean_grey, 6) AS mean_grey, round(pct_of_class, 6) AS pct_of_class, round(pct_of_crystal, 6) AS pct_of_crystal, round(bbox_fill, 6) AS bbox_fill FROM cand")
 def region_proposals(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(raster.candidates(image(spark, d), "image", 3, WIDE, HIGH).drop("image"), "mean_grey", "pct_of_class", "pct_of_crystal", "bbox_fill")
+    px = image(spark, d)
+    return rounded(raster.candidates(px, "image", 3, raster.closed_parts(px, "image", 3, WIDE, HIGH)).drop("image"), "mean_grey", "pct_of_class", "pct_of_crystal", "bbox_fill")
 
 
 MASKED = f"""{SELECTED}, gone AS (SELECT img.x, img.y, comp.x IS NOT NULL AS m FROM img LEFT JOIN comp ON comp.x = img.x AND comp.y = img.y AND comp.component % 3 <> 0), {_closed('rim', 'gone', 4)}, open_ AS (SELECT x, y FROM rim WHERE NOT m), {_parts('back', 'open_')},
@@ -60,8 +61,7 @@ hole AS (SELECT component FROM back GROUP BY 1 HAVING min(x) > 0 AND max(x) < {W
 @registry.add(f"WITH RECURSIVE {IMG}, {MASKED} SELECT label, count(*) AS n, count(*) FILTER (WHERE out_) AS excluded_px FROM img JOIN mask USING (x, y) GROUP BY label")
 def region_mask(spark: SparkSession, d: str) -> DataFrame:
     px = image(spark, d)
-    shut = raster.closed(px.withColumn("_closed", F.expr("label = 3 and valid")), "image", "_closed", 2, WIDE, HIGH)
-    parts = raster.label_components(shut, "image", F.col("_closed"))
+    parts = raster.closed_parts(px, "image", 3, WIDE, HIGH)
     gone = parts.where("component % 3 <> 0").select("image", "component").distinct()
     return raster.exclusion_mask(px, "image", parts, gone, WIDE, HIGH).groupBy("label").agg(F.count("*").alias("n"), F.count_if("_out").alias("excluded_px"))
 

@@ -196,8 +196,7 @@ def stage_regions(spark: SparkSession, d: str) -> DataFrame:
     """Regions proposed, voted on, overridden and painted: what is left to count. Two of three votes exclude; a person
     keeps every third region."""
     px_ = image(spark, d)
-    shut = raster.closed(px_.withColumn("_closed", F.expr("label = 3 and valid")), "image", "_closed", 2, WIDE, HIGH)
-    parts = raster.label_components(shut, "image", F.col("_closed"))
+    parts = raster.closed_parts(px_, "image", 3, WIDE, HIGH)
     regions = parts.select("image", "component").distinct()
     answers = regions.withColumn("voter", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select("image", "component", F.lit("pool").alias("category"), F.lit(0.9).alias("confidence"), F.lit(True).alias("exclude"))
     voted = votes.keep_or_exclude(votes.tally(answers, "component", "category", "confidence", "exclude"))

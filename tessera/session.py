@@ -58,21 +58,22 @@ def new_folder(spark: SparkSession, what: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: the rows are computed once and survive lost executors."""
     shared_folder(df.sparkSession)
-    return gathered(df).checkpoint(eager=True)
+    return df.checkpoint(eager=True)
 
 
 def gathered(df: DataFrame) -> DataFrame:
     """The rows in four partitions for each core at most: what is written on the way to a result then has a file for
-    each of these, rather than for each shuffle partition, however many there are."""
+    each of these, rather than for each shuffle partition, however many there are. Not for what is made straight from a
+    scan of texts, whose tasks would become long."""
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def stored(df: DataFrame, what: str = "rows") -> tuple[DataFrame, str]:
+def stored(df: DataFrame, what: str = "rows", gather: bool = True) -> tuple[DataFrame, str]:
     """The rows written to the shared folder and read again, and where they lie. Unlike a checkpoint the result knows
     its true size, so estimates don't grow from round to round, and it can be removed when it is no longer read."""
     spark = df.sparkSession
     folder = new_folder(spark, what)
-    gathered(df).write.parquet(folder)
+    (gathered(df) if gather else df).write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
@@ -96,8 +97,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folders = spark, []
 
-    def keep(self, df: DataFrame, what: str = "rows") -> DataFrame:
-        out, folder = stored(df, what)
+    def keep(self, df: DataFrame, what: str = "rows", gather: bool = True) -> DataFrame:
+        out, folder = stored(df, what, gather)
         self.folders.append(folder)
         return out
 
