@@ -163,7 +163,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     square. Texts without words are one group; null ids are ids like others; an empty table gives no rows.
     """
     keep = Scratch(docs.sparkSession)
-    own = keep.keep(prints(docs, id_col, text_col))
+    own = keep.keep(prints(docs, id_col, text_col), gather=False)
     one = own.groupBy("shape").agg(F.min("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"))
     one = keep.keep(one.select("shape", "size", *(F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(LONGS)), "bands"))
     entry = F.struct("shape", "size", *(f"s{i}" for i in range(LONGS)))

@@ -20,9 +20,9 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 UNKNOWN_PENALTY = 10.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Words of which a worker keeps the ids, bits of the tables of pairs and of hashes.
-WORDS, PAIR_BITS, SEEN_BITS = 200_000, 20, 22
+WORDS, PAIR_BITS, SEEN_BITS = 150_000, 20, 22
 #: Longer words are cut where no piece crosses; letters of words that are taken at a time.
-LONG, LETTERS = 64, 200_000
+LONG, LETTERS = 64, 100_000
 
 
 @dataclass(frozen=True)

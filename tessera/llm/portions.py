@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have about so many bytes, one row at least, so that only that much is ever held
     as Python objects. In the end the memory that is kept for later is given back: a worker lives on."""
     for b in batches:

@@ -23,7 +23,7 @@ LOW, HIGH = 3, 5
 FACTOR, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 #: Up to so many different words are kept with their scores by a worker, then the store starts anew; letters of words
 #: taken at a time.
-KEPT, LETTERS = 200_000, 500_000
+KEPT, LETTERS = 150_000, 200_000
 #: Features of the labelled documents that the driver holds at most, four bytes each (ten in texts that hold one more than
 #: 65,535 times).
 ROOM = 30_000_000

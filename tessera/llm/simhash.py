@@ -92,7 +92,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (null if there are none), an empty table gives no rows; other columns are not read.
     """
     keep = Scratch(docs.sparkSession)
-    own, _ = stored(fingerprints(docs, id_col, text_col, words), "prints")
+    own, _ = stored(fingerprints(docs, id_col, text_col, words), "prints", gather=False)
     distinct = keep.keep(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     members = connected_components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     # stored, so that a component with most of the fingerprints, and a fingerprint with most of the rows, can be split
