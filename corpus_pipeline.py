@@ -99,7 +99,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def step(done: tuple[DataFrame, str | None], stage: tuple) -> tuple[DataFrame, str | None]:
         docs, was = done
-        out, folder = stored(stage[1](spark, docs, sf_dir), stage[0].replace(" ", "-"))
+        out, folder = stored(stage[1](spark, docs, sf_dir), stage[0].replace(" ", "-"), gather=False)
         remove(spark, *[was] * bool(was))
         return out, folder
 
