@@ -19,10 +19,10 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: What a character without a piece costs below the lowest score, as the format's lattices have it.
 UNKNOWN_PENALTY = 10.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words of which a worker keeps the ids, bits of the tables of pairs and of hashes.
-WORDS, PAIR_BITS, SEEN_BITS = 150_000, 20, 22
+#: Bits of the tables of pairs and of hashes.
+PAIR_BITS, SEEN_BITS = 20, 22
 #: Longer words are cut where no piece crosses; letters of words that are taken at a time.
-LONG, LETTERS = 64, 100_000
+LONG, LETTERS = 64, 200_000
 
 
 @dataclass(frozen=True)
@@ -248,14 +248,15 @@ class Coder:
             out[r] = np.array(ids, np.int32).tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], keep: int = 300_000) -> list[np.ndarray]:
+        """The ids of each text; those of about ``keep`` words are remembered."""
         split = []
         for t in texts:
             t = t.replace(" ", SPACE)
             t = SPACE + t if self.model.dummy_prefix and t else t
             words = self.word.findall(t) if self.apart else [t] if t else []
             split.append([x for w in words for x in self.parts(w)] if max(map(len, words), default=0) > LONG else words)
-        if len(self.words) > WORDS:
+        if len(self.words) > keep:
             self.words.clear()
         for group in by_length({w for ws in split for w in ws if w not in self.words}, LETTERS):
             self.words.update(zip(group, self.lattice(group), strict=True))
@@ -272,19 +273,20 @@ def coder(model: Model) -> Coder:
     return Coder(model)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: int = 300_000, portion: int = 2_000_000) -> DataFrame:
     """One row ``(doc_id, ids, n_ids, decoded)`` per document: the whole text's piece ids, and the text decoded from
     the ids again. A null or empty text has no ids and decodes to the empty text; a text of any length, with or without
     spaces, is encoded whole; of paths with equal sums the one with the shorter last piece is taken; repeated rows stay;
     an empty table gives no rows; other columns are not read. Text that holds the space mark U+2581 itself decodes to spaces there.
-    The model, of a fixed size, is read on the driver and broadcast.
+    The model, of a fixed size, is read on the driver and broadcast. A worker remembers ``keep`` words and takes
+    ``portion`` bytes of text at a time: what it holds, not what it returns.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(model.value)
-        for b in slices(batches, 1):
-            ids = own.encode([t or "" for t in b.column(1).to_pylist()])
+        for b in slices(batches, 1, portion):
+            ids = own.encode([t or "" for t in b.column(1).to_pylist()], keep)
             ends = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array([own.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "n_ids", "decoded"])
