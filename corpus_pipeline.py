@@ -78,7 +78,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the text decoded from them."""
-    return pieces.encode_documents(docs, PIECES)
+    # workers live on from the stages before: they hold less here than alone
+    return pieces.encode_documents(docs, PIECES, keep=150_000, portion=1_000_000)
 
 
 STAGES = [
