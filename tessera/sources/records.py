@@ -90,8 +90,9 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels ``(file, y, x, r, g, b)`` of PNG and JPEG images; the source keeps bytes as blue, green, red by rows."""
-    img = spark.read.format("image").load(path).select("image.*").where("nChannels in (3, 4)")
+    """Pixels ``(file, y, x, r, g, b)`` of PNG and JPEG images, grey ones too; the source keeps bytes as blue, green, red
+    by rows."""
+    img = spark.read.format("image").load(path).select("image.*").where("nChannels in (1, 3, 4)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +101,7 @@ def image_pixels(spark: SparkSession, path: str) -> DataFrame:
                 for top in range(0, h, max(1, (1 << 18) // w)):
                     part = a[top : top + max(1, (1 << 18) // w)]
                     y, x = np.indices(part.shape[:2], dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([origin] * y.size), pa.array((y + top).ravel()), pa.array(x.ravel()), *(pa.array(part[..., c].ravel().astype(np.int32)) for c in (2, 1, 0))], ["file", "y", "x", "r", "g", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([origin] * y.size), pa.array((y + top).ravel()), pa.array(x.ravel()), *(pa.array(part[..., c].ravel().astype(np.int32)) for c in ((2, 1, 0) if n > 1 else (0, 0, 0)))], ["file", "y", "x", "r", "g", "b"])
 
     return img.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "file string, y int, x int, r int, g int, b int")
 

@@ -111,3 +111,39 @@ def test_running_reference_counts_accepted_only(spark):
     assert got[4].reference == 11.0
 
 
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tessera.session import shared_folder
+
+    unset = SimpleNamespace(isDefined=lambda: False, isEmpty=lambda: True)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        shared_folder(cluster)
+
+
+def test_published_folders_are_whole_and_checked(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id", "id % 5 as v")
+    target = str(tmp_path / "out")
+    sinks.publish_all({"a": rows, "b": rows.limit(10)}, target)
+    got = {r.output: (r.rows, r.verified, r.v) for r in sinks.read_published(spark, target, {"a": rows.schema, "b": rows.schema}, "v").collect()}
+    assert got["a"] == (50, True, 100) and got["b"][:2] == (10, True)
+    with pytest.raises(FileExistsError):
+        sinks.publish_all({"a": rows}, target)
+    part = next((tmp_path / "out" / "a").glob("part-*.parquet"))
+    part.rename(part.with_name("part-other.parquet"))
+    (tmp_path / "out" / "a" / f".{part.name}.crc").unlink(missing_ok=True)
+    got = {r.output: r.verified for r in sinks.read_published(spark, target, {"a": rows.schema, "b": rows.schema}, "v").collect()}
+    assert got == {"a": False, "b": True}
+
+
+def test_png_is_read_by_other_readers(spark, tmp_path):
+    px = spark.range(70 * 30).selectExpr("'i' as image", "cast(id % 70 as int) as x", "cast(id div 70 as int) as y", "cast(id * 7 % 256 as int) as g").where("(x + y) % 9 > 0")
+    png = sinks.png_images(px, "image", "g", 70, 30, 8, 3).head().png
+    (tmp_path / "i.png").write_bytes(png)
+    got = {(r.x, r.y): r.r for r in records.image_pixels(spark, str(tmp_path / "i.png")).collect()}
+    want = {(r.x, r.y): r.g for r in px.collect()}
+    assert len(got) == 2100 and all(v == want.get(k, 3) for k, v in got.items())
