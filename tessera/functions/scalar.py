@@ -42,7 +42,9 @@ def human_bytes(n: Column) -> Column:
     """A size in the largest unit that it fills, to a tenth, halves to even."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
     for power, unit in ((1, "KB"), (2, "MB"), (3, "GB"), (4, "TB")):
-        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n / F.lit(float(1024**power)), 1)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(
+            n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n / F.lit(float(1024**power)), 1)), F.lit(f" {unit}"))
+        ).otherwise(out)
     return out
 
 

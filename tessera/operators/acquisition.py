@@ -14,7 +14,9 @@ from tessera.operators import joins
 def tile_table(members: DataFrame, container: str = "container", member: str = "member", pattern: str = r"_L(\d+)_(up|down)", number: str = r"(\d+(?:\.\d+)?)\.[A-Za-z]+$") -> DataFrame:
     """Tiles from containers named by column and direction and members named by number: sorted by number in each
     column, with the order and the row that a path up and down in turn gives. Names that don't fit stay out."""
-    rows = members.withColumn("col", F.nullif(F.regexp_extract(container, pattern, 1), F.lit("")).try_cast("int")).withColumn("direction", F.regexp_extract(container, pattern, 2)).withColumn("key", F.nullif(F.regexp_extract(member, number, 1), F.lit("")).try_cast("double")).where("col is not null and key is not null")
+    rows = members.withColumn(
+        "col", F.nullif(F.regexp_extract(container, pattern, 1), F.lit("")).try_cast("int")
+    ).withColumn("direction", F.regexp_extract(container, pattern, 2)).withColumn("key", F.nullif(F.regexp_extract(member, number, 1), F.lit("")).try_cast("double")).where("col is not null and key is not null")
     w = Window.partitionBy("col")
     rows = rows.withColumn("order", F.row_number().over(w.orderBy("key", member)) - 1)
     rows = rows.withColumn("nominal_row", F.when(F.col("direction") == "up", F.count("*").over(w) - 1 - F.col("order")).otherwise(F.col("order")).cast("int"))
@@ -28,16 +30,22 @@ def check_captures(captures: DataFrame, tiles: DataFrame, rows: int, columns: in
     """
     there = tiles.select(F.col("name").alias("_n"), F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
     met = captures.join(there, F.col("name") == F.col("_n"), "full_outer")
-    fault = F.when(F.col("name").isNull(), "tile without capture").when(F.col("_n").isNull(), "capture without tile").when(F.col("bytes") != F.col("_b"), "size differs").when(F.col("sha256") != F.col("_s"), "hash differs").when(~F.col("row").between(0, rows - 1) | ~F.col("col").between(0, columns - 1), "outside the grid")
+    fault = F.when(F.col("name").isNull(), "tile without capture").when(F.col("_n").isNull(), "capture without tile").when(F.col("bytes") != F.col("_b"), "size differs").when(F.col("sha256") != F.col("_s"), "hash differs").when(
+        ~F.col("row").between(0, rows - 1) | ~F.col("col").between(0, columns - 1), "outside the grid"
+    )
     out = met.select(F.coalesce("name", "_n").alias("name"), fault.alias("fault")).where("fault is not null")
-    twice = captures.groupBy("row", "col").agg(F.count("*").alias("n"), F.max("name").alias("name")).where("n > 1").select("name", F.lit("place captured twice").alias("fault"))
+    twice = captures.groupBy("row", "col").agg(
+        F.count("*").alias("n"), F.max("name").alias("name")
+    ).where("n > 1").select("name", F.lit("place captured twice").alias("fault"))
     return out.unionByName(twice)
 
 
 def transfer_is_whole(sessions: DataFrame, captures: DataFrame, tiles: DataFrame, by: str = "session_id") -> DataFrame:
     """Per session: completed, and as many captures as photos said to be saved and tiles that are there."""
     count = lambda df, name: df.groupBy(by).agg(F.count("*").alias(name))
-    out = sessions.select(by, "status", "photos_saved").join(count(captures, "captures"), by, "left").join(count(tiles, "tiles"), by, "left").fillna(0, ["captures", "tiles"])
+    out = sessions.select(by, "status", "photos_saved").join(
+        count(captures, "captures"), by, "left"
+    ).join(count(tiles, "tiles"), by, "left").fillna(0, ["captures", "tiles"])
     return out.withColumn("whole", (F.col("status") == "completed") & (F.col("captures") == F.col("photos_saved")) & (F.col("tiles") == F.col("photos_saved")))
 
 
@@ -56,14 +64,18 @@ def outside_neighbours(tiles: DataFrame, column: str, order: str, group: str, id
     w = Window.partitionBy(column).orderBy(order)
     near = tiles.withColumn("_p", F.lag(ident).over(w)).withColumn("_pg", F.lag(group).over(w)).withColumn("_f", F.lead(ident).over(w)).withColumn("_fg", F.lead(group).over(w))
     other = lambda g, v: F.when(~F.col(g).eqNullSafe(F.col(group)), F.col(v))
-    return near.where(F.col(group).isNotNull()).groupBy(column, group).agg(F.max(other("_pg", "_p")).alias("before"), F.max(other("_fg", "_f")).alias("after"))
+    return near.where(F.col(group).isNotNull()).groupBy(column, group).agg(
+        F.max(other("_pg", "_p")).alias("before"), F.max(other("_fg", "_f")).alias("after")
+    )
 
 
 def reference_verdict(observed: Column, reference: Column, tolerance: float = 0.1, low: float = 0.5, high: float = 2.0) -> Column:
     """Three observed channel medians against reference ones, as ``(gain, verdict)``: black first, then an implausible
     gain, then within the tolerance, else different."""
     gain = F.zip_with(reference, observed, lambda r, o: F.try_divide(r, o))
-    verdict = F.when(F.exists(observed, lambda v: v <= 0), "black").when(F.exists(gain, lambda g: (g < low) | (g > high)), "implausible").when(F.forall(gain, lambda g: F.abs(g - 1) <= tolerance), "within_tolerance").otherwise("differs")
+    verdict = F.when(F.exists(observed, lambda v: v <= 0), "black").when(F.exists(gain, lambda g: (g < low) | (g > high)), "implausible").when(
+        F.forall(gain, lambda g: F.abs(g - 1) <= tolerance), "within_tolerance"
+    ).otherwise("differs")
     return F.struct(gain.alias("gain"), verdict.alias("verdict"))
 
 
@@ -73,7 +85,10 @@ def clean_field(metrics: DataFrame, flat: float = 0.5, plateau: float = 0.85, st
     ``metrics`` has ``flat_fraction, plateau_share, other_plateaus, std, saturated, luminance``; what is missing speaks
     against the frame.
     """
-    rules = [("flat", F.col("flat_fraction") < flat), ("plateau", F.col("plateau_share") < plateau), ("other_material", F.col("other_plateaus") > 0), ("spread", F.col("std") > std)]
+    rules = [
+        ("flat", F.col("flat_fraction") < flat), ("plateau", F.col("plateau_share") < plateau), ("other_material", F.col("other_plateaus") > 0),
+        ("spread", F.col("std") > std)
+    ]
     reasons = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules)))
     exposure = F.when(F.col("saturated") > saturated, "saturated").when(F.col("luminance") < dark, "too_dark").otherwise("ok")
     return metrics.withColumn("reasons", reasons).withColumn("clean", F.size("reasons") == 0).withColumn("exposure", exposure)
@@ -153,7 +168,9 @@ def inference_plan(native_w: Column, native_h: Column, model_w: Column, model_h:
     positive = (native_w > 0) & (native_h > 0) & (model_w > 0) & (model_h > 0)
     size = lambda n: n.cast("long") * native_w
     whole = lambda n: size(n) % F.when(model_w != 0, model_w) == 0
-    reason = F.when(~positive, "nonpositive_image_dimensions").when(~confirmed, "same_physical_field_of_view_not_confirmed").when(model_w * native_h != model_h * native_w, "anisotropic_dimension_ratio_requires_calibration").when(~(whole(tile) & whole(overlap)), "nonintegral_native_tile_or_overlap")
+    reason = F.when(~positive, "nonpositive_image_dimensions").when(~confirmed, "same_physical_field_of_view_not_confirmed").when(
+        model_w * native_h != model_h * native_w, "anisotropic_dimension_ratio_requires_calibration"
+    ).when(~(whole(tile) & whole(overlap)), "nonintegral_native_tile_or_overlap")
     scaled = lambda n: F.when(reason.isNull(), F.floor(size(n) / model_w)).cast("long")
     return F.struct(reason.alias("reason"), scaled(tile).alias("native_tile"), scaled(overlap).alias("native_overlap"))
 
@@ -162,7 +179,9 @@ def grid_policy(requested: Column, source: Column) -> Column:
     """Recorded rows are trusted for a whole flat grid alone: ``auto`` takes that into account, and asking for it with
     another source is refused (null), as is an unknown policy."""
     flat = source == "flat-physical-grid"
-    return F.when(requested == "auto", F.when(flat, "preserve").otherwise("legacy")).when(requested == "legacy", "legacy").when((requested == "preserve") & flat, "preserve")
+    return F.when(
+        requested == "auto", F.when(flat, "preserve").otherwise("legacy")
+    ).when(requested == "legacy", "legacy").when((requested == "preserve") & flat, "preserve")
 
 
 def nominal_positions(tiles: DataFrame, down: tuple[float, float], aside: tuple[float, float]) -> DataFrame:

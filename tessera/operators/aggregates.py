@@ -36,7 +36,10 @@ def robust_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, z: fl
     deviations of it. Rows with a null group stay out."""
     spread = _deviation(df, by, value)
     near = F.abs(F.col(value) - F.col("med")) <= z * TO_SIGMA * F.col("mad")
-    out = _beside(df, spread, by).groupBy(*by).agg(F.first("med").alias("med"), F.first("mad").alias("mad"), F.first("n").alias("n"), F.sum(F.when(near, F.col(value) * F.col(weight))).alias("s"), F.sum(F.when(near, F.col(weight))).alias("w"))
+    out = _beside(df, spread, by).groupBy(*by).agg(
+        F.first("med").alias("med"), F.first("mad").alias("mad"), F.first("n").alias("n"),
+        F.sum(F.when(near, F.col(value) * F.col(weight))).alias("s"), F.sum(F.when(near, F.col(weight))).alias("w")
+    )
     robust = F.when((F.col("mad") < 1e-6) | (F.col("n") < 4), F.col("med")).otherwise(F.try_divide("s", "w"))
     return out.select(*by, "n", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.round(robust, 6).alias("robust"))
 
@@ -67,7 +70,9 @@ def focus_decisions(df: DataFrame, score: str, contrast: str, least_contrast: fl
     low = F.coalesce(F.col(contrast) < least_contrast, F.lit(True))
     under = ~finite(s) | (s < floor)
     behind = r.isNotNull() & (r > 0) & (s < ratio * r)
-    return rows.withColumn("decision", F.when(low, "low_texture").when(under | behind, "defocused").otherwise("ok")).withColumn("reason", F.when(low, "contrast").when(under, "floor").when(behind, "ratio"))
+    return rows.withColumn(
+        "decision", F.when(low, "low_texture").when(under | behind, "defocused").otherwise("ok")
+    ).withColumn("reason", F.when(low, "contrast").when(under, "floor").when(behind, "ratio"))
 
 
 def flag_tiles(df: DataFrame, score: str, contrast: str, std: str, size: str, clip: str, key: str) -> DataFrame:
@@ -77,8 +82,16 @@ def flag_tiles(df: DataFrame, score: str, contrast: str, std: str, size: str, cl
     rows = scored.join(F.broadcast(focus_reference(df, score, contrast, 4.0)))
     ratio = F.try_divide(F.col(score), F.col("reference"))
     flag = lambda cond, name: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
-    flags = F.array_compact(F.array(flag(F.col(contrast) < 4, own[0]), flag((F.col(contrast) >= 4) & (ratio < 0.4), own[1]), flag((F.col(contrast) >= 4) & (ratio >= 0.4) & (ratio < 0.6), own[2]), flag(F.col("_zs") < -3, own[3]), flag(F.col("_zb") < -3, own[4]), flag(F.col(clip) > 0.35, own[5]), flag(F.col(key) != F.floor(F.col(key)), own[6])))
-    before = F.array_except(F.coalesce("flags", F.array().cast("array<string>")), F.array(*map(F.lit, own))) if "flags" in df.columns else F.array().cast("array<string>")
+    flags = F.array_compact(
+        F.array(
+            flag(F.col(contrast) < 4, own[0]), flag((F.col(contrast) >= 4) & (ratio < 0.4), own[1]),
+            flag((F.col(contrast) >= 4) & (ratio >= 0.4) & (ratio < 0.6), own[2]), flag(F.col("_zs") < -3, own[3]), flag(F.col("_zb") < -3, own[4]),
+            flag(F.col(clip) > 0.35, own[5]), flag(F.col(key) != F.floor(F.col(key)), own[6])
+        )
+    )
+    before = F.array_except(
+        F.coalesce("flags", F.array().cast("array<string>")), F.array(*map(F.lit, own))
+    ) if "flags" in df.columns else F.array().cast("array<string>")
     return rows.withColumn("flags", F.array_union(before, flags)).drop("_zs", "_zb", "reference")
 
 
@@ -86,7 +99,10 @@ def nested_median_baseline(df: DataFrame, kind: str, group: str, value: str) ->
     """Per kind the median over groups of the groups' medians, and what is left of the groups' medians without it."""
     inner = df.groupBy(kind, group).agg(median(value).alias("group_median"))
     base = inner.groupBy(kind).agg(median("group_median").alias("baseline"))
-    return inner.join(base, kind).select(kind, group, F.round("group_median", 6).alias("group_median"), F.round("baseline", 6).alias("baseline"), F.round(F.col("group_median") - F.col("baseline"), 6).alias("residual"))
+    return inner.join(base, kind).select(
+        kind, group, F.round("group_median", 6).alias("group_median"), F.round("baseline", 6).alias("baseline"),
+        F.round(F.col("group_median") - F.col("baseline"), 6).alias("residual")
+    )
 
 
 def count_outliers(df: DataFrame, by: str, share: float = 0.1, least: float = 2.0) -> DataFrame:
@@ -108,7 +124,10 @@ def edge_diagnostics(df: DataFrame, residual: Column, weight: Column, strong: fl
     """Weighted RMS, the RMS of strong edges alone, 95th percentile and maximum of the residuals, log-RMS of ratios."""
     e = df.select(residual.alias("r"), weight.alias("w"))
     rms = lambda cond: F.sqrt(F.sum(F.when(cond, F.col("w") * F.col("r") * F.col("r"))) / F.sum(F.when(cond, F.col("w"))))
-    sums = e.agg(F.count("*").alias("edges"), F.round(rms(F.lit(True)), 6).alias("rms"), F.round(rms(F.col("w") > strong), 6).alias("strong_rms"), F.round(F.max(F.abs("r")), 6).alias("worst"))
+    sums = e.agg(
+        F.count("*").alias("edges"), F.round(rms(F.lit(True)), 6).alias("rms"), F.round(rms(F.col("w") > strong), 6).alias("strong_rms"),
+        F.round(F.max(F.abs("r")), 6).alias("worst")
+    )
     p95 = quantile(e.select(F.abs("r").alias("a")), [], "a", 0.95, "p95").select(F.round("p95", 6).alias("p95"))
     return sums.join(F.broadcast(p95)).select("edges", "rms", "strong_rms", "p95", "worst")  # a row each
 
@@ -122,7 +141,10 @@ def affine_fit(df: DataFrame, x: Column, y: Column, value: Column) -> DataFrame:
     means of the first pass, which keeps large values well conditioned."""
     rows = df.select(x.cast("double").alias("x"), y.cast("double").alias("y"), value.cast("double").alias("v"))
     m = rows.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("v").alias("mv"), F.count("*").alias("n"))
-    s = rows.agg(F.covar_pop("x", "x").alias("sxx"), F.covar_pop("y", "y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.covar_pop("x", "v").alias("sxv"), F.covar_pop("y", "v").alias("syv"))
+    s = rows.agg(
+        F.covar_pop("x", "x").alias("sxx"), F.covar_pop("y", "y").alias("syy"), F.covar_pop("x", "y").alias("sxy"),
+        F.covar_pop("x", "v").alias("sxv"), F.covar_pop("y", "v").alias("syv")
+    )
     det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
     out = m.join(F.broadcast(s)).withColumn("det", det)
     cx = F.try_divide(F.col("sxv") * F.col("syy") - F.col("syv") * F.col("sxy"), F.col("det"))
@@ -146,7 +168,9 @@ def placement_check(df: DataFrame, x: Column, y: Column, value: Column, short_si
 def histogram(df: DataFrame, bin_: Column, bins: int) -> DataFrame:
     """Counts of all bins from 0, empty ones too."""
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(df.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n")), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return every.join(
+        df.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n")), "bin", "left"
+    ).select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def plateaus(df: DataFrame, bin_: Column, bins: int, reach: int = 3, around: int = 12, least: float = 0.1) -> DataFrame:
@@ -155,14 +179,22 @@ def plateaus(df: DataFrame, bin_: Column, bins: int, reach: int = 3, around: int
     every = Window.partitionBy()
     order = Window.orderBy("bin")
     span = lambda n: order.rowsBetween(-n, n)
-    h = histogram(df, bin_, bins).withColumn("smooth", F.sum("n").over(span(reach)) / (2.0 * reach + 1.0)).withColumn("share", F.try_divide(F.sum("n").over(span(around)).cast("double"), F.sum("n").over(every)))
-    peaks = h.withColumn("top", F.max("smooth").over(span(reach))).where((F.col("smooth") == F.col("top")) & (F.col("n") > 0) & (F.col("share") >= least))
+    h = histogram(df, bin_, bins).withColumn("smooth", F.sum("n").over(span(reach)) / (2.0 * reach + 1.0)).withColumn(
+        "share", F.try_divide(F.sum("n").over(span(around)).cast("double"), F.sum("n").over(every))
+    )
+    peaks = h.withColumn("top", F.max("smooth").over(span(reach))).where(
+        (F.col("smooth") == F.col("top")) & (F.col("n") > 0) & (F.col("share") >= least)
+    )
     gap = F.coalesce((F.col("bin") - F.lag("bin").over(order) > 1.5 * around).cast("int"), F.lit(0))
-    return peaks.withColumn("gap", gap).withColumn("plateau", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).select("bin", "n", F.round("smooth", 6).alias("smooth"), F.round("share", 6).alias("share"), "plateau")
+    return peaks.withColumn("gap", gap).withColumn("plateau", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).select(
+        "bin", "n", F.round("smooth", 6).alias("smooth"), F.round("share", 6).alias("share"), "plateau"
+    )
 
 
 def column_summary(df: DataFrame, by: str, key: str, score: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.round(median(score), 6).alias("median_score"))
+    return df.groupBy(by).agg(
+        F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.round(median(score), 6).alias("median_score")
+    )
 
 
 def worst_of(df: DataFrame, by: Sequence[str], verdict: str, order: Sequence[str]) -> DataFrame:
@@ -177,14 +209,20 @@ def split_gain(df: DataFrame, by: Sequence[str], red: str, green: str, blue: str
     bright = F.exp((F.log("r") + F.log("g") + F.log("b")) / 3.0)
     m = m.withColumn("brightness", bright)
     off = F.greatest(*(F.abs(F.col(c) / F.col("brightness") - 1.0) for c in "rgb"))
-    return m.select(*by, F.round("brightness", 6).alias("brightness"), *(F.round(F.col(c) / F.col("brightness"), 6).alias(f"balance_{c}") for c in "rgb"), F.round(off, 6).alias("max_deviation"))
+    return m.select(
+        *by, F.round("brightness", 6).alias("brightness"), *(F.round(F.col(c) / F.col("brightness"), 6).alias(f"balance_{c}") for c in "rgb"),
+        F.round(off, 6).alias("max_deviation")
+    )
 
 
 def defocus_verdict(score: Column, reference: Column, ratio: float = 0.4, confidence: float = 0.8) -> Column:
     """The verdict of a closed rule, that asks nobody: a frame whose score is below the ratio of the reference goes.
     Null for other frames."""
     share = F.try_divide(score, reference)
-    return F.when(share < ratio, F.struct(F.lit("defocus").alias("category"), F.lit(False).alias("keep"), F.lit(confidence).alias("confidence"), share.alias("ratio")))
+    return F.when(
+        share < ratio,
+        F.struct(F.lit("defocus").alias("category"), F.lit(False).alias("keep"), F.lit(confidence).alias("confidence"), share.alias("ratio"))
+    )
 
 
 def outliers(rows: DataFrame, deviation: str, limit: float, tie: str, n: int) -> DataFrame:

@@ -83,7 +83,9 @@ def _fractions(df: DataFrame) -> DataFrame:
     out = df.withColumn("status", status)
     for i in LAYERS:
         share = 100.0 * F.col(f"layer{i}_px")
-        out = out.withColumn(f"layer{i}_composition", F.round(F.try_divide(share, F.col("crystal_px")), 6)).withColumn(f"layer{i}_coverage", F.round(F.try_divide(share, F.col("retained_px")), 6))
+        out = out.withColumn(
+            f"layer{i}_composition", F.round(F.try_divide(share, F.col("crystal_px")), 6)
+        ).withColumn(f"layer{i}_coverage", F.round(F.try_divide(share, F.col("retained_px")), 6))
     return out
 
 
@@ -96,7 +98,10 @@ def composition(px: DataFrame, width: int, height: int, columns: int, rows: int)
 
 def margins(px: DataFrame, width: int, height: int, columns: int, rows: int) -> DataFrame:
     """Row, column and whole-map totals from summed counts, by grouping sets; ``level`` tells which."""
-    cells = px.select("label", "valid", "excluded", (bin_of(F.col("y"), height, rows) + 1).alias("grid_row"), (bin_of(F.col("x"), width, columns) + 1).alias("grid_col"))
+    cells = px.select(
+        "label", "valid", "excluded", (bin_of(F.col("y"), height, rows) + 1).alias("grid_row"),
+        (bin_of(F.col("x"), width, columns) + 1).alias("grid_col")
+    )
     sets = [[F.col("grid_row")], [F.col("grid_col")], []]
     out = cells.groupingSets(sets, "grid_row", "grid_col").agg(*_counts(), F.grouping_id("grid_row", "grid_col").alias("gid"))
     level = F.when(F.col("gid") == 1, "row").when(F.col("gid") == 2, "column").otherwise("map")
@@ -105,7 +110,9 @@ def margins(px: DataFrame, width: int, height: int, columns: int, rows: int) ->
 
 def conservation_faults(px: DataFrame, width: int, height: int, columns: int, rows: int) -> DataFrame:
     """Cells whose parts do not add up: none, if all is well."""
-    return composition(px, width, height, columns, rows).where("retained_px + excluded_px + non_scan_px <> canvas_px or background_px + crystal_px <> retained_px or layer1_px + layer2_px + layer3_px <> crystal_px")
+    return composition(px, width, height, columns, rows).where(
+        "retained_px + excluded_px + non_scan_px <> canvas_px or background_px + crystal_px <> retained_px or layer1_px + layer2_px + layer3_px <> crystal_px"
+    )
 
 
 def exclusion_sensitivity(px: DataFrame, limit_pp: float = 2.0, um_per_px: float = 1.0) -> DataFrame:
@@ -124,17 +131,29 @@ def seam_check(px: DataFrame, step: int, band: int, label: int = 2, least: int =
     """A class's share among crystal in the bands around tile seams and elsewhere; null unless both have enough pixels."""
     seam = F.expr(f"(x % {step}) < {band} or (x % {step}) >= {step - band} or (y % {step}) < {band} or (y % {step}) >= {step - band}")
     kept = px.where("valid and label > 0").withColumn("seam", seam)
-    out = kept.agg(F.count_if("seam").alias("seam_px"), F.count_if(~F.col("seam")).alias("interior_px"), F.count_if(F.col("seam") & (F.col("label") == label)).alias("seam_hits"), F.count_if(~F.col("seam") & (F.col("label") == label)).alias("interior_hits"))
+    out = kept.agg(
+        F.count_if("seam").alias("seam_px"), F.count_if(~F.col("seam")).alias("interior_px"),
+        F.count_if(F.col("seam") & (F.col("label") == label)).alias("seam_hits"),
+        F.count_if(~F.col("seam") & (F.col("label") == label)).alias("interior_hits")
+    )
     enough = (F.col("seam_px") > least) & (F.col("interior_px") > least)
-    shift = F.when(enough, F.round(100.0 * F.try_divide(F.col("seam_hits"), F.col("seam_px")) - 100.0 * F.try_divide(F.col("interior_hits"), F.col("interior_px")), 6))
+    shift = F.when(
+        enough,
+        F.round(100.0 * F.try_divide(F.col("seam_hits"), F.col("seam_px")) - 100.0 * F.try_divide(F.col("interior_hits"), F.col("interior_px")), 6)
+    )
     return out.withColumn("shift_pp", shift).withColumn("alarm", F.coalesce(F.abs("shift_pp") > limit_pp, F.lit(False)))
 
 
 def segmentation_check(px: DataFrame, warn: float = 0.5, fail: float = 25.0) -> DataFrame:
     """The share outside the scan against two limits, and which classes are empty."""
-    out = px.agg(F.count("*").alias("canvas_px"), F.count_if(~F.col("valid")).alias("non_scan_px"), *(F.count_if(F.expr(f"valid and label = {i}")).alias(f"class{i}_px") for i in (0, *LAYERS)))
+    out = px.agg(
+        F.count("*").alias("canvas_px"), F.count_if(~F.col("valid")).alias("non_scan_px"),
+        *(F.count_if(F.expr(f"valid and label = {i}")).alias(f"class{i}_px") for i in (0, *LAYERS))
+    )
     share = F.try_divide(100.0 * F.col("non_scan_px"), F.col("canvas_px"))
-    out = out.withColumn("non_scan_pct", F.round(share, 6)).withColumn("verdict", F.when(share > fail, "fail").when(share > warn, "warn").otherwise("ok"))
+    out = out.withColumn("non_scan_pct", F.round(share, 6)).withColumn(
+        "verdict", F.when(share > fail, "fail").when(share > warn, "warn").otherwise("ok")
+    )
     return out.withColumn("empty_classes", F.concat_ws(",", *(F.when(F.col(f"class{i}_px") == 0, F.lit(str(i))) for i in (0, *LAYERS))))
 
 

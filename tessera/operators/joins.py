@@ -34,7 +34,9 @@ def offset_candidates(tiles: DataFrame, reach: int, value: str = "metric") -> Da
     offsets = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("offset")
     left = tiles.select("col", "row", F.col(value).alias("value"), offsets).withColumn("want", F.col("row") + F.col("offset"))
     right = tiles.select((F.col("col") - 1).alias("lcol"), F.col("row").alias("row2"), F.col(value).alias("value2"))
-    return left.join(right, (F.col("lcol") == F.col("col")) & (F.col("row2") == F.col("want"))).select("col", "row", "offset", "row2", "value", "value2")
+    return left.join(
+        right, (F.col("lcol") == F.col("col")) & (F.col("row2") == F.col("want"))
+    ).select("col", "row", "offset", "row2", "value", "value2")
 
 
 def vote_offsets(pairs: DataFrame, score: Column, least_score: float, margin: float = 0.1, single: float = 0.5) -> DataFrame:
@@ -43,7 +45,9 @@ def vote_offsets(pairs: DataFrame, score: Column, least_score: float, margin: fl
     One edge alone must score ``single``; an offset other than 0 must beat 0 by the margin unless it has more edges.
     """
     good = pairs.withColumn("s", score).where(F.col("s") >= least_score)
-    votes = good.groupBy("col", "offset").agg(F.count("*").alias("edges"), F.avg("s").alias("mean_score")).where((F.col("edges") > 1) | (F.col("mean_score") >= single))
+    votes = good.groupBy("col", "offset").agg(
+        F.count("*").alias("edges"), F.avg("s").alias("mean_score")
+    ).where((F.col("edges") > 1) | (F.col("mean_score") >= single))
     zero = votes.where("offset = 0").select(F.col("col").alias("zc"), F.col("edges").alias("ze"), F.col("mean_score").alias("zs"))
     rank = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("edges"), F.desc("mean_score"), F.abs("offset"), "offset"))
     best = votes.withColumn("rn", rank).where("rn = 1").drop("rn").join(zero, F.col("col") == F.col("zc"), "left")
@@ -56,14 +60,19 @@ def nearest_by_key(left: DataFrame, right: DataFrame, key: str, at: str, right_a
 
     Not a product of both sides: both are merged in key and position order and look back and forward once.
     """
-    both = left.withColumn("_side", F.lit(0)).withColumn("_at", F.col(at)).unionByName(right.select(F.col(key), F.col(right_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[c for c in right.columns if c != key]).alias("_row")), allowMissingColumns=True)
+    both = left.withColumn("_side", F.lit(0)).withColumn("_at", F.col(at)).unionByName(
+        right.select(F.col(key), F.col(right_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[c for c in right.columns if c != key]).alias("_row")),
+        allowMissingColumns=True
+    )
     order = Window.partitionBy(key).orderBy("_at", F.desc("_side"))
     back = F.last("_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     # looking back in the reversed order: a running value, where a frame to the end would be read anew for each row
     turned = Window.partitionBy(key).orderBy(F.desc("_at"), "_side")
     forth = F.last("_row", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0))
     met = both.withColumn("_b", back).withColumn("_f", forth).where("_side = 0")
-    nearer = F.when(F.col("_b").isNull() | (F.abs(F.col(f"_f.{right_at}") - F.col("_at")) < F.abs(F.col(f"_b.{right_at}") - F.col("_at"))), F.col("_f")).otherwise(F.col("_b"))
+    nearer = F.when(
+        F.col("_b").isNull() | (F.abs(F.col(f"_f.{right_at}") - F.col("_at")) < F.abs(F.col(f"_b.{right_at}") - F.col("_at"))), F.col("_f")
+    ).otherwise(F.col("_b"))
     return met.withColumn("nearest", nearer).drop("_side", "_at", "_row", "_b", "_f")
 
 
@@ -75,7 +84,9 @@ def band_pairs(points: DataFrame, dx: float, dy: float, id_col: str, x: str = "x
     """
     boxed = points.select(F.col(id_col).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), F.floor(F.col(x) / dx).alias("bx"), F.floor(F.col(y) / dy).alias("by"))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
-    spread = boxed.select(F.col("a").alias("b"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), "bx", "by", around).select("b", "cx", "cy", (F.col("bx") + F.col("d.i")).alias("bx"), (F.col("by") + F.col("d.j")).alias("by"))
+    spread = boxed.select(F.col("a").alias("b"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), "bx", "by", around).select(
+        "b", "cx", "cy", (F.col("bx") + F.col("d.i")).alias("bx"), (F.col("by") + F.col("d.j")).alias("by")
+    )
     met = boxed.join(spread, ["bx", "by"]).where(F.col("a") < F.col("b"))
     return met.where((F.abs(F.col("ax") - F.col("cx")) < dx) & (F.abs(F.col("ay") - F.col("cy")) < dy)).select("a", "b")
 
@@ -105,7 +116,9 @@ def coverage_rescue(tiles: DataFrame, dropped: str, w: int, h: int, step: int, l
     Tiles ``(id, x, y)`` become the cells of a raster; cells of kept tiles are made distinct and joined.
     """
     span = lambda c, size: F.sequence(F.floor(F.col(c) / step), F.floor((F.col(c) + size - 1) / step))
-    cells = tiles.select("id", F.expr(dropped).alias("dropped"), F.explode(span("x", w)).alias("cx"), "y").withColumn("cy", F.explode(span("y", h))).drop("y")
+    cells = tiles.select(
+        "id", F.expr(dropped).alias("dropped"), F.explode(span("x", w)).alias("cx"), "y"
+    ).withColumn("cy", F.explode(span("y", h))).drop("y")
     kept = cells.where("not dropped").select("cx", "cy").distinct().withColumn("hit", F.lit(1))
     out = cells.where("dropped").join(kept, ["cx", "cy"], "left").groupBy("id").agg(F.count("*").alias("cells"), F.count("hit").alias("covered"))
     return out.withColumn("rescued", F.col("covered") / F.col("cells") < least)
@@ -114,7 +127,9 @@ def coverage_rescue(tiles: DataFrame, dropped: str, w: int, h: int, step: int, l
 def manifest_check(manifest: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
     """Each manifest line against what is there: ok, missing, or mismatch of bytes or digest."""
     there = files.select(F.col(key).alias("_k"), F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
-    state = F.when(F.col("_k").isNull(), "missing").when((F.col("bytes") != F.col("_b")) | (F.col("sha256") != F.col("_s")), "mismatch").otherwise("ok")
+    state = F.when(F.col("_k").isNull(), "missing").when(
+        (F.col("bytes") != F.col("_b")) | (F.col("sha256") != F.col("_s")), "mismatch"
+    ).otherwise("ok")
     return manifest.join(there, F.col(key) == F.col("_k"), "left").select(key, state.alias("state"))
 
 
@@ -122,7 +137,10 @@ def manifest_diff(a: DataFrame, b: DataFrame, key: str = "path") -> DataFrame:
     """Files that only one side has or whose digests differ."""
     left, right = a.select(key, F.col("sha256").alias("left_sha")), b.select(F.col(key).alias("_k"), F.col("sha256").alias("right_sha"))
     out = left.join(right, F.col(key) == F.col("_k"), "full_outer").where(~F.col("left_sha").eqNullSafe(F.col("right_sha")))
-    return out.select(F.coalesce(key, "_k").alias(key), F.when(F.col("_k").isNull(), "left only").when(F.col(key).isNull(), "right only").otherwise("differs").alias("state"))
+    return out.select(
+        F.coalesce(key, "_k").alias(key),
+        F.when(F.col("_k").isNull(), "left only").when(F.col(key).isNull(), "right only").otherwise("differs").alias("state")
+    )
 
 
 def lookup_with_fallback(rows: DataFrame, table: DataFrame, key: str, value: str, default: Column) -> DataFrame:
@@ -135,7 +153,9 @@ def lookup_with_fallback(rows: DataFrame, table: DataFrame, key: str, value: str
 def insert_if_absent(target: DataFrame, new: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
     """What to append of the new rows, and the keys whose value differs from what is there."""
     fresh = new.join(target, key, "left_anti")
-    conflict = new.join(target.select(F.col(key).alias("_k"), F.col(value).alias("_v")), F.col(key) == F.col("_k")).where(~F.col(value).eqNullSafe(F.col("_v"))).select(key)
+    conflict = new.join(
+        target.select(F.col(key).alias("_k"), F.col(value).alias("_v")), F.col(key) == F.col("_k")
+    ).where(~F.col(value).eqNullSafe(F.col("_v"))).select(key)
     return fresh, conflict
 
 
@@ -176,7 +196,9 @@ def conflict_scores(edges: DataFrame, tiles: DataFrame) -> DataFrame:
     ends = edges.select(F.col("src").alias("id"), "score").unionByName(edges.select(F.col("dst").alias("id"), "score"))
     buckets = tiles.select("id", "col", F.floor("key").alias("bucket"))
     many = buckets.groupBy("col", "bucket").agg((F.count("*") - 1).alias("siblings")).where("siblings > 0")
-    return buckets.join(many, ["col", "bucket"]).join(ends, "id", "left").groupBy("id", "col", "bucket", "siblings").agg(F.count("score").alias("edges"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("least_score"))
+    return buckets.join(many, ["col", "bucket"]).join(ends, "id", "left").groupBy("id", "col", "bucket", "siblings").agg(
+        F.count("score").alias("edges"), F.round(F.avg("score"), 6).alias("mean_score"), F.min("score").alias("least_score")
+    )
 
 
 def manifest_summary(manifest: DataFrame, files: DataFrame, key: str, by: str, total: str | None = None) -> DataFrame:
@@ -186,7 +208,10 @@ def manifest_summary(manifest: DataFrame, files: DataFrame, key: str, by: str, t
     met = manifest.join(there, F.col(key) == F.col("_k"), "left")
     same = F.coalesce((F.col("bytes") == F.col("_b")) & (F.col("sha256") == F.col("_s")), F.lit(False))
     more = [F.sum(total).alias("total")] if total else []
-    return met.groupBy(by).agg(F.count("*").alias("outputs"), F.count_if(same).alias("verified"), F.count_if(F.col("_k").isNull()).alias("missing"), F.bool_and(same).alias("whole"), *more)
+    return met.groupBy(by).agg(
+        F.count("*").alias("outputs"), F.count_if(same).alias("verified"), F.count_if(F.col("_k").isNull()).alias("missing"),
+        F.bool_and(same).alias("whole"), *more
+    )
 
 
 def derived_state(selected: DataFrame, listed: DataFrame, by: str, name: str) -> DataFrame:
@@ -254,14 +279,20 @@ def first_seen_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame
     state, folder = stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "groups")
     while not state.where("leads is null").isEmpty():
         smaller = state.select(F.col("id").alias("x"), F.col("leads").alias("l"))
-        below = edges.join(smaller, "x").groupBy("y").agg(F.coalesce(F.bool_or("l"), F.lit(False)).alias("some"), F.bool_and(F.col("l").isNotNull()).alias("all"))
+        below = edges.join(smaller, "x").groupBy("y").agg(
+            F.coalesce(F.bool_or("l"), F.lit(False)).alias("some"), F.bool_and(F.col("l").isNotNull()).alias("all")
+        )
         met = state.join(below, F.col("id") == F.col("y"), "left")
-        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("some", F.lit(False)), False).when(F.coalesce("all", F.lit(True)), True)
+        leads = F.when(
+            F.col("leads").isNotNull(), F.col("leads")
+        ).when(F.coalesce("some", F.lit(False)), False).when(F.coalesce("all", F.lit(True)), True)
         was = folder
         state, folder = stored(met.select("id", leads.alias("leads")), "groups")
         remove(spark, was)
     leaders = state.where("leads").select("id")
-    own = edges.join(leaders, edges["x"] == leaders["id"], "left_semi").groupBy("y").agg(F.min("x").alias("leader")).select("leader", F.col("y").alias("member"))
+    own = edges.join(
+        leaders, edges["x"] == leaders["id"], "left_semi"
+    ).groupBy("y").agg(F.min("x").alias("leader")).select("leader", F.col("y").alias("member"))
     out, _ = stored(own.join(leaders, own["member"] == leaders["id"], "left_anti"), "groups")
     keep.clear()
     remove(spark, folder)

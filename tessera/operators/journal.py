@@ -51,9 +51,15 @@ def snapshot_lag(events: DataFrame, snapshots: DataFrame, stream: str = "stream_
     lengths = events.groupBy(stream).agg(F.max("sequence").alias("journal_sequence"))
     seen = snapshots.groupBy(stream).agg(F.max("sequence").alias("snapshot_sequence"), F.count("*").alias("n"))
     right = events.select(F.col(stream).alias("_s"), F.col("sequence").alias("_q"), F.col("event_id").alias("_e"))
-    same = snapshots.join(right, (F.col(stream) == F.col("_s")) & (F.col("sequence") == F.col("_q")) & (F.col("event_id") == F.col("_e")), "left_semi").groupBy(stream).agg(F.count("*").alias("same"))
+    same = snapshots.join(
+        right, (F.col(stream) == F.col("_s")) & (F.col("sequence") == F.col("_q")) & (F.col("event_id") == F.col("_e")), "left_semi"
+    ).groupBy(stream).agg(F.count("*").alias("same"))
     out = lengths.join(seen, stream, "left").join(same, stream, "left")
-    return out.select(stream, "journal_sequence", F.coalesce("snapshot_sequence", F.lit(0)).alias("snapshot_sequence"), (F.col("journal_sequence") - F.coalesce("snapshot_sequence", F.lit(0))).alias("lag"), (F.coalesce("same", F.lit(0)) == F.coalesce("n", F.lit(0))).alias("is_prefix"))
+    return out.select(
+        stream, "journal_sequence", F.coalesce("snapshot_sequence", F.lit(0)).alias("snapshot_sequence"),
+        (F.col("journal_sequence") - F.coalesce("snapshot_sequence", F.lit(0))).alias("lag"),
+        (F.coalesce("same", F.lit(0)) == F.coalesce("n", F.lit(0))).alias("is_prefix")
+    )
 
 
 def note_references(notes: DataFrame, events: DataFrame) -> DataFrame:
@@ -69,12 +75,18 @@ def note_references(notes: DataFrame, events: DataFrame) -> DataFrame:
 def consistency(results: DataFrame) -> DataFrame:
     """Across samples ``(sample, config_hash, rule, excluded, open_escalation, override)``: how many configurations and
     rules there are, whether exclusions are even, and what is open."""
-    return results.agg(F.count_distinct("config_hash").alias("configs"), F.count_distinct("rule").alias("rules"), (F.count_if("excluded") % F.greatest(F.count("*"), F.lit(1)) == 0).alias("even_exclusions"), F.count_if("open_escalation").alias("open_escalations"), F.count_if("override").alias("overrides"))
+    return results.agg(
+        F.count_distinct("config_hash").alias("configs"), F.count_distinct("rule").alias("rules"),
+        (F.count_if("excluded") % F.greatest(F.count("*"), F.lit(1)) == 0).alias("even_exclusions"),
+        F.count_if("open_escalation").alias("open_escalations"), F.count_if("override").alias("overrides")
+    )
 
 
 def history_summary(events: DataFrame, by: str, order: str, event: str, marks: Mapping[str, Column]) -> DataFrame:
     """Per history: its events, how many of them each mark holds for, and the last event in journal order."""
-    return events.groupBy(by).agg(F.count("*").alias("events"), *(F.count_if(c).alias(name) for name, c in marks.items()), F.max_by(event, order).alias("last_event"))
+    return events.groupBy(by).agg(
+        F.count("*").alias("events"), *(F.count_if(c).alias(name) for name, c in marks.items()), F.max_by(event, order).alias("last_event")
+    )
 
 
 def note_checks(notes: DataFrame, events: DataFrame, note: str = "note_id", related: str = "related_ids", event: str = "event_id") -> DataFrame:
@@ -82,7 +94,9 @@ def note_checks(notes: DataFrame, events: DataFrame, note: str = "note_id", rela
     refs = notes.select(note, F.explode(related).alias("_e"))
     known = events.select(F.col(event).alias("_k")).distinct()
     met = refs.join(known, F.col("_e") == F.col("_k"), "left")
-    return met.groupBy(note).agg(F.count("*").alias("refs"), F.count_if(F.col("_k").isNull()).alias("unknown"), F.bool_and(F.col("_k").isNotNull()).alias("written"))
+    return met.groupBy(note).agg(
+        F.count("*").alias("refs"), F.count_if(F.col("_k").isNull()).alias("unknown"), F.bool_and(F.col("_k").isNotNull()).alias("written")
+    )
 
 
 def prefix_of(copy: DataFrame, journal: DataFrame, stream: str, sequence: str = "sequence", ident: str = "event_id") -> DataFrame:
@@ -90,5 +104,8 @@ def prefix_of(copy: DataFrame, journal: DataFrame, stream: str, sequence: str =
     appended. A copy that is none is not repaired."""
     held = copy.select(F.col(stream).alias("_t"), F.col(sequence).alias("_q"), F.col(ident).alias("_i"))
     met = journal.join(held, (F.col(stream) == F.col("_t")) & (F.col(sequence) == F.col("_q")), "left")
-    out = met.groupBy(stream).agg(F.bool_and(F.col("_i").isNull() | (F.col("_i") == F.col(ident))).alias("is_prefix"), F.count("_i").alias("copied"), F.count("*").alias("total"))
+    out = met.groupBy(stream).agg(
+        F.bool_and(F.col("_i").isNull() | (F.col("_i") == F.col(ident))).alias("is_prefix"), F.count("_i").alias("copied"),
+        F.count("*").alias("total")
+    )
     return out.withColumn("to_append", F.col("total") - F.col("copied"))

@@ -62,11 +62,21 @@ def narrowed(rows: DataFrame, by: Sequence[str], p: float, name: str) -> DataFra
     place = F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1 + F.col("before")
     # where all values of the last bin are equal, two of them stand for all
     last = near.where("_v >= lo and _v <= hi and lo < hi").withColumn("place", place)
-    found = last.groupBy(*by).agg(F.max(F.when(F.col("place") == F.col("k"), F.col("_v"))).alias("a"), F.max(F.when(F.col("place") == F.col("k") + 1, F.col("_v"))).alias("b"))
-    flat = bounds.where("lo = hi").select(*by, F.col("lo").alias("a"), F.when(F.col("k") + 1 < F.col("before") + F.col("inside"), F.col("lo")).alias("b"))
+    found = last.groupBy(*by).agg(
+        F.max(F.when(F.col("place") == F.col("k"), F.col("_v"))).alias("a"), F.max(F.when(F.col("place") == F.col("k") + 1, F.col("_v"))).alias("b")
+    )
+    flat = bounds.where("lo = hi").select(
+        *by, F.col("lo").alias("a"), F.when(F.col("k") + 1 < F.col("before") + F.col("inside"), F.col("lo")).alias("b")
+    )
     values = _same(bounds, found.unionByName(flat), by)
     other = after.withColumnsRenamed({c: f"_{c}_" for c in by})
     cond = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by), F.lit(True))
     values = values.join(other, cond, "left").withColumn("b", F.coalesce("b", "after", "a"))
-    got = values.select(*by, F.when(F.col("at") == F.col("k"), F.col("a")).otherwise((F.col("k") + 1 - F.col("at")) * F.col("a") + (F.col("at") - F.col("k")) * F.col("b")).alias(name), "n")
+    got = values.select(
+        *by,
+        F.when(F.col("at") == F.col("k"), F.col("a")).otherwise(
+            (F.col("k") + 1 - F.col("at")) * F.col("a") + (F.col("at") - F.col("k")) * F.col("b")
+        ).alias(name),
+        "n"
+    )
     return got.unionByName(base.where("n = 0").select(*by, F.lit(None).cast("double").alias(name), "n"))

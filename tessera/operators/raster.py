@@ -39,7 +39,10 @@ def tile_metrics(px: DataFrame, by: str, value: str = "grey") -> DataFrame:
     near = px.withColumns({"_l": F.lag(value).over(rows), "_r": F.lead(value).over(rows), "_u": F.lag(value).over(cols), "_d": F.lead(value).over(cols)})
     lap = F.col("_l") + F.col("_r") + F.col("_u") + F.col("_d") - 4 * v
     grad = F.pow(F.col("_r") - F.col("_l"), 2) + F.pow(F.col("_d") - F.col("_u"), 2)
-    return near.groupBy(by).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(lap).alias("focus"), F.avg(grad).alias("tenengrad"), F.avg(((v >= 250) | (v <= 5)).cast("double")).alias("clip_frac"), F.count("*").alias("n"))
+    return near.groupBy(by).agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.var_pop(lap).alias("focus"), F.avg(grad).alias("tenengrad"),
+        F.avg(((v >= 250) | (v <= 5)).cast("double")).alias("clip_frac"), F.count("*").alias("n")
+    )
 
 
 def local_variance(px: DataFrame, by: str, reach: int, value: str = "grey") -> DataFrame:
@@ -73,7 +76,9 @@ def trim_border(px: DataFrame, by: str, width: int, height: int, trim: int) -> D
     offsets (a number that the trim fixes) and met by an equi-join."""
     offsets = [(i, j) for i in range(-trim + 1, trim) for j in range(-trim + 1, trim) if i * i + j * j < trim * trim]
     disc = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets)))
-    bad = px.where("not valid").select(by, "x", "y", disc.alias("o")).select(by, (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).distinct().withColumn("_near", F.lit(True))
+    bad = px.where("not valid").select(by, "x", "y", disc.alias("o")).select(
+        by, (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")
+    ).distinct().withColumn("_near", F.lit(True))
     return px.join(bad, [by, "x", "y"], "left").withColumn("valid", F.col("valid") & F.col("_near").isNull()).drop("_near")
 
 
@@ -85,7 +90,9 @@ def label_components(px: DataFrame, by: str, mask: Column) -> DataFrame:
     row = Window.partitionBy(by, "y").orderBy("x")
     runs = kept.withColumn("_g", F.col("x") - F.row_number().over(row)).withColumn("_s", F.min("x").over(Window.partitionBy(by, "y", "_g")))
     runs = settle(runs.select(by, "x", "y", F.struct(by, (F.col("y").cast("long") * 1_000_003 + F.col("_s")).alias("node")).alias("run")))
-    below = runs.select(by, "x", (F.col("y") + 1).alias("y"), F.col("run").alias("src")).join(runs.select(by, "x", "y", F.col("run").alias("dst")), [by, "x", "y"])
+    below = runs.select(by, "x", (F.col("y") + 1).alias("y"), F.col("run").alias("src")).join(
+        runs.select(by, "x", "y", F.col("run").alias("dst")), [by, "x", "y"]
+    )
     alone = runs.select(F.col("run").alias("src"), F.col("run").alias("dst"))
     found = connected_components(below.select("src", "dst").unionByName(alone).distinct())
     return runs.join(found, F.col("run") == F.col("node")).select(by, "x", "y", F.col("component.node").alias("component"))
@@ -104,9 +111,13 @@ def fill_holes(px: DataFrame, by: str, mask: str) -> DataFrame:
 def regions(px: DataFrame, by: str, target: int, least_share: float = 0.01, most: int = 8) -> DataFrame:
     """The largest components of a class per image above a share of the class: area, box, fill, mean colour."""
     comp = label_components(px, by, F.col("label") == target)
-    stats = comp.join(px, [by, "x", "y"]).groupBy(by, "component").agg(F.count("*").alias("area_px"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
+    stats = comp.join(px, [by, "x", "y"]).groupBy(by, "component").agg(
+        F.count("*").alias("area_px"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")
+    )
     whole = stats.groupBy(by).agg(F.sum("area_px").alias("class_px"))
-    out = stats.join(whole, by).withColumn("pct_of_class", 100.0 * F.col("area_px") / F.col("class_px")).withColumn("bbox_fill", F.col("area_px") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))))
+    out = stats.join(whole, by).withColumn("pct_of_class", 100.0 * F.col("area_px") / F.col("class_px")).withColumn(
+        "bbox_fill", F.col("area_px") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    )
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("area_px"), "component"))
     return out.where(F.col("area_px") >= least_share * F.col("class_px")).withColumn("rank", rank).where(F.col("rank") <= most).drop("class_px")
 
@@ -117,9 +128,17 @@ def central_exclusion(found: DataFrame, by: str, width: int, height: int, pad: f
     cx, cy = width // 2, height // 2
     inside = F.col("x0").between(0, cx) & (F.col("x1") > cx) & F.col("y0").between(0, cy) & (F.col("y1") > cy)
     px_, py_ = F.ceil((F.col("x1") - F.col("x0")) * pad), F.ceil((F.col("y1") - F.col("y0")) * pad)
-    box = F.struct(F.greatest(F.lit(0), F.col("x0") - px_).alias("x1"), F.greatest(F.lit(0), F.col("y0") - py_).alias("y1"), F.least(F.lit(width), F.col("x1") + px_).alias("x2"), F.least(F.lit(height), F.col("y1") + py_).alias("y2"))
-    out = found.withColumn("inside", inside).withColumn("box", box).groupBy(by).agg(F.count_if("inside").alias("candidates"), F.min(F.when(F.col("inside"), F.col("box"))).alias("box"))
-    return out.select(by, F.when(F.col("candidates") == 1, F.col("box")).alias("box"), F.when(F.col("candidates") == 1, "accepted").otherwise("needs_review").alias("status"))
+    box = F.struct(
+        F.greatest(F.lit(0), F.col("x0") - px_).alias("x1"), F.greatest(F.lit(0), F.col("y0") - py_).alias("y1"),
+        F.least(F.lit(width), F.col("x1") + px_).alias("x2"), F.least(F.lit(height), F.col("y1") + py_).alias("y2")
+    )
+    out = found.withColumn("inside", inside).withColumn("box", box).groupBy(by).agg(
+        F.count_if("inside").alias("candidates"), F.min(F.when(F.col("inside"), F.col("box"))).alias("box")
+    )
+    return out.select(
+        by, F.when(F.col("candidates") == 1, F.col("box")).alias("box"),
+        F.when(F.col("candidates") == 1, "accepted").otherwise("needs_review").alias("status")
+    )
 
 
 def overlap_ratio(a: DataFrame, b: DataFrame, dx: int, dy: int, low: int = 20, high: int = 245, least: int = 500) -> DataFrame:
@@ -134,15 +153,23 @@ def overlap_ratio(a: DataFrame, b: DataFrame, dx: int, dy: int, low: int = 20, h
     m = m.join(F.broadcast(m.agg(F.percentile("_l", 0.5).alias("_m"))))
     channels = ("r", "g", "b", "r2", "g2", "b2")
     bright = lambda c: F.percentile(F.when(F.col("_l") >= F.col("_m"), F.col(c)), 0.5).alias(f"{c}_bright")
-    out = m.agg(F.count("*").alias("pixels"), F.avg((F.abs(F.col("_l") - F.col("_m")) <= 0.1 * F.col("_m")).cast("double")).alias("flat"), *(F.percentile(c, 0.5).alias(c) for c in channels), *map(bright, channels))
+    out = m.agg(
+        F.count("*").alias("pixels"), F.avg((F.abs(F.col("_l") - F.col("_m")) <= 0.1 * F.col("_m")).cast("double")).alias("flat"),
+        *(F.percentile(c, 0.5).alias(c) for c in channels), *map(bright, channels)
+    )
     enough = lambda c, name: F.when(F.col("pixels") >= least, c).alias(name)
-    return out.select("pixels", *(enough(F.try_divide(F.col(c), F.col(f"{c}2")), f"ratio_{c}") for c in "rgb"), *(enough(F.try_divide(F.col(f"{c}_bright"), F.col(f"{c}2_bright")), f"bright_{c}") for c in "rgb"), enough(F.col("flat"), "flat_fraction"))
+    return out.select(
+        "pixels", *(enough(F.try_divide(F.col(c), F.col(f"{c}2")), f"ratio_{c}") for c in "rgb"),
+        *(enough(F.try_divide(F.col(f"{c}_bright"), F.col(f"{c}2_bright")), f"bright_{c}") for c in "rgb"), enough(F.col("flat"), "flat_fraction")
+    )
 
 
 def overlap_ncc(a: DataFrame, b: DataFrame, dx: int, dy: int, least: int = 16) -> DataFrame:
     """Zero-mean correlation of the overlap; -1 where it is thin or flat."""
     shifted = b.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("grey").alias("grey2"))
-    m = a.select("x", "y", "grey").join(shifted, ["x", "y"]).agg(F.count("*").alias("pixels"), F.corr(F.col("grey").cast("double"), F.col("grey2").cast("double")).alias("r"))
+    m = a.select("x", "y", "grey").join(shifted, ["x", "y"]).agg(
+        F.count("*").alias("pixels"), F.corr(F.col("grey").cast("double"), F.col("grey2").cast("double")).alias("r")
+    )
     return m.select("pixels", F.when((F.col("pixels") < least) | F.col("r").isNull() | F.isnan("r"), -1.0).otherwise(F.col("r")).alias("ncc"))
 
 
@@ -168,7 +195,9 @@ def gaussian(px: DataFrame, by: str, value: str, sigma: float) -> DataFrame:
     out = px.select(by, "x", "y", F.col(value).cast("double").alias("_v")).join(size, by)
     for c, lo, hi in (("x", "x0", "x1"), ("y", "y0", "y1")):
         # the outermost pixel also stands for those beyond it
-        beyond = F.when(F.col(lo) == F.col(hi), F.sequence(F.col(c) - reach, F.col(c) + reach)).when(F.col(c) == F.col(lo), F.sequence(F.col(c) - reach, F.col(c))).when(F.col(c) == F.col(hi), F.sequence(F.col(c), F.col(c) + reach)).otherwise(F.array(c))
+        beyond = F.when(
+            F.col(lo) == F.col(hi), F.sequence(F.col(c) - reach, F.col(c) + reach)
+        ).when(F.col(c) == F.col(lo), F.sequence(F.col(c) - reach, F.col(c))).when(F.col(c) == F.col(hi), F.sequence(F.col(c), F.col(c) + reach)).otherwise(F.array(c))
         held = out.withColumn("_at", F.explode(beyond)).withColumn("_k", F.explode(kernel))
         held = held.withColumn(c, F.col("_at") - F.col("_k.o")).where(F.col(c).between(F.col(lo), F.col(hi)))
         out = held.groupBy(by, "x", "y", "x0", "x1", "y0", "y1").agg(F.sum(F.col("_v") * F.col("_k.w")).alias("_v"))
@@ -194,9 +223,19 @@ def flat_field(px: DataFrame, value: str = "grey", least: int = 8, blur: float |
 def render(px: DataFrame, positions: DataFrame, tile_w: int, tile_h: int, background: float = 0.0) -> DataFrame:
     """The mosaic of tiles at their positions: feather-weighted mean per canvas pixel, rounded by a half and clamped."""
     placed = px.join(small(positions.select(F.col("tile").alias("_t"), "left", "top"), 100_000), F.col("tile") == F.col("_t"))
-    w = F.greatest(F.least(F.col("x") + 1, tile_w - F.col("x")) * F.least(F.col("y") + 1, tile_h - F.col("y")) / F.lit(float((tile_w + 1) // 2 * ((tile_h + 1) // 2))), F.lit(1e-4))
-    out = placed.select((F.col("x") + F.col("left")).alias("x"), (F.col("y") + F.col("top")).alias("y"), (F.col("grey") * w).alias("v"), w.alias("w")).groupBy("x", "y").agg((F.sum("v") / F.sum("w")).alias("v"), F.count("*").alias("tiles"))
-    return out.select("x", "y", "tiles", F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(F.coalesce("v", F.lit(background)), 9) + 0.5))).cast("int").alias("grey"))
+    w = F.greatest(
+        F.least(F.col("x") + 1, tile_w - F.col("x")) * F.least(F.col("y") + 1, tile_h - F.col("y")) / F.lit(
+            float((tile_w + 1) // 2 * ((tile_h + 1) // 2))
+        ),
+        F.lit(1e-4)
+    )
+    out = placed.select(
+        (F.col("x") + F.col("left")).alias("x"), (F.col("y") + F.col("top")).alias("y"), (F.col("grey") * w).alias("v"), w.alias("w")
+    ).groupBy("x", "y").agg((F.sum("v") / F.sum("w")).alias("v"), F.count("*").alias("tiles"))
+    return out.select(
+        "x", "y", "tiles",
+        F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.round(F.coalesce("v", F.lit(background)), 9) + 0.5))).cast("int").alias("grey")
+    )
 
 
 def merge_first(preds: DataFrame) -> DataFrame:
@@ -246,7 +285,9 @@ def accept_edges(edges: DataFrame, prior_dx: float, prior_dy: float, least_ncc:
     why = F.when(F.col("ncc") < least_ncc, "correlation").when(off > most_off, "deviation")
     out = edges.withColumn("why", why)
     keep = F.col("why").isNull()
-    return out.withColumn("dx", F.when(keep, F.col("dx")).otherwise(prior_dx)).withColumn("dy", F.when(keep, F.col("dy")).otherwise(prior_dy)).withColumn("w", F.when(keep, F.col("ncc")).otherwise(1e-3))
+    return out.withColumn(
+        "dx", F.when(keep, F.col("dx")).otherwise(prior_dx)
+    ).withColumn("dy", F.when(keep, F.col("dy")).otherwise(prior_dy)).withColumn("w", F.when(keep, F.col("ncc")).otherwise(1e-3))
 
 
 def grow_region(px: DataFrame, by: str, seed: tuple[int, int], tolerance: float) -> DataFrame:
@@ -264,8 +305,12 @@ def satellites(parts: DataFrame, by: str, main: int, radius: int, least: int = 1
     radius's size, by equal keys."""
     boxed = lambda df: df.withColumn("bx", F.floor(F.col("x") / radius)).withColumn("by_", F.floor(F.col("y") / radius))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    core = boxed(parts.where(F.col("component") == main)).select(by, F.col("x").alias("mx"), F.col("y").alias("my"), "bx", "by_", around.alias("d")).select(by, "mx", "my", (F.col("bx") + F.col("d.i")).alias("bx"), (F.col("by_") + F.col("d.j")).alias("by_"))
-    near = boxed(parts.where(F.col("component") != main)).join(core, [by, "bx", "by_"]).where((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2 <= radius * radius).select(by, "component").distinct()
+    core = boxed(parts.where(F.col("component") == main)).select(by, F.col("x").alias("mx"), F.col("y").alias("my"), "bx", "by_", around.alias("d")).select(
+        by, "mx", "my", (F.col("bx") + F.col("d.i")).alias("bx"), (F.col("by_") + F.col("d.j")).alias("by_")
+    )
+    near = boxed(parts.where(F.col("component") != main)).join(core, [by, "bx", "by_"]).where(
+        (F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2 <= radius * radius
+    ).select(by, "component").distinct()
     sizes = parts.join(near, [by, "component"], "left_semi").groupBy(by, "component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("size"), "component"))
     return sizes.withColumn("rank", rank).where(F.col("rank") <= most)
@@ -279,7 +324,10 @@ def background_colour(px: DataFrame, by: str, tolerance: float = 6.0, least: flo
     total = bins.groupBy(by).agg(F.sum("n").alias("total"))
     best = bins.join(total, by).groupBy(by).agg(F.max(F.when(F.col("n") >= least * F.col("total"), F.col("bin"))).alias("best"))
     inside = flat.join(best, by).where(F.col("best").isNull() | (F.col("bin") == F.col("best")))
-    return inside.groupBy(by).agg(*(F.percentile(c, 0.5).alias(c) for c in "rgb"), F.first(F.when(F.col("best").isNull(), "all_flat").otherwise("plateau")).alias("source"), F.count("*").alias("pixels"))
+    return inside.groupBy(by).agg(
+        *(F.percentile(c, 0.5).alias(c) for c in "rgb"), F.first(F.when(F.col("best").isNull(), "all_flat").otherwise("plateau")).alias("source"),
+        F.count("*").alias("pixels")
+    )
 
 
 def mirrored_border(px: DataFrame, by: str, width: int, height: int, reach: int) -> DataFrame:
@@ -297,7 +345,9 @@ def downsample(px: DataFrame, by: str, width: int, height: int, most: int = 1024
     the right and lower border is cut."""
     step = -(-max(width, height) // most)
     inside = px.where((F.col("x") < width // step * step) & (F.col("y") < height // step * step))
-    return inside.groupBy(by, F.floor(F.col("x") / step).alias("x"), F.floor(F.col("y") / step).alias("y")).agg(F.avg(luminance(F.col("r"), F.col("g"), F.col("b"))).alias("grey"))
+    return inside.groupBy(
+        by, F.floor(F.col("x") / step).alias("x"), F.floor(F.col("y") / step).alias("y")
+    ).agg(F.avg(luminance(F.col("r"), F.col("g"), F.col("b"))).alias("grey"))
 
 
 def closed(px: DataFrame, by: str, name: str, reach: int, width: int, height: int) -> DataFrame:
@@ -321,7 +371,10 @@ def alarms(px: DataFrame, by: str, width: int, height: int, reach: int = 16, var
     classes = rough.where("label > 0 and valid").groupBy(by, F.col("label").alias("dominant")).agg(F.count("*").alias("_all"))
     counts = met.groupBy(by, "component", "label").agg(F.count("*").alias("n"))
     top = counts.groupBy(by, "component").agg(F.max_by(F.struct("label", "n"), F.struct(F.col("n"), -F.col("label"))).alias("top"))
-    out = met.groupBy(by, "component").agg(F.count("*").alias("area_px"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.avg("grey").alias("mean_grey"), F.avg("variance").alias("mean_var"))
+    out = met.groupBy(by, "component").agg(
+        F.count("*").alias("area_px"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"),
+        F.avg("grey").alias("mean_grey"), F.avg("variance").alias("mean_var")
+    )
     out = out.where(F.col("area_px") >= least).join(top, [by, "component"]).withColumn("dominant", F.col("top.label"))
     return out.join(classes, [by, "dominant"]).withColumn("pct_of_class", 100.0 * F.col("top.n") / F.col("_all")).drop("top", "_all")
 
@@ -337,10 +390,17 @@ def candidates(px: DataFrame, by: str, target: int, parts: DataFrame, least_pct:
     pixels, shares of class and crystal, box, fill of the box, mean grey. From pixels ``(x, y, grey, label, valid)`` and
     the class's ``closed_parts``."""
     own = px.withColumn("_sel", (F.col("label") == target) & F.col("valid"))
-    box = parts.groupBy(by, "component").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
+    box = parts.groupBy(by, "component").agg(
+        F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")
+    )
     held = parts.join(own.where("_sel"), [by, "x", "y"]).groupBy(by, "component").agg(F.count("*").alias("area_px"), F.avg("grey").alias("mean_grey"))
     totals = own.groupBy(by).agg(F.count_if("_sel").alias("_class"), F.count_if((F.col("label") > 0) & F.col("valid")).alias("_crystal"))
-    out = held.join(box, [by, "component"]).join(totals, by).withColumns({"pct_of_class": 100.0 * F.col("area_px") / F.col("_class"), "pct_of_crystal": 100.0 * F.col("area_px") / F.col("_crystal"), "bbox_fill": F.col("area_px") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))})
+    out = held.join(box, [by, "component"]).join(totals, by).withColumns(
+        {
+            "pct_of_class": 100.0 * F.col("area_px") / F.col("_class"), "pct_of_crystal": 100.0 * F.col("area_px") / F.col("_crystal"),
+            "bbox_fill": F.col("area_px") / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+        }
+    )
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("area_px"), "component"))
     return out.where(F.col("pct_of_class") >= least_pct).withColumn("rank", rank).where(F.col("rank") <= most).drop("_class", "_crystal")
 
@@ -364,7 +424,9 @@ def central_rectangle(px: DataFrame, by: str, target: int, width: int, height: i
     raw = label_components(px, by, sel)
     touching = raw.groupBy(by, "component").agg(F.max((F.col("x").isin(0, width - 1)) | (F.col("y").isin(0, height - 1))).alias("edge"))
     rim = raw.join(touching.where("edge"), [by, "component"], "left_semi").select(by, F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
-    bound = parts.join(rim, (parts[by] == rim[by]) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select(parts[by], "component").distinct().withColumn("_edge", F.lit(True))
+    bound = parts.join(
+        rim, (parts[by] == rim[by]) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    ).select(parts[by], "component").distinct().withColumn("_edge", F.lit(True))
     rules = [
         ("off_centre", ~((F.col("x0") <= width / 2) & (F.col("x1") > width / 2) & (F.col("y0") <= height / 2) & (F.col("y1") > height / 2))),
         ("too_small", F.col("area_px") < width * height * least_area),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 def unit(ident: Column, seed: str) -> Column:
     """A number from 0 to 1 that only the id and the seed decide."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    return (
+        F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5
+    ) / float(1 << 52)
 
 
 def seeded_sample(rows: DataFrame, ident: str, n: int, seed: str = "0") -> DataFrame:
@@ -29,5 +31,8 @@ def spread(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int, end
     """Up to n rows of each group, evenly spaced in order, with or without the ends; each row once."""
     w = Window.partitionBy(*by)
     at = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / F.lit(max(1, n - 1)) + 0.5) if ends else F.floor((k + 1) * F.col("_n") / F.lit(n + 1)))
+    places = F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)),
+        lambda k: F.floor(k * (F.col("_n") - 1) / F.lit(max(1, n - 1)) + 0.5) if ends else F.floor((k + 1) * F.col("_n") / F.lit(n + 1))
+    )
     return at.where(F.array_contains(places, F.col("_i"))).drop("_i", "_n")

@@ -70,7 +70,9 @@ def residuals(edges: DataFrame, positions: DataFrame) -> DataFrame:
     p = positions.select(F.col("id"), "x", "y")
     a, b = p.toDF("src", "ax", "ay"), p.toDF("dst", "bx", "by")
     out = edges.join(a, "src").join(b, "dst")
-    return out.withColumn("residual", F.hypot(F.col("bx") - F.col("ax") - F.col("dx"), F.col("by") - F.col("ay") - F.col("dy"))).drop("ax", "ay", "bx", "by")
+    return out.withColumn(
+        "residual", F.hypot(F.col("bx") - F.col("ax") - F.col("dx"), F.col("by") - F.col("ay") - F.col("dy"))
+    ).drop("ax", "ay", "bx", "by")
 
 
 def solve_gains(edges: DataFrame, huber: float = 0.03, penalty: float = 0.5, rounds: int = 4, least: float = 0.5, most: float = 2.0) -> DataFrame:

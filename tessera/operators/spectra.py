@@ -29,7 +29,9 @@ def shape_correlation(spectra: DataFrame, template: DataFrame, ident: str, y: st
         cond = cond & (F.col(k) == F.col(f"t_{k}"))
     met = points(spectra, ident, y, on).join(small(t, 100_000), cond)
     r = met.groupBy(ident, *(f"t_{k}" for k in keys)).agg(F.corr("val", "median").alias("r"))
-    return r.groupBy(ident).agg(F.max_by(F.struct(*(f"t_{k}" for k in keys)), F.struct("r", *(-F.col(f"t_{k}") for k in keys))).alias("best"), F.max("r").alias("r"))
+    return r.groupBy(ident).agg(
+        F.max_by(F.struct(*(f"t_{k}" for k in keys)), F.struct("r", *(-F.col(f"t_{k}") for k in keys))).alias("best"), F.max("r").alias("r")
+    )
 
 
 def orientation(spectra: DataFrame, ident: str, y: str, band: tuple[int, int], base: tuple[int, int]) -> DataFrame:
@@ -57,9 +59,15 @@ def calibrate(fits: DataFrame, by: Sequence[str], klass: Column, value: Column,
     """A threshold per group halfway between two classes' medians (the default if one is missing), and whether the
     classes are apart by the gap."""
     pick = lambda k: F.when(klass == k, value)
-    m = fits.groupBy(*by).agg(F.percentile(pick(low), 0.5).alias("low_median"), F.percentile(pick(high), 0.5).alias("high_median"), F.max(pick(low)).alias("low_max"), F.min(pick(high)).alias("high_min"))
+    m = fits.groupBy(*by).agg(
+        F.percentile(pick(low), 0.5).alias("low_median"), F.percentile(pick(high), 0.5).alias("high_median"), F.max(pick(low)).alias("low_max"),
+        F.min(pick(high)).alias("high_min")
+    )
     threshold = F.coalesce((F.col("low_median") + F.col("high_median")) / 2.0, F.lit(float(default)))
-    return m.select(*by, F.round("low_median", 6).alias("low_median"), F.round("high_median", 6).alias("high_median"), F.round(threshold, 6).alias("threshold"), F.coalesce(F.col("high_min") - F.col("low_max") >= gap, F.lit(False)).alias("separated"))
+    return m.select(
+        *by, F.round("low_median", 6).alias("low_median"), F.round("high_median", 6).alias("high_median"), F.round(threshold, 6).alias("threshold"),
+        F.coalesce(F.col("high_min") - F.col("low_max") >= gap, F.lit(False)).alias("separated")
+    )
 
 
 #: An amplitude ratio above this is too weak to overrule the splitting; between these bounds amplitudes decide nothing
@@ -73,7 +81,12 @@ def with_reference(fits: DataFrame, reference: DataFrame, substrate: str, thresh
     energy separate the classes, ``ea_threshold`` and ``ea_gap_mev``."""
     known = small(reference.withColumnRenamed(substrate, "_s"))
     out = fits.join(known, F.col(substrate) == F.col("_s"), "left").withColumn("calibrated", F.col("_s").isNotNull())
-    return out.withColumns({"threshold": F.coalesce("threshold", F.lit(threshold)), "amp_gap": F.coalesce("amp_gap", F.lit(False)), "ea_gap": F.coalesce("ea_gap", F.lit(False))}).drop("_s")
+    return out.withColumns(
+        {
+            "threshold": F.coalesce("threshold", F.lit(threshold)), "amp_gap": F.coalesce("amp_gap", F.lit(False)),
+            "ea_gap": F.coalesce("ea_gap", F.lit(False))
+        }
+    ).drop("_s")
 
 
 def assign(fits: DataFrame, split: str = "split", amplitude: str = "aa", energy: str = "ea") -> DataFrame:
@@ -95,12 +108,18 @@ def assign(fits: DataFrame, split: str = "split", amplitude: str = "aa", energy:
     vetoed = low & (ratio <= VETO_CLEAR)
     by_amplitude, by_energy = F.when(a < F.col("amplitude"), "1L").otherwise("3R"), F.when(away >= 0, "1L").otherwise("3R")
     undecided = (ratio > NO_GAP[0]) & (ratio < NO_GAP[1])
-    label = F.when(tall, F.when(vetoed, "1L").otherwise("2H")).when(F.col("amplitude").isNull(), "3R-or-1L").when(by_ea, by_energy).otherwise(by_amplitude)
-    flag = F.when(s.isNull(), "no_fit").when(~F.col("calibrated"), "substrate_uncalibrated").when(low & ~vetoed, "amp_veto_ambiguous").when(by_ea & (F.abs(away) < EA_CLEAR), "ea_ambiguous").when(by_ea & (by_energy != by_amplitude) & ~undecided, "ea_amp_conflict")
+    label = F.when(
+        tall, F.when(vetoed, "1L").otherwise("2H")
+    ).when(F.col("amplitude").isNull(), "3R-or-1L").when(by_ea, by_energy).otherwise(by_amplitude)
+    flag = F.when(s.isNull(), "no_fit").when(~F.col("calibrated"), "substrate_uncalibrated").when(low & ~vetoed, "amp_veto_ambiguous").when(by_ea & (F.abs(away) < EA_CLEAR), "ea_ambiguous").when(
+        by_ea & (by_energy != by_amplitude) & ~undecided, "ea_amp_conflict"
+    )
     flag = flag.when(yes(~tall & F.col("amplitude").isNotNull() & ~by_ea & ~F.col("amp_gap") & undecided), "amp_nogap_ambiguous").otherwise("")
     within = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     base, weak = within(F.abs(margin) / 15.0), within((1 - ratio) / (1 - VETO_CLEAR))
-    sure = F.when(~F.col("calibrated"), 0.0).when(vetoed, weak).when(low, F.least(base, weak)).when(by_ea, F.least(base, within(F.abs(away) / F.greatest(F.lit(EA_CLEAR), F.col("ea_gap_mev") / 2)))).otherwise(base)
+    sure = F.when(~F.col("calibrated"), 0.0).when(vetoed, weak).when(low, F.least(base, weak)).when(
+        by_ea, F.least(base, within(F.abs(away) / F.greatest(F.lit(EA_CLEAR), F.col("ea_gap_mev") / 2)))
+    ).otherwise(base)
     decided = F.when(by_ea, "E_A").when(~tall & F.col("amplitude").isNotNull(), "amplitude").otherwise("splitting")
     out = out.withColumns({"rule_label": F.when(s.isNotNull(), label), "stacking": F.when(tall, "2H").otherwise("3R-or-1L"), "rule_flag": flag, "vetoed": vetoed, "decided_by": decided, "confidence": sure})
     return out.withColumn("ea_margin_mev", F.when(by_ea, away)).drop("_tall", "_low", "_by_ea")

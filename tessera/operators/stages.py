@@ -73,7 +73,9 @@ def resolved_positions(tiles: DataFrame, named: DataFrame, numbered: DataFrame)
 def colour_state(state: Column, measured: Column, rendered: Column) -> Column:
     """What became of the colour step: off, already corrected, or measured and verified by what was rendered; a step
     that failed stops the run."""
-    return F.when(state == "disabled", "off").when(state == "already_corrected", "already_corrected").when(~measured, "failed").when(rendered, "corrected").otherwise("unverified")
+    return F.when(state == "disabled", "off").when(
+        state == "already_corrected", "already_corrected"
+    ).when(~measured, "failed").when(rendered, "corrected").otherwise("unverified")
 
 
 def agreeing(documents: DataFrame, by: str, columns: Sequence[str], n: int) -> DataFrame:
@@ -101,7 +103,10 @@ def decided(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
 def as_result(ok: Column, confidence: Column, reason: Column) -> Column:
     """A stage's result: it escalates where it is not well, or not sure enough."""
     escalate = ~ok | (confidence < 0.5)
-    return F.struct(ok.alias("ok"), confidence.alias("confidence"), escalate.alias("escalate"), F.when(escalate, F.coalesce(reason, F.lit("unsure"))).alias("escalate_reason"))
+    return F.struct(
+        ok.alias("ok"), confidence.alias("confidence"), escalate.alias("escalate"),
+        F.when(escalate, F.coalesce(reason, F.lit("unsure"))).alias("escalate_reason")
+    )
 
 
 def assemble(captures: DataFrame, runs: DataFrame, identity: Sequence[str], prefer: str = "latest") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -125,22 +130,30 @@ def assemble(captures: DataFrame, runs: DataFrame, identity: Sequence[str], pref
     rows = taken.select("row", "col", "run", "started", "capture", "sha256")
     selected = windows.last_wins(rows, ["row", "col"], order)
     twice = rows.groupBy("row", "col").agg(F.count("*").alias("captures"), (F.count_distinct("sha256") == 1).alias("identical")).where("captures > 1")
-    places = chosen.agg(F.max("rows").alias("r"), F.max("cols").alias("c")).select(F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("row"), "c").select("row", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("col"))
+    places = chosen.agg(F.max("rows").alias("r"), F.max("cols").alias("c")).select(F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("row"), "c").select(
+        "row", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("col")
+    )
     return selected, twice, places.join(rows, ["row", "col"], "left_anti")
 
 
 def verified(manifest: DataFrame, files: DataFrame, runtime: DataFrame, current: DataFrame, captures: DataFrame) -> DataFrame:
     """What is wrong with a handover, a line per finding ``(check, name)``: files missing or changed, parts of the program
     that differ, captures without a file."""
-    lines = joins.manifest_check(manifest, files, "path").where("state <> 'ok'").select(F.concat(F.lit("file "), F.col("state")).alias("check"), F.col("path").alias("name"))
+    lines = joins.manifest_check(manifest, files, "path").where("state <> 'ok'").select(
+        F.concat(F.lit("file "), F.col("state")).alias("check"), F.col("path").alias("name")
+    )
     differing = joins.manifest_diff(runtime, current, "path").select(F.lit("runtime differs").alias("check"), F.col("path").alias("name"))
-    absent = captures.select(F.col("path").alias("name")).join(files.select(F.col("path").alias("name")), "name", "left_anti").select(F.lit("capture without file").alias("check"), "name")
+    absent = captures.select(F.col("path").alias("name")).join(
+        files.select(F.col("path").alias("name")), "name", "left_anti"
+    ).select(F.lit("capture without file").alias("check"), "name")
     return lines.unionByName(differing).unionByName(absent)
 
 
 def frame_contract(frames: DataFrame, width: Column, height: Column) -> DataFrame:
     """Frames with why they do not keep the contract: unreadable, or of another size than was agreed."""
-    why = F.when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when((F.col("width") != width) | (F.col("height") != height), "size differs")
+    why = F.when(F.col("width").isNull() | F.col("height").isNull(), "unreadable").when(
+        (F.col("width") != width) | (F.col("height") != height), "size differs"
+    )
     return frames.withColumn("fault", why)
 
 
@@ -150,7 +163,9 @@ def inspected(tiles: DataFrame, by: str) -> DataFrame:
     columns = tiles.groupBy(by, "col").agg(F.count("*").alias("n"))
     fewest = columns.groupBy(by).agg(F.count("*").alias("columns"), F.min("n").alias("fewest"))
     rest = [F.when((F.min("width") % d == 0) & (F.min("height") % d == 0), F.lit(d)) for d in (1, 2, 4, 8, 16)]
-    sizes = tiles.groupBy(by).agg(F.count_distinct("width", "height").alias("sizes"), F.count_distinct("kind").alias("kinds"), F.array_compact(F.array(*rest)).alias("divisors"))
+    sizes = tiles.groupBy(by).agg(
+        F.count_distinct("width", "height").alias("sizes"), F.count_distinct("kind").alias("kinds"), F.array_compact(F.array(*rest)).alias("divisors")
+    )
     out = fewest.join(sizes, by)
     return out.withColumn("ready", (F.col("columns") >= 2) & (F.col("fewest") >= 2) & (F.col("sizes") == 1) & (F.col("kinds") == 1))
 
@@ -159,8 +174,12 @@ def focus_check(files: DataFrame, points: DataFrame, by: str, since: float, leas
     """Per run: its new frames, whether they fit the scan's points, and those to take again; no new frame is a problem of
     its own. ``files`` has ``(by, name, at, score)``, ``points`` ``(by, place)``."""
     new = acquisition.recent(files, "name", "at", since)
-    counts = points.groupBy(by).agg(F.count("*").alias("points")).join(new.groupBy(by).agg(F.count("*").alias("frames"), F.count_if(F.col("score") < least).alias("retake")), by, "left").fillna(0, ["frames", "retake"])
-    state = F.when(F.col("frames") == 0, "no new frames").when(F.col("frames") != F.col("points"), "cannot be placed").when(F.col("retake") > 0, "retake").otherwise("ok")
+    counts = points.groupBy(by).agg(F.count("*").alias("points")).join(
+        new.groupBy(by).agg(F.count("*").alias("frames"), F.count_if(F.col("score") < least).alias("retake")), by, "left"
+    ).fillna(0, ["frames", "retake"])
+    state = F.when(F.col("frames") == 0, "no new frames").when(
+        F.col("frames") != F.col("points"), "cannot be placed"
+    ).when(F.col("retake") > 0, "retake").otherwise("ok")
     return counts.withColumn("state", state)
 
 
@@ -183,7 +202,9 @@ def anchors(tiles: DataFrame, index: int | None = None, places: DataFrame | None
 def ranked_roles(answers: DataFrame, by: str, roles: Sequence[str]) -> DataFrame:
     """Which of the known roles answered, in their order, and which did not."""
     listed = F.array(*map(F.lit, roles))
-    return answers.groupBy(by).agg(F.collect_set("role").alias("_r")).select(by, F.array_intersect(listed, "_r").alias("answered"), F.array_except(listed, "_r").alias("silent"))
+    return answers.groupBy(by).agg(F.collect_set("role").alias("_r")).select(
+        by, F.array_intersect(listed, "_r").alias("answered"), F.array_except(listed, "_r").alias("silent")
+    )
 
 
 def latest_by(rows: DataFrame, by: str, order: str, columns: Sequence[str]) -> DataFrame:

@@ -18,14 +18,21 @@ def tally(answers: DataFrame, item: str, category: str, confidence: str, decisio
     given = answers.where(F.col(category).isNotNull())
     if decision is None:
         counts = given.groupBy(item, category).agg(F.count("*").alias("n"))
-        ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("n"), category))).withColumn("runner_up", F.lead("n").over(Window.partitionBy(item).orderBy(F.desc("n"), category))).withColumn("votes", F.sum("n").over(Window.partitionBy(item)))
+        ranked = counts.withColumn("rn", F.row_number().over(Window.partitionBy(item).orderBy(F.desc("n"), category))).withColumn(
+            "runner_up", F.lead("n").over(Window.partitionBy(item).orderBy(F.desc("n"), category))
+        ).withColumn("votes", F.sum("n").over(Window.partitionBy(item)))
         top = ranked.where("rn = 1")
         label = F.when(F.col("runner_up").isNull() | (F.col("runner_up") < F.col("n")), F.col(category))
-        return top.select(item, "votes", label.alias("label"), F.lit(None).cast("boolean").alias("decision"), (label.isNull() | (F.col("n") < F.col("votes"))).alias("split"))
+        return top.select(
+            item, "votes", label.alias("label"), F.lit(None).cast("boolean").alias("decision"),
+            (label.isNull() | (F.col("n") < F.col("votes"))).alias("split")
+        )
     known = given.where(F.col(decision).isNotNull()).select(item, category, confidence, F.col(decision).alias("_own"))
     sides = known.groupBy(item).agg(F.count("*").alias("votes"), F.count_if("_own").alias("yes"))
     sides = sides.withColumn("decision", F.when(2 * F.col("yes") > F.col("votes"), True).when(2 * F.col("yes") < F.col("votes"), False))
-    counts = known.join(sides, item).where(F.col("_own") == F.col("decision")).groupBy(item, category).agg(F.count("*").alias("n"), F.max(confidence).alias("c"))
+    counts = known.join(sides, item).where(F.col("_own") == F.col("decision")).groupBy(item, category).agg(
+        F.count("*").alias("n"), F.max(confidence).alias("c")
+    )
     best = counts.groupBy(item).agg(F.min_by(category, F.struct(-F.col("n"), -F.col("c"), F.col(category))).alias("label"))
     out = sides.join(best, item, "left")
     return out.select(item, "votes", "label", "decision", (F.col("decision").isNull() | ((F.col("yes") > 0) & (F.col("yes") < F.col("votes")))).alias("split"))
@@ -33,7 +40,9 @@ def tally(answers: DataFrame, item: str, category: str, confidence: str, decisio
 
 def keep_or_exclude(votes: DataFrame) -> DataFrame:
     """A split or missing decision keeps the region and asks a person; only an agreed exclusion excludes."""
-    return votes.withColumn("exclude", F.coalesce(F.col("decision") & ~F.col("split"), F.lit(False))).withColumn("needs_human", F.col("split") | F.col("decision").isNull())
+    return votes.withColumn(
+        "exclude", F.coalesce(F.col("decision") & ~F.col("split"), F.lit(False))
+    ).withColumn("needs_human", F.col("split") | F.col("decision").isNull())
 
 
 def adaptive_rounds(answers: DataFrame, item: str, order: Sequence[str], category: str, rounds: Sequence[int] = (1, 3, 5), confident: Column | None = None) -> DataFrame:
@@ -46,13 +55,20 @@ def adaptive_rounds(answers: DataFrame, item: str, order: Sequence[str], categor
     sure = confident if confident is not None else F.lit(False)
     states = None
     for size in rounds:
-        part = numbered.where(F.col("n") <= size).groupBy(item, category).agg(F.count("*").alias("k"), F.max(F.when(F.col("n") == 1, sure)).alias("first_sure"))
-        one = part.groupBy(item).agg(F.sum("k").alias("used"), F.max("k").alias("most"), F.max("first_sure").alias("first_sure"), F.min_by(category, F.struct(-F.col("k"), F.col(category))).alias("leader"))
+        part = numbered.where(F.col("n") <= size).groupBy(item, category).agg(
+            F.count("*").alias("k"), F.max(F.when(F.col("n") == 1, sure)).alias("first_sure")
+        )
+        one = part.groupBy(item).agg(
+            F.sum("k").alias("used"), F.max("k").alias("most"), F.max("first_sure").alias("first_sure"),
+            F.min_by(category, F.struct(-F.col("k"), F.col(category))).alias("leader")
+        )
         one = one.where(F.col("used") == size) if size > rounds[0] else one
         done = F.coalesce("first_sure", F.lit(False)) if size == rounds[0] else F.col("most") * 2 > F.col("used")
         one = one.select(item, F.lit(size).alias("round"), "used", "leader", (done | F.lit(size == rounds[-1])).alias("done"))
         states = one if states is None else states.unionByName(one)
-    last = states.groupBy(item).agg(F.min(F.when(F.col("done"), F.struct("round", "used", "leader"))).alias("a"), F.max(F.struct("round", "used", "leader")).alias("b"))
+    last = states.groupBy(item).agg(
+        F.min(F.when(F.col("done"), F.struct("round", "used", "leader"))).alias("a"), F.max(F.struct("round", "used", "leader")).alias("b")
+    )
     return last.select(item, F.coalesce("a.used", "b.used").alias("used"), F.coalesce("a.leader", "b.leader").alias("label"), F.col("a").isNotNull().alias("settled"))
 
 
@@ -60,7 +76,9 @@ def apply_overrides(verdicts: DataFrame, human: DataFrame, key: str, value: str)
     """A person's verdict overwrites the agent's, which is kept beside it; items without any are kept and flagged."""
     right = human.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
     out = verdicts.withColumnRenamed(value, "agent_value").join(right, F.col(key) == F.col("_k"), "left")
-    return out.withColumn(value, F.coalesce("_v", "agent_value")).withColumn("overridden", F.coalesce(F.col("_v") != F.col("agent_value"), F.lit(False))).withColumn("unmatched", F.col("_k").isNull()).drop("_k", "_v")
+    return out.withColumn(value, F.coalesce("_v", "agent_value")).withColumn(
+        "overridden", F.coalesce(F.col("_v") != F.col("agent_value"), F.lit(False))
+    ).withColumn("unmatched", F.col("_k").isNull()).drop("_k", "_v")
 
 
 def plan_against_actual(plan: DataFrame, actual: DataFrame, key: Sequence[str], planned: str, done: str) -> DataFrame:
@@ -70,7 +88,9 @@ def plan_against_actual(plan: DataFrame, actual: DataFrame, key: Sequence[str],
     for k in key:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
     out = a.join(b, cond, "full_outer")
-    state = F.when(F.col(f"_{key[0]}").isNull(), "not done").when(F.col(key[0]).isNull(), "not planned").when(~F.col(planned).eqNullSafe(F.col(done)), "differs").otherwise("as planned")
+    state = F.when(F.col(f"_{key[0]}").isNull(), "not done").when(F.col(key[0]).isNull(), "not planned").when(
+        ~F.col(planned).eqNullSafe(F.col(done)), "differs"
+    ).otherwise("as planned")
     return out.select(*(F.coalesce(k, f"_{k}").alias(k) for k in key), planned, done, state.alias("state"))
 
 
@@ -97,4 +117,7 @@ def audit_summary(windows: DataFrame, votes: int, flagged: Sequence[str], system
 
 def usage(calls: DataFrame, by: str) -> DataFrame:
     """Per role: calls, those answered from the store, failed and cut off, and the tokens of those that were made."""
-    return calls.groupBy(by).agg(F.count("*").alias("calls"), *(F.count_if(c).alias(c) for c in ("cached", "failed", "truncated")), F.sum(F.when(~F.col("cached"), F.col("tokens")).otherwise(0)).alias("tokens"))
+    return calls.groupBy(by).agg(
+        F.count("*").alias("calls"), *(F.count_if(c).alias(c) for c in ("cached", "failed", "truncated")),
+        F.sum(F.when(~F.col("cached"), F.col("tokens")).otherwise(0)).alias("tokens")
+    )

@@ -47,14 +47,18 @@ def restart_gaps(rows: DataFrame, by: str, run: str, start: str, end: str, per_m
     """Minutes from a run's end to the next run's start."""
     w = Window.partitionBy(by).orderBy(start, run)
     nxt = F.lead(start).over(w)
-    return rows.withColumn("next_run", F.lead(run).over(w)).withColumn("gap_minutes", F.round((nxt - F.col(end)) / F.lit(per_minute), 1)).where("next_run is not null")
+    return rows.withColumn("next_run", F.lead(run).over(w)).withColumn(
+        "gap_minutes", F.round((nxt - F.col(end)) / F.lit(per_minute), 1)
+    ).where("next_run is not null")
 
 
 def incident_timeline(rows: DataFrame, by: str, order: Sequence[str], at: str, incident: Column, capture: Column, per_minute: float) -> DataFrame:
     """Incidents with their place, the captures before each, their share of the run, and minutes since its start."""
     w = Window.partitionBy(by).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("sequence", F.row_number().over(w)).withColumn("captures_before", F.count_if(capture).over(upto)).withColumn("planned", F.count_if(capture).over(Window.partitionBy(by)))
+    out = rows.withColumn("sequence", F.row_number().over(w)).withColumn("captures_before", F.count_if(capture).over(upto)).withColumn(
+        "planned", F.count_if(capture).over(Window.partitionBy(by))
+    )
     out = out.withColumn("elapsed_minutes", F.round((F.col(at) - F.first(at).over(upto)) / F.lit(per_minute), 1))
     return out.withColumn("fraction", F.round(F.try_divide(F.col("captures_before").cast("double"), F.col("planned")), 6)).where(incident)
 
@@ -64,7 +68,10 @@ def sequence_faults(rows: DataFrame, by: str, sequence: str, ident: str) -> Data
     w = Window.partitionBy(by).orderBy(sequence)
     before = F.coalesce(F.lag(sequence).over(w), F.lit(0))
     out = rows.withColumn("_gap", F.col(sequence) - before).withColumn("_before", before)
-    out = out.groupBy(by).agg(F.count("*").alias("events"), F.count_if(F.col("_gap") != 1).alias("gaps"), F.min(F.when(F.col("_gap") > 1, F.col("_before") + 1)).alias("first_missing"), (F.count("*") - F.count_distinct(ident)).alias("duplicate_ids"))
+    out = out.groupBy(by).agg(
+        F.count("*").alias("events"), F.count_if(F.col("_gap") != 1).alias("gaps"),
+        F.min(F.when(F.col("_gap") > 1, F.col("_before") + 1)).alias("first_missing"), (F.count("*") - F.count_distinct(ident)).alias("duplicate_ids")
+    )
     return out.where("gaps > 0 or duplicate_ids > 0")
 
 

@@ -18,11 +18,16 @@ JOURNAL = "journal AS (SELECT user_id, event_id, event_type AS event, value, epo
 
 
 def px(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").selectExpr("cast(l_orderkey % 640 as int) as x", "cast(l_partkey % 480 as int) as y", "l_linenumber % 4 as label", "l_returnflag <> 'A' as valid", "l_discount >= 0.08 as excluded", "l_quantity as value", "l_extendedprice as price")
+    return table(spark, d, "lineitem").selectExpr(
+        "cast(l_orderkey % 640 as int) as x", "cast(l_partkey % 480 as int) as y", "l_linenumber % 4 as label", "l_returnflag <> 'A' as valid",
+        "l_discount >= 0.08 as excluded", "l_quantity as value", "l_extendedprice as price"
+    )
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").selectExpr("p_partkey as id", "cast(p_partkey % 50 as int) as row", "cast(p_partkey div 50 as int) as col", "p_retailprice as metric", "p_size as size")
+    return table(spark, d, "part").selectExpr(
+        "p_partkey as id", "cast(p_partkey % 50 as int) as row", "cast(p_partkey div 50 as int) as col", "p_retailprice as metric", "p_size as size"
+    )
 
 
 def micros(column: str) -> str:
@@ -31,7 +36,10 @@ def micros(column: str) -> str:
 
 
 def journal(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").selectExpr("user_id", "event_id", "event_type as event", "value", f"{micros('ts')} as us", "cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as sequence")
+    return table(spark, d, "events").selectExpr(
+        "user_id", "event_id", "event_type as event", "value", f"{micros('ts')} as us",
+        "cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as sequence"
+    )
 
 
 class Registry:

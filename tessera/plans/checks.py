@@ -22,9 +22,14 @@ img AS (SELECT 'scan' AS image, a.i::INT AS x, b.j::INT AS y, coalesce(c.grey, 1
 
 
 def image(spark: SparkSession, d: str) -> DataFrame:
-    cells = px_view(spark, d).groupBy(F.expr("cast(x div 10 as int)").alias("x"), F.expr("cast(y div 10 as int)").alias("y")).agg(F.floor(F.avg("value") * 5).cast("double").alias("g"), (2 * F.count_if("valid") >= F.count("*")).alias("v"), (F.floor(F.avg("value")) % 4).alias("l"))
+    cells = px_view(spark, d).groupBy(F.expr("cast(x div 10 as int)").alias("x"), F.expr("cast(y div 10 as int)").alias("y")).agg(
+        F.floor(F.avg("value") * 5).cast("double").alias("g"), (2 * F.count_if("valid") >= F.count("*")).alias("v"),
+        (F.floor(F.avg("value")) % 4).alias("l")
+    )
     grid = spark.range(64 * 48).selectExpr("cast(id % 64 as int) as x", "cast(id div 64 as int) as y")
-    return grid.join(cells, ["x", "y"], "left").selectExpr("'scan' as image", "x", "y", "coalesce(g, 128.0D) as grey", "coalesce(v, true) as valid", "cast(coalesce(l, 0) as int) as label")
+    return grid.join(cells, ["x", "y"], "left").selectExpr(
+        "'scan' as image", "x", "y", "coalesce(g, 128.0D) as grey", "coalesce(v, true) as valid", "cast(coalesce(l, 0) as int) as label"
+    )
 
 
 def coloured(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +49,9 @@ def valid_region(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("""SELECT p_partkey AS id, 'defocus' AS category, false AS keep, 0.8::DOUBLE AS confidence, round(p_retailprice / 1000.0::DOUBLE, 6) AS ratio FROM part WHERE p_retailprice / 1000.0::DOUBLE < 0.95""")
 def defocus_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), aggregates.defocus_verdict(F.col("p_retailprice"), F.lit(1000.0), 0.95).alias("v")).where("v is not null")
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), aggregates.defocus_verdict(F.col("p_retailprice"), F.lit(1000.0), 0.95).alias("v")
+    ).where("v is not null")
     return rounded(rows.select("id", "v.*"), "ratio")
 
 
@@ -63,15 +70,25 @@ rules AS (SELECT *, veto_zone AND ratio <= 0.8 AS vetoed, CASE WHEN NOT calibrat
 
 def _rules(spark: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.col("embedding")[i].cast("double")
-    fits = table(spark, d, "embeddings").select("vec_id", (F.col("label") % 5).alias("substrate"), (150 + 60 * e(0)).alias("split"), (1 + e(1)).alias("aa"), (1.86 + e(2) / 40).alias("ea"))
-    rows = [(0, 150.0, 1.0, True, False, None, None), (1, 145.0, 1.1, False, True, 1.86, 12.0), (2, 155.0, 1.05, False, False, None, None), (3, 150.0, None, False, False, None, None)]
-    reference = spark.createDataFrame(rows, "substrate long, threshold double, amplitude double, amp_gap boolean, ea_gap boolean, ea_threshold double, ea_gap_mev double")
+    fits = table(spark, d, "embeddings").select(
+        "vec_id", (F.col("label") % 5).alias("substrate"), (150 + 60 * e(0)).alias("split"), (1 + e(1)).alias("aa"), (1.86 + e(2) / 40).alias("ea")
+    )
+    rows = [
+        (0, 150.0, 1.0, True, False, None, None), (1, 145.0, 1.1, False, True, 1.86, 12.0), (2, 155.0, 1.05, False, False, None, None),
+        (3, 150.0, None, False, False, None, None)
+    ]
+    reference = spark.createDataFrame(
+        rows, "substrate long, threshold double, amplitude double, amp_gap boolean, ea_gap boolean, ea_threshold double, ea_gap_mev double"
+    )
     return spectra.assign(spectra.with_reference(fits, reference, "substrate"))
 
 
 @registry.add(f"WITH {RULES} SELECT vec_id, label, CASE WHEN tall THEN '2H' ELSE '3R-or-1L' END AS stacking, flag, decided_by, coalesce(vetoed, false) AS vetoed, round(margin, 6) AS margin_mev, round(ratio, 6) AS amp_ratio, round(confidence, 6) AS confidence, CASE WHEN by_ea THEN round(ea_margin, 6) END AS ea_margin_mev FROM rules")
 def rule_assignments(spark: SparkSession, d: str) -> DataFrame:
-    out = _rules(spark, d).select("vec_id", F.col("rule_label").alias("label"), "stacking", F.col("rule_flag").alias("flag"), "decided_by", "vetoed", "margin_mev", "amp_ratio", "confidence", "ea_margin_mev")
+    out = _rules(spark, d).select(
+        "vec_id", F.col("rule_label").alias("label"), "stacking", F.col("rule_flag").alias("flag"), "decided_by", "vetoed", "margin_mev", "amp_ratio",
+        "confidence", "ea_margin_mev"
+    )
     return rounded(out, "margin_mev", "amp_ratio", "confidence", "ea_margin_mev")
 
 
@@ -80,15 +97,21 @@ SELECT substrate, flag, count(*) AS n, count(*) FILTER (WHERE to_model) AS to_mo
 def gate_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Which fits a model sees under the policy that ambiguous amplitudes go to it, and which the rule escalates."""
     g = spectra.gate(_rules(spark, d), 4.0, "model")
-    return g.groupBy("substrate", F.col("rule_flag").alias("flag")).agg(F.count("*").alias("n"), F.count_if("to_model").alias("to_model"), F.count_if("escalates").alias("escalated"))
+    return g.groupBy("substrate", F.col("rule_flag").alias("flag")).agg(
+        F.count("*").alias("n"), F.count_if("to_model").alias("to_model"), F.count_if("escalates").alias("escalated")
+    )
 
 
 @registry.add(f"""WITH {PX}, q AS (SELECT label, x // 64 AS part, quantile_cont(value, 0.5) AS a, quantile_cont(value, 0.75) AS c FROM px GROUP BY ALL), m AS (SELECT label, part, [a * 4, a * 3.5::DOUBLE, CASE WHEN part = 3 THEN 0 ELSE c * 3 END] AS o FROM q), g AS (SELECT *, [100 / nullif(o[1], 0), 95 / nullif(o[2], 0), 100 / nullif(o[3], 0)] AS gain FROM m)
 SELECT label, part, CASE WHEN list_min(o) <= 0 THEN 'black' WHEN list_min(gain) < 0.5 OR list_max(gain) > 2 THEN 'implausible' WHEN greatest(abs(gain[1] - 1), abs(gain[2] - 1), abs(gain[3] - 1)) <= 0.1 THEN 'within_tolerance' ELSE 'differs' END AS verdict FROM g""")
 def reference_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    m = px_view(spark, d).groupBy("label", F.expr("cast(x div 64 as int)").alias("part")).agg(F.percentile("value", 0.5).alias("a"), F.percentile("value", 0.75).alias("c"))
+    m = px_view(spark, d).groupBy("label", F.expr("cast(x div 64 as int)").alias("part")).agg(
+        F.percentile("value", 0.5).alias("a"), F.percentile("value", 0.75).alias("c")
+    )
     observed = m.withColumn("o", F.array(F.col("a") * 4, F.col("a") * 3.5, F.when(F.col("part") == 3, 0.0).otherwise(F.col("c") * 3)))
-    return observed.select("label", "part", acquisition.reference_verdict(F.col("o"), F.array(F.lit(100.0), F.lit(95.0), F.lit(100.0))).alias("v")).select("label", "part", "v.verdict")
+    return observed.select(
+        "label", "part", acquisition.reference_verdict(F.col("o"), F.array(F.lit(100.0), F.lit(95.0), F.lit(100.0))).alias("v")
+    ).select("label", "part", "v.verdict")
 
 
 LUMA = "0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b"
@@ -105,7 +128,10 @@ SELECT user_id, 'all' AS choice FROM s UNION ALL SELECT user_id, 'since' FROM s,
 def session_selection(spark: SparkSession, d: str) -> DataFrame:
     days = journal_view(spark, d).groupBy("user_id").agg(F.date_format(F.timestamp_micros(F.min("us")), "yyyyMMdd").alias("day"))
     first, last = days.agg(F.min("day"), F.max("day")).head()
-    parts = {"all": acquisition.choose(days, "user_id", "day"), "since": acquisition.choose(days, "user_id", "day", since=last), "day": acquisition.choose(days, "user_id", "day", on=first), "named": acquisition.select_runs(days, "user_id", days.where("user_id % 2 = 0"))}
+    parts = {
+        "all": acquisition.choose(days, "user_id", "day"), "since": acquisition.choose(days, "user_id", "day", since=last),
+        "day": acquisition.choose(days, "user_id", "day", on=first), "named": acquisition.select_runs(days, "user_id", days.where("user_id % 2 = 0"))
+    }
     out = None
     for name, part in parts.items():
         part = part.select("user_id", F.lit(name).alias("choice"))
@@ -147,14 +173,24 @@ def overlap_correlation(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH m AS (SELECT p_partkey AS id, (p_size % 10) / 10.0 AS flat, (p_partkey % 7) / 6.0 AS plateau, p_partkey % 3 AS others, p_size % 20 AS std, (p_partkey % 100) / 10000.0 AS sat, p_size * 4.0 AS lum FROM part)
 SELECT id, list_filter([CASE WHEN flat < 0.5 THEN 'flat' END, CASE WHEN plateau < 0.85 THEN 'plateau' END, CASE WHEN others > 0 THEN 'other_material' END, CASE WHEN std > 12 THEN 'spread' END], lambda x: x IS NOT NULL).array_to_string(',') AS reasons, flat >= 0.5 AND plateau >= 0.85 AND others = 0 AND std <= 12 AS clean, CASE WHEN sat > 0.005 THEN 'saturated' WHEN lum < 40 THEN 'too_dark' ELSE 'ok' END AS exposure FROM m""")
 def clean_fields(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "part").selectExpr("p_partkey as id", "(p_size % 10) / 10.0D as flat_fraction", "(p_partkey % 7) / 6.0D as plateau_share", "p_partkey % 3 as other_plateaus", "p_size % 20 as std", "(p_partkey % 100) / 10000.0D as saturated", "p_size * 4.0D as luminance")
+    m = table(spark, d, "part").selectExpr(
+        "p_partkey as id", "(p_size % 10) / 10.0D as flat_fraction", "(p_partkey % 7) / 6.0D as plateau_share", "p_partkey % 3 as other_plateaus",
+        "p_size % 20 as std", "(p_partkey % 100) / 10000.0D as saturated", "p_size * 4.0D as luminance"
+    )
     return acquisition.clean_field(m).select("id", F.array_join("reasons", ",").alias("reasons"), "clean", "exposure")
 
 
 @registry.add("""SELECT event_id, (props->>'$.k') AS k, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS "value", 2::BIGINT AS kept FROM events""")
 def redacted_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Payloads without keys that name secrets; numbers that are none become null."""
-    rows = table(spark, d, "events").select("event_id", F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("value"), F.when(F.col("event_id") % 5 == 0, F.lit("NaN")).otherwise(F.col("value").cast("string")), F.lit("api_token"), F.lit("x"), F.lit("Password"), F.lit("y")).alias("m"))
+    rows = table(spark, d, "events").select(
+        "event_id",
+        F.create_map(
+            F.lit("k"), F.get_json_object("props", "$.k"), F.lit("value"),
+            F.when(F.col("event_id") % 5 == 0, F.lit("NaN")).otherwise(F.col("value").cast("string")), F.lit("api_token"), F.lit("x"),
+            F.lit("Password"), F.lit("y")
+        ).alias("m")
+    )
     m = scalar.redact_map(F.col("m"))
     number = scalar.safe_number(m["value"], None)
     return rows.select("event_id", m["k"].alias("k"), number.alias("value"), F.size(m).cast("long").alias("kept"))
@@ -163,7 +199,11 @@ def redacted_payloads(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH p AS (SELECT p_partkey AS id, p_partkey % 13 - 3 AS dxv, (p_size - 10) * 10 AS dyv, (p_partkey % 40 - 20) * 12 AS dxh, p_size % 5 AS dyh, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 8 END AS scale_div FROM part)
 SELECT id, list_filter([CASE WHEN dyv <= 0 OR dxh = 0 THEN 'direction' END, CASE WHEN abs(dxv) >= 320 OR dyv >= 240 OR abs(dxh) >= 320 OR abs(dyh) >= 240 THEN 'overlap' END, CASE WHEN sign(dxh) * (dxh * dyv - dxv * dyh) <= 1e-9 THEN 'degenerate' END, CASE WHEN 320 % scale_div <> 0 OR 240 % scale_div <> 0 THEN 'divisor' END, CASE WHEN least(320 // scale_div, 240 // scale_div) < 8 THEN 'too small' END], lambda x: x IS NOT NULL).array_to_string(',') AS faults FROM p""")
 def profile_faults(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey as id", "320 as width", "240 as height", "p_partkey % 13 - 3 as dx_v", "(p_size - 10) * 10 as dy_v", "(p_partkey % 40 - 20) * 12 as dx_h", "p_size % 5 as dy_h", "case p_partkey % 4 when 0 then 1 when 1 then 2 when 2 then 3 else 8 end as scale_div")
+    p = table(spark, d, "part").selectExpr(
+        "p_partkey as id", "320 as width", "240 as height", "p_partkey % 13 - 3 as dx_v", "(p_size - 10) * 10 as dy_v",
+        "(p_partkey % 40 - 20) * 12 as dx_h", "p_size % 5 as dy_h",
+        "case p_partkey % 4 when 0 then 1 when 1 then 2 when 2 then 3 else 8 end as scale_div"
+    )
     return p.select("id", F.array_join(acquisition.profile_faults(), ",").alias("faults"))
 
 
@@ -171,7 +211,10 @@ def profile_faults(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, CASE WHEN nw <= 0 OR nh <= 0 THEN 'nonpositive_image_dimensions' WHEN NOT confirmed THEN 'same_physical_field_of_view_not_confirmed' WHEN 1280 * nh <> 960 * nw THEN 'anisotropic_dimension_ratio_requires_calibration' WHEN (tile * nw) % 1280 <> 0 OR (overlap * nw) % 1280 <> 0 THEN 'nonintegral_native_tile_or_overlap' END AS reason,
   CASE WHEN nw > 0 AND confirmed AND 1280 * nh = 960 * nw AND (tile * nw) % 1280 = 0 AND (overlap * nw) % 1280 = 0 THEN tile * nw // 1280 END::BIGINT AS native_tile, CASE WHEN nw > 0 AND confirmed AND 1280 * nh = 960 * nw AND (tile * nw) % 1280 = 0 AND (overlap * nw) % 1280 = 0 THEN overlap * nw // 1280 END::BIGINT AS native_overlap FROM p""")
 def inference_geometry(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey as id", "640 * (p_size % 5) as nw", "480 * (p_size % 5) + if(p_partkey % 7 = 0, 1, 0) as nh", "p_partkey % 3 <> 0 as confirmed", "512 as tile", "64 + p_partkey % 4 as overlap")
+    p = table(spark, d, "part").selectExpr(
+        "p_partkey as id", "640 * (p_size % 5) as nw", "480 * (p_size % 5) + if(p_partkey % 7 = 0, 1, 0) as nh", "p_partkey % 3 <> 0 as confirmed",
+        "512 as tile", "64 + p_partkey % 4 as overlap"
+    )
     plan = acquisition.inference_plan(F.col("nw"), F.col("nh"), F.lit(1280), F.lit(960), F.col("confirmed"), F.col("tile"), F.col("overlap"))
     return p.select("id", plan.alias("p")).select("id", "p.reason", "p.native_tile", "p.native_overlap")
 
@@ -186,7 +229,10 @@ def colour_inputs(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("""SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'preserve' WHEN 1 THEN 'legacy' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'preserve' ELSE 'legacy' END END AS policy FROM part WHERE NOT (p_size % 3 = 0 AND p_partkey % 2 <> 0)""")
 def grid_policies(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey as id", "element_at(array('preserve', 'legacy', 'auto'), cast(p_size % 3 + 1 as int)) as requested", "if(p_partkey % 2 = 0, 'flat-physical-grid', 'zip-layout') as source")
+    p = table(spark, d, "part").selectExpr(
+        "p_partkey as id", "element_at(array('preserve', 'legacy', 'auto'), cast(p_size % 3 + 1 as int)) as requested",
+        "if(p_partkey % 2 = 0, 'flat-physical-grid', 'zip-layout') as source"
+    )
     return p.select("id", acquisition.grid_policy(F.col("requested"), F.col("source")).alias("policy")).where("policy is not null")
 
 
@@ -197,14 +243,18 @@ def grid_policies(spark: SparkSession, d: str) -> DataFrame:
 SELECT run, f, round(p, 2) AS p FROM t JOIN p USING (run, n, total)""")
 def files_by_position(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    points = o.where("o_custkey % 3 <> 0 or o_orderkey % 5 <> 0").selectExpr("o_custkey as run", "round(o_totalprice, 2) as p", "struct(o_totalprice, o_orderkey) as place")
+    points = o.where("o_custkey % 3 <> 0 or o_orderkey % 5 <> 0").selectExpr(
+        "o_custkey as run", "round(o_totalprice, 2) as p", "struct(o_totalprice, o_orderkey) as place"
+    )
     return acquisition.zip_by_position(o.selectExpr("o_custkey as run", "o_orderkey as f"), points, "run", "f", "place").drop("place")
 
 
 @registry.add("""WITH t AS (SELECT p_partkey // 40 AS col, p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'g' || (p_partkey % 40 // 8) END AS grp FROM part), w AS (SELECT *, lag(id) OVER k AS p, lag(grp) OVER k AS pg, lead(id) OVER k AS f, lead(grp) OVER k AS fg FROM t WINDOW k AS (PARTITION BY col ORDER BY id))
 SELECT col, grp, max(CASE WHEN pg IS DISTINCT FROM grp THEN p END) AS before, max(CASE WHEN fg IS DISTINCT FROM grp THEN f END) AS after FROM w WHERE grp IS NOT NULL GROUP BY col, grp""")
 def conflict_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part").selectExpr("p_partkey div 40 as col", "p_partkey as id", "if(p_size % 4 = 0, concat('g', p_partkey % 40 div 8), null) as grp")
+    t = table(spark, d, "part").selectExpr(
+        "p_partkey div 40 as col", "p_partkey as id", "if(p_size % 4 = 0, concat('g', p_partkey % 40 div 8), null) as grp"
+    )
     return acquisition.outside_neighbours(t, "col", "id", "grp", "id")
 
 
@@ -222,7 +272,9 @@ def input_binding(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH t AS (SELECT p_partkey % 12 AS tile, (p_partkey // 12) % 4 AS x, (p_partkey // 48) % 4 AS y, avg(p_retailprice) AS grey FROM part GROUP BY ALL), m AS (SELECT tile, avg(grey) AS m FROM t GROUP BY 1), g AS (SELECT x, y, quantile_cont(grey / m, 0.5) AS gain, count(*) AS n FROM t JOIN m USING (tile) GROUP BY ALL)
 SELECT x, y, round(gain / (SELECT avg(gain) FROM g), 6) AS gain FROM g""")
 def flat_field(spark: SparkSession, d: str) -> DataFrame:
-    px = table(spark, d, "part").groupBy(F.expr("p_partkey % 12").alias("tile"), F.expr("(p_partkey div 12) % 4").alias("x"), F.expr("(p_partkey div 48) % 4").alias("y")).agg(F.avg("p_retailprice").alias("grey"))
+    px = table(spark, d, "part").groupBy(
+        F.expr("p_partkey % 12").alias("tile"), F.expr("(p_partkey div 12) % 4").alias("x"), F.expr("(p_partkey div 48) % 4").alias("y")
+    ).agg(F.avg("p_retailprice").alias("grey"))
     return rounded(raster.flat_field(px, blur=0.0), "gain")
 
 
@@ -249,9 +301,15 @@ def background_colour(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH a AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), w AS (SELECT user_id, count(*) FILTER (WHERE n <= 3 AND value > 5) AS votes, count(DISTINCT event_type) FILTER (WHERE n <= 3 AND value > 5) AS kinds, arg_min(event_type, n) FILTER (WHERE n <= 3 AND value > 5) AS verdict, avg(value) FILTER (WHERE n <= 3 AND value > 5) AS confidence FROM a GROUP BY 1)
 SELECT count(*) AS sampled, count(*) FILTER (WHERE votes > 0) AS answered, count(*) FILTER (WHERE verdict IN ('error', 'signup')) AS flagged, round(count(*) FILTER (WHERE verdict IN ('error', 'signup'))::DOUBLE / nullif(count(*) FILTER (WHERE votes > 0), 0), 6) AS flagged_frac, count(*) FILTER (WHERE kinds > 1) AS split, count(*) FILTER (WHERE kinds = 1 AND verdict = 'error') AS unanimous_systematic, sum(CASE WHEN votes > 0 THEN 3 - votes ELSE 0 END)::BIGINT AS lost_votes, round(avg(confidence), 6) AS mean_confidence FROM w""")
 def audit_pilot(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").selectExpr("user_id", "event_type", "value", "event_id", "row_number() over (partition by user_id order by event_id) as n").where("n <= 3")
+    e = table(spark, d, "events").selectExpr(
+        "user_id", "event_type", "value", "event_id", "row_number() over (partition by user_id order by event_id) as n"
+    ).where("n <= 3")
     answered = F.col("value") > 5
-    w = e.groupBy("user_id").agg(F.count_if(answered).alias("votes"), F.count_distinct(F.when(answered, F.col("event_type"))).alias("kinds"), F.min_by(F.when(answered, F.col("event_type")), F.when(answered, F.col("n"))).alias("verdict"), F.avg(F.when(answered, F.col("value"))).alias("confidence"))
+    w = e.groupBy("user_id").agg(
+        F.count_if(answered).alias("votes"), F.count_distinct(F.when(answered, F.col("event_type"))).alias("kinds"),
+        F.min_by(F.when(answered, F.col("event_type")), F.when(answered, F.col("n"))).alias("verdict"),
+        F.avg(F.when(answered, F.col("value"))).alias("confidence")
+    )
     return rounded(votes.audit_summary(w, 3, ("error", "signup"), "error"), "flagged_frac", "mean_confidence")
 
 
@@ -261,12 +319,17 @@ def focus_folders(spark: SparkSession, d: str) -> DataFrame:
     t = tile_view(spark, d).withColumn("contrast", F.col("size"))
     out = aggregates.focus_decisions(t, "metric", "contrast", 4.0, 920.0, 0.6)
     kind = lambda k: F.count_if(F.col("decision") == k).alias(k)
-    return out.groupBy("col").agg(F.count("*").alias("frames"), kind("ok"), kind("defocused"), kind("low_texture"), F.coalesce(F.sum(F.when(F.col("decision") == "defocused", F.col("id"))), F.lit(0)).alias("retake"))
+    return out.groupBy("col").agg(
+        F.count("*").alias("frames"), kind("ok"), kind("defocused"), kind("low_texture"),
+        F.coalesce(F.sum(F.when(F.col("decision") == "defocused", F.col("id"))), F.lit(0)).alias("retake")
+    )
 
 
 @registry.add("""SELECT event_type AS role, count(*) AS calls, count(*) FILTER (WHERE event_id % 4 = 0) AS cached, count(*) FILTER (WHERE value > 90) AS failed, count(*) FILTER (WHERE value < 2) AS truncated, sum(CASE WHEN event_id % 4 <> 0 THEN event_id % 100 ELSE 0 END)::BIGINT AS tokens FROM events GROUP BY 1""")
 def usage_counters(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, "events").selectExpr("event_type as role", "event_id % 4 = 0 as cached", "value > 90 as failed", "value < 2 as truncated", "event_id % 100 as tokens")
+    calls = table(spark, d, "events").selectExpr(
+        "event_type as role", "event_id % 4 = 0 as cached", "value > 90 as failed", "value < 2 as truncated", "event_id % 100 as tokens"
+    )
     return votes.usage(calls, "role")
 
 
@@ -279,7 +342,12 @@ def image_metrics(spark: SparkSession, d: str) -> DataFrame:
 @registry.add(f"""WITH {IMG}, r AS (SELECT x, y, grey FROM img UNION ALL SELECT -1 - x, y, grey FROM img WHERE x < 3 UNION ALL SELECT 127 - x, y, grey FROM img WHERE x >= 61), p AS (SELECT * FROM r UNION ALL SELECT x, -1 - y, grey FROM r WHERE y < 3 UNION ALL SELECT x, 95 - y, grey FROM r WHERE y >= 45)
 SELECT i.x, i.y, round(greatest(0, avg(p.grey * p.grey) - pow(avg(p.grey), 2)), 5) AS variance FROM img i JOIN p ON p.x BETWEEN i.x - 3 AND i.x + 3 AND p.y BETWEEN i.y - 3 AND i.y + 3 GROUP BY i.x, i.y""")
 def box_variance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(raster.local_variance(raster.mirrored_border(image(spark, d), "image", 64, 48, 3), "image", 3).where("x between 0 and 63 and y between 0 and 47").select("x", "y", "variance"), "variance", places=5)
+    return rounded(
+        raster.local_variance(
+            raster.mirrored_border(image(spark, d), "image", 64, 48, 3), "image", 3
+        ).where("x between 0 and 63 and y between 0 and 47").select("x", "y", "variance"),
+        "variance", places=5
+    )
 
 
 def _smoothing() -> str:
@@ -290,7 +358,9 @@ def _smoothing() -> str:
 SELECT p.vec_id, t.pos::INT AS pos, round(sum(w.w * p.v), 6) AS smooth FROM t JOIN p ON p.pos BETWEEN t.start AND t.start + 20 JOIN w ON w.i = t.pos - t.start AND w.j = p.pos - t.start GROUP BY ALL""")
 def smoothed_spectra(spark: SparkSession, d: str) -> DataFrame:
     """A cubic smoothing over 21 samples, the ends by the polynomial of the first and last 21."""
-    s = table(spark, d, "embeddings").where("vec_id % 20 = 0").select("vec_id", F.posexplode(windows.smoothed(F.col("embedding").cast("array<double>"), 64, 21, 3)).alias("pos", "smooth"))
+    s = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(
+        "vec_id", F.posexplode(windows.smoothed(F.col("embedding").cast("array<double>"), 64, 21, 3)).alias("pos", "smooth")
+    )
     return rounded(s, "smooth")
 
 
@@ -313,7 +383,9 @@ def worst_outliers(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""SELECT o_custkey AS tile, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, round(max(o_totalprice), 2) AS score FROM orders GROUP BY 1""")
 def best_scores(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").selectExpr("o_custkey as tile", "o_orderkey", "o_totalprice")
-    return aggregates.argmax(o, ["tile"], "o_totalprice", "o_orderkey").select("tile", F.col("o_orderkey").alias("best"), F.round("o_totalprice", 2).alias("score"))
+    return aggregates.argmax(o, ["tile"], "o_totalprice", "o_orderkey").select(
+        "tile", F.col("o_orderkey").alias("best"), F.round("o_totalprice", 2).alias("score")
+    )
 
 
 @registry.add("""WITH a AS (SELECT p_partkey AS id FROM part WHERE p_size % 2 = 0), b AS (SELECT p_partkey AS id FROM part WHERE p_size % 3 = 0), c AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 7 = 0)
@@ -323,7 +395,9 @@ def id_sets(spark: SparkSession, d: str) -> DataFrame:
     ids = lambda cond: p.where(cond).select(F.col("p_partkey").alias("id"))
     a, b, c = ids("p_size % 2 = 0"), ids("p_size % 3 = 0"), ids("p_partkey % 7 = 0")
     named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id")
-    return named(joins.symmetric_difference(a, b), "differing").unionByName(named(joins.unmatched([a, b, c], ids("p_size % 6 = 0")), "unmatched")).unionByName(named(a.intersect(c), "shared"))
+    return named(joins.symmetric_difference(a, b), "differing").unionByName(
+        named(joins.unmatched([a, b, c], ids("p_size % 6 = 0")), "unmatched")
+    ).unionByName(named(a.intersect(c), "shared"))
 
 
 @registry.add("""SELECT p_size % 8 AS x1, p_size % 5 AS y1, min(p_partkey) AS first_id FROM part GROUP BY ALL""")
@@ -359,9 +433,15 @@ def normal_form(spark: SparkSession, d: str) -> DataFrame:
 def parsed_times(spark: SparkSession, d: str) -> DataFrame:
     """Times as text: without a zone they count as UTC, with an offset by it; and stamps of folders."""
     e = table(spark, d, "events")
-    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.element_at(F.array(F.lit("Z"), F.lit("+02:00"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int")))
+    text = F.concat(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.element_at(F.array(F.lit("Z"), F.lit("+02:00"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int"))
+    )
     stamp = F.when(F.col("event_id") % 3 == 2, "no stamp").otherwise(F.concat(F.lit("run_"), F.date_format("ts", "yyyyMMdd_HHmmss")))
-    return e.select("event_id", F.unix_micros(scalar.parse_utc(text)).alias("us"), scalar.local_date(text).alias("day"), F.unix_micros(scalar.parse_stamp(stamp)).alias("stamp"))
+    return e.select(
+        "event_id", F.unix_micros(scalar.parse_utc(text)).alias("us"), scalar.local_date(text).alias("day"),
+        F.unix_micros(scalar.parse_stamp(stamp)).alias("stamp")
+    )
 
 
 @registry.add("SELECT true AS now_is_utc, true AS not_before_data FROM (SELECT max(ts) FROM events)")
@@ -377,10 +457,16 @@ ANSWER = "CASE event_id % 6 WHEN 0 THEN 'yes' WHEN 1 THEN '0.7' WHEN 2 THEN 'nan
 @registry.add(f"""WITH a AS (SELECT event_id, {ANSWER} AS c, CASE event_id % 4 WHEN 0 THEN 'Yes ' WHEN 1 THEN '否' WHEN 2 THEN 'maybe' END AS d FROM events)
 SELECT event_id, CASE c WHEN '0.7' THEN 0.7 WHEN '1.5' THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, event_id % 4 IN (0, 1) AS countable, c IN ('0.7', '1.5', '-2') AND c IS NOT NULL AS finite, CASE c WHEN '0.7' THEN 0 WHEN '1.5' THEN 1 WHEN '-2' THEN -2 ELSE 9 END::BIGINT AS whole, CASE c WHEN '0.7' THEN 0.7 WHEN '1.5' THEN 1.5 WHEN '-2' THEN -2.0 ELSE 0.5 END::DOUBLE AS number, CASE c WHEN '0.7' THEN 1 WHEN '1.5' THEN 1 WHEN '-2' THEN -1 ELSE 0 END::INT AS direction FROM a""")
 def answer_values(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").selectExpr("event_id", f"{ANSWER} as c", "case event_id % 4 when 0 then 'Yes ' when 1 then '否' when 2 then 'maybe' end as d")
+    e = table(spark, d, "events").selectExpr(
+        "event_id", f"{ANSWER} as c", "case event_id % 4 when 0 then 'Yes ' when 1 then '否' when 2 then 'maybe' end as d"
+    )
     number = F.col("c").try_cast("double")
     finite = F.coalesce(aggregates.finite(number), F.lit(False))
-    return e.select("event_id", scalar.confidence(F.col("c")).alias("confidence"), scalar.countable(F.col("d")).alias("countable"), finite.alias("finite"), scalar.safe_int(F.col("c"), 9).alias("whole"), scalar.safe_number(F.col("c"), 0.5).alias("number"), scalar.direction(scalar.safe_number(F.col("c"), 0.0)).alias("direction"))
+    return e.select(
+        "event_id", scalar.confidence(F.col("c")).alias("confidence"), scalar.countable(F.col("d")).alias("countable"), finite.alias("finite"),
+        scalar.safe_int(F.col("c"), 9).alias("whole"), scalar.safe_number(F.col("c"), 0.5).alias("number"),
+        scalar.direction(scalar.safe_number(F.col("c"), 0.0)).alias("direction")
+    )
 
 
 @registry.add("""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', b / 1024.0) || ' KB' ELSE printf('%.1f', b / 1048576.0) || ' MB' END AS size, printf('%.2f', 100.0 * (doc_id % 8) / 8) || ' %' AS share, CASE WHEN doc_id % 3 = 0 THEN 'unavailable' ELSE (doc_id % 100) || ' (ok)' END AS readback FROM (SELECT doc_id, octet_length(encode(text)) AS b FROM documents)""")
@@ -388,7 +474,10 @@ def shown_values(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("b"))
     value = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise((F.col("doc_id") % 100).cast("string"))
     status = F.when(F.col("doc_id") % 3 == 0, "unavailable").otherwise("ok")
-    return docs.select("doc_id", scalar.human_bytes(F.col("b")).alias("size"), scalar.format_share((F.col("doc_id") % 8) / 8).alias("share"), scalar.readback(value, status).alias("readback"))
+    return docs.select(
+        "doc_id", scalar.human_bytes(F.col("b")).alias("size"), scalar.format_share((F.col("doc_id") % 8) / 8).alias("share"),
+        scalar.readback(value, status).alias("readback")
+    )
 
 
 @registry.add("""WITH v AS (SELECT event_id, value, 30.0 AS period FROM events), c AS (SELECT event_id, unnest([value - period, value, value + period]) AS candidate FROM v) SELECT event_id, round(candidate, 6) AS candidate FROM c WHERE abs(candidate) <= 60 AND abs(candidate - 20) <= 40""")
@@ -409,19 +498,33 @@ def two_peaks(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""SELECT p_partkey AS id, 's' || (p_partkey % 3) AS sample, round((p_size + 2 * p_size + 1) / 2.0, 1) AS x, round((p_size + p_size + 7) / 2.0, 1) AS y, (p_size * 100)::BIGINT AS area, (round_even(1000 - p_size * 1.5, 0))::BIGINT AS dx, round(p_size * 0.5::DOUBLE, 6) AS um, round(p_size * 2.25::DOUBLE, 6) AS px FROM part""")
 def keys_and_steps(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    key = scalar.box_key(F.concat(F.lit("s"), F.col("p_partkey") % 3), F.col("p_size"), 2 * F.col("p_size") + 1, F.col("p_size"), F.col("p_size") + 7, F.col("p_size") * 100)
-    return p.select(F.col("p_partkey").alias("id"), key.alias("k"), scalar.grid_step(F.lit(1000), F.col("p_size") * 1.5).alias("dx"), F.round(F.col("p_size") * 0.5, 6).alias("um"), F.round(F.col("p_size") * 2.25, 6).alias("px")).select("id", "k.sample", "k.x", "k.y", "k.area", "dx", "um", "px")
+    key = scalar.box_key(
+        F.concat(F.lit("s"), F.col("p_partkey") % 3), F.col("p_size"), 2 * F.col("p_size") + 1, F.col("p_size"), F.col("p_size") + 7,
+        F.col("p_size") * 100
+    )
+    return p.select(
+        F.col("p_partkey").alias("id"), key.alias("k"), scalar.grid_step(F.lit(1000), F.col("p_size") * 1.5).alias("dx"),
+        F.round(F.col("p_size") * 0.5, 6).alias("um"), F.round(F.col("p_size") * 2.25, 6).alias("px")
+    ).select("id", "k.sample", "k.x", "k.y", "k.area", "dx", "um", "px")
 
 
 @registry.add("SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice * (1 - l_discount)), 4) AS mean_of_unrounded, sum(round_even(l_extendedprice / 1000, 0))::BIGINT AS half_even FROM lineitem GROUP BY 1")
 def rounding_policy(spark: SparkSession, d: str) -> DataFrame:
     """Values stay unrounded until the last step; whole numbers are rounded half to even."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("mean_of_unrounded"), F.sum(F.rint(F.col("l_extendedprice") / 1000)).cast("long").alias("half_even"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("mean_of_unrounded"),
+        F.sum(F.rint(F.col("l_extendedprice") / 1000)).cast("long").alias("half_even")
+    )
 
 
 @registry.add(f"WITH {RGB} SELECT x // 4 AS x, y // 4 AS y, round(avg({LUMA}), 9) AS grey FROM rgb WHERE x < 64 AND y < 48 GROUP BY ALL")
 def reduced_image(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(raster.downsample(coloured(spark, d), "image", 64, 48, 16).select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "grey"), "grey", places=9)
+    return rounded(
+        raster.downsample(coloured(spark, d), "image", 64, 48, 16).select(
+            F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "grey"
+        ),
+        "grey", places=9
+    )
 
 
 @registry.add(f"""WITH {TILES}, p AS (SELECT id, col * 95.5::DOUBLE + "row" * 1.25 AS x, col * -2.0::DOUBLE + "row" * 71.0 AS y FROM tiles) SELECT id, round(x - (SELECT min(x) FROM p), 6) AS x, round(y - (SELECT min(y) FROM p), 6) AS y FROM p""")
@@ -462,7 +565,9 @@ def rule_labels(spark: SparkSession, d: str) -> DataFrame:
 def cached_answers(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("role"), (F.col("event_id") % 1000).alias("part"))
     payload = ["event_id", "role", "part"]
-    store = e.where("event_id % 4 = 0").select(F.sha2(F.to_json(F.struct(*payload)), 256).alias("request"), F.concat(F.lit("seen "), F.col("role")).alias("answer"))
+    store = e.where("event_id % 4 = 0").select(
+        F.sha2(F.to_json(F.struct(*payload)), 256).alias("request"), F.concat(F.lit("seen "), F.col("role")).alias("answer")
+    )
     return joins.cached_answers(e, store, payload).select("event_id", "cached", "answer")
 
 

@@ -22,7 +22,9 @@ p AS (SELECT user_id, sequence, sum(st) OVER w AS pos_, (sum(b::INT) OVER w)::IN
 SELECT user_id, sequence, segment, (pos_ - min(pos_) OVER (PARTITION BY user_id))::BIGINT AS position FROM p""")
 def chain_segments(spark: SparkSession, d: str) -> DataFrame:
     step = F.when(F.col("value") > 50, 1).otherwise(-1)
-    return windows.chain_segments(journal(spark, d), "user_id", ["sequence"], step, F.col("event") == "error").select("user_id", "sequence", "segment", F.col("position").cast("long").alias("position"))
+    return windows.chain_segments(journal(spark, d), "user_id", ["sequence"], step, F.col("event") == "error").select(
+        "user_id", "sequence", "segment", F.col("position").cast("long").alias("position")
+    )
 
 
 @registry.add("""SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS "value", count(*) AS captures FROM events GROUP BY ALL""")
@@ -35,7 +37,9 @@ def last_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT *, lead(run) OVER w AS next_run, lead(first_us) OVER w AS nf FROM r WINDOW w AS (PARTITION BY user_id ORDER BY first_us, run))
 SELECT user_id, run, next_run, round((nf - last_us) / 60e6, 1) AS gap_minutes FROM n WHERE next_run IS NOT NULL""")
 def restart_gaps(spark: SparkSession, d: str) -> DataFrame:
-    runs = journal(spark, d).groupBy("user_id", F.expr("(sequence - 1) div 10").alias("run")).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    runs = journal(spark, d).groupBy("user_id", F.expr("(sequence - 1) div 10").alias("run")).agg(
+        F.min("us").alias("first_us"), F.max("us").alias("last_us")
+    )
     return windows.restart_gaps(runs, "user_id", "run", "first_us", "last_us", MINUTE).select("user_id", "run", "next_run", "gap_minutes")
 
 
@@ -60,19 +64,25 @@ SELECT user_id, count(*) AS events, bool_and(true) AS contiguous, count(DISTINCT
   count(*) FILTER (WHERE event = 'history_closed') > 0 AS closed,
   count(DISTINCT event_id) = count(*) AND arg_min(event, sequence) = 'history_started' AND count(*) FILTER (WHERE event = 'history_started') = 1 AND coalesce(min(sequence) FILTER (WHERE event = 'history_closed') = max(sequence), true) AS valid FROM e GROUP BY user_id""")
 def journal_validation(spark: SparkSession, d: str) -> DataFrame:
-    e = journal(spark, d).withColumn("event", F.expr("case when sequence = 1 then 'history_started' when event = 'signup' then 'history_closed' else event end"))
+    e = journal(spark, d).withColumn(
+        "event", F.expr("case when sequence = 1 then 'history_started' when event = 'signup' then 'history_closed' else event end")
+    )
     return journals.validate(e, "user_id")
 
 
 @registry.add(f"""WITH {JOURNAL} SELECT user_id, count(*) AS events, count(DISTINCT event) AS kinds, arg_min(event, sequence) AS first_event, arg_max(event, sequence) AS last_event, min(us) AS started, max(us) AS ended, count(*) FILTER (WHERE event = 'purchase') AS captures, count(*) FILTER (WHERE event = 'error') AS incidents FROM journal GROUP BY user_id""")
 def session_summary(spark: SparkSession, d: str) -> DataFrame:
-    return journals.summary(journal(spark, d), "user_id", "us", F.col("sequence"), incident=F.col("event") == "error", capture=F.col("event") == "purchase")
+    return journals.summary(
+        journal(spark, d), "user_id", "us", F.col("sequence"), incident=F.col("event") == "error", capture=F.col("event") == "purchase"
+    )
 
 
 @registry.add(f"""WITH {JOURNAL}, s AS (SELECT *, (sum((event = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY sequence))::INT AS session FROM journal)
 SELECT user_id, sequence, session, last_value(CASE WHEN event = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, session ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM s""")
 def latest_state(spark: SparkSession, d: str) -> DataFrame:
-    return windows.latest_state(journal(spark, d), "user_id", ["sequence"], F.col("event") == "signup", F.when(F.col("event") == "purchase", F.col("value"))).select("user_id", "sequence", "session", "state")
+    return windows.latest_state(
+        journal(spark, d), "user_id", ["sequence"], F.col("event") == "signup", F.when(F.col("event") == "purchase", F.col("value"))
+    ).select("user_id", "sequence", "session", "state")
 
 
 @registry.add(f"""WITH {JOURNAL}, s AS (SELECT user_id, sequence, CASE WHEN value > 90 AND sequence = 2 THEN -1 ELSE event_id END AS event_id FROM journal WHERE sequence <= 20)
@@ -128,21 +138,28 @@ def plan_vs_actual(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""SELECT event_id, (props->>'$.k')::BIGINT AS k, event_type IN ('error', 'signup') AS flagged FROM events""")
 def props_json_extract(spark: SparkSession, d: str) -> DataFrame:
     part = scalar.json_part(F.concat(F.lit("answer: "), F.col("props"), F.lit(" end")))
-    return table(spark, d, "events").select("event_id", F.get_json_object(part, "$.k").cast("long").alias("k"), F.col("event_type").isin("error", "signup").alias("flagged"))
+    return table(spark, d, "events").select(
+        "event_id", F.get_json_object(part, "$.k").cast("long").alias("k"), F.col("event_type").isin("error", "signup").alias("flagged")
+    )
 
 
 @registry.add("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT doc_id, line_no, substr(line, 1, 200) AS line FROM l WHERE regexp_matches(line, 'token = |rc=-1')""")
 def console_line_scan(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    return lines.where(F.col("line").rlike("token = |rc=-1")).select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), F.substring("line", 1, 200).alias("line"))
+    return lines.where(F.col("line").rlike("token = |rc=-1")).select(
+        "doc_id", (F.col("n") + 1).cast("long").alias("line_no"), F.substring("line", 1, 200).alias("line")
+    )
 
 
 @registry.add("""SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '/([a-z]{2})/', 1) AS part, TRY_CAST(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') AS INT) AS idx, regexp_matches(url, '^https?://[^/]+/[a-z]{2}/[0-9]+') AS matches FROM pages""")
 def name_layout_regex(spark: SparkSession, d: str) -> DataFrame:
     from tessera.sources import layouts
 
-    return layouts.parse(table(spark, d, "pages").select("page_id", "url"), "url", {"scheme": r"^(https?)://", "part": r"/([a-z]{2})/", "idx": r"/[a-z]{2}/([0-9]+)"}, r"^https?://[^/]+/[a-z]{2}/[0-9]+", ("idx",)).drop("url")
+    return layouts.parse(
+        table(spark, d, "pages").select("page_id", "url"), "url", {"scheme": r"^(https?)://", "part": r"/([a-z]{2})/", "idx": r"/[a-z]{2}/([0-9]+)"},
+        r"^https?://[^/]+/[a-z]{2}/[0-9]+", ("idx",)
+    ).drop("url")
 
 
 @registry.add("""WITH p AS (SELECT regexp_extract(url, '/([a-z]{2})/', 1) AS part, regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS idx, regexp_matches(url, '^https?://[^/]+/[a-z]{2}/[0-9]+') AS ok FROM pages)
@@ -156,13 +173,17 @@ def layout_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("SELECT regexp_replace(url, '[0-9]+', '#', 'g') AS shape, count(*) AS n, min(page_id) AS first_id FROM pages GROUP BY 1")
 def shape_digest(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").groupBy(scalar.shape_of(F.col("url")).alias("shape")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+    return table(spark, d, "pages").groupBy(scalar.shape_of(F.col("url")).alias("shape")).agg(
+        F.count("*").alias("n"), F.min("page_id").alias("first_id")
+    )
 
 
 @registry.add("""WITH f AS (SELECT doc_id AS path, octet_length(encode(text))::BIGINT AS bytes, sha256(text) AS sha256 , lang, source FROM documents), m AS (SELECT path, bytes, CASE WHEN source = 'src7' THEN 'changed' ELSE sha256 END AS sha256 FROM f WHERE lang <> 'es')
 SELECT m.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.bytes <> f.bytes OR m.sha256 <> f.sha256 THEN 'mismatch' ELSE 'ok' END AS state FROM m LEFT JOIN (SELECT * FROM f WHERE source <> 'src5') f ON f.path = m.path""")
 def content_hash_manifest(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"), "lang", "source")
+    f = table(spark, d, "documents").select(
+        F.col("doc_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"), "lang", "source"
+    )
     # a manifest that lacks some files and has some changed, against files of which some are gone
     m = f.where("lang <> 'es'").withColumn("sha256", F.when(F.col("source") == "src7", "changed").otherwise(F.col("sha256")))
     return joins.manifest_check(m, f.where("source <> 'src5'"))
@@ -178,7 +199,9 @@ def manifest_difference(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_content(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_id")
+    ).where("copies > 1")
 
 
 @registry.add("""SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' ELSE lang END AS name, source IN ('src1', 'src0') AS listed, count(*) AS n FROM documents GROUP BY ALL""")
@@ -190,7 +213,9 @@ def alias_canonicalise(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH t AS (SELECT conv_id, turn, role, row_number() OVER w - 1 AS nth, lead(turn) OVER w AS next_turn, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, role, nth, next_turn, next_role FROM t WHERE next_turn IS NOT NULL""")
 def conversation_turn_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = windows.serpentine_order(table(spark, d, "conversations"), "conv_id", "turn", F.lit(False)).select("conv_id", "turn", "role", F.col("order").cast("long").alias("nth"))
+    rows = windows.serpentine_order(table(spark, d, "conversations"), "conv_id", "turn", F.lit(False)).select(
+        "conv_id", "turn", "role", F.col("order").cast("long").alias("nth")
+    )
     return windows.consecutive(rows, ["conv_id"], ["turn"], ["turn", "role"])
 
 
@@ -204,7 +229,10 @@ def note_references(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def event_count_maps(spark: SparkSession, d: str) -> DataFrame:
     counts = journals.event_counts(table(spark, d, "events"), "user_id", "event_type")
-    return counts.select("user_id", F.aggregate(F.map_values("event_counts"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n"), F.size("event_counts").cast("long").alias("kinds"))
+    return counts.select(
+        "user_id", F.aggregate(F.map_values("event_counts"), F.lit(0).cast("long"), lambda a, b: a + b).alias("n"),
+        F.size("event_counts").cast("long").alias("kinds")
+    )
 
 
 @registry.add("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE min(event_type) END AS worst, count(*) AS n FROM events GROUP BY user_id""")

@@ -19,7 +19,12 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     pairs = joins.neighbour_pairs(t.select("row", "col", "id", "value"), "id")
     metric = t.select(F.col("id"), F.col("value").alias("m"))
     a, b = metric.toDF("value", "ma"), metric.toDF("value2", "mb")
-    return pairs.join(a, "value").join(b, "value2").select(F.col("value").alias("src"), F.col("value2").alias("dst"), F.col("col").alias("src_col"), F.col("col2").alias("dst_col"), ((F.col("col2") - F.col("col")) * 100 + F.col("ma") % 7 / 10).alias("dx"), ((F.col("row2") - F.col("row")) * 80 + F.col("mb") % 5 / 10).alias("dy"), F.lit(1.0).alias("w"), (1.0 + (F.col("mb") - F.col("ma")) / 20000).alias("ratio"))
+    return pairs.join(a, "value").join(b, "value2").select(
+        F.col("value").alias("src"), F.col("value2").alias("dst"), F.col("col").alias("src_col"), F.col("col2").alias("dst_col"),
+        ((F.col("col2") - F.col("col")) * 100 + F.col("ma") % 7 / 10).alias("dx"),
+        ((F.col("row2") - F.col("row")) * 80 + F.col("mb") % 5 / 10).alias("dy"), F.lit(1.0).alias("w"),
+        (1.0 + (F.col("mb") - F.col("ma")) / 20000).alias("ratio")
+    )
 
 
 @registry.add()
@@ -36,7 +41,9 @@ def gain_solve(spark: SparkSession, d: str) -> DataFrame:
 @registry.add()
 def spectrum_fits(spark: SparkSession, d: str) -> DataFrame:
     y = "transform(sequence(0, 299), i -> 0.2D + exp(-pow(1.6D + i * 0.002D - 1.85D - embedding[0] / 20, 2) / 0.0032D) + 0.6D * exp(-pow(1.6D + i * 0.002D - 2.0D, 2) / 0.0032D) + embedding[cast(i % 64 as int)] / 100)"
-    s = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("transform(sequence(0, 299), i -> 1.6D + i * 0.002D)").alias("x"), F.expr(y).alias("y"))
+    s = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.expr("transform(sequence(0, 299), i -> 1.6D + i * 0.002D)").alias("x"), F.expr(y).alias("y")
+    )
     return fitting.fit_spectra(s)
 
 
@@ -44,7 +51,9 @@ def spectrum_fits(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id::VARCHAR AS stream_id, sequence, event_id::VARCHAR AS event_id, 'gap' AS fault FROM k WHERE sequence > upcoming UNION ALL SELECT user_id::VARCHAR, sequence, event_id::VARCHAR, 'no start' FROM k WHERE sequence = 1""")
 def journal_stream(spark: SparkSession, d: str) -> DataFrame:
     """Faults that the streaming check finds in the journals without their view events."""
-    j = journal(spark, d).where("event <> 'view'").selectExpr("cast(user_id as string) as stream_id", "sequence", "cast(event_id as string) as event_id", "event")
+    j = journal(spark, d).where("event <> 'view'").selectExpr(
+        "cast(user_id as string) as stream_id", "sequence", "cast(event_id as string) as event_id", "event"
+    )
     from tessera.session import new_folder
 
     folder = new_folder(spark, "journal")

@@ -58,7 +58,10 @@ SELECT label, count(*) AS n, count(*) FILTER (WHERE valid AND excluded) AS exclu
 def rectangle_exclusion(spark: SparkSession, d: str) -> DataFrame:
     boxes = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), b, strict=True))) for b in BOXES))))
     marked = grid.mark_rectangles(px(spark, d), boxes)
-    return marked.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.expr("valid and excluded")).alias("excluded_px"), F.count_if(F.expr("valid and not excluded")).alias("retained_px"))
+    return marked.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.expr("valid and excluded")).alias("excluded_px"),
+        F.count_if(F.expr("valid and not excluded")).alias("retained_px")
+    )
 
 
 @registry.add(f"WITH {PX} SELECT label, count(*) AS n FROM px WHERE x % 8 = 0 AND y % 8 = 0 GROUP BY label")
@@ -113,7 +116,10 @@ def gain_split(spark: SparkSession, d: str) -> DataFrame:
 SELECT label, round(avg(0.299 * r + 0.587 * g + 0.114 * b), 6) AS luminance, count(*) FILTER (WHERE r >= 250 AND g >= 200) AS white_px, sum(greatest(0, least(255, round_even(r * 1.1, 0))))::BIGINT AS gained FROM c GROUP BY label""")
 def colour_gain(spark: SparkSession, d: str) -> DataFrame:
     c = px(spark, d).selectExpr("label", "5 * value as r", "4 * value as g", "3 * value as b")
-    return c.groupBy("label").agg(F.round(F.avg(scalar.luminance(F.col("r"), F.col("g"), F.col("b"))), 6).alias("luminance"), F.count_if(F.expr("r >= 250 and g >= 200")).alias("white_px"), F.sum(scalar.apply_gain(F.col("r"), F.lit(1.1))).alias("gained"))
+    return c.groupBy("label").agg(
+        F.round(F.avg(scalar.luminance(F.col("r"), F.col("g"), F.col("b"))), 6).alias("luminance"),
+        F.count_if(F.expr("r >= 250 and g >= 200")).alias("white_px"), F.sum(scalar.apply_gain(F.col("r"), F.lit(1.1))).alias("gained")
+    )
 
 
 @registry.add("""WITH h AS (SELECT range AS bin FROM range(64)), c AS (SELECT floor(l_quantity)::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1),

@@ -51,7 +51,10 @@ cand AS (SELECT component, area_px, mean_grey, x0, x1, y0, y1, 100.0::DOUBLE * a
 @registry.add(f"WITH RECURSIVE {IMG}, {PROPOSED} SELECT component, area_px, x0, x1, y0, y1, rank, round(mean_grey, 6) AS mean_grey, round(pct_of_class, 6) AS pct_of_class, round(pct_of_crystal, 6) AS pct_of_crystal, round(bbox_fill, 6) AS bbox_fill FROM cand")
 def region_proposals(spark: SparkSession, d: str) -> DataFrame:
     px = image(spark, d)
-    return rounded(raster.candidates(px, "image", 3, raster.closed_parts(px, "image", 3, WIDE, HIGH)).drop("image"), "mean_grey", "pct_of_class", "pct_of_crystal", "bbox_fill")
+    return rounded(
+        raster.candidates(px, "image", 3, raster.closed_parts(px, "image", 3, WIDE, HIGH)).drop("image"), "mean_grey", "pct_of_class",
+        "pct_of_crystal", "bbox_fill"
+    )
 
 
 MASKED = f"""{SELECTED}, gone AS (SELECT img.x, img.y, comp.x IS NOT NULL AS m FROM img LEFT JOIN comp ON comp.x = img.x AND comp.y = img.y AND comp.component % 3 <> 0), {_closed('rim', 'gone', 4)}, open_ AS (SELECT x, y FROM rim WHERE NOT m), {_parts('back', 'open_')},
@@ -63,7 +66,9 @@ def region_mask(spark: SparkSession, d: str) -> DataFrame:
     px = image(spark, d)
     parts = raster.closed_parts(px, "image", 3, WIDE, HIGH)
     gone = parts.where("component % 3 <> 0").select("image", "component").distinct()
-    return raster.exclusion_mask(px, "image", parts, gone, WIDE, HIGH).groupBy("label").agg(F.count("*").alias("n"), F.count_if("_out").alias("excluded_px"))
+    return raster.exclusion_mask(px, "image", parts, gone, WIDE, HIGH).groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if("_out").alias("excluded_px")
+    )
 
 
 @registry.add(f"""WITH RECURSIVE {IMG}, {PROPOSED}, own AS (SELECT x, y FROM sel WHERE m), {_parts('raw', 'own')}, edge AS (SELECT component FROM raw GROUP BY 1 HAVING min(x) = 0 OR max(x) = {WIDE - 1} OR min(y) = 0 OR max(y) = {HIGH - 1}), bound AS (SELECT DISTINCT comp.component FROM comp JOIN raw USING (x, y) JOIN edge ON edge.component = raw.component),
@@ -71,7 +76,10 @@ f AS (SELECT c.*, list_filter([CASE WHEN NOT (x0 <= 32 AND x1 > 32 AND y0 <= 24
 SELECT component, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AND count(*) FILTER (WHERE len(reasons) = 0) OVER () = 1 AS selected, greatest(0, x0 - ceil((x1 - x0) * 0.08))::BIGINT AS rx1, least(64, x1 + ceil((x1 - x0) * 0.08))::BIGINT AS rx2, greatest(0, y0 - ceil((y1 - y0) * 0.08))::BIGINT AS ry1, least(48, y1 + ceil((y1 - y0) * 0.08))::BIGINT AS ry2 FROM f""")
 def central_rectangles(spark: SparkSession, d: str) -> DataFrame:
     out = raster.central_rectangle(image(spark, d), "image", 3, WIDE, HIGH)
-    return out.select("component", F.array_join("reasons", ",").alias("reasons"), "selected", *(F.col(c).cast("long").alias(c) for c in ("rx1", "rx2", "ry1", "ry2")))
+    return out.select(
+        "component", F.array_join("reasons", ",").alias("reasons"), "selected",
+        *(F.col(c).cast("long").alias(c) for c in ("rx1", "rx2", "ry1", "ry2"))
+    )
 
 
 @registry.add(f"""WITH RECURSIVE {IMG}, seed AS (SELECT grey AS s FROM img WHERE x = 30 AND y = 20), near AS (SELECT x, y FROM img, seed WHERE sqrt(pow(grey - s, 2) + pow(grey * 0.9 - s * 0.9, 2) + pow(greatest(0, grey - 30) - greatest(0, s - 30), 2)) <= 45), {_parts('comp', 'near')}
@@ -93,14 +101,18 @@ def near_satellites(spark: SparkSession, d: str) -> DataFrame:
 @registry.add(f"""WITH {PX}, t AS (SELECT (x // 80)::INT AS tile, (x % 80 // 8)::INT AS x, (y // 24)::INT AS y, avg(value) * 5 AS grey FROM px GROUP BY ALL), p AS (SELECT tile * 7 + x AS x, tile % 2 * 3 + y AS y, grey, greatest(least(x + 1, 10 - x) * least(y + 1, 20 - y) / 50.0::DOUBLE, 1e-4::DOUBLE) AS w FROM t)
 SELECT x, y, count(*) AS tiles, greatest(0, least(255, floor(round(sum(grey * w) / sum(w), 9) + 0.5)))::INT AS grey FROM p GROUP BY x, y""")
 def mosaic_render(spark: SparkSession, d: str) -> DataFrame:
-    tiles = px_view(spark, d).groupBy(F.expr("cast(x div 80 as int)").alias("tile"), F.expr("cast(x % 80 div 8 as int)").alias("x"), F.expr("cast(y div 24 as int)").alias("y")).agg((F.avg("value") * 5).alias("grey"))
+    tiles = px_view(spark, d).groupBy(
+        F.expr("cast(x div 80 as int)").alias("tile"), F.expr("cast(x % 80 div 8 as int)").alias("x"), F.expr("cast(y div 24 as int)").alias("y")
+    ).agg((F.avg("value") * 5).alias("grey"))
     places = spark.range(8).selectExpr("cast(id as int) as tile", "cast(id * 7 as int) as left", "cast(id % 2 * 3 as int) as top")
     return raster.render(tiles, places, 10, 20)
 
 
 @registry.add(f"WITH {PX}, p AS (SELECT x // 8 AS x, y // 8 AS y, label, (x + y) % 5 AS tile_order FROM px) SELECT x, y, arg_min(label, (tile_order, label)) AS label FROM p GROUP BY ALL")
 def first_written(spark: SparkSession, d: str) -> DataFrame:
-    preds = px_view(spark, d).selectExpr("cast(x div 8 as int) as x", "cast(y div 8 as int) as y", "label", "struct((x + y) % 5 as o, label as l) as tile_order")
+    preds = px_view(spark, d).selectExpr(
+        "cast(x div 8 as int) as x", "cast(y div 8 as int) as y", "label", "struct((x + y) % 5 as o, label as l) as tile_order"
+    )
     return raster.merge_first(preds)
 
 
@@ -113,9 +125,13 @@ def registered_pairs(spark: SparkSession, d: str) -> DataFrame:
     px = image(spark, d).withColumn("grey", F.col("grey") + F.expr("pmod(hash(x, y), 100)"))
     out = None
     for i, (dx, dy) in enumerate(SHIFTS):
-        part = px.withColumn("a", F.col("x").between(8, 55) & F.col("y").between(8, 39)).withColumn("b", F.col("x").between(8 + dx, 55 + dx) & F.col("y").between(8 + dy, 39 + dy))
+        part = px.withColumn("a", F.col("x").between(8, 55) & F.col("y").between(8, 39)).withColumn(
+            "b", F.col("x").between(8 + dx, 55 + dx) & F.col("y").between(8 + dy, 39 + dy)
+        )
         values = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c), F.struct("y", "x", "grey")))), lambda s: s["grey"]).alias(c)
-        row = part.agg(values("a"), values("b")).select(F.lit(i).cast("long").alias("src"), F.lit(i).cast("long").alias("dst"), F.lit(32).alias("h"), F.lit(48).alias("w"), "a", "b")
+        row = part.agg(values("a"), values("b")).select(
+            F.lit(i).cast("long").alias("src"), F.lit(i).cast("long").alias("dst"), F.lit(32).alias("h"), F.lit(48).alias("w"), "a", "b"
+        )
         out = row if out is None else out.unionByName(row)
     found = raster.register_pairs(out)
     return found.select(F.col("src").alias("pair"), F.rint("dx").cast("long").alias("dx"), F.rint("dy").cast("long").alias("dy"), (F.col("ncc") > 0.9).alias("good"))

@@ -30,27 +30,38 @@ MEMBERS = "m AS (SELECT p_partkey AS id, 'a_L' || (p_partkey // 40) || '_' || (C
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").selectExpr("p_partkey as id", "concat('a_L', p_partkey div 40, '_', if((p_partkey div 40) % 2 = 0, 'down', 'up'), '.zip') as container", "concat(p_partkey % 40, if(p_size % 7 = 0, '.5', ''), if(p_size % 11 = 0, '.txt~', '.png')) as member")
+    return table(spark, d, "part").selectExpr(
+        "p_partkey as id", "concat('a_L', p_partkey div 40, '_', if((p_partkey div 40) % 2 = 0, 'down', 'up'), '.zip') as container",
+        "concat(p_partkey % 40, if(p_size % 7 = 0, '.5', ''), if(p_size % 11 = 0, '.txt~', '.png')) as member"
+    )
 
 
 @registry.add(f"""WITH {MEMBERS}, k AS (SELECT id, regexp_extract(container, '_L([0-9]+)_', 1)::INT AS col, regexp_extract(container, '_(up|down)', 1) AS direction, regexp_extract(member, '^([0-9.]+)\\.[a-z]+$', 1)::DOUBLE AS key, member FROM m WHERE member LIKE '%.png'),
 o AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY key, member) - 1 AS "order", count(*) OVER (PARTITION BY col) AS n FROM k)
 SELECT id, col, key, "order"::INT AS "order", (CASE direction WHEN 'up' THEN n - 1 - "order" ELSE "order" END)::INT AS nominal_row, (dense_rank() OVER (ORDER BY col) - 1)::INT AS col_idx FROM o""")
 def scan_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return acquisition.tile_table(_members(spark, d)).select("id", "col", "key", F.col("order").cast("int").alias("order"), "nominal_row", F.col("col_idx").cast("int").alias("col_idx"))
+    return acquisition.tile_table(_members(spark, d)).select(
+        "id", "col", "key", F.col("order").cast("int").alias("order"), "nominal_row", F.col("col_idx").cast("int").alias("col_idx")
+    )
 
 
 @registry.add("""WITH n AS (SELECT s_suppkey AS id, (CASE s_nationkey % 4 WHEN 0 THEN '.' WHEN 1 THEN '_' ELSE '' END) || 'run' || s_suppkey || (CASE WHEN s_nationkey % 2 = 0 THEN '.zip' ELSE '' END) AS name FROM supplier)
 SELECT id, name, ends_with(name, '.zip') AS is_zip FROM n WHERE NOT regexp_matches(name, '^[._]')""")
 def layout_candidates(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "supplier").selectExpr("s_suppkey as id", "concat(case s_nationkey % 4 when 0 then '.' when 1 then '_' else '' end, 'run', s_suppkey, if(s_nationkey % 2 = 0, '.zip', '')) as name")
+    names = table(spark, d, "supplier").selectExpr(
+        "s_suppkey as id",
+        "concat(case s_nationkey % 4 when 0 then '.' when 1 then '_' else '' end, 'run', s_suppkey, if(s_nationkey % 2 = 0, '.zip', '')) as name"
+    )
     return layouts.containers(names).withColumn("is_zip", F.col("name").endswith(".zip"))
 
 
 @registry.add("""WITH n AS (SELECT doc_id, source AS container, (CASE WHEN doc_id % 9 = 0 THEN '__MACOSX/' ELSE 'in/' END) || (CASE WHEN doc_id % 5 = 0 THEN '._' ELSE '' END) || doc_id || '.png' AS member, octet_length(encode(text)) AS bytes FROM documents)
 SELECT container, count(*) FILTER (WHERE NOT (contains(member, '__MACOSX') OR regexp_matches(member, '(^|/)[.]'))) AS members, sum(bytes) FILTER (WHERE NOT (contains(member, '__MACOSX') OR regexp_matches(member, '(^|/)[.]')))::BIGINT AS bytes, count(*) FILTER (WHERE contains(member, '__MACOSX') OR regexp_matches(member, '(^|/)[.]')) AS skipped FROM n GROUP BY container""")
 def container_members(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "documents").selectExpr("source as container", "concat(if(doc_id % 9 = 0, '__MACOSX/', 'in/'), if(doc_id % 5 = 0, '._', ''), doc_id, '.png') as member", "cast(octet_length(text) as bigint) as bytes")
+    names = table(spark, d, "documents").selectExpr(
+        "source as container", "concat(if(doc_id % 9 = 0, '__MACOSX/', 'in/'), if(doc_id % 5 = 0, '._', ''), doc_id, '.png') as member",
+        "cast(octet_length(text) as bigint) as bytes"
+    )
     return layouts.member_report(names)
 
 
@@ -66,7 +77,13 @@ def tolerant_journal(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, count(*) FILTER (WHERE user_id % 3 <> 0 OR n < total) AS committed, user_id % 3 = 0 AS torn_tail, coalesce(sum(event_id) FILTER (WHERE user_id % 3 <> 0 OR n < total), 0)::BIGINT AS ids FROM j GROUP BY user_id HAVING count(*) FILTER (WHERE user_id % 3 <> 0 OR n < total) > 0""")
 def strict_journal(spark: SparkSession, d: str) -> DataFrame:
     """A journal per user, the last line of every third one without its newline."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda i: F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"), F.lit(', "event_id": '), i.cast("string"), F.lit("}"))), "\n")
+    lines = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list("event_id")),
+            lambda i: F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"), F.lit(', "event_id": '), i.cast("string"), F.lit("}"))
+        ),
+        "\n"
+    )
     whole = table(spark, d, "events").groupBy("user_id").agg(lines.alias("value")).repartition("user_id")
     folder = new_folder(spark, "journals")
     # a file per journal; the text writer ends each row, with a newline here and with the last brace there
@@ -74,14 +91,19 @@ def strict_journal(spark: SparkSession, d: str) -> DataFrame:
     torn = whole.where("user_id % 3 = 0").withColumn("value", F.expr("substring(value, 1, length(value) - 1)"))
     torn.write.mode("append").partitionBy("user_id").option("lineSep", "}").text(folder)
     events = records.assert_clean(records.strict_journals(spark, f"{folder}/*", "user_id long, event_id long"), "event_id")
-    return events.groupBy(F.col("event.user_id").alias("user_id")).agg(F.count("*").alias("committed"), F.max("torn_tail").alias("torn_tail"), F.sum("event.event_id").alias("ids"))
+    return events.groupBy(F.col("event.user_id").alias("user_id")).agg(
+        F.count("*").alias("committed"), F.max("torn_tail").alias("torn_tail"), F.sum("event.event_id").alias("ids")
+    )
 
 
 @registry.add(f"""WITH {JOURNAL} SELECT 'scan_' || lpad(user_id::VARCHAR, 8, '0') AS history, count(*) AS events, count(*) FILTER (WHERE event = 'purchase') AS captured, count(*) FILTER (WHERE event = 'signup') AS accepted, count(*) FILTER (WHERE event = 'error' AND value > 50) AS confirmed, arg_max(event, sequence) AS last_event
 FROM journal GROUP BY user_id ORDER BY history DESC LIMIT 5""")
 def newest_histories(spark: SparkSession, d: str) -> DataFrame:
     named = journal_view(spark, d).withColumn("history", F.concat(F.lit("scan_"), F.lpad(F.col("user_id").cast("string"), 8, "0")))
-    marks = {"captured": F.col("event") == "purchase", "accepted": F.col("event") == "signup", "confirmed": (F.col("event") == "error") & (F.col("value") > 50)}
+    marks = {
+        "captured": F.col("event") == "purchase", "accepted": F.col("event") == "signup",
+        "confirmed": (F.col("event") == "error") & (F.col("value") > 50)
+    }
     return acquisition.newest(journal.history_summary(named, "history", "sequence", "event", marks), "history", 5)
 
 
@@ -108,11 +130,17 @@ def reference_records(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""SELECT o_custkey % 50 AS run, round(sum(1239.842::DOUBLE / (300 + o_orderkey % 900)), 6) AS energy, count(*) AS points, count(*) FILTER (WHERE o_orderkey % 17 = 0) AS bad, round(sum(CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END), 2) AS signal FROM orders GROUP BY 1""")
 def spectra_csv(spark: SparkSession, d: str) -> DataFrame:
     """CSV files with the wavelength in column 0 and the signal in column 3; a signal that is no number is null."""
-    rows = table(spark, d, "orders").selectExpr("o_custkey % 50 as run", "cast(300 + o_orderkey % 900 as string) as nm", "'a' as b", "'c' as c", "if(o_orderkey % 17 = 0, 'n/a', cast(cast(o_totalprice as double) as string)) as signal")
+    rows = table(spark, d, "orders").selectExpr(
+        "o_custkey % 50 as run", "cast(300 + o_orderkey % 900 as string) as nm", "'a' as b", "'c' as c",
+        "if(o_orderkey % 17 = 0, 'n/a', cast(cast(o_totalprice as double) as string)) as signal"
+    )
     folder = new_folder(spark, "csv")
     rows.write.partitionBy("run").option("header", "true").csv(folder)
     found = records.spectra(spark, f"{folder}/*/*.csv")
-    out = found.groupBy(F.regexp_extract("file", r"run=(\d+)", 1).cast("long").alias("run")).agg(F.round(F.sum("x"), 6).alias("energy"), F.count("*").alias("points"), F.count_if(F.col("y").isNull()).alias("bad"), F.round(F.sum("y"), 2).alias("signal"))
+    out = found.groupBy(F.regexp_extract("file", r"run=(\d+)", 1).cast("long").alias("run")).agg(
+        F.round(F.sum("x"), 6).alias("energy"), F.count("*").alias("points"), F.count_if(F.col("y").isNull()).alias("bad"),
+        F.round(F.sum("y"), 2).alias("signal")
+    )
     return out
 
 
@@ -120,7 +148,10 @@ def spectra_csv(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, book, ext FROM f WHERE NOT spot AND NOT (ext = 'csv' AND book IN (SELECT book FROM f WHERE ext = 'xlsx' AND NOT spot))""")
 def spectra_files(spark: SparkSession, d: str) -> DataFrame:
     """Tables of spectra by name: reference spots are left out, and a csv whose workbook number an xlsx has."""
-    names = table(spark, d, "part").selectExpr("p_partkey as id", "concat('dir/book', p_partkey div 3, if(p_size % 10 = 2, '-2', ''), '.', element_at(array('csv', 'xlsx', 'csv'), cast(p_partkey % 3 + 1 as int))) as name")
+    names = table(spark, d, "part").selectExpr(
+        "p_partkey as id",
+        "concat('dir/book', p_partkey div 3, if(p_size % 10 = 2, '-2', ''), '.', element_at(array('csv', 'xlsx', 'csv'), cast(p_partkey % 3 + 1 as int))) as name"
+    )
     return layouts.spectra_names(names).select("id", "book", "ext")
 
 
@@ -131,7 +162,10 @@ def sheet_columns(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     cell = lambda row, col, text: F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), text.alias("text"))
     head = F.when(F.col("vec_id") % 7 == 0, "Z").otherwise("X [eV]")
-    top = [cell(0, 1, F.when(F.col("vec_id") % 3 == 0, F.lit(" 1-b/a"))), cell(0, 5, F.lit("-(1-B/A)")), cell(1, 1, head), cell(1, 2, F.lit("Y")), cell(1, 5, head), cell(1, 6, F.lit("Y"))]
+    top = [
+        cell(0, 1, F.when(F.col("vec_id") % 3 == 0, F.lit(" 1-b/a"))), cell(0, 5, F.lit("-(1-B/A)")), cell(1, 1, head), cell(1, 2, F.lit("Y")),
+        cell(1, 5, head), cell(1, 6, F.lit("Y"))
+    ]
     body = [c for i in range(1, 11) for c in (cell(1 + i, 1, F.lit(f"{i}.0")), cell(1 + i, 5, F.lit(f"{2 * i}.0")), *(cell(1 + i, k, F.col("embedding")[i - 1].cast("double").cast("string")) for k in (2, 6)))]
     cells = e.select("vec_id", F.inline(F.array(*top, *body))).where("text is not null")
     found = records.sheet_spectrum(cells, "vec_id")
@@ -141,7 +175,10 @@ def sheet_columns(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH c AS (SELECT quantile_cont(epoch_us(ts), 0.5) / 1e6 AS since FROM events), f AS (SELECT event_id, 'tile_' || event_id || (CASE WHEN event_id % 4 = 0 THEN '.tmp' ELSE '.png' END) AS name, epoch_us(ts) / 1e6 AS seen FROM events)
 SELECT name FROM f, c WHERE name LIKE '%.png' AND seen >= since - 2.0""")
 def recent_tiles(spark: SparkSession, d: str) -> DataFrame:
-    files = journal_view(spark, d).select(F.concat(F.lit("tile_"), F.col("event_id"), F.when(F.col("event_id") % 4 == 0, ".tmp").otherwise(".png")).alias("name"), (F.col("us") / 1e6).alias("at"))
+    files = journal_view(spark, d).select(
+        F.concat(F.lit("tile_"), F.col("event_id"), F.when(F.col("event_id") % 4 == 0, ".tmp").otherwise(".png")).alias("name"),
+        (F.col("us") / 1e6).alias("at")
+    )
     since = files.agg(F.percentile("at", 0.5)).head()[0]
     return acquisition.recent(files, "name", "at", since).select("name")
 
@@ -152,8 +189,13 @@ t AS (SELECT 'd' || doc_id AS name, n_chars + (CASE WHEN doc_id % 7 = 0 THEN 1 E
 
 def _captures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
-    a = docs.where("doc_id % 11 <> 0").selectExpr("concat('d', doc_id) as name", "cast(doc_id div 20 as int) as row", "cast(doc_id % 20 - if(doc_id % 31 = 0, 1, 0) as int) as col", "n_chars as bytes", "lang as sha256")
-    return a, docs.where("doc_id % 13 <> 0").selectExpr("concat('d', doc_id) as name", "n_chars + if(doc_id % 7 = 0, 1, 0) as bytes", "if(doc_id % 5 = 0, 'x', lang) as sha256")
+    a = docs.where("doc_id % 11 <> 0").selectExpr(
+        "concat('d', doc_id) as name", "cast(doc_id div 20 as int) as row", "cast(doc_id % 20 - if(doc_id % 31 = 0, 1, 0) as int) as col",
+        "n_chars as bytes", "lang as sha256"
+    )
+    return a, docs.where("doc_id % 13 <> 0").selectExpr(
+        "concat('d', doc_id) as name", "n_chars + if(doc_id % 7 = 0, 1, 0) as bytes", "if(doc_id % 5 = 0, 'x', lang) as sha256"
+    )
 
 
 @registry.add(f"""WITH {CAPTURES}, m AS (SELECT coalesce(c.name, t.name) AS name, CASE WHEN c.name IS NULL THEN 'tile without capture' WHEN t.name IS NULL THEN 'capture without tile' WHEN c.bytes <> t.bytes THEN 'size differs' WHEN c.sha256 <> t.sha256 THEN 'hash differs' WHEN c."row" NOT BETWEEN 0 AND 30 OR c.col NOT BETWEEN 0 AND 19 THEN 'outside the grid' END AS fault FROM c FULL JOIN t ON c.name = t.name),
@@ -167,7 +209,9 @@ def acquisition_faults(spark: SparkSession, d: str) -> DataFrame:
 SELECT conv_id AS session_id, CASE WHEN conv_id % 5 = 0 THEN 'running' ELSE 'completed' END AS status, photos_saved, captures, tiles, conv_id % 5 <> 0 AND captures = photos_saved AND tiles = photos_saved AS whole FROM n""")
 def transfer_whole(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").withColumnRenamed("conv_id", "session_id")
-    sessions = turns.groupBy("session_id").agg(F.sum(F.expr("if(session_id % 6 = 0, 2, 1)")).alias("photos_saved")).withColumn("status", F.expr("if(session_id % 5 = 0, 'running', 'completed')"))
+    sessions = turns.groupBy("session_id").agg(
+        F.sum(F.expr("if(session_id % 6 = 0, 2, 1)")).alias("photos_saved")
+    ).withColumn("status", F.expr("if(session_id % 5 = 0, 'running', 'completed')"))
     return acquisition.transfer_is_whole(sessions, turns, turns.where("turn > 0"))
 
 
@@ -175,12 +219,16 @@ def transfer_whole(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, n::BIGINT AS bytes, n > 200 AS cut, sha256(raw[greatest(1, n - 199):n]) AS sha256 FROM b""")
 def log_tails(spark: SparkSession, d: str) -> DataFrame:
     """The last 200 bytes of each log, named by their digest."""
-    return acquisition.tails(table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "content", 200).select("doc_id", "bytes", "cut", "sha256")
+    return acquisition.tails(
+        table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), "content", 200
+    ).select("doc_id", "bytes", "cut", "sha256")
 
 
 @registry.add("""SELECT source AS run, count(*) AS outputs, count(*) FILTER (WHERE doc_id % 8 <> 0 AND doc_id % 9 <> 0) AS verified, count(*) FILTER (WHERE doc_id % 8 = 0) AS missing, bool_and(doc_id % 8 <> 0 AND doc_id % 9 <> 0) AS whole FROM documents GROUP BY source""")
 def result_manifests(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").selectExpr("source as run", "concat('out/', doc_id) as path", "cast(octet_length(text) as bigint) as bytes", "sha2(text, 256) as sha256", "doc_id")
+    docs = table(spark, d, "documents").selectExpr(
+        "source as run", "concat('out/', doc_id) as path", "cast(octet_length(text) as bigint) as bytes", "sha2(text, 256) as sha256", "doc_id"
+    )
     there = docs.where("doc_id % 8 <> 0").selectExpr("path", "bytes", "if(doc_id % 9 = 0, 'other', sha256) as sha256")
     return joins.manifest_summary(docs.drop("doc_id"), there, "path", "run")
 
@@ -190,7 +238,9 @@ def palette_decode(spark: SparkSession, d: str) -> DataFrame:
     """Labels of colours that a palette holds exactly; any other colour fails the job."""
     colours = ((0, 0, 0), (128, 0, 0), (0, 128, 0), (128, 128, 0))
     palette = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"), F.lit(i).alias("label")) for i, (r, g, b) in enumerate(colours)))))
-    pixels = table(spark, d, "part").selectExpr("p_partkey % 100 as x", "if(p_size % 2 = 1, 128, 0) as r", "if(p_size % 4 >= 2, 128, 0) as g", "0 as b")
+    pixels = table(spark, d, "part").selectExpr(
+        "p_partkey % 100 as x", "if(p_size % 2 = 1, 128, 0) as r", "if(p_size % 4 >= 2, 128, 0) as g", "0 as b"
+    )
     return records.palette_labels(pixels, palette).groupBy("label").agg(F.count("*").alias("n"), F.sum("x").alias("xs"))
 
 
@@ -201,13 +251,17 @@ def mask_sources(spark: SparkSession, d: str) -> DataFrame:
     labels = px_view(spark, d).groupBy("x", "y").agg(F.max("label").alias("label"), F.min("valid").alias("valid"))
     mask = table(spark, d, "part").selectExpr("cast(p_partkey % 640 as int) as x", "cast(p_size * 9 as int) as y").distinct()
     boxes = spark.range(1).selectExpr("100 as x1", "50 as y1", "300 as x2", "200 as y2")
-    return grid.overlay(labels.drop("valid"), labels.drop("label"), mask, boxes).groupBy("label").agg(F.count("*").alias("n"), F.count_if("valid").alias("valid_px"), F.count_if(F.expr("valid and excluded")).alias("excluded_px"))
+    return grid.overlay(labels.drop("valid"), labels.drop("label"), mask, boxes).groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if("valid").alias("valid_px"), F.count_if(F.expr("valid and excluded")).alias("excluded_px")
+    )
 
 
 @registry.add("SELECT p_partkey % 90 AS id, count(*) AS tiles, round(min(p_retailprice), 2) AS least FROM part WHERE p_size > 5 GROUP BY 1")
 def feature_cache(spark: SparkSession, d: str) -> DataFrame:
     """Features per tile group, written in two rounds: the second adds only what the first left out."""
-    tiles = table(spark, d, "part").where("p_size > 5").groupBy(F.expr("p_partkey % 90").alias("id")).agg(F.count("*").alias("tiles"), F.round(F.min("p_retailprice"), 2).alias("least"))
+    tiles = table(spark, d, "part").where("p_size > 5").groupBy(F.expr("p_partkey % 90").alias("id")).agg(
+        F.count("*").alias("tiles"), F.round(F.min("p_retailprice"), 2).alias("least")
+    )
     folder = new_folder(spark, "features")
     sinks.append_new(tiles.where("id % 3 = 0"), folder, "id")
     sinks.append_new(tiles, folder, "id")
@@ -217,9 +271,14 @@ def feature_cache(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""SELECT label % 3 AS substrate, count(*) AS curves, round(sum(embedding[3]::DOUBLE), 6) AS third, sum(len(embedding))::BIGINT AS points FROM (SELECT *, row_number() OVER (PARTITION BY label % 3 ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 40 GROUP BY 1""")
 def spectra_table(spark: SparkSession, d: str) -> DataFrame:
     """Curves in array columns, read from Parquet, so many per group."""
-    rows, _ = stored(table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3).alias("substrate"), F.col("embedding").cast("array<double>").alias("y")), "curves")
+    rows, _ = stored(
+        table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3).alias("substrate"), F.col("embedding").cast("array<double>").alias("y")),
+        "curves"
+    )
     kept = records.limited(rows, "substrate", "vec_id", 40)
-    return kept.groupBy("substrate").agg(F.count("*").alias("curves"), F.round(F.sum(F.col("y")[2]), 6).alias("third"), F.sum(F.size("y")).alias("points"))
+    return kept.groupBy("substrate").agg(
+        F.count("*").alias("curves"), F.round(F.sum(F.col("y")[2]), 6).alias("third"), F.sum(F.size("y")).alias("points")
+    )
 
 
 # ---- writers
@@ -231,7 +290,10 @@ def stage_manifest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
     stages = [
         memo.Stage("counts", lambda s, i, p: i["lineitem"].groupBy("l_returnflag").agg(F.count("*").alias("n")), ("lineitem",)),
-        memo.Stage("large", lambda s, i, p: i["counts"].where(F.col("n") > p["least"]), ("counts",), {"least": 1 << 40}, check=lambda r: "nothing is left" if r.isEmpty() else None, retry=lambda p, why: p | {"least": 10}),
+        memo.Stage(
+            "large", lambda s, i, p: i["counts"].where(F.col("n") > p["least"]), ("counts",), {"least": 1 << 40},
+            check=lambda r: "nothing is left" if r.isEmpty() else None, retry=lambda p, why: p | {"least": 10}
+        ),
     ]
     folder = new_folder(spark, "stages")
     done: list[dict] = []
@@ -241,7 +303,9 @@ def stage_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add(f"""WITH {PX}, c AS (SELECT *, {BINS} FROM px), g AS (SELECT grid_row, grid_col, {COUNTS} FROM c GROUP BY ALL), f AS (SELECT *, {FRACTIONS} FROM g) SELECT grid_row, grid_col, canvas_px, retained_px, status, layer1_composition FROM f""")
 def csv_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = grid.composition(px_view(spark, d), WIDTH, HEIGHT, COLUMNS, ROWS).select("grid_row", "grid_col", "canvas_px", "retained_px", "status", "layer1_composition")
+    cells = grid.composition(px_view(spark, d), WIDTH, HEIGHT, COLUMNS, ROWS).select(
+        "grid_row", "grid_col", "canvas_px", "retained_px", "status", "layer1_composition"
+    )
     return _csv(spark, cells)
 
 
@@ -260,20 +324,32 @@ def csv_margins(spark: SparkSession, d: str) -> DataFrame:
 def csv_incidents(spark: SparkSession, d: str) -> DataFrame:
     from tessera.operators import windows
 
-    found = windows.incident_timeline(journal_view(spark, d).drop("sequence"), "user_id", ["us", "event_id"], "us", F.col("event") == "error", F.col("event") == "purchase", 60e6)
+    found = windows.incident_timeline(
+        journal_view(spark, d).drop("sequence"), "user_id", ["us", "event_id"], "us", F.col("event") == "error", F.col("event") == "purchase", 60e6
+    )
     return _csv(spark, found.select("user_id", F.col("elapsed_minutes").alias("minutes"), F.col("captures_before").alias("captures")))
 
 
 @registry.add("""WITH v AS (SELECT vec_id, label, CASE WHEN embedding[1] > 0.2 THEN 'reject' WHEN embedding[2] > 0.1 THEN 'warn' ELSE 'pass' END AS verdict FROM embeddings)
 SELECT label, verdict, count(*) AS n, sum(CASE WHEN verdict = 'reject' THEN vec_id ELSE 0 END)::BIGINT AS remeasure FROM v GROUP BY ALL""")
 def csv_quality(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").selectExpr("vec_id", "label", "case when embedding[0] > 0.2 then 'reject' when embedding[1] > 0.1 then 'warn' else 'pass' end as verdict")
-    return _csv(spark, rows.groupBy("label", "verdict").agg(F.count("*").alias("n"), F.sum(F.when(F.col("verdict") == "reject", F.col("vec_id")).otherwise(0)).alias("remeasure")))
+    rows = table(spark, d, "embeddings").selectExpr(
+        "vec_id", "label", "case when embedding[0] > 0.2 then 'reject' when embedding[1] > 0.1 then 'warn' else 'pass' end as verdict"
+    )
+    return _csv(
+        spark,
+        rows.groupBy("label", "verdict").agg(
+            F.count("*").alias("n"), F.sum(F.when(F.col("verdict") == "reject", F.col("vec_id")).otherwise(0)).alias("remeasure")
+        )
+    )
 
 
 @registry.add("SELECT (p_partkey % 50)::INT AS \"row\", (p_partkey // 50)::INT AS col, round(p_retailprice, 2) AS sharpness, p_size % 3 AS retries, p_name AS path FROM part")
 def csv_sharpness(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr("cast(p_partkey % 50 as int) as row", "cast(p_partkey div 50 as int) as col", "round(p_retailprice, 2) as sharpness", "p_size % 3 as retries", "p_name as path")
+    rows = table(spark, d, "part").selectExpr(
+        "cast(p_partkey % 50 as int) as row", "cast(p_partkey div 50 as int) as col", "round(p_retailprice, 2) as sharpness", "p_size % 3 as retries",
+        "p_name as path"
+    )
     return _csv(spark, rows)
 
 
@@ -282,7 +358,10 @@ def array_rows(spark: SparkSession, d: str) -> DataFrame:
     """A raster as a row of arrays per line, written and read again."""
     px = px_view(spark, d).groupBy("x", "y").agg(F.max("label").alias("label"))
     rows, _ = stored(sinks.raster_rows(px, "label"), "raster")
-    return rows.select("y", F.size("xs").cast("long").alias("n"), F.aggregate("label", F.lit(0).cast("long"), lambda a, b: a + b).alias("labels"), F.col("xs")[0].alias("first_x"))
+    return rows.select(
+        "y", F.size("xs").cast("long").alias("n"), F.aggregate("label", F.lit(0).cast("long"), lambda a, b: a + b).alias("labels"),
+        F.col("xs")[0].alias("first_x")
+    )
 
 
 @registry.add("SELECT event_type AS event, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1")
@@ -292,7 +371,9 @@ def event_append(spark: SparkSession, d: str) -> DataFrame:
     folder = new_folder(spark, "journal")
     for batch in (0, 1, 2, 2):
         sinks.append_events(rows.where(F.col("event_id") % 3 == batch), folder, batch)
-    return spark.read.schema("event_id long, event string").option("recursiveFileLookup", "true").json(folder).groupBy("event").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return spark.read.schema("event_id long, event string").option("recursiveFileLookup", "true").json(folder).groupBy("event").agg(
+        F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
+    )
 
 
 @registry.add("SELECT sha256(text) AS sha256, max(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY 1")
@@ -317,7 +398,9 @@ def published_map(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add("""WITH n AS (SELECT max(p_partkey // 50) AS top FROM part) SELECT p_partkey AS id, (n.top - p_partkey // 50)::INT AS col, (p_partkey % 50)::INT AS "row", greatest(0, least(255, round_even(p_size * 5 * 1.07, 0)))::INT AS grey FROM part, n""")
 def mirrored_dataset(spark: SparkSession, d: str) -> DataFrame:
-    tiles = table(spark, d, "part").selectExpr("p_partkey as id", "cast(p_partkey div 50 as int) as col", "cast(p_partkey % 50 as int) as row", "p_size * 5 as grey")
+    tiles = table(spark, d, "part").selectExpr(
+        "p_partkey as id", "cast(p_partkey div 50 as int) as col", "cast(p_partkey % 50 as int) as row", "p_size * 5 as grey"
+    )
     return acquisition.mirrored(tiles, "col", {"grey": 1.07})
 
 
@@ -355,7 +438,12 @@ def png_bands(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH r AS (SELECT conv_id AS run, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM conversations WHERE conv_id % 4 <> 0 GROUP BY 1) SELECT run, files, bytes, true AS verified FROM r""")
 def handover_pack(spark: SparkSession, d: str) -> DataFrame:
     """The runs chosen by name with their files' sizes and digests, verified against what is there."""
-    files = table(spark, d, "conversations").select(F.col("conv_id").alias("run"), F.concat_ws("/", F.lit("run"), "conv_id", "turn").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    files = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("run"), F.concat_ws("/", F.lit("run"), "conv_id", "turn").alias("path"),
+        F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")
+    )
     chosen = acquisition.select_runs(files.select("run").distinct(), "run", files.where("run % 4 <> 0").select("run").distinct())
     packed = files.join(chosen, "run", "left_semi")
-    return joins.manifest_summary(packed, files, "path", "run", "bytes").select("run", F.col("outputs").alias("files"), F.col("total").alias("bytes"), F.col("whole").alias("verified"))
+    return joins.manifest_summary(packed, files, "path", "run", "bytes").select(
+        "run", F.col("outputs").alias("files"), F.col("total").alias("bytes"), F.col("whole").alias("verified")
+    )

@@ -43,9 +43,14 @@ f AS (SELECT vec_id, list_filter([CASE WHEN n < 60 THEN 'short' END, CASE WHEN s
 SELECT vec_id, array_to_string(list_concat(r, w), ',') AS reasons, CASE WHEN len(r) > 0 THEN 'reject' WHEN len(w) > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM f""")
 def spectrum_qc_rules(spark: SparkSession, d: str) -> DataFrame:
     y = F.col("y")
-    m = _spectra(spark, d).select("vec_id", F.size(y).alias("n"), F.array_max(y).alias("top"), F.array_min(y).alias("low"), spectra.saturation_share(y).alias("sat"))
+    m = _spectra(spark, d).select(
+        "vec_id", F.size(y).alias("n"), F.array_max(y).alias("top"), F.array_min(y).alias("low"), spectra.saturation_share(y).alias("sat")
+    )
     span = F.col("top") - F.col("low")
-    rules = [("short", F.col("n") < 60, "reject"), ("saturated", F.col("sat") > 0.5, "reject"), ("flat", span < 0.45, "reject"), ("weak", span < 0.5, "warn"), ("low", F.col("top") < 0.25, "warn")]
+    rules = [
+        ("short", F.col("n") < 60, "reject"), ("saturated", F.col("sat") > 0.5, "reject"), ("flat", span < 0.45, "reject"),
+        ("weak", span < 0.5, "warn"), ("low", F.col("top") < 0.25, "warn")
+    ]
     return spectra.quality(m, rules).select("vec_id", F.array_join("reasons", ",").alias("reasons"), "verdict")
 
 
@@ -53,7 +58,10 @@ FITS = "fits AS (SELECT vec_id, label % 3 AS substrate, CASE label % 2 WHEN 0 TH
 
 
 def _fits(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").selectExpr("vec_id", "label % 3 as substrate", "case label % 2 when 0 then '1L' else '2L' end as truth", "150 + 100 * cast(embedding[0] as double) as split", "1 + cast(embedding[1] as double) as ratio")
+    return table(spark, d, "embeddings").selectExpr(
+        "vec_id", "label % 3 as substrate", "case label % 2 when 0 then '1L' else '2L' end as truth",
+        "150 + 100 * cast(embedding[0] as double) as split", "1 + cast(embedding[1] as double) as ratio"
+    )
 
 
 @registry.add(f"""WITH {FITS}, m AS (SELECT substrate, quantile_cont(split, 0.5) FILTER (WHERE truth = '1L') AS a, quantile_cont(split, 0.5) FILTER (WHERE truth = '2L') AS b, max(split) FILTER (WHERE truth = '1L') AS am, min(split) FILTER (WHERE truth = '2L') AS bm FROM fits GROUP BY substrate)
@@ -74,7 +82,9 @@ s AS (SELECT *, abs(value - rolling) AS residual FROM r), t AS (SELECT user_id,
 SELECT user_id, event_id, value, round(rolling, 6) AS rolling FROM s JOIN t USING (user_id) WHERE n <= 25 OR residual IS NULL OR typical = 0 OR residual < 2 * typical""")
 def rolling_median_clean(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_id", "value", "ts")
-    return windows.rolling_median_clean(rows, "user_id", ["ts", "event_id"], "value", factor=2.0).select("user_id", "event_id", "value", F.round("rolling", 6).alias("rolling"))
+    return windows.rolling_median_clean(rows, "user_id", ["ts", "event_id"], "value", factor=2.0).select(
+        "user_id", "event_id", "value", F.round("rolling", 6).alias("rolling")
+    )
 
 
 @registry.add("""WITH g AS (SELECT vec_id, embedding AS y FROM embeddings), x AS (SELECT vec_id, y, unnest([-1.0, 0.0, 10.25, 31.5, 62.75, 63.0, 99.0]) AS g FROM g)

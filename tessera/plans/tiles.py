@@ -16,7 +16,9 @@ QUERIES, SQL = registry.queries, registry.sql
 @registry.add(f"""WITH {TILES}, o AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY id) - 1 AS "order", count(*) OVER (PARTITION BY col) AS n FROM tiles)
 SELECT id, col, "order", (CASE WHEN col % 2 = 1 THEN n - 1 - "order" ELSE "order" END)::INT AS nominal_row FROM o""")
 def tile_order_serpentine(spark: SparkSession, d: str) -> DataFrame:
-    return windows.serpentine_order(tiles(spark, d), "col", "id", F.col("col") % 2 == 1).select("id", "col", F.col("order").cast("long").alias("order"), "nominal_row")
+    return windows.serpentine_order(tiles(spark, d), "col", "id", F.col("col") % 2 == 1).select(
+        "id", "col", F.col("order").cast("long").alias("order"), "nominal_row"
+    )
 
 
 @registry.add(f"""WITH {TILES}, p AS (SELECT *, dense_rank() OVER (ORDER BY row) AS ri, dense_rank() OVER (ORDER BY col) AS ci FROM tiles)
@@ -51,7 +53,9 @@ SELECT id, col, row, row2 AS near_row, metric AS near_metric FROM m WHERE rn = 1
 def nearest_bridge(spark: SparkSession, d: str) -> DataFrame:
     t = tiles(spark, d)
     left, right = t.where("size <= 10").select("col", "row", "id"), t.where("size > 40").selectExpr("col", "row as row2", "metric")
-    return joins.nearest_by_key(left, right, "col", "row", "row2").select("id", "col", "row", F.col("nearest.row2").alias("near_row"), F.col("nearest.metric").alias("near_metric"))
+    return joins.nearest_by_key(left, right, "col", "row", "row2").select(
+        "id", "col", "row", F.col("nearest.row2").alias("near_row"), F.col("nearest.metric").alias("near_metric")
+    )
 
 
 @registry.add(f"""WITH {TILES}, p AS (SELECT row, col FROM tiles WHERE size > 5), g AS (SELECT r.row, c.col FROM (SELECT DISTINCT row FROM p) r CROSS JOIN (SELECT DISTINCT col FROM p) c)
@@ -111,7 +115,9 @@ f AS (SELECT id, list_filter([CASE WHEN size < 4 THEN 'low_texture' END, CASE WH
 SELECT array_to_string(flags, ',') AS flags, count(*) AS n FROM f GROUP BY 1""")
 def tile_flags(spark: SparkSession, d: str) -> DataFrame:
     t = tiles(spark, d).selectExpr("id", "metric", "size", "metric * size as bytes", "(size % 10) / 10.0D as clip", "id / 2.0D as k")
-    return aggregates.flag_tiles(t, "metric", "size", "metric", "bytes", "clip", "k").groupBy(F.array_join("flags", ",").alias("flags")).agg(F.count("*").alias("n"))
+    return aggregates.flag_tiles(
+        t, "metric", "size", "metric", "bytes", "clip", "k"
+    ).groupBy(F.array_join("flags", ",").alias("flags")).agg(F.count("*").alias("n"))
 
 
 @registry.add(f"""WITH {TILES}, m AS (SELECT avg(col::DOUBLE) AS mx, avg(row::DOUBLE) AS my, avg(v) AS mv, count(*) AS n, covar_pop(col, col) AS sxx, covar_pop(row, row) AS syy, covar_pop(col, row) AS sxy, covar_pop(col, v) AS sxv, covar_pop(row, v) AS syv FROM (SELECT *, metric + 3.5 * col - 2.0 * row AS v FROM tiles)),
@@ -155,5 +161,7 @@ def count_outlier_groups(spark: SparkSession, d: str) -> DataFrame:
 @registry.add("""WITH c AS (SELECT n_nationkey, n_name, s_acctbal FROM nation LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS s_acctbal FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON n_nationkey = s_nationkey)
 SELECT n_nationkey, n_name, coalesce(s_acctbal, 140.0) AS threshold, s_acctbal IS NOT NULL AS calibrated FROM c""")
 def nation_supplier_lookup_fallback(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.max("s_acctbal").alias("threshold"))
+    known = table(spark, d, "supplier").where("s_acctbal > 5000").groupBy(
+        F.col("s_nationkey").alias("n_nationkey")
+    ).agg(F.max("s_acctbal").alias("threshold"))
     return joins.lookup_with_fallback(table(spark, d, "nation").select("n_nationkey", "n_name"), known, "n_nationkey", "threshold", F.lit(140.0))

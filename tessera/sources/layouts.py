@@ -21,7 +21,9 @@ def parse(names: DataFrame, column: str, fields: Mapping[str, str], whole: str,
 
 def validate(parsed: DataFrame, container: str, index: str, least: float = 0.95) -> DataFrame:
     """Per container: how many names fit, how many repeat an index, and whether enough fit."""
-    out = parsed.groupBy(container).agg(F.count("*").alias("n"), F.count_if("matches").alias("matched"), (F.count("*") - F.count_distinct(index)).alias("repeated"))
+    out = parsed.groupBy(container).agg(
+        F.count("*").alias("n"), F.count_if("matches").alias("matched"), (F.count("*") - F.count_distinct(index)).alias("repeated")
+    )
     return out.withColumn("accepted", F.col("matched") / F.col("n") >= least)
 
 
@@ -37,7 +39,10 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*", since: str
     if since:
         reader = reader.option("modifiedAfter", since)
     files = reader.load(folder)
-    cols = [F.col("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")]
+    cols = [
+        F.col("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"),
+        F.col("modificationTime").alias("modified")
+    ]
     return files.select(*cols, *([F.sha2("content", 256).alias("sha256")] if hashes else []))
 
 
@@ -65,7 +70,9 @@ def companions(logs: DataFrame, runs: DataFrame, stamp: str = "stamp", first: st
 def member_report(names: DataFrame, container: str = "container", member: str = "member", size: str = "bytes") -> DataFrame:
     """Per container: members and their bytes, and how many were skipped as dotfiles or parts of a resource folder."""
     skipped = F.col(member).contains("__MACOSX") | F.col(member).rlike(r"(^|/)\.")
-    return names.groupBy(container).agg(F.count_if(~skipped).alias("members"), F.sum(F.when(~skipped, F.col(size))).alias("bytes"), F.count_if(skipped).alias("skipped"))
+    return names.groupBy(container).agg(
+        F.count_if(~skipped).alias("members"), F.sum(F.when(~skipped, F.col(size))).alias("bytes"), F.count_if(skipped).alias("skipped")
+    )
 
 
 def spectra_names(files: DataFrame, column: str = "name") -> DataFrame:

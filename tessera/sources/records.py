@@ -40,7 +40,12 @@ def strict_journals(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def assert_clean(journal: DataFrame, key: str) -> DataFrame:
     """The journal, with the job failing on the first malformed committed line."""
-    return journal.withColumn("event", F.when(F.col(f"event.{key}").isNull(), F.raise_error(F.concat(F.lit("malformed line "), F.col("line_no").cast("string")))).otherwise(F.col("event")))
+    return journal.withColumn(
+        "event",
+        F.when(
+            F.col(f"event.{key}").isNull(), F.raise_error(F.concat(F.lit("malformed line "), F.col("line_no").cast("string")))
+        ).otherwise(F.col("event"))
+    )
 
 
 def sessions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -53,7 +58,10 @@ def spectra_csv(spark: SparkSession, path: str) -> DataFrame:
     """Points of spectra from CSV: energy from the wavelength in column 0, signal in column 3; bad numbers are null."""
     cols = [f"c{i}" for i in range(4)]
     rows = spark.read.option("header", "true").schema(", ".join(f"{c} string" for c in cols)).csv(path)
-    return rows.select(F.input_file_name().alias("file"), scalar.wavelength_to_energy(F.col("c0").try_cast("double")).alias("x"), F.col("c3").try_cast("double").alias("y"))
+    return rows.select(
+        F.input_file_name().alias("file"), scalar.wavelength_to_energy(F.col("c0").try_cast("double")).alias("x"),
+        F.col("c3").try_cast("double").alias("y")
+    )
 
 
 def npy_rasters(spark: SparkSession, path: str, name: str = "label") -> DataFrame:
@@ -69,7 +77,13 @@ def npy_rasters(spark: SparkSession, path: str, name: str = "label") -> DataFram
                 for top in range(0, a.shape[0], step):
                     part = a[top : top + step]
                     y, x = np.indices(part.shape, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * part.size, pa.string()), pa.array((y + top).ravel()), pa.array(x.ravel()), pa.array(part.ravel().astype(np.float64))], ["file", "y", "x", name])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([file] * part.size, pa.string()), pa.array((y + top).ravel()), pa.array(x.ravel()),
+                            pa.array(part.ravel().astype(np.float64))
+                        ],
+                        ["file", "y", "x", name]
+                    )
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, y int, x int, {name} double")
 
@@ -84,9 +98,17 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
                     for m in z.infolist():
                         last = m.filename.rsplit("/", 1)[-1]
                         if not m.is_dir() and not last.startswith(".") and "__MACOSX" not in m.filename:
-                            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([m.filename]), pa.array([m.file_size]), pa.array([m.CRC]), pa.array([z.read(m)], pa.binary())], ["container", "member", "bytes", "crc", "content"])
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array([file]), pa.array([m.filename]), pa.array([m.file_size]), pa.array([m.CRC]),
+                                    pa.array([z.read(m)], pa.binary())
+                                ],
+                                ["container", "member", "bytes", "crc", "content"]
+                            )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "container string, member string, bytes long, crc long, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(
+        run, "container string, member string, bytes long, crc long, content binary"
+    )
 
 
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
@@ -101,7 +123,13 @@ def image_pixels(spark: SparkSession, path: str) -> DataFrame:
                 for top in range(0, h, max(1, (1 << 18) // w)):
                     part = a[top : top + max(1, (1 << 18) // w)]
                     y, x = np.indices(part.shape[:2], dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([origin] * y.size), pa.array((y + top).ravel()), pa.array(x.ravel()), *(pa.array(part[..., c].ravel().astype(np.int32)) for c in ((2, 1, 0) if n > 1 else (0, 0, 0)))], ["file", "y", "x", "r", "g", "b"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([origin] * y.size), pa.array((y + top).ravel()), pa.array(x.ravel()),
+                            *(pa.array(part[..., c].ravel().astype(np.int32)) for c in ((2, 1, 0) if n > 1 else (0, 0, 0)))
+                        ],
+                        ["file", "y", "x", "r", "g", "b"]
+                    )
 
     return img.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "file string, y int, x int, r int, g int, b int")
 
@@ -109,7 +137,10 @@ def image_pixels(spark: SparkSession, path: str) -> DataFrame:
 def palette_labels(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """Labels by exact colour ``(r, g, b, label)``; a colour that the palette lacks fails the job."""
     out = pixels.join(small(palette), ["r", "g", "b"], "left")
-    return out.withColumn("label", F.when(F.col("label").isNull(), F.raise_error(F.concat_ws(",", F.lit("unknown colour"), "r", "g", "b"))).otherwise(F.col("label")).cast("int"))
+    return out.withColumn(
+        "label",
+        F.when(F.col("label").isNull(), F.raise_error(F.concat_ws(",", F.lit("unknown colour"), "r", "g", "b"))).otherwise(F.col("label")).cast("int")
+    )
 
 
 def reference_colour(json: Column, default: float = 0.1) -> Column:
@@ -118,7 +149,9 @@ def reference_colour(json: Column, default: float = 0.1) -> Column:
     r = F.from_json(json, "schema_version int, kind string, mean_rgb array<double>, std_rgb array<double>, tolerance_fraction double")
     channels = lambda c: (F.size(c) == 3) & F.forall(c, lambda v: v.between(0, 255))
     tolerance = F.coalesce(r["tolerance_fraction"], F.lit(default))
-    fine = (r["schema_version"] == 1) & (r["kind"] == "reference_substrate_colour") & channels(r["mean_rgb"]) & channels(r["std_rgb"]) & (tolerance > 0) & (tolerance < 1)
+    fine = (r["schema_version"] == 1) & (
+        r["kind"] == "reference_substrate_colour"
+    ) & channels(r["mean_rgb"]) & channels(r["std_rgb"]) & (tolerance > 0) & (tolerance < 1)
     fine = F.coalesce(fine, F.lit(False))
     state = F.when(json.isNull(), "absent").when(fine, "valid").otherwise("invalid")
     return F.struct(state.alias("state"), F.when(fine, r["mean_rgb"]).alias("mean_rgb"), F.when(json.isNotNull() & fine, tolerance).alias("tolerance"))
@@ -148,7 +181,9 @@ def sheet_spectrum(cells: DataFrame, key: str) -> DataFrame:
     chosen = top.groupBy(key).agg(F.coalesce(F.min(ratio), F.max(last)).alias("x_col"))
     near = cells.join(chosen, key).where("col = x_col or col = x_col + 1").withColumn("value", text.try_cast("double"))
     pick = lambda c: F.max(F.when(F.col("col") == c, F.col("value")))
-    return near.groupBy(key, "x_col", "row").agg(pick(F.col("x_col")).alias("x"), pick(F.col("x_col") + 1).alias("y")).where("x is not null and y is not null").drop("row")
+    return near.groupBy(key, "x_col", "row").agg(
+        pick(F.col("x_col")).alias("x"), pick(F.col("x_col") + 1).alias("y")
+    ).where("x is not null and y is not null").drop("row")
 
 
 def limited(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
@@ -177,6 +212,9 @@ def png_pixels(files: DataFrame, column: str) -> DataFrame:
                 if rows[:, 0].any():
                     raise ValueError(f"{image}: filtered rows")
                 y, x = np.indices((high, wide), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([image] * y.size), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(rows[:, 1:].ravel().astype(np.int32))], ["image", "y", "x", "value"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([image] * y.size), pa.array(y.ravel()), pa.array(x.ravel()), pa.array(rows[:, 1:].ravel().astype(np.int32))],
+                    ["image", "y", "x", "value"]
+                )
 
     return files.select("image", column).mapInArrow(run, "image string, y int, x int, value int")

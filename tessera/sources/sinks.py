@@ -64,7 +64,9 @@ def merge_queue(old: DataFrame, new: DataFrame, key: list[str], target: str) ->
 
 def output_hashes(spark: SparkSession, folder: str) -> DataFrame:
     """``path, bytes, sha256`` of all files of a result, for its manifest."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
+        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    )
 
 
 def append_events(rows: DataFrame, folder: str, batch: int) -> bool:
@@ -113,7 +115,9 @@ def publish_all(tables: Mapping[str, DataFrame], target: str) -> str:
         noted = None
         for name, df in tables.items():
             df.write.parquet(f"{staging}/{name}")
-            hashes = output_hashes(spark, f"{staging}/{name}").where(F.col("path").endswith(".parquet")).withColumn("output", F.lit(name)).withColumn("path", F.regexp_extract("path", r"([^/]+)$", 1))
+            hashes = output_hashes(spark, f"{staging}/{name}").where(F.col("path").endswith(".parquet")).withColumn("output", F.lit(name)).withColumn(
+                "path", F.regexp_extract("path", r"([^/]+)$", 1)
+            )
             noted = hashes if noted is None else noted.unionByName(hashes)
         noted.coalesce(1).write.json(f"{staging}/manifest")
         if not system.rename(jvm.org.apache.hadoop.fs.Path(staging), place):
@@ -129,8 +133,12 @@ def read_published(spark: SparkSession, folder: str, schemas: Mapping[str, objec
     noted = spark.read.schema("output string, path string, bytes long, sha256 string").json(f"{folder}/manifest")
     out = None
     for name, schema in schemas.items():
-        there = output_hashes(spark, f"{folder}/{name}").where(F.col("path").endswith(".parquet")).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("_p"), F.col("sha256").alias("_s"))
-        same = noted.where(F.col("output") == name).join(there, F.col("path") == F.col("_p"), "full_outer").agg(F.coalesce(F.bool_and(F.coalesce(F.col("sha256") == F.col("_s"), F.lit(False))), F.lit(False)).alias("verified"))
+        there = output_hashes(spark, f"{folder}/{name}").where(F.col("path").endswith(".parquet")).select(
+            F.regexp_extract("path", r"([^/]+)$", 1).alias("_p"), F.col("sha256").alias("_s")
+        )
+        same = noted.where(F.col("output") == name).join(there, F.col("path") == F.col("_p"), "full_outer").agg(
+            F.coalesce(F.bool_and(F.coalesce(F.col("sha256") == F.col("_s"), F.lit(False))), F.lit(False)).alias("verified")
+        )
         sums = spark.read.schema(schema).parquet(f"{folder}/{name}").agg(F.count("*").alias("rows"), F.sum(total).alias(total))
         # one row each
         part = sums.join(F.broadcast(same)).select(F.lit(name).alias("output"), "rows", "verified", total)
@@ -169,10 +177,15 @@ def png_images(px: DataFrame, by: str, value: str, width: int, height: int, band
         parts += [_chunk(b"IDAT", b"\x03\x00" + (b << 16 | a).to_bytes(4, "big")), _chunk(b"IEND", b"")]
         return pd.DataFrame({"image": [pdf["image"].iloc[0]], "png": [b"".join(parts)]})
 
-    inside = px.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).select(F.col(by).cast("string").alias("image"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(value).cast("double").alias("v"))
+    inside = px.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).select(
+        F.col(by).cast("string").alias("image"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"),
+        F.col(value).cast("double").alias("v")
+    )
     # every band is there, also one without pixels
     none = F.lit(None).cast("double")
-    empty = inside.select("image").distinct().select("image", F.explode(F.sequence(F.lit(0), F.lit((height - 1) // band))).alias("band"), none.alias("x"), none.alias("y"), none.alias("v"))
+    empty = inside.select("image").distinct().select(
+        "image", F.explode(F.sequence(F.lit(0), F.lit((height - 1) // band))).alias("band"), none.alias("x"), none.alias("y"), none.alias("v")
+    )
     rows = inside.withColumn("band", F.floor(F.col("y") / band).cast("int")).select("image", "band", "x", "y", "v").unionByName(empty)
     bands = rows.groupBy("image", "band").applyInPandas(encode, "image string, band int, data binary, check long, size long")
     return bands.groupBy("image").applyInPandas(assemble, "image string, png binary")

@@ -39,7 +39,10 @@ def _check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def validate_stream(events: DataFrame) -> DataFrame:
     """Faults of journals ``(stream_id, sequence, event_id, event)`` as they come."""
-    keyed = events.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"), F.col("event_id").cast("string").alias("event_id"), "event")
+    keyed = events.select(
+        F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"),
+        F.col("event_id").cast("string").alias("event_id"), "event"
+    )
     return keyed.groupBy("stream_id").applyInPandasWithState(_check, FAULTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -71,8 +74,13 @@ def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 def running_focus(frames: DataFrame) -> DataFrame:
     """Frames ``(stream_id, sequence, score)`` against the median of the last fifteen accepted scores of their stream;
     until three are accepted every finite score is. Whether one is accepted changes what later ones meet."""
-    rows = frames.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"), F.col("score").cast("double").alias("score"))
-    return rows.groupBy("stream_id").applyInPandasWithState(_judge, "stream_id string, sequence long, reference double, accepted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = frames.select(
+        F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"),
+        F.col("score").cast("double").alias("score")
+    )
+    return rows.groupBy("stream_id").applyInPandasWithState(
+        _judge, "stream_id string, sequence long, reference double, accepted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def running_focus_batch(frames: DataFrame) -> DataFrame:
@@ -88,7 +96,10 @@ def running_focus_batch(frames: DataFrame) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return next(_judge(key, iter([pdf]), Kept()))
 
-    rows = frames.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"), F.col("score").cast("double").alias("score"))
+    rows = frames.select(
+        F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"),
+        F.col("score").cast("double").alias("score")
+    )
     return rows.groupBy("stream_id").applyInPandas(run, schema)
 
 

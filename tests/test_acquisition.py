@@ -12,14 +12,24 @@ def test_tiles_from_names(spark):
 
 
 def test_capture_faults(spark):
-    caps = spark.createDataFrame([("a", 0, 0, 5, "h"), ("b", 0, 1, 5, "h"), ("c", 9, 0, 5, "h"), ("d", 1, 1, 5, "x"), ("e", 0, 0, 5, "h")], "name string, row int, col int, bytes int, sha256 string")
-    tiles = spark.createDataFrame([("a", 5, "h"), ("c", 5, "h"), ("d", 5, "h"), ("e", 6, "h"), ("z", 1, "h")], "name string, bytes int, sha256 string")
+    caps = spark.createDataFrame(
+        [("a", 0, 0, 5, "h"), ("b", 0, 1, 5, "h"), ("c", 9, 0, 5, "h"), ("d", 1, 1, 5, "x"), ("e", 0, 0, 5, "h")],
+        "name string, row int, col int, bytes int, sha256 string"
+    )
+    tiles = spark.createDataFrame(
+        [("a", 5, "h"), ("c", 5, "h"), ("d", 5, "h"), ("e", 6, "h"), ("z", 1, "h")], "name string, bytes int, sha256 string"
+    )
     got = sorted((r.name, r.fault) for r in acq.check_captures(caps, tiles, 2, 2).collect())
-    assert got == [("b", "capture without tile"), ("c", "outside the grid"), ("d", "hash differs"), ("e", "place captured twice"), ("e", "size differs"), ("z", "tile without capture")]
+    assert got == [
+        ("b", "capture without tile"), ("c", "outside the grid"), ("d", "hash differs"), ("e", "place captured twice"), ("e", "size differs"),
+        ("z", "tile without capture")
+    ]
 
 
 def test_transfer_and_zip(spark):
-    s = spark.createDataFrame([("s", "completed", 2), ("t", "completed", 1), ("u", "failed", 0)], "session_id string, status string, photos_saved int")
+    s = spark.createDataFrame(
+        [("s", "completed", 2), ("t", "completed", 1), ("u", "failed", 0)], "session_id string, status string, photos_saved int"
+    )
     c = spark.createDataFrame([("s",), ("s",), ("t",), ("t",)], "session_id string")
     assert {r.session_id: r.whole for r in acq.transfer_is_whole(s, c, c).collect()} == {"s": True, "t": False, "u": False}
     files = spark.createDataFrame([("s", "f2"), ("s", "f1"), ("t", "f1")], "run string, f string")

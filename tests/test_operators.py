@@ -122,7 +122,9 @@ def test_stencils_match_numpy(spark):
 
 
 def test_border_trim(spark):
-    px = spark.createDataFrame([("i", x, y, not (x == 5 and y == 5)) for x in range(11) for y in range(11)], "image string, x int, y int, valid boolean")
+    px = spark.createDataFrame(
+        [("i", x, y, not (x == 5 and y == 5)) for x in range(11) for y in range(11)], "image string, x int, y int, valid boolean"
+    )
     kept = raster.trim_border(px, "image", 11, 11, 3).where("valid").count()
     assert kept == sum((x - 5) ** 2 + (y - 5) ** 2 >= 9 for x in range(11) for y in range(11))
 
@@ -184,7 +186,10 @@ def test_chain_and_snake(spark):
 
 
 def test_scalars(spark):
-    row = spark.range(1).select(scalar.as_bool(F.lit(" YES ")), scalar.human_bytes(F.lit(1536)), scalar.json_part(F.lit('so: {"a": {"b": 1}} ok')), scalar.vertex(F.lit(1.0), F.lit(3.0), F.lit(1.0)), scalar.shape_of(F.lit("a12_b3")), scalar.apply_gain(F.lit(250), F.lit(1.5))).head()
+    row = spark.range(1).select(
+        scalar.as_bool(F.lit(" YES ")), scalar.human_bytes(F.lit(1536)), scalar.json_part(F.lit('so: {"a": {"b": 1}} ok')),
+        scalar.vertex(F.lit(1.0), F.lit(3.0), F.lit(1.0)), scalar.shape_of(F.lit("a12_b3")), scalar.apply_gain(F.lit(250), F.lit(1.5))
+    ).head()
     assert list(row) == [True, "1.5 KB", '{"a": {"b": 1}}', 0.0, "a#_b#", 255]
 
 

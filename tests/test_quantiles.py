@@ -10,7 +10,9 @@ def test_narrowing_equals_the_built_in(spark, monkeypatch, p):
     monkeypatch.setattr(quantiles, "SORTED", 5)
     monkeypatch.setattr(quantiles, "BINS", 8)
     rng = np.random.default_rng(1)
-    rows = [("a", float(x)) for x in rng.normal(size=301)] + [("b", float(x)) for x in rng.integers(0, 3, 200)] + [("c", 7.0), ("d", None), ("e", 1e300), ("e", -1e300), (None, 1.5), (None, 2.5), ("a", float("nan"))]
+    rows = [("a", float(x)) for x in rng.normal(size=301)] + [("b", float(x)) for x in rng.integers(0, 3, 200)] + [
+        ("c", 7.0), ("d", None), ("e", 1e300), ("e", -1e300), (None, 1.5), (None, 2.5), ("a", float("nan"))
+    ]
     df = spark.createDataFrame(rows, "g string, v double")
     plain = {r.g: (r.q, r.n) for r in quantiles.quantile(df, ["g"], "v", p, "q").collect()}
     cut = {r.g: (r.q, r.n) for r in quantiles.quantile(df, ["g"], "v", p, "q", held=0).collect()}

@@ -84,7 +84,10 @@ def test_stages_are_remembered_and_retried(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [("a", 1, "e1", "history_started"), ("a", 2, "e2", "x"), ("a", 4, "e4", "x"), ("a", 5, "e5", "history_closed"), ("a", 6, "e6", "x"), ("b", 1, "f1", "x")]
+    rows = [
+        ("a", 1, "e1", "history_started"), ("a", 2, "e2", "x"), ("a", 4, "e4", "x"), ("a", 5, "e5", "history_closed"), ("a", 6, "e6", "x"),
+        ("b", 1, "f1", "x")
+    ]
     df = spark.createDataFrame(rows, "stream_id string, sequence long, event_id string, event string")
     folder = str(tmp_path / "in")
     df.where("sequence <= 2").coalesce(1).write.parquet(folder)
@@ -141,7 +144,9 @@ def test_published_folders_are_whole_and_checked(spark, tmp_path):
 
 
 def test_png_is_read_by_other_readers(spark, tmp_path):
-    px = spark.range(70 * 30).selectExpr("'i' as image", "cast(id % 70 as int) as x", "cast(id div 70 as int) as y", "cast(id * 7 % 256 as int) as g").where("(x + y) % 9 > 0")
+    px = spark.range(70 * 30).selectExpr(
+        "'i' as image", "cast(id % 70 as int) as x", "cast(id div 70 as int) as y", "cast(id * 7 % 256 as int) as g"
+    ).where("(x + y) % 9 > 0")
     png = sinks.png_images(px, "image", "g", 70, 30, 8, 3).head().png
     (tmp_path / "i.png").write_bytes(png)
     got = {(r.x, r.y): r.r for r in records.image_pixels(spark, str(tmp_path / "i.png")).collect()}
