@@ -90,10 +90,15 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 odd.append(sketch(h))
                 keys.append(bands(h))
             longs = pa.list_(pa.int64())
-            columns = [b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(odd, longs), pa.array(keys, longs)]
+            columns = [
+                b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(name, pa.int64()), pa.array(size, pa.int64()), pa.array(odd, longs),
+                pa.array(keys, longs)
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "fp", "shape", "size", "sketch", "bands"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, key long, fp long, shape long, size long, sketch array<long>, bands array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(
+        run, "doc_id long, key long, fp long, shape long, size long, sketch array<long>, bands array<long>"
+    )
 
 
 def may_share(a: str, b: str) -> str:
@@ -106,7 +111,9 @@ def may_share(a: str, b: str) -> str:
 def whole_sets(docs: DataFrame, own: DataFrame, need: DataFrame, id_col: str, text_col: str, keep: Scratch) -> DataFrame:
     """``(shape, hashes)`` of the sets named in ``need``, counted anew from one text each."""
     texts = _texts(docs, id_col, text_col)
-    one = own.join(need, F.col("shape") == F.col("need"), "left_semi").groupBy("shape").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key")).alias("first"))
+    one = own.join(need, F.col("shape") == F.col("need"), "left_semi").groupBy("shape").agg(
+        F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "key")).alias("first")
+    )
     one = keep.keep(one.select("first.*").distinct().toDF("at", "text_key"))
     few = one.limit(FEW + 1).count() <= FEW
     texts = texts.join(F.broadcast(one) if few else one, (F.coalesce("doc_id", F.lit(0)) == F.col("at")) & (F.col("key") == F.col("text_key")), "left_semi")
@@ -114,7 +121,9 @@ def whole_sets(docs: DataFrame, own: DataFrame, need: DataFrame, id_col: str, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 0):
             sets = [shingles(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(shape, sets), pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["shape", "hashes"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(shape, sets), pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["shape", "hashes"]
+            )
 
     sets = texts.select("text").mapInArrow(run, "shape long, hashes array<long>").join(need, F.col("shape") == F.col("need"), "left_semi")
     return keep.keep(sets.groupBy("shape").agg(F.any_value("hashes").alias("hashes")))
@@ -141,7 +150,9 @@ def prefix_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     tokens = sets.select("shape", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
     often = sets.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(often, "token", "left").withColumn("at", F.row_number().over(Window.partitionBy("shape").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1)
+    ranked = tokens.join(often, "token", "left").withColumn(
+        "at", F.row_number().over(Window.partitionBy("shape").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1
+    )
     front = ranked.where("df is not null and at <= floor(n / 5)").select("token", "shape", "n", "at")
     front = front.join(nodes, "shape").select("token", "n", "at", F.struct("shape", "c", "size", *(f"s{i}" for i in range(LONGS))).alias("e"))
     larger = front.select("token", F.col("at").alias("i"), F.col("e").alias("p"))
@@ -177,7 +188,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     same = keep.keep(own.select("fp", "shape").distinct())
     rep = keep.keep(same.groupBy("fp").agg(F.min("shape").alias("rep")))
     rep_of = [rep.select(F.col("fp").alias(f"{x}_fp"), F.col("rep").alias(x)) for x in ("src", "dst")]
-    near = simhash.links(rep.select("fp"), radius).select(F.col("src").alias("src_fp"), F.col("dst").alias("dst_fp")).join(rep_of[0], "src_fp").join(rep_of[1], "dst_fp").select("src", "dst")
+    near = simhash.links(rep.select("fp"), radius).select(
+        F.col("src").alias("src_fp"), F.col("dst").alias("dst_fp")
+    ).join(rep_of[0], "src_fp").join(rep_of[1], "dst_fp").select("src", "dst")
     edges = same.join(rep, "fp").where("shape <> rep").select(F.col("rep").alias("src"), F.col("shape").alias("dst")).unionByName(near)
     edges = keep.keep(edges.unionByName(verified(stars, whole_sets(docs, own, _named(stars), id_col, text_col, keep))))
     nodes = connected_components(edges)
@@ -191,7 +204,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
         nodes = connected_components(edges.unionByName(verified(rest, sets)))
 
     texts = own.groupBy("doc_id", "key").agg(F.count("*").alias("times"), F.any_value("shape").alias("shape"))
-    out, _ = stored(keep.keep(texts).join(nodes, F.col("shape") == F.col("node"), "left").select(F.col("doc_id").alias(id_col), "key", "times", F.coalesce("component", "shape").alias("component")), "groups")
+    out, _ = stored(
+        keep.keep(texts).join(nodes, F.col("shape") == F.col("node"), "left").select(
+            F.col("doc_id").alias(id_col), "key", "times", F.coalesce("component", "shape").alias("component")
+        ),
+        "groups"
+    )
     keep.clear()
     return out
 

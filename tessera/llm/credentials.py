@@ -16,7 +16,10 @@ from tessera.llm.portions import slices
 
 # The base patterns, the group whose length counts, and the least length.
 BASE = (
-    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 12),
+    (
+        "assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2,
+        12
+    ),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
     ("hex", re.compile(r"[0-9a-f]{16,}"), 0, 16),
 )
@@ -124,7 +127,10 @@ def fitted() -> tuple[Models, float]:
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    found = [(m.start(), i, m.end(), kind) for i, (kind, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m.group(group)) >= least]
+    found = [
+        (m.start(), i, m.end(), kind) for i,
+        (kind, pattern, group, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m.group(group)) >= least
+    ]
     return [(a, b, kind) for a, _, b, kind in sorted(found)]
 
 
@@ -224,4 +230,7 @@ def digests(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"] != INFERRED)
-    return scanned.select(id_col, *(count(kind).alias(f"n_{kind}") for kind, *_ in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return scanned.select(
+        id_col, *(count(kind).alias(f"n_{kind}") for kind, *_ in BASE), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans")
+    )

@@ -32,9 +32,17 @@ SCOPE = frozenset("ul ol dl table select menu body html article section div".spl
 # headings above reader comments, and what notices speak of.
 BAD_WORD = re.compile(r"^(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|side(?:bar)?|widget|footer|foot|masthead|cookies?|consent|gdpr|notices?|notification|newsletter|subscri\w*|signup|share|sharing|social|related|recommend\w*|comments?|disqus|repl(?:y|ies)|respond|popup|modal|overlay|login|search\w*|toolbar|pagination|pager|copyright|legal|skip|alert|disclaimer|contentinfo|complementary|navigation|outbrain|taboola|tags?|hidden|toc)$")
 GOOD_WORD = re.compile(r"^(?:article\w*|post|entry|content|story|main|body|text|blog|page)$")
-STATE_WORD = re.compile(r"^(?:has|have|no|not|non|with|without|is|are|js|enabled|disabled|open|opened|closed|collapsed|active|overflow|layout|ready)$")
-REPLIES = re.compile(r"\W*(?:\d+\s+)?(?:comments?|replies|responses|reactions|kommentare|antworten|commentaires|comentarios|respuestas)(?:\s*\(?\d+\)?)?\W*", re.IGNORECASE)
-CUES = re.compile(r"\b(?:cookies?|consent|gdpr|privacy policy|datenschutz\w*|newsletter|subscribe|sign (?:up|in)|log in|advertisement|sponsored|accept all|accept|akzeptieren|accepter|aceptar|terms of (?:use|service)|all rights reserved)\b", re.IGNORECASE)
+STATE_WORD = re.compile(
+    r"^(?:has|have|no|not|non|with|without|is|are|js|enabled|disabled|open|opened|closed|collapsed|active|overflow|layout|ready)$"
+)
+REPLIES = re.compile(
+    r"\W*(?:\d+\s+)?(?:comments?|replies|responses|reactions|kommentare|antworten|commentaires|comentarios|respuestas)(?:\s*\(?\d+\)?)?\W*",
+    re.IGNORECASE
+)
+CUES = re.compile(
+    r"\b(?:cookies?|consent|gdpr|privacy policy|datenschutz\w*|newsletter|subscribe|sign (?:up|in)|log in|advertisement|sponsored|accept all|accept|akzeptieren|accepter|aceptar|terms of (?:use|service)|all rights reserved)\b",
+    re.IGNORECASE
+)
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 #: Capacity of the edge between neighbours in the page, by half for each step of DOM distance beyond 2; of the edge to the next block of the same container.
@@ -44,7 +52,10 @@ WRAPS = 0.6
 #: What an element says of the text in it.
 BAD_TAG, BAD_CLASS, UNSHOWN, GOOD, MAIN, HEADER, HEADING = (1 << i for i in range(7))
 #: What the classifier sees of a block, in the order of its weights.
-FEATURES = ("bias", "words", "sentences", "links", "main", "good", "bad_tag", "bad_class", "unshown", "header", "heading", "mark", "cues", "replies", "outside")
+FEATURES = (
+    "bias", "words", "sentences", "links", "main", "good", "bad_tag", "bad_class", "unshown", "header", "heading", "mark", "cues", "replies",
+    "outside"
+)
 
 
 @dataclass(slots=True)
@@ -223,7 +234,10 @@ def seen(b: Block) -> list[float]:
     words = b.text.count(" ") + 1
     flag = lambda x: float(b.says & x > 0)
     mark = float(words < 12 and ("©" in b.text or "|" in b.text))
-    return [1.0, min(1.0, words / 25), min(2, len(SENTENCE.findall(b.text))) / 2, min(1.0, b.links / len(b.text)), flag(MAIN), flag(GOOD), flag(BAD_TAG), flag(BAD_CLASS), flag(UNSHOWN), flag(HEADER), flag(HEADING), mark, min(2, len(CUES.findall(b.text))) / 2, float(b.replies), float(b.outside)]
+    return [
+        1.0, min(1.0, words / 25), min(2, len(SENTENCE.findall(b.text))) / 2, min(1.0, b.links / len(b.text)), flag(MAIN), flag(GOOD), flag(BAD_TAG),
+        flag(BAD_CLASS), flag(UNSHOWN), flag(HEADER), flag(HEADING), mark, min(2, len(CUES.findall(b.text))) / 2, float(b.replies), float(b.outside)
+    ]
 
 
 def train(rows: np.ndarray, labels: np.ndarray, keep: float = 2e-4, steps: int = 25) -> list[float]:
@@ -293,7 +307,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
             texts = [main_text(h, weights) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                ["page_id", "url", "text", "n_chars"]
+            )
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long").withColumnRenamed("page_id", id_col)

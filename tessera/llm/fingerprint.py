@@ -87,9 +87,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             texts = [x or "" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(digest, texts), pa.string())], ["k", "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(digest, texts), pa.string())], ["k", "n_chars", "fingerprint"]
+            )
 
-    out = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "k long, n_chars long, fingerprint string")
+    out = docs.select(
+        F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")
+    ).mapInArrow(run, "k long, n_chars long, fingerprint string")
     return out.withColumnRenamed("k", id_col)
 
 

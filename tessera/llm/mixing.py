@@ -35,13 +35,19 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = per.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") % len(weights) + 1).cast("int"))).withColumn("cap", most * F.col("source_size"))
+    ranked = ranked.withColumn(
+        "weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("nth") % len(weights) + 1).cast("int"))
+    ).withColumn("cap", most * F.col("source_size"))
     order = Window.orderBy(F.col("cap") / F.col("weight"), "nth")
     everything = Window.partitionBy()
-    level = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    level = (
+        share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     filled = ranked.withColumn("level", level).withColumn("open", F.when(F.col("level") < F.col("cap") / F.col("weight"), F.col("level")))
     found = F.first("open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return filled.withColumn("found", found).select("source", "source_size", F.coalesce(F.least("cap", F.col("found") * F.col("weight")), "cap").alias("target"))
+    return filled.withColumn("found", found).select(
+        "source", "source_size", F.coalesce(F.least("cap", F.col("found") * F.col("weight")), "cap").alias("target")
+    )
 
 
 def _by_source(left: DataFrame, right: DataFrame, few: bool) -> DataFrame:
@@ -67,25 +73,39 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     rows each count; an empty table gives no rows; ``most`` bounds each document's share as well.
     """
     size = word_count(F.col(text_col))
-    weight = prose_weight(F.col(text_col), size) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.001))
-    named = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    weight = prose_weight(F.col(text_col), size) if weight_col is None else F.greatest(
+        F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.001)
+    )
+    named = F.concat(
+        F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), F.lit(":"),
+        F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    )
     unit = (F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), (-F.log(unit) / weight).alias("key"), *(F.struct(*carry).alias("carried") for _ in carry[:1]))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"),
+        (-F.log(unit) / weight).alias("key"), *(F.struct(*carry).alias("carried") for _ in carry[:1])
+    )
     rows = rows.withColumn("place", F.least(F.floor((1.0 - F.exp(-F.col("key"))) * float(1 << 50)), F.lit((1 << 50) - 1)).cast("long"))
     sized = settle(rows.drop("carried"))
 
     sources = settle(source_targets(sized, weights, share, most))
     few = sources.limit(FEW + 1).count() <= FEW
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sources = sources.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long"))
+    sources = sources.withColumn("epochs", epochs).withColumn(
+        "rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 0.5).cast("long")
+    )
     ends = settle(sources.select("*", F.lit(0).cast("long").alias("low"), F.lit(1 << 50).cast("long").alias("high"), F.lit(0).cast("long").alias("before")))
     upto = Window.partitionBy("source").orderBy("low")
     for step in range(1, STEPS + 1):
         span = 1 << (50 - 10 * step)
         inside = _by_source(sized.select("source", "size", "place"), ends.select("source", "low", "high"), few).where("place >= low and place < high")
-        sums = inside.groupBy("source", F.expr(f"place - pmod(place, {span}L)").alias("low")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        sums = inside.groupBy(
+            "source", F.expr(f"place - pmod(place, {span}L)").alias("low")
+        ).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         sums = sums.withColumn("earlier", F.sum("words").over(upto) - F.col("words"))
-        reached = _by_source(sums, ends.select("source", "rest", "before"), few).where("before + earlier <= rest").groupBy("source").agg(F.max(F.struct("low", "earlier", "n")).alias("at"))
+        reached = _by_source(
+            sums, ends.select("source", "rest", "before"), few
+        ).where("before + earlier <= rest").groupBy("source").agg(F.max(F.struct("low", "earlier", "n")).alias("at"))
         ends = ends.join(reached.withColumnRenamed("source", "other"), F.col("source").eqNullSafe(F.col("other")), "left")
         ends = settle(ends.select("source", "source_size", "target", "epochs", "rest", F.coalesce("at.low", "low").alias("low"), (F.coalesce("at.low", "low") + F.when(F.col("at").isNull(), F.col("high") - F.col("low")).otherwise(span)).alias("high"), (F.col("before") + F.coalesce("at.earlier", F.lit(0))).alias("before"), F.coalesce("at.n", F.lit(0)).alias("n")))
         if (ends.agg(F.max("n")).head()[0] or 0) <= WIDE // 4:
@@ -99,4 +119,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     inner = inner.withColumn("left", F.col("rest") - F.col("before") - F.sum("size").over(nth) + F.col("size"))
     outer = joined.where("place < low or place >= high").withColumn("left", F.when(F.col("place") < F.col("low"), F.col("size")).otherwise(0))
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("left", "size"))
-    return outer.unionByName(inner).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *(["carried"] if carry else []))
+    return outer.unionByName(inner).select(
+        F.col("doc_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *(["carried"] if carry else [])
+    )

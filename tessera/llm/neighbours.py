@@ -24,7 +24,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(vec_id, v)`` of the vectors that take part: an id, not null or empty, all components finite, not all zero."""
     v = F.col("v")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
+    return vectors.select(
+        F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")
+    ).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
 
 
 def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +175,9 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int
                 part = b.filter(pa.array(sizes == size))
                 x = np.array(part.column(1).to_pylist())
                 near = orders(x, pivots_of, length) if len(pivots_of) and pivots_of.shape[1] == size else np.zeros((len(x), 0), np.int16)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(near), kind), pa.array(np.full(len(x), size), pa.int32())], ["vec_id", "v", "near", "d"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(list(near), kind), pa.array(np.full(len(x), size), pa.int32())], ["vec_id", "v", "near", "d"]
+                )
 
     index = settle(own.mapInArrow(permute, "vec_id long, v array<double>, near array<smallint>, d int"))
     asked = index.where(F.expr(is_query) if isinstance(is_query, str) else is_query)
@@ -186,6 +190,8 @@ def nearest(vectors: DataFrame, is_query: Column | str, k: int = 20, pivots: int
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         return _block_search(q, v, k, share, least, shared.value)
 
-    met = left.groupBy("set", "block", "d").cogroup(right.groupBy("set", "block", "d")).applyInPandas(search, "query_id long, vec_id long, score double")
+    met = left.groupBy("set", "block", "d").cogroup(right.groupBy("set", "block", "d")).applyInPandas(
+        search, "query_id long, vec_id long, score double"
+    )
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
     return met.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -12,7 +12,11 @@ BAD = "nav-bar main-menu breadcrumb sidebar widget footer-links cookie-notice gd
 GOOD = "article-body post-content entry-content story main-text blog-post page-content".split()
 PLAIN = "row col-8 inner box grid wrap section-1 x12 block unit".split()
 STATES = "has-sidebar no-sidebar with-comments nav-open social-enabled overflow-hidden is-menu-closed".split()
-NOTICES = ("We use cookies to improve this site. Accept all or read our privacy policy.", "Subscribe to our newsletter and never miss a story.", "Sign up or log in to go on reading.", "This site uses cookies; by going on you give your consent.", "Advertisement", "Wir verwenden Cookies. Akzeptieren Sie die Datenschutzerklärung?")
+NOTICES = (
+    "We use cookies to improve this site. Accept all or read our privacy policy.", "Subscribe to our newsletter and never miss a story.",
+    "Sign up or log in to go on reading.", "This site uses cookies; by going on you give your consent.", "Advertisement",
+    "Wir verwenden Cookies. Akzeptieren Sie die Datenschutzerklärung?"
+)
 UNSHOWN = ("hidden", 'style="display: none"', 'aria-hidden="true"')
 REPLIES = ("Comments", "3 Comments", "Replies", "12 responses", "Kommentare (4)", "Commentaires")
 

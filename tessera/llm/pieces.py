@@ -49,7 +49,10 @@ def load(path: str) -> Model:
         raise ValueError(f"{path}: only unigram and BPE models without a character map are supported")
     if {p.type for p in proto.pieces} - {1, 2, 3, 6} or not proto.trainer_spec.byte_fallback:
         raise ValueError(f"{path}: user-defined and unused pieces, and models without byte pieces, are not supported")
-    return Model(tuple(p.piece for p in proto.pieces), tuple(p.score for p in proto.pieces), tuple(p.type for p in proto.pieces), kind == 2, normal.add_dummy_prefix)
+    return Model(
+        tuple(p.piece for p in proto.pieces), tuple(p.score for p in proto.pieces), tuple(p.type for p in proto.pieces), kind == 2,
+        normal.add_dummy_prefix
+    )
 
 
 class Coder:
@@ -289,7 +292,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = own.encode([t or "" for t in b.column(1).to_pylist()], keep)
             ends = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array([own.decode(x.tolist()) for x in ids], pa.string())], ["doc_id", "ids", "n_ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array([own.decode(x.tolist()) for x in ids], pa.string())],
+                ["doc_id", "ids", "n_ids", "decoded"]
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, decoded string").withColumnRenamed("doc_id", id_col)

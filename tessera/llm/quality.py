@@ -32,7 +32,9 @@ ROOM = 30_000_000
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words of one length, a row each: the word with marks at both ends, and the character n-grams
     of it; and the words' hashes. All n-grams of all words are hashed together."""
-    letters = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+    letters = np.frombuffer(
+        "".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32
+    ).reshape(len(words), -1).astype(np.uint64)
     whole = np.zeros((len(words), 1), np.uint64)
     for column in letters.T:
         whole[:, 0] = whole[:, 0] * FACTOR + column
@@ -84,7 +86,9 @@ class Words:
             hashes.append(own)
         self.adds, self.counts, self.hashes = np.concatenate(adds), np.concatenate(counts), np.concatenate(hashes)
         sizes = np.array([len(ws) for ws in parts], np.int64)
-        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum())), np.repeat(np.arange(len(parts)), sizes)
+        return np.fromiter(
+            map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum())
+        ), np.repeat(np.arange(len(parts)), sizes)
 
 
 def bag(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc
     labels and labels other than 0 and 1 are left out; of rows with one id and different labels or texts each counts.
     Equal hashes go by id, then label, then features, so a rerun learns the same.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
+    known = labels.select(
+        F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")
+    ).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
     ids = docs.select(F.col(id_col).cast("long").alias("k"))
     # the sample has at most ``most`` rows of two numbers, which bounds what is broadcast
     sample = known.join(ids, "k", "left_semi").orderBy(F.xxhash64("k"), "k", "y").limit(most)
@@ -171,9 +177,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc
         words = Words()
         for b in slices(batches, 2):
             bags = [bag(t, words) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.tobytes() for i, _ in bags], pa.binary()), pa.array([c.tobytes() for _, c in bags], pa.binary())], ["k", "y", "ids", "counts"])
-
-    rows = texts.select("k", "y", "text").mapInArrow(run, "k long, y int, ids binary, counts binary").orderBy(F.xxhash64("k"), "k", "y", F.xxhash64("ids", "counts")).limit(most)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), b.column(1), pa.array([i.tobytes() for i, _ in bags], pa.binary()),
+                    pa.array([c.tobytes() for _, c in bags], pa.binary())
+                ],
+                ["k", "y", "ids", "counts"]
+            )
+
+    rows = texts.select("k", "y", "text").mapInArrow(run, "k long, y int, ids binary, counts binary").orderBy(
+        F.xxhash64("k"), "k", "y", F.xxhash64("ids", "counts")
+    ).limit(most)
     bags, marks, room = [], [], ROOM
     for r in rows.toLocalIterator():
         room -= len(r.ids) // 2

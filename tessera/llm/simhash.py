@@ -56,7 +56,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = np.fromiter((fingerprint(x, words) for x in b.column(1).to_pylist()), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, fp long")
 
 
 def ball(radius: int) -> list[int]:

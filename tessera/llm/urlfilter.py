@@ -50,11 +50,15 @@ def _boundaries(rules: DataFrame) -> DataFrame:
     """
     top = F.struct(F.col("size"), F.col("host_size"), F.col("rule"), F.col("action"))
     own = rules.select("key", top.alias("top"))
-    stem = rules.select("key", F.explode(F.expr("transform(sequence(instr(key, '#'), greatest(length(key) - 1, instr(key, '#'))), i -> left(key, i))")).alias("stem")).where("stem <> key")
+    stem = rules.select(
+        "key", F.explode(F.expr("transform(sequence(instr(key, '#'), greatest(length(key) - 1, instr(key, '#'))), i -> left(key, i))")).alias("stem")
+    ).where("stem <> key")
     under = stem.join(own.select(F.col("key").alias("stem"), "top"), "stem").groupBy("key").agg(F.max("top").alias("under"))
     nothing = F.struct(F.lit(-1).alias("size"), F.lit(-1).alias("host_size"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
     opens = own.select(F.col("key").cast("binary").alias("at"), "top")
-    closes = own.join(under, "key", "left").select(F.concat(F.col("key").cast("binary"), F.expr("X'FF'")).alias("at"), F.coalesce("under", nothing).alias("top"))
+    closes = own.join(under, "key", "left").select(
+        F.concat(F.col("key").cast("binary"), F.expr("X'FF'")).alias("at"), F.coalesce("under", nothing).alias("top")
+    )
     return opens.unionByName(closes)
 
 
@@ -98,14 +102,21 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     each. So rules of any number are shuffled like the urls, and only a hot range's are repeated.
     """
     spark = pages.sparkSession
-    own = rules.select("action", F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("action is not null")
+    own = rules.select(
+        "action", F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")
+    ).where("action is not null")
     own = own.groupBy("host", "path").agg(F.max("action").alias("action"))
     size = F.length("host") + F.length("path")
-    own = own.select("host", "action", _key(_labels(F.col("host")), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_size"), size.alias("size"))
+    own = own.select(
+        "host", "action", _key(_labels(F.col("host")), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"),
+        F.length("host").alias("host_size"), size.alias("size")
+    )
     deepest = own.agg(F.max(F.size(F.split("host", r"\.")))).head()[0] or 1
 
     # rows that repeat id and url are one row with their number, so that the parts of a range follow from its rows alone
-    urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("n"))
+    urls = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
+    ).groupBy("page_id", "host", "path").agg(F.count("*").alias("n"))
     labels = _labels(F.col("host"))
     suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))), lambda i: _key(F.slice(labels, F.lit(1), i), F.col("path")))
     keyed = urls.select("page_id", "host", "path", "n", F.explode(suffixes).alias("at")).withColumn("at", F.col("at").cast("binary"))
@@ -117,14 +128,18 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     edges = _ranged(_boundaries(own), starts)
     last = edges.groupBy("bucket").agg(F.max_by("top", "at").alias("last"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    opened = spark.range(len(starts)).select(F.col("id").cast("int").alias("bucket")).join(last, "bucket", "left").select("bucket", F.last("last", ignorenulls=True).over(before).alias("top"))
+    opened = spark.range(len(starts)).select(F.col("id").cast("int").alias("bucket")).join(last, "bucket", "left").select(
+        "bucket", F.last("last", ignorenulls=True).over(before).alias("top")
+    )
     parts = F.array(*(F.lit(n) for _, n in starts))
     opened = opened.select("bucket", F.lit(b"").alias("at"), F.col("top").cast(top).alias("top"), F.element_at(parts, F.col("bucket") + 1).alias("parts"))
     edges = edges.select("bucket", "at", F.col("top").cast(top).alias("top"), "parts").unionByName(opened)
     absent = [F.lit(None).cast(kind).alias(name) for name, kind in (("page_id", "long"), ("host", "string"), ("path", "string"), ("n", "long"))]
     edges = edges.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "at", F.lit(0).alias("url"), *absent, "top")
 
-    sweep = Window.partitionBy("bucket", "part").orderBy("at", "url", F.col("top.size").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sweep = Window.partitionBy("bucket", "part").orderBy(
+        "at", "url", F.col("top.size").asc_nulls_first()
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = keyed.unionByName(edges).withColumn("best", F.last("top", ignorenulls=True).over(sweep)).where("url = 1")
     out = met.groupBy("page_id", "host", "path").agg(F.max("best").alias("best"), F.max("n").alias("n"))
     out = out.withColumn("block", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")))

@@ -32,13 +32,18 @@ def _clean(value: str) -> str:
 
 def record(kind: str, key: str, headers: dict[str, str], block: bytes, date: str = "2000-01-01T00:00:00Z") -> bytes:
     """A record as a gzip member of its own."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{key}>", f"WARC-Date: {date}", *(f"{k}: {_clean(v)}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+    lines = [
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{key}>", f"WARC-Date: {date}",
+        *(f"{k}: {_clean(v)}" for k, v in headers.items()), f"Content-Length: {len(block)}"
+    ]
     return gzip.compress("\r\n".join(lines).encode("utf-8", "surrogatepass") + END + block + END, 6, mtime=0)
 
 
 def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response with the whole payload, or a revisit with its HTTP head alone, which still says how long it is."""
-    headers = ({"WARC-Target-URI": url} if url is not None else {}) | {"Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}"}
+    headers = ({"WARC-Target-URI": url} if url is not None else {}) | {
+        "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}"
+    }
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     key = "null" if page_id is None else str(page_id)
     if refers_to is None:
@@ -58,7 +63,10 @@ def write_pages(pages: DataFrame, folder: str, least: int = 0, id_col: str = "pa
     The text writer puts a separator after each row; here it is a zero byte, the last byte of a member (its size's
     highest byte). Members of 16 MiB and more end otherwise and get an empty member added, which ends so.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.sha1("payload"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
+        F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")
+    ).withColumn("sha", F.sha1("payload"))
     groups = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.min(F.octet_length("payload")).alias("bytes"))
     # stored, so that both sides of the join are plain shuffles and a payload that many pages share can be split
     groups = settle(groups.where((F.col("n") > 1) & (F.col("bytes") >= least)).select("sha", "first"))
@@ -148,7 +156,10 @@ def _record(member: _Member, head: bytes, payloads: bool) -> dict:
     """Read one record after its header. The payload is hashed as it comes and kept only if asked for."""
     f = _fields(head)
     left = int(f.get("content-length", 0))
-    out = {"record_id": f.get("warc-record-id", "").strip("<>"), "kind": f.get("warc-type"), "url": f.get("warc-target-uri"), "refers_to": (f.get("warc-refers-to") or "").strip("<>") or None}
+    out = {
+        "record_id": f.get("warc-record-id", "").strip("<>"), "kind": f.get("warc-type"), "url": f.get("warc-target-uri"),
+        "refers_to": (f.get("warc-refers-to") or "").strip("<>") or None
+    }
     digest, size, kept, front, is_http = hashlib.sha1(), 0, [], bytearray(), f.get("content-type", "").startswith("application/http")
     http: dict[str, str] = {}
 
@@ -171,7 +182,10 @@ def _record(member: _Member, head: bytes, payloads: bool) -> dict:
     if is_http:  # no empty line: all of it is payload
         payload(front)
     if out["kind"] == "revisit":
-        return out | {"payload_bytes": int(http["content-length"]) if http.get("content-length", "").isdigit() else None, "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload": None}
+        return out | {
+            "payload_bytes": int(http["content-length"]) if http.get("content-length", "").isdigit() else None,
+            "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload": None
+        }
     return out | {"payload_bytes": size, "payload_digest": base64.b32encode(digest.digest()).decode(), "payload": b"".join(kept) if payloads else None}
 
 
@@ -258,4 +272,8 @@ def page_rows(records: DataFrame) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of the records that ``write_pages`` makes."""
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1)
     pages = records.where(F.col("kind").isin("response", "revisit"))
-    return pages.select(F.expr("try_cast(nullif(regexp_extract(record_id, '^urn:page:(-?[0-9]+)$', 1), '') as bigint)").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to"))).cast("long").alias("refers_to"))
+    return pages.select(
+        F.expr("try_cast(nullif(regexp_extract(record_id, '^urn:page:(-?[0-9]+)$', 1), '') as bigint)").alias("page_id"), "payload_bytes",
+        "payload_digest", F.col("kind").alias("record_type"),
+        F.when(F.col("refers_to").isNotNull(), number(F.col("refers_to"))).cast("long").alias("refers_to")
+    )

@@ -21,9 +21,15 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bu
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls in every column, empty and very long texts, repeated rows, equal ids, and names that operators use."""
-    texts = ["one two three four five", "one two three four five", None, "", "   \n\t", "word", "a " * 60_000, "é日本 🎉 \x0bü", "x" * 30_000, 'token = "0123456789abcdef0123"', "one two three four five"]
+    texts = [
+        "one two three four five", "one two three four five", None, "", "   \n\t", "word", "a " * 60_000, "é日本 🎉 \x0bü", "x" * 30_000,
+        'token = "0123456789abcdef0123"', "one two three four five"
+    ]
     rows = [(i, t, "en", f"s{i % 3}", None if t is None else len(t), i, "k", "s", 0.5, i, 7, 1) for i, t in enumerate(texts)]
-    rows += [rows[0], (4, "same id, other text", None, None, None, None, None, None, None, None, None, None), (None,) * 12, (None, "null id", None, "s1", 7, 1, "", "", 1.0, 1, 1, 1)]
+    rows += [
+        rows[0], (4, "same id, other text", None, None, None, None, None, None, None, None, None, None), (None,) * 12,
+        (None, "null id", None, "s1", 7, 1, "", "", 1.0, 1, 1, 1)
+    ]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -193,7 +199,10 @@ def test_coder_equals_the_library(spark, sf_dir):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     own = pieces.coder(pieces.load(PIECES))
     texts = [r.text for r in table(spark, sf_dir, "documents").collect()]
-    texts += ["", " ", "  a  b ", "a" * 300, "日本語🎉", "tab\tnew\n\nline", " " * 40, "hello▁world", "\x00", "naïve — “quotes” 12345678901234567890 fooBarBaz()"]
+    texts += [
+        "", " ", "  a  b ", "a" * 300, "日本語🎉", "tab\tnew\n\nline", " " * 40, "hello▁world", "\x00",
+        "naïve — “quotes” 12345678901234567890 fooBarBaz()"
+    ]
     ids = own.encode(texts)
     assert [x.tolist() for x in ids] == lib.encode(texts)
     assert [own.decode(x.tolist()) for x in ids] == [t.replace("▁", " ") for t in texts]
@@ -205,7 +214,10 @@ def test_long_words_equal_the_library(kind):
 
     rng = np.random.default_rng(5)
     pick = lambda letters, n: "".join(rng.choice(list(letters), n))
-    text = {"one letter": "a" * 5000, "letters": pick("abcdefghijklmnopqrstuvwxyzE0", 4000), "han": "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 4000))), "mixed": pick("etaoin,.-é日\n_", 3000) + "x" * 65 + pick("THE", 500)}[kind]
+    text = {
+        "one letter": "a" * 5000, "letters": pick("abcdefghijklmnopqrstuvwxyzE0", 4000), "han": "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 4000))),
+        "mixed": pick("etaoin,.-é日\n_", 3000) + "x" * 65 + pick("THE", 500)
+    }[kind]
     library, own = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Coder(pieces.load(PIECES))
     assert own.encode([text])[0].tolist() == library.encode(text)
 
@@ -272,7 +284,10 @@ def test_scores_match_brute_force(spark, sf_dir):
 
 def test_gradient_steps_match_brute_force():
     """Two epochs over three documents, each step written out with a dense vector per feature."""
-    bags = [(np.array([1, 5], np.uint16), np.array([2, 1], np.float32)), (np.array([5, 9], np.uint16), np.array([1, 3], np.float32)), (np.array([2], np.uint16), np.array([4], np.float32))]
+    bags = [
+        (np.array([1, 5], np.uint16), np.array([2, 1], np.float32)), (np.array([5, 9], np.uint16), np.array([1, 3], np.float32)),
+        (np.array([2], np.uint16), np.array([4], np.float32))
+    ]
     labels, dim, epochs, rate, seed = [0, 1, 1], 4, 2, 0.5, 3
     got = quality.train(bags, labels, dim, epochs, rate, seed)
     rng = np.random.default_rng(seed)
@@ -300,7 +315,9 @@ def test_labels_of_absent_documents_use_up_nothing(spark):
 
 
 def test_classifier_on_odd_rows(spark, odd, none):
-    labels = spark.createDataFrame([(i, i % 2, None) for i in range(11)] + [(None, 1, 1), (3, None, 0), (5, 7, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(i, i % 2, None) for i in range(11)] + [(None, 1, 1), (3, None, 0), (5, 7, 0)], "doc_id long, quality int, toxic int"
+    )
     model = quality.fit(odd, labels)
     got = quality.judged(odd, model).collect()
     assert len(got) == odd.count()
@@ -318,7 +335,10 @@ def test_training_ignores_held_out_labels(spark, sf_dir):
     assert a.bias == b.bias and (a.weight == b.weight).all()
 
 
-BASE = [re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")]
+BASE = [
+    re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII),
+    re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+]
 
 
 def brute_spans(text):
@@ -355,7 +375,9 @@ def test_credentials_without_digits_or_beside_base_spans_are_found():
         tokens = [head + pick(letters, n) for _ in range(100)]
         assert np.mean([credentials.spans(f"see {t} here", models, limit) == [(4, 4 + len(t), "grammar")] for t in tokens]) > 0.6
     for _ in range(20):
-        secret, token, access, commit = pick(all_ + "+/", 40), "ghp_" + pick(all_, 36), "AKIA" + pick(credentials.UPPER + credentials.DIGIT, 16), pick("0123456789abcdef", 40)
+        secret, token, access, commit = pick(all_ + "+/", 40), "ghp_" + pick(all_, 36), "AKIA" + pick(
+            credentials.UPPER + credentials.DIGIT, 16
+        ), pick("0123456789abcdef", 40)
         for text, kept in ((f"{access}/{secret}", secret), (f"{commit}/{token}", token), (f"{token}/{commit}", token)):
             found = [(a, b) for a, b, kind in credentials.spans(text, models, limit) if kind == "grammar"]
             assert len(found) == 1 and found[0][0] <= text.index(kept) and found[0][1] >= text.index(kept) + len(kept)
@@ -388,7 +410,10 @@ def test_short_letter_only_and_dotted_secrets_are_scored():
     (models, limit), rng = credentials.fitted(), np.random.default_rng(6)
     pick = lambda letters, n: "".join(rng.choice(list(letters), n))
     letters, all_ = credentials.LOWER + credentials.UPPER, credentials.LOWER + credentials.UPPER + credentials.DIGIT
-    kinds = {"short": lambda: pick(all_, 16), "letters": lambda: pick(letters, 24), "dotted": lambda: f"eyJ{pick(all_, 30)}.eyJ{pick(all_, 50)}.{pick(all_ + '_-', 43)}"}
+    kinds = {
+        "short": lambda: pick(all_, 16), "letters": lambda: pick(letters, 24),
+        "dotted": lambda: f"eyJ{pick(all_, 30)}.eyJ{pick(all_, 50)}.{pick(all_ + '_-', 43)}"
+    }
     for kind in kinds.values():
         tokens = [kind() for _ in range(100)]
         assert np.mean([credentials.spans(f"see {t}.", models, limit) == [(4, 4 + len(t), "grammar")] for t in tokens]) > 0.75
@@ -452,7 +477,9 @@ def test_hot_source_is_split_in_steps(spark, monkeypatch):
 
 def test_heavier_documents_come_first(spark):
     # equal sizes; half the documents look like prose, half do not
-    rows = spark.range(4000).selectExpr("id as doc_id", "'a' as source", "if(id % 2 = 0, repeat('words ', 10), repeat('w ', 10)) as text").unionByName(spark.range(4000, 4040).selectExpr("id as doc_id", "'b' as source", "repeat('words ', 10) as text"))
+    rows = spark.range(4000).selectExpr("id as doc_id", "'a' as source", "if(id % 2 = 0, repeat('words ', 10), repeat('w ', 10)) as text").unionByName(
+        spark.range(4000, 4040).selectExpr("id as doc_id", "'b' as source", "repeat('words ', 10) as text")
+    )
     got = mixing.mix(rows, weights=(1,), share=0.5).where("source_size > 1000").groupBy(F.col("doc_id") % 2).agg(F.sum("taken")).collect()
     taken = {r[0]: r[1] for r in got}
     assert taken[0] > taken[1] > 0
@@ -465,6 +492,8 @@ def test_rows_without_ids_have_places_of_their_own(spark):
 
 
 def test_a_given_weight_decides(spark):
-    rows = spark.range(4000).selectExpr("id as doc_id", "'a' as source", "'some words' as text", "if(id % 2 = 0, 0.9, null) as score").unionByName(spark.range(4000, 4001).selectExpr("id as doc_id", "'b' as source", "'some words' as text", "0.5 as score"))
+    rows = spark.range(4000).selectExpr("id as doc_id", "'a' as source", "'some words' as text", "if(id % 2 = 0, 0.9, null) as score").unionByName(
+        spark.range(4000, 4001).selectExpr("id as doc_id", "'b' as source", "'some words' as text", "0.5 as score")
+    )
     got = mixing.mix(rows, weights=(1,), share=0.4, weight_col="score").where("source_size > 100").collect()
     assert sum(r.taken for r in got if r.doc_id % 2) < 0.02 * sum(r.taken for r in got)

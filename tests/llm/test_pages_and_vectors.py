@@ -20,7 +20,10 @@ from tests.compare import same
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    urls = ["https://www.example.com/en/1", "http://a.EXAMPLE.com/en/x?q=1", "x", None, "ftp://", "http://net/es/", "http://NOTnet/es/", "https://b.net/fr/#f", "https://com", "https://com/", "//x", "http://q..example.com/en/", "https://ex.com:80/en/é"]
+    urls = [
+        "https://www.example.com/en/1", "http://a.EXAMPLE.com/en/x?q=1", "x", None, "ftp://", "http://net/es/", "http://NOTnet/es/",
+        "https://b.net/fr/#f", "https://com", "https://com/", "//x", "http://q..example.com/en/", "https://ex.com:80/en/é"
+    ]
     rows = [(i, u, None if i == 3 else "" if i == 4 else f"<p>page {i % 3}</p>", "k", b"x", i, "t") for i, u in enumerate(urls)]
     rows += [rows[0], (None, None, None, None, None, None, None), (0, "http://other/", "<p>page 1</p>", "", b"", 0, "")]
     return spark.createDataFrame(rows, "page_id long, url string, html string, key string, payload binary, uid int, text string")
@@ -67,8 +70,14 @@ def test_ranges_of_a_hot_host_and_many_rules(spark, monkeypatch):
 
 
 def test_nested_rules_unwind(spark):
-    rules = [("block", "a.com", ""), ("allow", "a.com", "/x"), ("block", "a.com", "/x/y"), ("allow", "a.com", "/x/y/z"), ("block", "com", "/x/y/zz"), ("block", "a.com", "/x"), ("allow", "b.a.com", "")]
-    urls = ["http://a.com", "http://a.com/x", "http://a.com/x/y", "http://a.com/x/y/z/1", "http://a.com/x/z", "http://a.com/w", "http://c.b.a.com/x/y", "http://d.com/x/y/zz", "http://aa.com/x", "http://a.com/x/y/zzz"]
+    rules = [
+        ("block", "a.com", ""), ("allow", "a.com", "/x"), ("block", "a.com", "/x/y"), ("allow", "a.com", "/x/y/z"), ("block", "com", "/x/y/zz"),
+        ("block", "a.com", "/x"), ("allow", "b.a.com", "")
+    ]
+    urls = [
+        "http://a.com", "http://a.com/x", "http://a.com/x/y", "http://a.com/x/y/z/1", "http://a.com/x/z", "http://a.com/w", "http://c.b.a.com/x/y",
+        "http://d.com/x/y/zz", "http://aa.com/x", "http://a.com/x/y/zzz"
+    ]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(pages, urlfilter.rule_table(spark, rules)).collect()}
 
@@ -189,7 +198,10 @@ PAGE = """<html><head><title>T</title><style>a{}</style></head><body><div class=
 
 
 def test_main_text_without_article_tags():
-    assert extract.main_text(PAGE).split("\n") == ["My title", "First & second para with some words. It has two sentences, long enough to be told.", "Short.", "Quote is here", "One item", "Two item", "Last paragraph of the article ends here. Bye to all of the readers of it."]
+    assert extract.main_text(PAGE).split("\n") == [
+        "My title", "First & second para with some words. It has two sentences, long enough to be told.", "Short.", "Quote is here", "One item",
+        "Two item", "Last paragraph of the article ends here. Bye to all of the readers of it."
+    ]
 
 
 BODY = "<h1>Title here</h1><p>" + "A sentence of the article that is long enough to count. " * 5 + "</p><p>Another paragraph with <math><mi>x</mi></math> in it.</p>"
@@ -321,7 +333,11 @@ def test_footrule_by_hand():
 
 def test_odd_vectors(spark):
     good = [(i, [float(i % 5), 1.0, 0.5]) for i in range(30)]
-    rows = [*good, (50, None), (60, []), (80, [0.0, 0.0, 0.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]), (140, [None, 1.0, 1.0]), (160, [1.0, 2.0]), (161, [3.0, -1.0]), (162, [0.5, 0.5]), (40, [2.0] * 5), (41, [1.0] * 5), (42, [1.0] * 4), (None, [1.0, 1.0, 1.0]), (7, good[7][1])]
+    rows = [
+        *good, (50, None), (60, []), (80, [0.0, 0.0, 0.0]), (100, [float("nan"), 1.0, 1.0]), (120, [float("inf"), 1.0, 1.0]), (140, [None, 1.0, 1.0]),
+        (160, [1.0, 2.0]), (161, [3.0, -1.0]), (162, [0.5, 0.5]), (40, [2.0] * 5), (41, [1.0] * 5), (42, [1.0] * 4), (None, [1.0, 1.0, 1.0]),
+        (7, good[7][1])
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "near": F.lit(2), "block": F.lit(3)})
     got = neighbours.nearest(df, "vec_id % 20 = 0", k=6).collect()
     usable = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
