@@ -97,20 +97,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("k", id_col)
 
 
-def _starts(keys: DataFrame, m: int) -> list[tuple[int, int]]:
-    """Up to ``m`` keys ``(k, h)`` of the table, ascending, the least first, that cut its rows into about equal parts.
+#: Below all text hashes: a bucket that starts with an id starts before all its texts.
+BEFORE = -(1 << 63)
 
-    They are weighted quantiles of the distinct keys whose hashes are lowest, 64 for each part, so what comes to the
-    driver is bounded by ``m``; the keys themselves are compared, never rounded.
+
+def _sampled(counted: DataFrame, m: int) -> list:
+    """The keys of a table with counts ``n`` whose hashes are lowest, 64 for each of m parts, ascending."""
+    keys = [c for c in counted.columns if c != "n"]
+    return sorted(counted.orderBy(F.xxhash64(F.lit(5), *keys), *keys).limit(64 * m).collect())
+
+
+def _cuts(rows: list, m: float) -> list[int]:
+    """How many of the m quantiles of counted rows, ascending, fall on each."""
+    total, seen, out = sum(r.n for r in rows), 0, []
+    for r in rows:
+        out.append(int((seen + r.n) * m // total) - int(seen * m // total))
+        seen += r.n
+    return out
+
+
+def _starts(rows: DataFrame, m: int) -> list[tuple[int, int]]:
+    """Up to about 2 m keys ``(k, h)``, ascending, that cut the rows into about equal parts: ids alone (h is BEFORE), and
+    within ids on which several quantiles fall their texts' hashes.
+
+    They are weighted quantiles of the distinct keys whose hashes are lowest, so what comes to the driver is bounded by
+    m; the keys themselves are compared, never rounded. Texts are read only where ids repeat so often.
     """
-    counted = keys.groupBy("k", "h").agg(F.count("*").alias("n"))
-    low = counted.agg(F.min(F.struct("k", "h")).alias("low")).head().low
-    rows = sorted((r.k, r.h, r.n) for r in counted.orderBy(F.xxhash64(F.lit(5), "k", "h"), "k", "h").limit(64 * m).collect())
-    total, seen, starts = sum(n for *_, n in rows), 0, set() if low is None else {tuple(low)}
-    for k, h, n in rows:
-        if seen * m // total != (seen + n) * m // total:
-            starts.add((k, h))
-        seen += n
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"))
+    low, ids = rows.agg(F.min("k")).head()[0], _sampled(counted, m)
+    starts, hot = {(low, BEFORE)} - {(None, BEFORE)}, {}
+    for r, n in zip(ids, _cuts(ids, m), strict=True):
+        if n:
+            starts.add((r.k, BEFORE))
+        if n > 1:
+            hot[r.k] = n
+    if hot:
+        texts = rows.where(F.col("k").isin(*hot)).groupBy("k", "h").agg(F.count("*").alias("n"))
+        found, least = _sampled(texts, m), {r.k: r.h for r in texts.groupBy("k").agg(F.min("h").alias("h")).collect()}
+        for k, n in hot.items():
+            own = [r for r in found if r.k == k]
+            # an id's least hash starts no bucket of its own: the one that starts with the id would be empty
+            starts |= {(k, r.h) for r, cut in zip(own, _cuts(own, n), strict=True) if cut and r.h != least[k]}
     return sorted(starts)
 
 
@@ -118,22 +145,23 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents in buckets in the order of id and text hash, each bucket sorted and followed by the document that comes
     after it.
 
-    A bucket starts at a key of the table (``_starts``), so the document that starts one is known by its key and is
-    also sent, as a guest, to the bucket before; the very first to the last bucket. Rows that share an id, or have
-    none, are split by their texts' hashes.
+    A bucket starts at a key of the table (``_starts``). The rows of that key, of which the first starts the bucket, are
+    also sent, as guests, to the bucket before; those of the very first to the last bucket. Rows that share an id, or
+    have none, are split by their texts' hashes.
     """
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("k", F.expr(f"coalesce(doc_id, {_literal(-(1 << 63))})")).withColumn("h", F.xxhash64("text"))
-    starts = _starts(rows.select("k", "h"), 4 * n) or [(0, 0)]
+    starts = _starts(rows.select("k", "h"), 4 * n) or [(0, BEFORE)]
     wide = math.isqrt(len(starts) - 1) + 1
     groups = [starts[i : i + wide] for i in range(0, len(starts), wide)]
     array = lambda xs: f"array({','.join(f'struct({_literal(k)} as k, {_literal(h)} as h)' for k, h in xs)})"
+    inner = f"element_at(array({','.join(map(array, groups))}), c + 1)"
     rows = rows.withColumn("at", F.struct("k", "h"))
     rows = rows.withColumn("c", F.expr(f"greatest(size(filter({array([g[0] for g in groups])}, v -> v <= at)) - 1, 0)"))
-    rows = rows.withColumn("g", F.expr(f"element_at(array({','.join(map(array, groups))}), c + 1)"))
-    rows = rows.withColumn("b", F.expr(f"c * {wide} + greatest(size(filter(g, v -> v <= at)) - 1, 0)"))
-    first = F.expr(f"element_at(g, b - c * {wide} + 1) = at")
+    rows = rows.withColumn("b", F.expr(f"c * {wide} + greatest(size(filter({inner}, v -> v <= at)) - 1, 0)"))
+    rows = rows.withColumn("s", F.expr(f"element_at({inner}, b - c * {wide} + 1)"))
+    first = F.expr(f"s.k = k and s.h in (h, {_literal(BEFORE)})")
     places = F.array_compact(
         F.array(
             F.struct(F.col("b").alias("bucket"), F.lit(0).alias("guest")),
