@@ -1,7 +1,9 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from tessera.operators import joins
+from tessera.operators import graph, joins
 from tessera.plans import catalogue
 
 
@@ -28,3 +30,17 @@ def test_band_pairs_by_place_are_all_pairs(spark, points, dx, dy):
 def test_band_pairs_bring_no_side_to_the_driver(spark, sf_dir):
     plan = catalogue.queries()["spatial_duplicates"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_components_of_a_band_are_found_on_its_places(spark, points, monkeypatch):
+    rows, df = points
+    seen = []
+    monkeypatch.setattr(joins, "connected_components", lambda edges: seen.append(edges.count()) or graph.connected_components(edges))
+    for dx, dy in ((1.6, 2.5), (0.5, 0.5)):
+        pairs = pairs_of(rows, dx, dy)
+        low = {n: n for p in pairs for n in p}
+        for _ in low:
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        assert {tuple(r) for r in joins.band_components(df, dx, dy, "id").collect()} == {(c, n) for c, n in Counter(low.values()).items()}
+        assert seen.pop() < len(pairs)
