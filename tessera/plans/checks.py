@@ -580,4 +580,4 @@ SELECT min(a) AS leader, b AS member FROM pr WHERE a IN (SELECT id FROM last) AN
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     """Tiles at nearly one place, grouped greedily in the order of their ids."""
     pos = table(spark, d, "part").selectExpr("p_partkey as id", "cast(p_partkey * 37 % 400 as double) as x", "cast(p_size * 8 as double) as y")
-    return joins.first_seen_groups(joins.band_pairs(pos, 8.0, 12.0, "id"))
+    return joins.band_groups(pos, 8.0, 12.0, "id")

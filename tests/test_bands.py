@@ -44,3 +44,16 @@ def test_components_of_a_band_are_found_on_its_places(spark, points, monkeypatch
                 low[a] = low[b] = min(low[a], low[b])
         assert {tuple(r) for r in joins.band_components(df, dx, dy, "id").collect()} == {(c, n) for c, n in Counter(low.values()).items()}
         assert seen.pop() < len(pairs)
+
+
+def test_groups_of_a_band_are_those_of_its_pairs(spark, points, monkeypatch):
+    _, df = points
+    seen = []
+    grouped = joins.first_seen_groups
+    for dx, dy in ((1.6, 2.5), (3.1, 4.5), (0.5, 0.5)):
+        pairs = joins.band_pairs(df, dx, dy, "id")
+        want = sorted(map(tuple, grouped(pairs).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(joins, "first_seen_groups", lambda edges: seen.append(edges.count()) or grouped(edges))
+            assert sorted(map(tuple, joins.band_groups(df, dx, dy, "id").collect())) == want
+        assert seen.pop() < pairs.count()
