@@ -57,3 +57,8 @@ def test_groups_of_a_band_are_those_of_its_pairs(spark, points, monkeypatch):
             m.setattr(joins, "first_seen_groups", lambda edges: seen.append(edges.count()) or grouped(edges))
             assert sorted(map(tuple, joins.band_groups(df, dx, dy, "id").collect())) == want
         assert seen.pop() < pairs.count()
+
+
+def test_coverage_brings_no_cells_to_the_driver(spark, sf_dir):
+    plan = catalogue.queries()["coverage_rescue"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
