@@ -62,3 +62,21 @@ def test_groups_of_a_band_are_those_of_its_pairs(spark, points, monkeypatch):
 def test_coverage_brings_no_cells_to_the_driver(spark, sf_dir):
     plan = catalogue.queries()["coverage_rescue"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_box_overlaps_are_those_of_all_pairs(spark):
+    """Boxes that repeat, lie on borders of cells, are empty, or overlap by less than one across a border."""
+    rng = np.random.default_rng(3)
+    corners = rng.integers(-20, 60, (80, 2)) / 2
+    boxes = [(i, *map(float, c), *map(float, c + rng.integers(0, 50, 2) / 2)) for i, c in enumerate(corners)]
+    boxes += [(80 + i, *b[1:]) for i, b in enumerate(boxes[:40])] + [(120, 31.75, 0.0, 32.5, 1.0), (121, 32.25, 0.0, 33.0, 1.0), (121, 32.25, 0.0, 33.0, 1.0)]
+    want = sorted((a[0], w[0]) for a in boxes for w in boxes if a[1] < w[3] and w[1] < a[3] and a[2] < w[4] and w[2] < a[4])
+    df = spark.createDataFrame(boxes, "id long, x1 double, y1 double, x2 double, y2 double")
+    found = joins.box_overlaps(df.withColumnRenamed("id", "alarm"), df.withColumnRenamed("id", "window"), 8)
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_pairs_of_boxes_are_made_once(spark, sf_dir):
+    """No pair is made and then dropped as one that was there: the result is joined, not made distinct."""
+    plan = catalogue.queries()["box_overlaps"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" in plan.split("Aggregate")[0]
