@@ -1,42 +1,163 @@
-"""Least squares on graphs of tiles: positions and gains. Edges are summed in Spark; what is solved on the driver has a
-row per tile of one scan, never a row per pixel or edge."""
+"""Least squares on graphs of tiles: positions and gains. Edges are summed in Spark, and each connected scan is solved by
+itself in a Python worker, which holds a row per edge of that scan, never one per pixel; the driver holds none."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
+from tessera.session import Scratch, stored
 
-#: Edges of one scan that are solved on the driver, after those between the same two tiles have been summed.
-MOST = 400_000
+#: A level of the hierarchy with so few nodes is solved densely.
+DENSE = 200
 
 
-def conjugate(times: Callable[[np.ndarray], np.ndarray], right: np.ndarray, tolerance: float = 1e-11, rounds: int = 20_000) -> np.ndarray:
-    """Solve ``A x = right`` for a symmetric, positive semi-definite A that is given by its products."""
+class Laplacian:
+    """The products of a weighted graph's Laplacian, and a multigrid cycle as its preconditioner.
+
+    Nodes are put together along locally heaviest edges, twice a level; a coarse graph has the summed weights between
+    the groups. A cycle smooths, corrects twice from the coarse graph, and smooths again.
+    """
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int):
+        self.src, self.dst, self.w, self.n = src, dst, w, n
+        self.degree = np.bincount(src, w, n) + np.bincount(dst, w, n)
+        self.scale = 0.6 / np.maximum(self.degree, 1e-300)
+        self.coarse = self.group = self.dense = None
+        if n <= DENSE:
+            full = np.diag(self.degree)
+            np.subtract.at(full, (src, dst), w)
+            np.subtract.at(full, (dst, src), w)
+            self.dense = np.linalg.pinv(full, hermitian=True)
+            return
+        group, fewer = halved(src, dst, w, n)
+        again, fewest = halved(*merged(group[src], group[dst], w, fewer), fewer)
+        if fewest < n:
+            self.group = again[group]
+            self.coarse = Laplacian(*merged(self.group[src], self.group[dst], w, fewest), fewest)
+
+    def spread(self, edge: np.ndarray) -> np.ndarray:
+        return np.bincount(self.dst, edge, self.n) - np.bincount(self.src, edge, self.n)
+
+    def step(self, v: np.ndarray) -> np.ndarray:
+        return v[self.dst] - v[self.src]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return self.spread(self.w * self.step(v))
+
+    def cycle(self, r: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense @ r
+        x = self.scale * r
+        x += self.scale * (r - self.times(x))
+        if self.coarse is not None:
+            below = np.bincount(self.group, r - self.times(x), self.coarse.n)
+            y = self.coarse.cycle(below)
+            if self.coarse.dense is None:
+                y += self.coarse.cycle(below - self.coarse.times(y))
+            x += y[self.group]
+        for _ in range(2):
+            x += self.scale * (r - self.times(x))
+        return x
+
+
+def halved(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """A group for each node: pairs along edges that are the heaviest at both ends, and what is left joined to the pair
+    of its heaviest neighbour."""
+    mate, rng = np.full(n, -1, np.int64), np.random.default_rng(n)
+    order = w * (1 + 0.1 * rng.random(len(w)))
+    s, d, o = src, dst, order
+    for _ in range(4):
+        best = np.zeros(n)
+        np.maximum.at(best, s, o)
+        np.maximum.at(best, d, o)
+        top = (o == best[s]) & (o == best[d])
+        a, b = s[top], d[top]
+        mate[np.maximum(a, b)], mate[np.minimum(a, b)] = np.minimum(a, b), np.minimum(a, b)
+        free = (mate[s] < 0) & (mate[d] < 0)
+        s, d, o = s[free], d[free], o[free]
+        if not len(s):
+            break
+    one, other = np.concatenate([src, dst]), np.concatenate([dst, src])
+    loose = (mate[one] < 0) & (mate[other] >= 0)
+    one, other, o = one[loose], other[loose], np.concatenate([order, order])[loose]
+    at = np.argsort(o, kind="stable")
+    heads = mate.copy()
+    heads[one[at]] = mate[other[at]]
+    heads = np.where(heads < 0, np.arange(n), heads)
+    kept, group = np.unique(heads, return_inverse=True)
+    return group, len(kept)
+
+
+def merged(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges between different nodes, those between the same two summed."""
+    apart = src != dst
+    src, dst, w = src[apart], dst[apart], w[apart]
+    keys, at = np.unique(np.minimum(src, dst) * n + np.maximum(src, dst), return_inverse=True)
+    return keys // n, keys % n, np.bincount(at, w, len(keys))
+
+
+def conjugate(graph: Laplacian, right: np.ndarray, tolerance: float, rounds: int = 2_000) -> np.ndarray:
+    """Solve ``L x = right`` by preconditioned conjugate gradients to a residual of the given length; an error if that
+    isn't reached."""
     x, r = np.zeros_like(right), right.copy()
-    p, rr = r.copy(), float(r @ r)
-    stop = tolerance * tolerance * max(rr, 1e-300)
+    z = graph.cycle(r)
+    p, rz = z.copy(), float(r @ z)
     for _ in range(rounds):
-        if rr <= stop:
-            break
-        ap = times(p)
-        alpha = rr / max(float(p @ ap), 1e-300)
+        if float(r @ r) <= tolerance * tolerance:
+            return x
+        ap = graph.times(p)
+        alpha = rz / max(float(p @ ap), 1e-300)
         x += alpha * p
         r -= alpha * ap
-        before, rr = rr, float(r @ r)
-        p = r + rr / before * p
+        z = graph.cycle(r)
+        before, rz = rz, float(r @ z)
+        p = z + rz / max(before, 1e-300) * p
+    raise ArithmeticError(f"no solution in {rounds} rounds")
+
+
+def steps(graph: Laplacian, want: np.ndarray, start: np.ndarray | None = None, tolerance: float = 1e-11) -> np.ndarray:
+    """Values of nodes whose steps along the edges are, by weighted least squares, those wanted. What is left is found
+    from the edges and solved again, so that long ways lose no digits."""
+    x = np.zeros(graph.n) if start is None else start.copy()
+    stop = tolerance * max(float(np.linalg.norm(graph.spread(graph.w * want))), 1e-300)
+    for _ in range(4):
+        right = graph.spread(graph.w * (want - graph.step(x)))
+        left = float(np.linalg.norm(right))
+        if left <= stop:
+            break
+        x += conjugate(graph, right, max(stop, 1e-9 * left))
     return x
 
 
-def _bounded(edges: DataFrame) -> list:
-    rows = edges.orderBy("src", "dst").limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} edges in one system")
-    return rows
+def _numbered(*ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids, at = np.unique(np.concatenate(ends), return_inverse=True)
+    return ids, np.split(at.astype(np.int64), len(ends))
+
+
+def _by_component(edges: DataFrame, src: str, dst: str, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``solve`` on the edges of each component of the nodes in the two columns; the result is stored."""
+    keep = Scratch(edges.sparkSession)
+    edges = keep.keep(edges, "edges")
+    parts = connected_components(edges.select(src, dst).distinct(), src, dst)
+    placed = edges.join(parts.withColumnRenamed("node", src).hint("merge"), src)
+    out, _ = stored(placed.groupBy("component").applyInPandas(solve, schema), "solved")
+    keep.clear()
+    return out
+
+
+def _positions(edges: pd.DataFrame) -> pd.DataFrame:
+    edges = edges.sort_values(["src", "dst"])
+    ids, (src, dst) = _numbered(edges["src"].to_numpy(), edges["dst"].to_numpy())
+    graph = Laplacian(src, dst, edges["w"].to_numpy(float), len(ids))
+    x, y = (steps(graph, edges[c].to_numpy(float)) for c in ("dx", "dy"))
+    anchor = int(np.argmax(graph.degree))
+    return pd.DataFrame({"id": ids, "component": ids[0], "x": x - x[anchor], "y": y - y[anchor]})
 
 
 def solve_positions(edges: DataFrame) -> DataFrame:
@@ -45,72 +166,55 @@ def solve_positions(edges: DataFrame) -> DataFrame:
     In each component the tile of the largest summed weight (the smallest id of equals) is the anchor at 0. Returns
     ``(id, component, x, y)``.
     """
-    spark = edges.sparkSession
-    rows = _bounded(edges.groupBy("src", "dst").agg(F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("dx")) / F.sum("w")).alias("dx"), (F.sum(F.col("w") * F.col("dy")) / F.sum("w")).alias("dy")))
-    ids = sorted({i for r in rows for i in (r.src, r.dst)})
-    at, n = {k: i for i, k in enumerate(ids)}, len(ids)
-    src, dst = (np.array([at[r[c]] for r in rows], np.int64) for c in ("src", "dst"))
-    w = np.array([r.w for r in rows], float)
-
-    def spread(edge: np.ndarray) -> np.ndarray:
-        return np.bincount(dst, edge, n) - np.bincount(src, edge, n)
-
-    x, y = (conjugate(lambda v: spread(w * (v[dst] - v[src])), spread(w * np.array([r[c] for r in rows], float))) for c in ("dx", "dy"))
-    parts = {r.node: r.component for r in connected_components(edges).collect()} if rows else {}
-    degree, anchors = np.bincount(dst, w, n) + np.bincount(src, w, n), {}
-    for i, k in enumerate(ids):
-        if parts[k] not in anchors or degree[i] > degree[anchors[parts[k]]]:
-            anchors[parts[k]] = i
-    out = [(int(k), int(parts[k]), float(x[i] - x[anchors[parts[k]]]), float(y[i] - y[anchors[parts[k]]])) for i, k in enumerate(ids)]
-    return spark.createDataFrame(out, "id long, component long, x double, y double")
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c)
+    summed = edges.groupBy("src", "dst").agg(F.sum("w").alias("w"), mean("dx"), mean("dy"))
+    return _by_component(summed, "src", "dst", _positions, "id long, component long, x double, y double")
 
 
 def residuals(edges: DataFrame, positions: DataFrame) -> DataFrame:
     """Edges with how far their measured step is from the solved one."""
     p = positions.select(F.col("id"), "x", "y")
     a, b = p.toDF("src", "ax", "ay"), p.toDF("dst", "bx", "by")
-    out = edges.join(a, "src").join(b, "dst")
+    out = edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
     return out.withColumn(
         "residual", F.hypot(F.col("bx") - F.col("ax") - F.col("dx"), F.col("by") - F.col("ay") - F.col("dy"))
     ).drop("ax", "ay", "bx", "by")
 
 
+def _gains(huber: float, penalty: float, rounds: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A tile's gain and its column's level are nodes of one graph: deviations are steps between them that should be 0."""
+
+    def solve(edges: pd.DataFrame) -> pd.DataFrame:
+        edges = edges.sort_values(["src", "dst", "src_col", "dst_col"])
+        ids, (src, dst) = _numbered(edges["src"].to_numpy(), edges["dst"].to_numpy())
+        cols, (src_col, dst_col) = _numbered(edges["src_col"].to_numpy(), edges["dst_col"].to_numpy())
+        n, size, own = len(ids), len(ids) + len(cols), np.zeros(len(ids), np.int64)
+        own[src] = src_col
+        own[dst] = dst_col
+        starts, ends = np.concatenate([n + own, src]), np.concatenate([np.arange(n), dst])
+        y, count, weight = edges["r"].to_numpy(float), edges["n"].to_numpy(float), np.ones(len(src))
+        want, g = np.concatenate([np.zeros(n), y]), None
+        for _ in range(rounds):
+            graph = Laplacian(starts, ends, np.concatenate([np.full(n, penalty), weight * count]), size)
+            g = steps(graph, want, g)
+            error = np.abs(g[dst] - g[src] - y)
+            weight = np.where(error <= huber, 1.0, huber / np.maximum(error, 1e-12))
+        return pd.DataFrame({"id": ids, "g": g[:n] - g[n:].mean()})
+
+    return solve
+
+
 def solve_gains(edges: DataFrame, huber: float = 0.03, penalty: float = 0.5, rounds: int = 4, least: float = 0.5, most: float = 2.0) -> DataFrame:
     """Gains per tile from brightness ratios ``(src, dst, src_col, dst_col, ratio)``: in logarithms, a level per column
     and a penalised deviation per tile, reweighted by Huber's rule; the mean over all tiles is 0.
 
     Returns ``(id, gain)``; an error if more than a twentieth lies outside the plausible range, and gains are clipped to it.
     """
-    spark = edges.sparkSession
-    rows = _bounded(edges.where("ratio > 0").groupBy("src", "dst", "src_col", "dst_col").agg(F.avg(F.log("ratio")).alias("r"), F.count("*").alias("n")))
-    if not rows:
-        return spark.createDataFrame([], "id long, gain double")
-    columns = {i: c for r in rows for i, c in ((r.src, r.src_col), (r.dst, r.dst_col))}
-    ids, cols = sorted(columns), sorted(set(columns.values()))
-    at, col_at, n = {k: i for i, k in enumerate(ids)}, {c: len(ids) + i for i, c in enumerate(cols)}, len(ids)
-    own = np.array([col_at[columns[k]] for k in ids])
-    src, dst = np.array([at[r.src] for r in rows]), np.array([at[r.dst] for r in rows])
-    y, count, weight = np.array([r.r for r in rows]), np.array([r.n for r in rows], float), np.ones(len(rows))
-    size = n + len(cols)
-
-    def level(z: np.ndarray) -> np.ndarray:
-        return z[:n] + z[own]
-
-    def spread(edge: np.ndarray) -> np.ndarray:
-        tile = np.bincount(dst, edge, n) - np.bincount(src, edge, n)
-        return np.concatenate([tile, np.bincount(own - n, tile, size - n)])
-
-    def times(z: np.ndarray) -> np.ndarray:
-        g = level(z)
-        out = spread(weight * count * (g[dst] - g[src]))
-        out[:n] += penalty * z[:n]
-        return out
-
-    for _ in range(rounds):
-        g = level(conjugate(times, spread(weight * count * y)))
-        error = np.abs(g[dst] - g[src] - y)
-        weight = np.where(error <= huber, 1.0, huber / np.maximum(error, 1e-12))
-    gains = np.exp(-(g - g.mean()))
-    if ((gains < least) | (gains > most)).mean() > 0.05:
+    known = edges.where("ratio > 0").groupBy("src", "dst", "src_col", "dst_col").agg(F.avg(F.log("ratio")).alias("r"), F.count("*").alias("n"))
+    found = _by_component(known, "src_col", "dst_col", _gains(huber, penalty, rounds), "id long, g double")
+    mean = found.agg(F.avg("g")).head()[0] or 0.0
+    gains = found.select("id", F.exp(mean - F.col("g")).alias("gain"))
+    odd, n = gains.agg(F.count_if((F.col("gain") < least) | (F.col("gain") > most)), F.count("*")).head()
+    if odd > 0.05 * n:
         raise ValueError("more than a twentieth of the gains is implausible")
-    return spark.createDataFrame([(int(k), float(v)) for k, v in zip(ids, np.clip(gains, least, most), strict=True)], "id long, gain double")
+    return gains.select("id", F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), "gain")).alias("gain"))

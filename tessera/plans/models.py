@@ -19,7 +19,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     pairs = joins.neighbour_pairs(t.select("row", "col", "id", "value"), "id")
     metric = t.select(F.col("id"), F.col("value").alias("m"))
     a, b = metric.toDF("value", "ma"), metric.toDF("value2", "mb")
-    return pairs.join(a, "value").join(b, "value2").select(
+    return pairs.join(a.hint("merge"), "value").join(b.hint("merge"), "value2").select(
         F.col("value").alias("src"), F.col("value2").alias("dst"), F.col("col").alias("src_col"), F.col("col2").alias("dst_col"),
         ((F.col("col2") - F.col("col")) * 100 + F.col("ma") % 7 / 10).alias("dx"),
         ((F.col("row2") - F.col("row")) * 80 + F.col("mb") % 5 / 10).alias("dy"), F.lit(1.0).alias("w"),
