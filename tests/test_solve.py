@@ -20,3 +20,24 @@ def test_positions_of_a_long_scan_are_recovered():
     for c, true in zip("xy", place, strict=True):
         off = got[c].to_numpy() - true[got["id"].to_numpy()]
         assert np.ptp(off) < 1e-5
+
+
+def test_gains_of_a_long_scan_meet_the_normal_equations():
+    rng, (src, dst) = np.random.default_rng(2), grid(50, 4200)
+    r = rng.normal(0, 0.02, len(src)) + (rng.random(len(src)) < 0.01) * 0.2
+    edges = pd.DataFrame({"src": src, "dst": dst, "src_col": src // 50, "dst_col": dst // 50, "r": r, "n": 1})
+    rounds = [solve._gains(0.03, 0.5, k)(edges)["g"].to_numpy() for k in (1, 2)]
+    error = np.abs(rounds[0][dst] - rounds[0][src] - r)
+    for g, w in zip(rounds, (np.ones(len(r)), np.where(error <= 0.03, 1.0, 0.03 / error)), strict=True):
+        pull = w * (g[dst] - g[src] - r)
+        left = np.bincount(dst, pull, len(g)) - np.bincount(src, pull, len(g))
+        own = g - g.reshape(-1, 50).mean(axis=1).repeat(50)
+        assert np.abs(left + 0.5 * own).max() < 1e-8 and np.abs(left.reshape(-1, 50).sum(axis=1)).max() < 1e-8
+
+
+def test_solvers_take_stars_pairs_and_repeated_edges():
+    hub = pd.DataFrame({"src": 0, "dst": np.arange(1, 3001), "dx": np.arange(1, 3001) / 7, "dy": 1.0, "w": 2.0})
+    got = solve._positions(pd.concat([hub, hub.rename(columns={"src": "dst", "dst": "src"}).assign(dx=-hub["dx"], dy=-1.0)]))
+    assert np.allclose(got["x"].to_numpy()[1:], hub["dx"], atol=1e-8) and np.allclose(got["y"].to_numpy()[1:], 1.0, atol=1e-8)
+    pair = solve._positions(pd.DataFrame({"src": [5], "dst": [9], "dx": [3.0], "dy": [-2.0], "w": [1.0]}))
+    assert np.allclose(pair[["x", "y"]], [[0, 0], [3, -2]]) and set(pair["component"]) == {5}
