@@ -26,6 +26,10 @@ BANDS, ROWS = 32, 4
 BITS = 512
 LONGS = BITS // 64
 STEP = 4096
+#: Of so many first shingles a set knows at which it meets another first.
+HEAD = 16
+#: Members of a band that are compared with one of them.
+PART = 8
 #: Sets of so many documents are broadcast by name at most.
 FEW = 500_000
 SEED = 42
@@ -140,13 +144,33 @@ def _named(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
 
 
+def _torn(members: DataFrame, nodes: DataFrame, keep: Scratch) -> DataFrame:
+    """``(band, shape, c)`` of the bands that hold sets of several components ``c``."""
+    placed = members.join(nodes, F.col("shape") == F.col("node"), "left").select("band", "shape", F.coalesce("component", "shape").alias("c"))
+    placed = keep.keep(placed)
+    torn = placed.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last").select("band")
+    return keep.keep(placed.join(keep.keep(torn), "band", "left_semi"))
+
+
+def dealt_pairs(torn: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets of different components: the members of each band are dealt into parts of some
+    ``PART``, by their names and the band's, and each is paired with its part's least one. So a set meets up to
+    ``BANDS`` others of a crowd, other ones in each band, and the number of pairs grows with the crowd."""
+    sizes = torn.groupBy("band").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    dealt = torn.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("band", "shape"), F.col("parts")))
+    lows = dealt.groupBy("band", "part").agg(F.min(F.struct("shape", "c")).alias("low"))
+    return dealt.join(lows, ["band", "part"]).where("c <> low.c").select(F.col("low.shape").alias("a"), F.col("shape").alias("b")).distinct()
+
+
 def prefix_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets that lie in different components and may be near copies, among the sets given.
 
     Shingles are ordered by how few of the sets hold them. Two near copies share a shingle among the first fifth of the
     larger set and the first ninth of the smaller one (of equal sizes that of the smaller name), and what follows it in
     both is long enough; so only these meet, and those that every set of a group holds come last. Sizes and sketches
-    are compared where they meet. ``nodes`` has ``(shape, c, size, s0, s1, ...)``: component, size and sketch.
+    are compared where they meet. Sets of a crowd share many of these shingles; a pair is made at the first one that is
+    among the first ``HEAD`` of both, and at each only if there is none. That loses nothing: what follows the first is
+    longer than what follows a later one. ``nodes`` has ``(shape, c, size, s0, s1, ...)``: component, size and sketch.
     """
     tokens = sets.select("shape", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
     often = sets.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -154,12 +178,20 @@ def prefix_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         "at", F.row_number().over(Window.partitionBy("shape").orderBy(F.coalesce("df", F.lit(1)), "token")) - 1
     )
     front = ranked.where("df is not null and at <= floor(n / 5)").select("token", "shape", "n", "at")
-    front = front.join(nodes, "shape").select("token", "n", "at", F.struct("shape", "c", "size", *(f"s{i}" for i in range(LONGS))).alias("e"))
-    larger = front.select("token", F.col("at").alias("i"), F.col("e").alias("p"))
-    smaller = front.where("at <= floor(n / 9)").select("token", F.col("at").alias("j"), F.col("e").alias("q"))
+    front = front.withColumn("k", F.row_number().over(Window.partitionBy("shape").orderBy("at")))
+    head = F.sort_array(F.collect_list(F.when(F.col("k") <= HEAD, F.struct("at", "token"))).over(Window.partitionBy("shape")))
+    front = front.withColumn("head", head).join(nodes, "shape").select(
+        "token", "n", "at", "head", F.struct("shape", "c", "size", *(f"s{i}" for i in range(LONGS))).alias("e")
+    )
+    larger = front.select("token", F.col("at").alias("i"), F.col("head.token").alias("ps"), F.col("e").alias("p"))
+    smaller = front.where("at <= floor(n / 9)").select(
+        "token", F.col("at").alias("j"), F.expr("filter(head, h -> h.at <= floor(n / 9)).token").alias("qs"), F.col("e").alias("q")
+    )
     order = "(q.size < p.size or (q.size = p.size and q.shape < p.shape))"
     rest = "9 * least(p.size - i, q.size - j) >= 4 * (p.size + q.size)"
-    met = larger.alias("l").join(smaller.alias("r"), F.expr(f"l.token = r.token and p.c <> q.c and {order} and {rest} and {may_share('p', 'q')}"))
+    first = "coalesce(get(array_intersect(ps, qs), 0), l.token) = l.token"
+    near = f"p.c <> q.c and {order} and {rest} and {may_share('p', 'q')} and {first}"
+    met = larger.alias("l").join(smaller.alias("r"), F.expr(f"l.token = r.token and {near}"))
     return met.select(F.col("p.shape").alias("a"), F.col("q.shape").alias("b")).distinct()
 
 
@@ -169,9 +201,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 
     Documents link if their SimHashes differ in at most ``radius`` bits (``simhash.links``) or if they share four fifths
     of their five-word shingles. Equal sets of shingles are one node. Sets that meet in a band are compared with the
-    band's least one. The sets of bands that are not in one component by that are then joined by rare shingles
-    (``prefix_pairs``), which loses no pair; so a group of near copies costs a pair per member and band, not their
-    square. Texts without words are one group; null ids are ids like others; an empty table gives no rows.
+    band's least one. The sets of bands that are not in one component by that are compared with a few others of their
+    bands (``dealt_pairs``); those of bands that still are not are joined by rare shingles (``prefix_pairs``), which
+    loses no pair. So a group of near copies costs two pairs per member and band, not their square. Texts without words are one group; null ids are ids like others; an empty table gives no rows.
     """
     keep = Scratch(docs.sparkSession)
     own = keep.keep(prints(docs, id_col, text_col), gather=False)
@@ -195,11 +227,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     edges = keep.keep(edges.unionByName(verified(stars, whole_sets(docs, own, _named(stars), id_col, text_col, keep))))
     nodes = connected_components(edges)
 
-    placed = keep.keep(members.join(nodes, F.col("shape") == F.col("node"), "left").select("band", "shape", F.coalesce("component", "shape").alias("c")))
-    torn = placed.groupBy("band").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first <> last").select("band")
-    torn = keep.keep(placed.join(keep.keep(torn), "band", "left_semi").select("shape", "c").distinct())
-    sets = whole_sets(docs, own, torn.select(F.col("shape").alias("need")), id_col, text_col, keep)
-    rest = keep.keep(prefix_pairs(sets, keep.keep(torn.join(one.drop("bands"), "shape"))))
+    torn = _torn(members, nodes, keep)
+    sets = whole_sets(docs, own, torn.select(F.col("shape").alias("need")).distinct(), id_col, text_col, keep)
+    dealt = dealt_pairs(torn).join(ends[0], "a").join(ends[1], "b").where(may_share("aa", "bb")).select("a", "b")
+    more = keep.keep(verified(keep.keep(dealt), sets))
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        nodes = connected_components(edges)
+        torn = _torn(torn, nodes, keep)
+    torn = keep.keep(torn.select("shape", "c").distinct())
+    left = sets.join(torn.select("shape"), "shape", "left_semi")
+    rest = keep.keep(prefix_pairs(left, keep.keep(torn.join(one.drop("bands"), "shape"))))
     if not rest.isEmpty():
         nodes = connected_components(edges.unionByName(verified(rest, sets)))
 

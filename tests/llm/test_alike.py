@@ -110,3 +110,18 @@ def test_odd_tables(spark):
     assert found[(None, keys["a b c"])] is True
     assert (1, keys["a b  c"]) not in found and (1, keys["x y z"]) not in found
     assert sorted(found.get((1, keys[t])) is True for t in (None, "")) == [False, True]
+
+
+def test_a_crowd_that_its_least_set_leaves_apart_is_not_compared_in_pairs(spark, monkeypatch):
+    """Sets that differ from a common text in a few places: some pairs are near copies, most of the crowd hangs together."""
+    monkeypatch.setattr(alike, "bands", lambda hashes: np.arange(min(8, len(hashes))))
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    rows = [(i, edited(rng, words, int(n))) for i, n in enumerate(rng.integers(2, 4, 150))]
+    seen, once = [], alike.prefix_pairs
+    monkeypatch.setattr(alike, "prefix_pairs", lambda sets, nodes: seen.append(once(sets, nodes).count()) or once(sets, nodes))
+    got = alike.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert components(got) == brute_groups(rows)
+    monkeypatch.setattr(alike, "dealt_pairs", lambda torn: torn.selectExpr("shape as a", "shape as b").limit(0))
+    alike.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert 3 * seen[0] <= seen[1]
