@@ -83,10 +83,10 @@ def halved(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.
         s, d, o = s[free], d[free], o[free]
         if not len(s):
             break
-    one, other = np.concatenate([src, dst]), np.concatenate([dst, src])
-    loose = (mate[one] < 0) & (mate[other] >= 0)
-    one, other, o = one[loose], other[loose], np.concatenate([order, order])[loose]
-    at = np.argsort(o, kind="stable")
+    lone = mate < 0
+    from_src, from_dst = lone[src] & ~lone[dst], lone[dst] & ~lone[src]
+    one, other = np.concatenate([src[from_src], dst[from_dst]]), np.concatenate([dst[from_src], src[from_dst]])
+    at = np.argsort(np.concatenate([order[from_src], order[from_dst]]), kind="stable")
     heads = mate.copy()
     heads[one[at]] = mate[other[at]]
     heads = np.where(heads < 0, np.arange(n), heads)
@@ -182,7 +182,9 @@ def residuals(edges: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def _gains(huber: float, penalty: float, rounds: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """A tile's gain and its column's level are nodes of one graph: deviations are steps between them that should be 0."""
+    """A tile's gain and its column's level are nodes of one graph: deviations are steps between them that should be 0.
+    A round whose weights are those of the round before would solve the same equations again, so it is left out; a
+    graph is dropped before the next is made."""
 
     def solve(edges: pd.DataFrame) -> pd.DataFrame:
         edges = edges.sort_values(["src", "dst", "src_col", "dst_col"])
@@ -192,13 +194,18 @@ def _gains(huber: float, penalty: float, rounds: int) -> Callable[[pd.DataFrame]
         own[src] = src_col
         own[dst] = dst_col
         starts, ends = np.concatenate([n + own, src]), np.concatenate([np.arange(n), dst])
-        y, count, weight = edges["r"].to_numpy(float), edges["n"].to_numpy(float), np.ones(len(src))
-        want, g = np.concatenate([np.zeros(n), y]), None
+        count, weight = edges["n"].to_numpy(float), np.ones(len(src))
+        want, g = np.concatenate([np.zeros(n), edges["r"].to_numpy(float)]), None
+        src, dst, y = starts[n:], ends[n:], want[n:]
+        del edges, src_col, dst_col
         for _ in range(rounds):
             graph = Laplacian(starts, ends, np.concatenate([np.full(n, penalty), weight * count]), size)
             g = steps(graph, want, g)
+            del graph
             error = np.abs(g[dst] - g[src] - y)
-            weight = np.where(error <= huber, 1.0, huber / np.maximum(error, 1e-12))
+            before, weight = weight, np.where(error <= huber, 1.0, huber / np.maximum(error, 1e-12))
+            if np.array_equal(before, weight):
+                break
         return pd.DataFrame({"id": ids, "g": g[:n] - g[n:].mean()})
 
     return solve

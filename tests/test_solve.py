@@ -1,5 +1,8 @@
+import weakref
+
 import numpy as np
 import pandas as pd
+import pytest
 
 from tessera.operators import solve
 
@@ -41,3 +44,33 @@ def test_solvers_take_stars_pairs_and_repeated_edges():
     assert np.allclose(got["x"].to_numpy()[1:], hub["dx"], atol=1e-8) and np.allclose(got["y"].to_numpy()[1:], 1.0, atol=1e-8)
     pair = solve._positions(pd.DataFrame({"src": [5], "dst": [9], "dx": [3.0], "dy": [-2.0], "w": [1.0]}))
     assert np.allclose(pair[["x", "y"]], [[0, 0], [3, -2]]) and set(pair["component"]) == {5}
+
+
+@pytest.mark.parametrize(("odd", "solved"), [(0.0, 1), (0.2, 4)])
+def test_gains_hold_one_graph_at_a_time_and_solve_no_round_twice(monkeypatch, odd, solved):
+    made = []
+
+    class Watched(solve.Laplacian):
+        def __init__(self, src, dst, w, n):
+            if n == 40 * 30 + 30:
+                assert all(r() is None for r in made)
+                made.append(weakref.ref(self))
+            super().__init__(src, dst, w, n)
+
+    rng, at = np.random.default_rng(5), np.arange(40 * 30).reshape(30, 40)
+    src, dst = np.concatenate([at[:, :-1].ravel(), at[:-1].ravel()]), np.concatenate([at[:, 1:].ravel(), at[1:].ravel()])
+    r = rng.normal(0, 0.002, len(src)) + (rng.random(len(src)) < 0.05) * odd
+    edges = pd.DataFrame({"src": src, "dst": dst, "src_col": src // 40, "dst_col": dst // 40, "r": r, "n": 1})
+    monkeypatch.setattr(solve, "Laplacian", Watched)
+    g = solve._gains(0.03, 0.5, 4)(edges)["g"].to_numpy()
+    assert len(made) == solved and len(g) == 1200
+    # the fourth round of weights, solved densely
+    x = np.zeros(1230)
+    for k in range(4):
+        error = np.abs(x[dst] - x[src] - r) if k else np.zeros(len(r))
+        w = np.concatenate([np.full(1200, 0.5), np.where(error <= 0.03, 1.0, 0.03 / np.maximum(error, 1e-12))])
+        a = np.zeros((1200 + len(r), 1230))
+        a[np.arange(len(a)), np.concatenate([1200 + np.arange(1200) // 40, src])] -= 1
+        a[np.arange(len(a)), np.concatenate([np.arange(1200), dst])] += 1
+        x = np.linalg.pinv(a.T @ (w[:, None] * a), hermitian=True) @ (a.T @ (w * np.concatenate([np.zeros(1200), r])))
+    assert np.allclose(g, x[:1200] - x[1200:].mean(), atol=1e-8)
