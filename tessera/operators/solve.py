@@ -97,9 +97,12 @@ def halved(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.
 def merged(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges between different nodes, those between the same two summed."""
     apart = src != dst
-    src, dst, w = src[apart], dst[apart], w[apart]
-    keys, at = np.unique(np.minimum(src, dst) * n + np.maximum(src, dst), return_inverse=True)
-    return keys // n, keys % n, np.bincount(at, w, len(keys))
+    keys = np.minimum(src, dst)[apart]
+    keys *= n
+    keys += np.maximum(src, dst)[apart]
+    del src, dst
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys // n, keys % n, np.bincount(at, w[apart], len(keys))
 
 
 def conjugate(graph: Laplacian, right: np.ndarray, tolerance: float, rounds: int = 2_000) -> np.ndarray:
