@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import credentials, extract, fingerprint, mixing, neighbours, pieces, quality, simhash, urlfilter, warc
+from tessera.llm import (
+    credentials,
+    decontaminate,
+    extract,
+    fingerprint,
+    mixing,
+    neighbours,
+    pieces,
+    quality,
+    ranking,
+    simhash,
+    urlfilter,
+    vectorcodes,
+    warc,
+)
 from tessera.session import new_folder, table
 
 
@@ -61,6 +75,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_document_fingerprints,
@@ -73,12 +99,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_url_filters,
         op9_simhash_near_dedup,
         op10_nearest_neighbours,
+        op11_vector_codes,
+        op12_ranked_search,
+        op13_decontaminate,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6_SQL, "op7_mix_sources": OP7_SQL, "op8_url_filters": OP8_SQL}
+    return {
+        "op6_warc": OP6_SQL,
+        "op7_mix_sources": OP7_SQL,
+        "op8_url_filters": OP8_SQL,
+        "op11_vector_codes": OP11_SQL,
+        "op12_ranked_search": OP12_SQL,
+        "op13_decontaminate": OP13_SQL,
+    }
 
 
 # base32 has no function in DuckDB: the 40 hex digits of the digest are cut into 32 groups of five bits
@@ -140,3 +176,75 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (nth)
 """
+
+# a round: each part's nearest entry (the index in the low six bits breaks ties), then the floored means by component
+_ROUND = """,
+near{i} AS MATERIALIZED (
+  SELECT nth, part, min(list_sum(list_transform(range(len(x)), lambda j: (x[j + 1] - c[j + 1]) * (x[j + 1] - c[j + 1])))::BIGINT * 64 + entry) AS far
+  FROM cut JOIN book{i} USING (part) GROUP BY nth, part)"""
+_MOVE = """,
+mean{i} AS (
+  SELECT part, far % 64 AS entry, j, floor(sum(x[j])::DOUBLE / count(*))::BIGINT AS mean
+  FROM near{i} JOIN cut USING (nth, part), range(1, 5) s(j) WHERE j <= len(x) GROUP BY part, far % 64, j),
+book{n} AS MATERIALIZED (
+  SELECT part, entry, coalesce(moved, c) AS c
+  FROM book{i} LEFT JOIN (SELECT part, entry, list(mean ORDER BY j) AS moved FROM mean{i} GROUP BY part, entry) USING (part, entry))"""
+
+OP11_SQL = (
+    r"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, row_number() OVER () AS nth, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT nth, vec_id, part::BIGINT AS part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM kept, range(16) p(part)),
+book0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM cut QUALIFY entry < 64)"""
+    + _ROUND.format(i=0) + _MOVE.format(i=0, n=1) + _ROUND.format(i=1) + _MOVE.format(i=1, n=2) + _ROUND.format(i=2)
+    + r""",
+coded AS (SELECT nth, string_agg(printf('%02x', (far % 64)::INT), '' ORDER BY part) AS code, sum(far // 64)::BIGINT AS error FROM near2 GROUP BY nth),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (nth), digest
+"""
+)
+
+OP12_SQL = r"""
+WITH upper AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' AS pattern),
+words AS (
+  SELECT nth, doc_id, unnest(w) AS term, len(w) AS n
+  FROM (SELECT row_number() OVER () AS nth, doc_id, regexp_extract_all(translate(text, a, b), pattern) AS w FROM documents, upper)),
+tf AS MATERIALIZED (SELECT nth, doc_id, term, n, count(*) AS tf FROM words GROUP BY ALL),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, a, b), pattern)) AS term FROM benchmark, upper) GROUP BY ALL),
+total AS (SELECT count(DISTINCT nth) AS docs, sum(tf)::BIGINT AS length FROM tf),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scores AS (
+  SELECT item_id, nth, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term), total GROUP BY item_id, nth, doc_id),
+ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+OP13_SQL = r"""
+WITH upper AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS pattern),
+items AS (SELECT item_id, regexp_extract_all(translate(text, a, b), pattern) AS w FROM benchmark, upper),
+grams AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS nth, doc_id, coalesce(regexp_extract_all(translate(text, a, b), pattern), []) AS w FROM documents, upper),
+places AS (
+  SELECT nth, k, i, array_to_string(w[i : i + k - 1], ' ') AS gram
+  FROM (SELECT nth, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM grams) WHERE len(w) >= k)),
+met AS MATERIALIZED (SELECT nth, i, places.k, item_id FROM places JOIN grams USING (gram) WHERE places.k = grams.k),
+hit AS (SELECT nth, count(DISTINCT word) AS n_hit FROM (SELECT nth, unnest(range(i, i + k)) AS word FROM (SELECT DISTINCT nth, i, k FROM met)) GROUP BY nth),
+named AS (
+  SELECT nth, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE C) AS ids
+  FROM (SELECT DISTINCT nth, item_id::VARCHAR AS item FROM met WHERE item_id IS NOT NULL) GROUP BY nth)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (nth) LEFT JOIN named USING (nth)
+"""
