@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import connected_components
 from tessera.session import Scratch, remove, stored
 
+#: Pairs of a range of ids that one task decides.
+HELD = 200_000
+
 
 def neighbour_pairs(tiles: DataFrame, value: str = "metric") -> DataFrame:
     """Each tile with the next below and the next to the right, by the place in the sorted list of rows and columns.
@@ -328,31 +333,57 @@ def cached_answers(requests: DataFrame, stored_answers: DataFrame, payload: Sequ
     return asked.join(known, F.col("request") == F.col("_r"), "left").drop("_r").withColumn("cached", F.col("answer").isNotNull())
 
 
-def first_seen_groups(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _decide(nodes: pd.DataFrame, inner: pd.DataFrame) -> pd.DataFrame:
+    """One block's ids in ascending order, as far as they can be told: ``some`` is whether a partner is known to lead,
+    ``open`` whether one of another block isn't decided yet; ``inner`` has the undecided pairs inside the block."""
+    nodes = nodes.sort_values("id")
+    pairs = inner.sort_values("y")
+    ids, xs, ys = nodes["id"].to_numpy(), pairs["x"].to_numpy(), pairs["y"].to_numpy()
+    ends = np.searchsorted(ys, ids, "right")
+    starts = np.searchsorted(ys, ids, "left")
+    at = np.searchsorted(ids, xs)
+    known = np.zeros(len(ids), np.int8)  # 1: leads, 2: doesn't, 0: not known
+    for i, (some, open_) in enumerate(zip(nodes["some"].to_numpy(), nodes["open"].to_numpy(), strict=True)):
+        smaller = known[at[starts[i] : ends[i]]]
+        if some or (smaller == 1).any():
+            known[i] = 2
+        elif not open_ and (smaller == 2).all():
+            known[i] = 1
+    return pd.DataFrame({"id": ids[known > 0], "now": known[known > 0] == 1})
+
+
+def first_seen_groups(pairs: DataFrame, a: str = "a", b: str = "b", held: int = HELD) -> DataFrame:
     """Greedy groups of pairs ``(a, b)``, a the smaller: ``(leader, member)``.
 
     In ascending order an id that is in no group yet leads one, of itself and all larger ids it is paired with that
     are in none. So an id leads if none of its smaller partners does, and is a member of its least partner that leads.
-    Each round decides the ids whose smaller partners are all decided; what is decided is written and the last round's
-    tables removed.
+
+    Ids are numbers, dealt into ranges of about ``held`` pairs. A round decides in each range, in one task and in ascending order,
+    all ids that don't wait for an undecided one of another range. What an id waits for is smaller, so a chain passes
+    through a range once, and there are no more rounds than ranges on a chain, however long it is. What is decided is
+    written and the last round's tables removed.
     """
     spark = pairs.sparkSession
     keep = Scratch(spark)
     edges = keep.keep(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x < y").distinct())
+    ranges = -(-edges.count() // held)
+    ends = edges.agg(F.percentile_approx("y", [i / ranges for i in range(1, ranges)], 10_000)).head()[0] if ranges > 1 else []
+    block = F.size(F.filter(F.array(*map(F.lit, sorted(set(ends)))), lambda e: e < F.col("id"))) if ends else F.lit(0)
     ids = edges.select(F.col("x").alias("id")).unionByName(edges.select(F.col("y").alias("id"))).distinct()
-    state, folder = stored(ids.withColumn("leads", F.lit(None).cast("boolean")), "groups")
+    state, folder = stored(ids.select("id", block.alias("block"), F.lit(None).cast("boolean").alias("leads")), "groups")
+    kind = state.schema["id"].dataType.simpleString()
     while not state.where("leads is null").isEmpty():
-        smaller = state.select(F.col("id").alias("x"), F.col("leads").alias("l"))
-        below = edges.join(smaller, "x").groupBy("y").agg(
-            F.coalesce(F.bool_or("l"), F.lit(False)).alias("some"), F.bool_and(F.col("l").isNotNull()).alias("all")
-        )
-        met = state.join(below, F.col("id") == F.col("y"), "left")
-        leads = F.when(
-            F.col("leads").isNotNull(), F.col("leads")
-        ).when(F.coalesce("some", F.lit(False)), False).when(F.coalesce("all", F.lit(True)), True)
+        waiting = state.where("leads is null").select("id", "block")
+        met = edges.join(state.select(F.col("id").alias("x"), F.col("block").alias("_b"), "leads"), "x")
+        met, scratch = stored(met.join(waiting.withColumnRenamed("id", "y"), "y").withColumn("inner", F.col("leads").isNull() & (F.col("_b") == F.col("block"))), "pairs")
+        told = met.groupBy("y").agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("some"), F.bool_or(F.col("leads").isNull() & ~F.col("inner")).alias("open"))
+        nodes = waiting.join(told, waiting["id"] == told["y"], "left").select("block", "id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("some", "open")))
+        inner = met.where("inner").select("block", "x", "y")
+        decided = nodes.groupBy("block").cogroup(inner.groupBy("block")).applyInPandas(_decide, f"id {kind}, now boolean").withColumnRenamed("id", "_i")
         was = folder
-        state, folder = stored(met.select("id", leads.alias("leads")), "groups")
-        remove(spark, was)
+        both = state.join(decided, state["id"] == decided["_i"], "left").select("id", "block", F.coalesce("leads", "now").alias("leads"))
+        state, folder = stored(both, "groups")
+        remove(spark, was, scratch)
     leaders = state.where("leads").select("id")
     own = edges.join(
         leaders, edges["x"] == leaders["id"], "left_semi"

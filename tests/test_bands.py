@@ -80,3 +80,34 @@ def test_pairs_of_boxes_are_made_once(spark, sf_dir):
     """No pair is made and then dropped as one that was there: the result is joined, not made distinct."""
     plan = catalogue.queries()["box_overlaps"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" in plan.split("Aggregate")[0]
+
+
+def greedy(pairs):
+    larger, seen, out = {}, set(), set()
+    for a, b in pairs:
+        larger.setdefault(a, set()).add(b)
+    for i in sorted({x for p in pairs for x in p}):
+        if i not in seen:
+            seen.add(i)
+            own = larger.get(i, set()) - seen
+            seen |= own
+            out |= {(i, m) for m in own}
+    return out
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    kept, rounds = joins.stored, []
+    monkeypatch.setattr(joins, "stored", lambda df, what="rows", gather=True: (rounds.append(what) if what == "pairs" else None) or kept(df, what, gather))
+    path = spark.range(100_000).selectExpr("id as a", "id + 1 as b")
+    got = joins.first_seen_groups(path, held=5_000)
+    assert got.count() == 50_000 and got.where("member <> leader + 1 or leader % 2 = 1").count() == 0
+    assert len(rounds) <= 30
+
+
+def test_groups_across_ranges_equal_greedy(spark):
+    rng = np.random.default_rng(21)
+    pairs = {(int(min(p)), int(max(p))) for p in rng.integers(0, 400, (700, 2)) if p[0] != p[1]} | {(7, i) for i in range(8, 300)}
+    df = spark.createDataFrame(sorted(pairs), "a long, b long")
+    for held in (60, 100_000):
+        assert {(r.leader, r.member) for r in joins.first_seen_groups(df, held=held).collect()} == greedy(pairs)
+    assert joins.first_seen_groups(df.limit(0)).count() == 0
