@@ -1,16 +1,15 @@
-"""Pixel operators: metrics and stencils as windows, whole-image work per image in Arrow batches."""
+"""Pixel operators: metrics and stencils as windows, regions as components of runs."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import luminance
 from tessera.operators.graph import connected_components
+from tessera.operators.lines import gaussian, squared_distance
 from tessera.session import settle, small
 
 
@@ -72,14 +71,10 @@ def close_mask(px: DataFrame, by: str, name: str, reach: int = 4) -> DataFrame:
 
 
 def trim_border(px: DataFrame, by: str, width: int, height: int, trim: int) -> DataFrame:
-    """``valid`` only where no invalid pixel lies nearer than the trim: invalid pixels are spread over the disc of
-    offsets (a number that the trim fixes) and met by an equi-join."""
-    offsets = [(i, j) for i in range(-trim + 1, trim) for j in range(-trim + 1, trim) if i * i + j * j < trim * trim]
-    disc = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets)))
-    bad = px.where("not valid").select(by, "x", "y", disc.alias("o")).select(
-        by, (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")
-    ).distinct().withColumn("_near", F.lit(True))
-    return px.join(bad, [by, "x", "y"], "left").withColumn("valid", F.col("valid") & F.col("_near").isNull()).drop("_near")
+    """``valid`` only where no invalid pixel lies nearer than the trim, by exact distances: the work is the same for any
+    trim."""
+    far = squared_distance(px, by, "not valid", "_d2")
+    return far.withColumn("valid", F.col("valid") & (F.coalesce("_d2", F.lit(trim * trim)) >= trim * trim)).drop("_d2")
 
 
 def label_components(px: DataFrame, by: str, mask: Column) -> DataFrame:
@@ -141,38 +136,6 @@ def central_exclusion(found: DataFrame, by: str, width: int, height: int, pad: f
     )
 
 
-def overlap_ratio(a: DataFrame, b: DataFrame, dx: int, dy: int, low: int = 20, high: int = 245, least: int = 500) -> DataFrame:
-    """Channel medians' ratios over the overlap of two images, where b lies at an offset, of all pixels that are well
-    exposed in both and of their brighter half, and the share of pixels on one level of brightness; null with too few."""
-    shifted = b.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *(F.col(c).alias(f"{c}2") for c in "rgb"))
-    inside = F.lit(True)
-    for c in ("r", "g", "b", "r2", "g2", "b2"):
-        inside = inside & (F.col(c) > low) & (F.col(c) < high)
-    m = a.select("x", "y", "r", "g", "b").join(shifted, ["x", "y"]).where(inside).withColumn("_l", luminance(F.col("r"), F.col("g"), F.col("b")))
-    # one pair of images: its overlap is bounded by the size of an image; the middle is one row
-    m = m.join(F.broadcast(m.agg(F.percentile("_l", 0.5).alias("_m"))))
-    channels = ("r", "g", "b", "r2", "g2", "b2")
-    bright = lambda c: F.percentile(F.when(F.col("_l") >= F.col("_m"), F.col(c)), 0.5).alias(f"{c}_bright")
-    out = m.agg(
-        F.count("*").alias("pixels"), F.avg((F.abs(F.col("_l") - F.col("_m")) <= 0.1 * F.col("_m")).cast("double")).alias("flat"),
-        *(F.percentile(c, 0.5).alias(c) for c in channels), *map(bright, channels)
-    )
-    enough = lambda c, name: F.when(F.col("pixels") >= least, c).alias(name)
-    return out.select(
-        "pixels", *(enough(F.try_divide(F.col(c), F.col(f"{c}2")), f"ratio_{c}") for c in "rgb"),
-        *(enough(F.try_divide(F.col(f"{c}_bright"), F.col(f"{c}2_bright")), f"bright_{c}") for c in "rgb"), enough(F.col("flat"), "flat_fraction")
-    )
-
-
-def overlap_ncc(a: DataFrame, b: DataFrame, dx: int, dy: int, least: int = 16) -> DataFrame:
-    """Zero-mean correlation of the overlap; -1 where it is thin or flat."""
-    shifted = b.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("grey").alias("grey2"))
-    m = a.select("x", "y", "grey").join(shifted, ["x", "y"]).agg(
-        F.count("*").alias("pixels"), F.corr(F.col("grey").cast("double"), F.col("grey2").cast("double")).alias("r")
-    )
-    return m.select("pixels", F.when((F.col("pixels") < least) | F.col("r").isNull() | F.isnan("r"), -1.0).otherwise(F.col("r")).alias("ncc"))
-
-
 def usable_samples(px: DataFrame, by: str, value: str, least_std: float = 3.0, mean: tuple[float, float] = (8.0, 247.0), rails: tuple[float, float] = (2.0, 253.0)) -> DataFrame:
     """Per image whether it says anything about the light: not blank, not too dark or bright, and less than half of it
     at the ends of the range."""
@@ -181,29 +144,6 @@ def usable_samples(px: DataFrame, by: str, value: str, least_std: float = 3.0, m
     return m.withColumn("usable", (F.col("std") >= least_std) & F.col("mean").between(*mean) & (F.col("rails") <= 0.5))
 
 
-def blur_reach(sigma: float) -> int:
-    return max(1, round(4 * sigma))
-
-
-def gaussian(px: DataFrame, by: str, value: str, sigma: float) -> DataFrame:
-    """A Gaussian blur along x, then along y; beyond the border the outermost pixel goes on. Every pixel is sent to the
-    places within reach, a number that sigma fixes, and those at the border beyond it as well."""
-    reach = blur_reach(sigma)
-    weights = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-reach, reach + 1)]
-    kernel = F.array(*(F.struct(F.lit(i - reach).alias("o"), F.lit(w / sum(weights)).alias("w")) for i, w in enumerate(weights)))
-    size = px.groupBy(by).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    out = px.select(by, "x", "y", F.col(value).cast("double").alias("_v")).join(size, by)
-    for c, lo, hi in (("x", "x0", "x1"), ("y", "y0", "y1")):
-        # the outermost pixel also stands for those beyond it
-        beyond = F.when(
-            F.col(lo) == F.col(hi), F.sequence(F.col(c) - reach, F.col(c) + reach)
-        ).when(F.col(c) == F.col(lo), F.sequence(F.col(c) - reach, F.col(c))).when(F.col(c) == F.col(hi), F.sequence(F.col(c), F.col(c) + reach)).otherwise(F.array(c))
-        held = out.withColumn("_at", F.explode(beyond)).withColumn("_k", F.explode(kernel))
-        held = held.withColumn(c, F.col("_at") - F.col("_k.o")).where(F.col(c).between(F.col(lo), F.col(hi)))
-        out = held.groupBy(by, "x", "y", "x0", "x1", "y0", "y1").agg(F.sum(F.col("_v") * F.col("_k.w")).alias("_v"))
-    return out.select(by, "x", "y", F.col("_v").alias(value))
-
-
 def flat_field(px: DataFrame, value: str = "grey", least: int = 8, blur: float | None = None) -> DataFrame:
     """Per pixel the median over tiles of values divided by their tile's mean, blurred by an eighth of the longer side
     (or by ``blur``; 0: not at all), kept above a thousandth of the largest, and scaled to a mean of 1."""
@@ -243,41 +183,6 @@ def merge_first(preds: DataFrame) -> DataFrame:
     return preds.groupBy("x", "y").agg(F.min_by("label", "tile_order").alias("label"))
 
 
-def _shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """The shift of b against a by phase correlation, refined by a parabola, and the correlation of the overlap."""
-    window = np.outer(np.hanning(a.shape[0]), np.hanning(a.shape[1]))
-    fa, fb = np.fft.rfft2((a - a.mean()) * window), np.fft.rfft2((b - b.mean()) * window)
-    cross = fa * fb.conj()
-    peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-12), a.shape)
-    y, x = np.unravel_index(int(peak.argmax()), peak.shape)
-
-    def fine(axis: int, at: int) -> float:
-        n = peak.shape[axis]
-        line = peak[:, x] if axis == 0 else peak[y, :]
-        left, mid, right = line[(at - 1) % n], line[at], line[(at + 1) % n]
-        bend = left - 2 * mid + right
-        whole = at if at <= n // 2 else at - n
-        return whole + (0.5 * (left - right) / bend if abs(bend) > 1e-12 else 0.0)
-
-    dy, dx = fine(0, int(y)), fine(1, int(x))
-    iy, ix = round(dy), round(dx)
-    h, w = a.shape
-    pa_, pb = a[max(0, iy) : h + min(0, iy), max(0, ix) : w + min(0, ix)], b[max(0, -iy) : h + min(0, -iy), max(0, -ix) : w + min(0, -ix)]
-    flat = pa_.size < 16 or pa_.std() < 1e-9 or pb.std() < 1e-9
-    return dx, dy, -1.0 if flat else float(np.corrcoef(pa_.ravel(), pb.ravel())[0, 1])
-
-
-def register_pairs(pairs: DataFrame) -> DataFrame:
-    """``(src, dst, dx, dy, ncc)`` from rows ``(src, dst, h, w, a, b)``, a and b the grey values of two images by rows."""
-
-    def run(batches):
-        for b in batches:
-            found = [_shift(np.asarray(r.a, float).reshape(r.h, r.w), np.asarray(r.b, float).reshape(r.h, r.w)) for r in b.itertuples()]
-            yield pd.DataFrame({"src": b["src"], "dst": b["dst"], "dx": [f[0] for f in found], "dy": [f[1] for f in found], "ncc": [f[2] for f in found]})
-
-    return pairs.select("src", "dst", "h", "w", "a", "b").mapInPandas(run, "src long, dst long, dx double, dy double, ncc double")
-
-
 def accept_edges(edges: DataFrame, prior_dx: float, prior_dy: float, least_ncc: float = 0.5, most_off: float = 20.0) -> DataFrame:
     """Edges of enough correlation near the prior keep their step and their correlation as weight; the others get the
     prior's step at a weight of a thousandth, with the reason."""
@@ -385,15 +290,35 @@ def closed_parts(px: DataFrame, by: str, target: int, width: int, height: int, r
     return label_components(shut, by, F.col("_closed"))
 
 
-def candidates(px: DataFrame, by: str, target: int, parts: DataFrame, least_pct: float = 1.0, most: int = 8) -> DataFrame:
+def filled_parts(px: DataFrame, by: str, boxes: DataFrame, own: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """``(by, component, filled_px, mean_*)``: each component with its holes, and the means of ``columns`` over both.
+
+    A component's holes are the four-connected pieces of what is not of it inside its own box ``(by, component, x0, x1,
+    y0, y1)`` that don't reach the box's rim; other components lying inside it are holes too. ``own`` has its pixels
+    ``(by, component, x, y)``.
+    """
+    inside = px.join(small(boxes), by).where("x >= x0 and x < x1 and y >= y0 and y < y1")
+    inside = inside.join(own.withColumn("_mine", F.lit(True)), [by, "component", "x", "y"], "left").withColumn("_key", F.struct(by, "component"))
+    inside = settle(inside.select("_key", "x", "y", "_mine", ((F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1") - 1) | (F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1") - 1)).alias("_rim"), *columns))
+    back = label_components(inside, "_key", F.col("_mine").isNull()).withColumnRenamed("component", "_piece")
+    open_ = back.join(inside.where("_rim").select("_key", "x", "y"), ["_key", "x", "y"], "left_semi").select("_key", "_piece").distinct()
+    holes = back.join(open_, ["_key", "_piece"], "left_anti").select("_key", "x", "y").withColumn("_hole", F.lit(True))
+    filled = inside.join(holes, ["_key", "x", "y"], "left").where(F.coalesce("_mine", "_hole"))
+    out = filled.groupBy("_key").agg(F.count("*").alias("filled_px"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
+    return out.select(F.col(f"_key.{by}").alias(by), F.col("_key.component").alias("component"), "filled_px", *(f"mean_{c}" for c in columns))
+
+
+def candidates(px: DataFrame, by: str, target: int, parts: DataFrame, least_pct: float = 1.0, most: int = 8, filled: bool = False) -> DataFrame:
     """The largest regions of a class, at most ``most`` of ``least_pct`` percent of it and more: area of the class's own
     pixels, shares of class and crystal, box, fill of the box, mean grey. From pixels ``(x, y, grey, label, valid)`` and
-    the class's ``closed_parts``."""
+    the class's ``closed_parts``. With ``filled`` also ``solidity``, the share of a region filled up that is its own, and
+    the mean ``r, g, b`` of the filled region."""
     own = px.withColumn("_sel", (F.col("label") == target) & F.col("valid"))
     box = parts.groupBy(by, "component").agg(
         F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")
     )
-    held = parts.join(own.where("_sel"), [by, "x", "y"]).groupBy(by, "component").agg(F.count("*").alias("area_px"), F.avg("grey").alias("mean_grey"))
+    mine = parts.join(own.where("_sel"), [by, "x", "y"])
+    held = mine.groupBy(by, "component").agg(F.count("*").alias("area_px"), F.avg("grey").alias("mean_grey"))
     totals = own.groupBy(by).agg(F.count_if("_sel").alias("_class"), F.count_if((F.col("label") > 0) & F.col("valid")).alias("_crystal"))
     out = held.join(box, [by, "component"]).join(totals, by).withColumns(
         {
@@ -402,7 +327,13 @@ def candidates(px: DataFrame, by: str, target: int, parts: DataFrame, least_pct:
         }
     )
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("area_px"), "component"))
-    return out.where(F.col("pct_of_class") >= least_pct).withColumn("rank", rank).where(F.col("rank") <= most).drop("_class", "_crystal")
+    out = out.where(F.col("pct_of_class") >= least_pct).withColumn("rank", rank).where(F.col("rank") <= most).drop("_class", "_crystal")
+    if not filled:
+        return out
+    out = settle(out)
+    boxes = out.select(by, "component", "x0", "x1", "y0", "y1")
+    whole = filled_parts(px.select(by, "x", "y", "r", "g", "b"), by, boxes, mine.select(by, "component", "x", "y"), "rgb")
+    return out.join(whole, [by, "component"]).withColumn("solidity", F.col("area_px") / F.col("filled_px")).drop("filled_px")
 
 
 def exclusion_mask(px: DataFrame, by: str, parts: DataFrame, excluded: DataFrame, width: int, height: int, reach: int = 4) -> DataFrame:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import checks, journals, models, numerics, rasters, records, regions, scans, spectra, stages, tiles
+from tessera.plans import alignments, checks, journals, models, numerics, rasters, records, regions, scans, spectra, stages, tiles
 
-PARTS = (rasters, tiles, journals, spectra, numerics, records, scans, checks, regions, stages, models)
+PARTS = (rasters, tiles, journals, spectra, numerics, records, scans, checks, regions, alignments, stages, models)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

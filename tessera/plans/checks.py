@@ -139,37 +139,12 @@ def session_selection(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@registry.add(f"""WITH {IMG}, bad AS (SELECT x, y FROM img WHERE NOT valid AND x % 3 = 0 AND y % 4 = 0), k AS (SELECT i.x, i.y FROM img i WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE (b.x - i.x) * (b.x - i.x) + (b.y - i.y) * (b.y - i.y) < 9)) SELECT y, count(*) AS kept FROM k GROUP BY y""")
-def trimmed_border(spark: SparkSession, d: str) -> DataFrame:
-    px = image(spark, d).withColumn("valid", F.expr("valid or x % 3 <> 0 or y % 4 <> 0"))
-    return raster.trim_border(px, "image", 64, 48, 3).where("valid").groupBy("y").agg(F.count("*").alias("kept"))
-
-
 @registry.add(f"""WITH {PX}, t AS (SELECT x // 32 AS tile, avg(5 * value) AS mean, stddev_pop(5 * value) AS std, avg((5 * value <= 2 OR 5 * value >= 240)::INT) AS rails FROM px GROUP BY 1) SELECT tile, std >= 70 AND mean BETWEEN 8 AND 247 AND rails <= 0.5 AS usable FROM t""")
 def usable_samples(spark: SparkSession, d: str) -> DataFrame:
     px = px_view(spark, d).select(F.expr("cast(x div 32 as int)").alias("tile"), (F.col("value") * 5).alias("grey"))
     return raster.usable_samples(px, "tile", "grey", least_std=70.0, rails=(2.0, 240.0)).select("tile", "usable")
 
 
-SHIFTED = f"""{RGB}, met AS (SELECT a.r AS r, a.g AS g, a.b AS b, c.r AS r2, c.g AS g2, c.b AS b2 FROM rgb a JOIN rgb c ON a.x = c.x + 5 AND a.y = c.y + 2), ok AS (SELECT * FROM met WHERE least(r, g, b, r2, g2, b2) > 20 AND greatest(r, g, b, r2, g2, b2) < 245)"""
-
-
-@registry.add(f"""WITH {SHIFTED}, l AS (SELECT *, {LUMA} AS lum FROM ok), m AS (SELECT quantile_cont(lum, 0.5) AS med FROM l), s AS (SELECT l.*, med, lum >= med AS bright FROM l, m)
-SELECT count(*) AS pixels, round(quantile_cont(r, 0.5) / quantile_cont(r2, 0.5), 6) AS ratio_r, round(quantile_cont(g, 0.5) / quantile_cont(g2, 0.5), 6) AS ratio_g, round(quantile_cont(b, 0.5) / quantile_cont(b2, 0.5), 6) AS ratio_b,
-  round(quantile_cont(r, 0.5) FILTER (WHERE bright) / quantile_cont(r2, 0.5) FILTER (WHERE bright), 6) AS bright_r, round(quantile_cont(g, 0.5) FILTER (WHERE bright) / quantile_cont(g2, 0.5) FILTER (WHERE bright), 6) AS bright_g, round(quantile_cont(b, 0.5) FILTER (WHERE bright) / quantile_cont(b2, 0.5) FILTER (WHERE bright), 6) AS bright_b,
-  round(avg((abs(lum - med) <= 0.1 * med)::INT), 6) AS flat_fraction FROM s""")
-def overlap_ratios(spark: SparkSession, d: str) -> DataFrame:
-    px = coloured(spark, d)
-    out = raster.overlap_ratio(px, px, 5, 2)
-    return rounded(out, *(c for c in out.columns if c != "pixels"))
-
-
-@registry.add(f"WITH {IMG}, m AS (SELECT a.grey AS a, b.grey AS b FROM img a JOIN img b ON a.x = b.x + 3 AND a.y = b.y + 1) SELECT count(*) AS pixels, round(corr(a, b), 6) AS ncc FROM m")
-def overlap_correlation(spark: SparkSession, d: str) -> DataFrame:
-    px = image(spark, d)
-    return rounded(raster.overlap_ncc(px, px, 3, 1), "ncc")
-
-
 @registry.add("""WITH m AS (SELECT p_partkey AS id, (p_size % 10) / 10.0 AS flat, (p_partkey % 7) / 6.0 AS plateau, p_partkey % 3 AS others, p_size % 20 AS std, (p_partkey % 100) / 10000.0 AS sat, p_size * 4.0 AS lum FROM part)
 SELECT id, list_filter([CASE WHEN flat < 0.5 THEN 'flat' END, CASE WHEN plateau < 0.85 THEN 'plateau' END, CASE WHEN others > 0 THEN 'other_material' END, CASE WHEN std > 12 THEN 'spread' END], lambda x: x IS NOT NULL).array_to_string(',') AS reasons, flat >= 0.5 AND plateau >= 0.85 AND others = 0 AND std <= 12 AS clean, CASE WHEN sat > 0.005 THEN 'saturated' WHEN lum < 40 THEN 'too_dark' ELSE 'ok' END AS exposure FROM m""")
 def clean_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -269,28 +244,6 @@ def input_binding(spark: SparkSession, d: str) -> DataFrame:
 # ---- aggregates
 
 
-@registry.add("""WITH t AS (SELECT p_partkey % 12 AS tile, (p_partkey // 12) % 4 AS x, (p_partkey // 48) % 4 AS y, avg(p_retailprice) AS grey FROM part GROUP BY ALL), m AS (SELECT tile, avg(grey) AS m FROM t GROUP BY 1), g AS (SELECT x, y, quantile_cont(grey / m, 0.5) AS gain, count(*) AS n FROM t JOIN m USING (tile) GROUP BY ALL)
-SELECT x, y, round(gain / (SELECT avg(gain) FROM g), 6) AS gain FROM g""")
-def flat_field(spark: SparkSession, d: str) -> DataFrame:
-    px = table(spark, d, "part").groupBy(
-        F.expr("p_partkey % 12").alias("tile"), F.expr("(p_partkey div 12) % 4").alias("x"), F.expr("(p_partkey div 48) % 4").alias("y")
-    ).agg(F.avg("p_retailprice").alias("grey"))
-    return rounded(raster.flat_field(px, blur=0.0), "gain")
-
-
-def _kernel(sigma: float) -> str:
-    import math
-
-    w = [math.exp(-(i * i) / (2 * sigma * sigma)) for i in range(-raster.blur_reach(sigma), raster.blur_reach(sigma) + 1)]
-    return ", ".join(f"({i - raster.blur_reach(sigma)}, {v / sum(w)!r}::DOUBLE)" for i, v in enumerate(w))
-
-
-@registry.add(f"""WITH {IMG}, k(o, w) AS (VALUES {_kernel(1.5)}), h AS (SELECT a.i AS x, b.j AS y, sum(w * grey) AS v FROM range(64) a(i) CROSS JOIN range(48) b(j) CROSS JOIN k JOIN img ON img.x = least(63, greatest(0, a.i + o)) AND img.y = b.j GROUP BY 1, 2),
-v AS (SELECT a.i AS x, b.j AS y, sum(w * h.v) AS v FROM range(64) a(i) CROSS JOIN range(48) b(j) CROSS JOIN k JOIN h ON h.x = a.i AND h.y = least(47, greatest(0, b.j + o)) GROUP BY 1, 2) SELECT x::INT AS x, y::INT AS y, round(v, 6) AS grey FROM v""")
-def gaussian_blur(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(raster.gaussian(image(spark, d), "image", "grey", 1.5).select("x", "y", "grey"), "grey")
-
-
 @registry.add(f"""WITH {RGB}, l AS (SELECT *, {LUMA} AS v FROM rgb), f AS (SELECT *, abs(v - lag(v, 1, v) OVER q) <= 60 AND abs(v - lead(v, 1, v) OVER q) <= 60 AND abs(v - lag(v, 1, v) OVER c) <= 60 AND abs(v - lead(v, 1, v) OVER c) <= 60 AS flat FROM l WINDOW q AS (PARTITION BY y ORDER BY x), c AS (PARTITION BY x ORDER BY y)),
 s AS (SELECT floor(v / 16) AS bin, r, g, b FROM f WHERE flat), n AS (SELECT bin, count(*) AS n FROM s GROUP BY 1), best AS (SELECT max(bin) FILTER (WHERE n >= 0.1 * (SELECT count(*) FROM s)) AS bin FROM n)
 SELECT round(quantile_cont(r, 0.5), 6) AS r, round(quantile_cont(g, 0.5), 6) AS g, round(quantile_cont(b, 0.5), 6) AS b, count(*) AS pixels FROM s, best WHERE best.bin IS NULL OR s.bin = best.bin""")

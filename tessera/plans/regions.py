@@ -48,13 +48,17 @@ tot AS (SELECT count(*) FILTER (WHERE label = 3 AND valid) AS c, count(*) FILTER
 cand AS (SELECT component, area_px, mean_grey, x0, x1, y0, y1, 100.0::DOUBLE * area_px / c AS pct_of_class, 100.0::DOUBLE * area_px / k AS pct_of_crystal, area_px::DOUBLE / ((x1 - x0) * (y1 - y0)) AS bbox_fill, (row_number() OVER (ORDER BY area_px DESC, component))::INT AS rank FROM held JOIN box USING (component), tot WHERE 100.0 * area_px / c >= 1.0 QUALIFY row_number() OVER (ORDER BY area_px DESC, component) <= 8)"""
 
 
-@registry.add(f"WITH RECURSIVE {IMG}, {PROPOSED} SELECT component, area_px, x0, x1, y0, y1, rank, round(mean_grey, 6) AS mean_grey, round(pct_of_class, 6) AS pct_of_class, round(pct_of_crystal, 6) AS pct_of_crystal, round(bbox_fill, 6) AS bbox_fill FROM cand")
+#: Pieces of what isn't of a proposed region inside its box, and the pieces that don't reach the box's rim.
+FILLED = """mine AS (SELECT component AS k, x, y FROM comp JOIN img USING (x, y) WHERE label = 3 AND valid), inbox AS (SELECT c.component AS k, i.x, i.y, i.x IN (c.x0, c.x1 - 1) OR i.y IN (c.y0, c.y1 - 1) AS rim, i.grey, m.k IS NOT NULL AS own FROM cand c JOIN img i ON i.x >= c.x0 AND i.x < c.x1 AND i.y >= c.y0 AND i.y < c.y1 LEFT JOIN mine m ON m.k = c.component AND m.x = i.x AND m.y = i.y),
+gap AS (SELECT * FROM inbox WHERE NOT own), outer_(k, x, y) AS (SELECT k, x, y FROM gap WHERE rim UNION SELECT n.k, n.x, n.y FROM outer_ c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy), gap n WHERE n.k = c.k AND n.x = c.x + o.dx AND n.y = c.y + o.dy),
+full_ AS (SELECT k AS component, count(*) AS filled, avg(grey) AS r, avg(grey * 0.9::DOUBLE + 20) AS g, avg(greatest(0, grey - 30)) AS b FROM inbox LEFT JOIN (SELECT *, true AS out_ FROM outer_) q USING (k, x, y) WHERE own OR out_ IS NULL GROUP BY k)"""
+
+
+@registry.add(f"WITH RECURSIVE {IMG}, {PROPOSED}, {FILLED} SELECT component, area_px, x0, x1, y0, y1, rank, round(mean_grey, 6) AS mean_grey, round(pct_of_class, 6) AS pct_of_class, round(pct_of_crystal, 6) AS pct_of_crystal, round(bbox_fill, 6) AS bbox_fill, round(area_px / filled::DOUBLE, 6) AS solidity, round(r, 6) AS mean_r, round(g, 6) AS mean_g, round(b, 6) AS mean_b FROM cand JOIN full_ USING (component)")
 def region_proposals(spark: SparkSession, d: str) -> DataFrame:
-    px = image(spark, d)
-    return rounded(
-        raster.candidates(px, "image", 3, raster.closed_parts(px, "image", 3, WIDE, HIGH)).drop("image"), "mean_grey", "pct_of_class",
-        "pct_of_crystal", "bbox_fill"
-    )
+    px = coloured(spark, d)
+    out = raster.candidates(px, "image", 3, raster.closed_parts(px, "image", 3, WIDE, HIGH), filled=True).drop("image")
+    return rounded(out, "mean_grey", "pct_of_class", "pct_of_crystal", "bbox_fill", "solidity", "mean_r", "mean_g", "mean_b")
 
 
 MASKED = f"""{SELECTED}, gone AS (SELECT img.x, img.y, comp.x IS NOT NULL AS m FROM img LEFT JOIN comp ON comp.x = img.x AND comp.y = img.y AND comp.component % 3 <> 0), {_closed('rim', 'gone', 4)}, open_ AS (SELECT x, y FROM rim WHERE NOT m), {_parts('back', 'open_')},
@@ -114,24 +118,3 @@ def first_written(spark: SparkSession, d: str) -> DataFrame:
         "cast(x div 8 as int) as x", "cast(y div 8 as int) as y", "label", "struct((x + y) % 5 as o, label as l) as tile_order"
     )
     return raster.merge_first(preds)
-
-
-SHIFTS = ((0, 0), (3, 0), (0, 4), (-5, 2), (6, -3), (-2, -6))
-
-
-@registry.add("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {dx}::BIGINT, {dy}::BIGINT, true)" for i, (dx, dy) in enumerate(SHIFTS)) + ") t(pair, dx, dy, good)")
-def registered_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Known shifts of parts of one image, found again by phase correlation."""
-    px = image(spark, d).withColumn("grey", F.col("grey") + F.expr("pmod(hash(x, y), 100)"))
-    out = None
-    for i, (dx, dy) in enumerate(SHIFTS):
-        part = px.withColumn("a", F.col("x").between(8, 55) & F.col("y").between(8, 39)).withColumn(
-            "b", F.col("x").between(8 + dx, 55 + dx) & F.col("y").between(8 + dy, 39 + dy)
-        )
-        values = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c), F.struct("y", "x", "grey")))), lambda s: s["grey"]).alias(c)
-        row = part.agg(values("a"), values("b")).select(
-            F.lit(i).cast("long").alias("src"), F.lit(i).cast("long").alias("dst"), F.lit(32).alias("h"), F.lit(48).alias("w"), "a", "b"
-        )
-        out = row if out is None else out.unionByName(row)
-    found = raster.register_pairs(out)
-    return found.select(F.col("src").alias("pair"), F.rint("dx").cast("long").alias("dx"), F.rint("dy").cast("long").alias("dy"), (F.col("ncc") > 0.9).alias("good"))

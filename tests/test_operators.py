@@ -129,15 +129,6 @@ def test_border_trim(spark):
     assert kept == sum((x - 5) ** 2 + (y - 5) ** 2 >= 9 for x in range(11) for y in range(11))
 
 
-def test_registration_finds_the_shift(spark):
-    rng = np.random.default_rng(3)
-    big = rng.random((80, 80))
-    a, b = big[10:58, 10:58], big[14:62, 7:55]
-    rows = [(1, 2, 48, 48, a.ravel().tolist(), b.ravel().tolist())]
-    r = raster.register_pairs(spark.createDataFrame(rows, "src long, dst long, h int, w int, a array<double>, b array<double>")).head()
-    assert (round(r.dx), round(r.dy)) == (-3, 4) and r.ncc > 0.99
-
-
 def test_positions_are_recovered(spark):
     rng = np.random.default_rng(4)
     place = {i: (100.0 * (i % 5) + rng.random(), 80.0 * (i // 5) + rng.random()) for i in range(20)}
