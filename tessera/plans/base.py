@@ -13,7 +13,7 @@ WIDTH, HEIGHT, COLUMNS, ROWS = 640, 480, 15, 8
 
 # Each view twice: as a DataFrame, and as the WITH clause of a twin.
 PX = "px AS (SELECT (l_orderkey % 640)::INT AS x, (l_partkey % 480)::INT AS y, (l_linenumber % 4)::INT AS label, l_returnflag <> 'A' AS valid, l_discount >= 0.08 AS excluded, l_quantity AS value, l_extendedprice AS price FROM lineitem)"
-TILES = "tiles AS (SELECT p_partkey AS id, (p_partkey % 50)::INT AS row, (p_partkey // 50)::INT AS col, p_retailprice AS metric, p_size AS size FROM part)"
+TILES = "tiles AS (SELECT p_partkey AS id, (p_partkey % 50)::INT AS row, p_partkey // 50 AS col, p_retailprice AS metric, p_size AS size FROM part)"
 JOURNAL = "journal AS (SELECT user_id, event_id, event_type AS event, value, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events)"
 
 
@@ -26,7 +26,7 @@ def px(spark: SparkSession, d: str) -> DataFrame:
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").selectExpr(
-        "p_partkey as id", "cast(p_partkey % 50 as int) as row", "cast(p_partkey div 50 as int) as col", "p_retailprice as metric", "p_size as size"
+        "p_partkey as id", "cast(p_partkey % 50 as int) as row", "p_partkey div 50 as col", "p_retailprice as metric", "p_size as size"
     )
 
 

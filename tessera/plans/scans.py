@@ -183,14 +183,14 @@ def recent_tiles(spark: SparkSession, d: str) -> DataFrame:
     return acquisition.recent(files, "name", "at", since).select("name")
 
 
-CAPTURES = """c AS (SELECT doc_id, 'd' || doc_id AS name, (doc_id // 20)::INT AS "row", (doc_id % 20 - CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END)::INT AS col, n_chars AS bytes, lang AS sha256 FROM documents WHERE doc_id % 11 <> 0),
+CAPTURES = """c AS (SELECT doc_id, 'd' || doc_id AS name, doc_id // 20 AS "row", (doc_id % 20 - CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END)::INT AS col, n_chars AS bytes, lang AS sha256 FROM documents WHERE doc_id % 11 <> 0),
 t AS (SELECT 'd' || doc_id AS name, n_chars + (CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS bytes, (CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END) AS sha256 FROM documents WHERE doc_id % 13 <> 0)"""
 
 
 def _captures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
     a = docs.where("doc_id % 11 <> 0").selectExpr(
-        "concat('d', doc_id) as name", "cast(doc_id div 20 as int) as row", "cast(doc_id % 20 - if(doc_id % 31 = 0, 1, 0) as int) as col",
+        "concat('d', doc_id) as name", "doc_id div 20 as row", "cast(doc_id % 20 - if(doc_id % 31 = 0, 1, 0) as int) as col",
         "n_chars as bytes", "lang as sha256"
     )
     return a, docs.where("doc_id % 13 <> 0").selectExpr(
@@ -344,10 +344,10 @@ def csv_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@registry.add("SELECT (p_partkey % 50)::INT AS \"row\", (p_partkey // 50)::INT AS col, round(p_retailprice, 2) AS sharpness, p_size % 3 AS retries, p_name AS path FROM part")
+@registry.add("SELECT (p_partkey % 50)::INT AS \"row\", p_partkey // 50 AS col, round(p_retailprice, 2) AS sharpness, p_size % 3 AS retries, p_name AS path FROM part")
 def csv_sharpness(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").selectExpr(
-        "cast(p_partkey % 50 as int) as row", "cast(p_partkey div 50 as int) as col", "round(p_retailprice, 2) as sharpness", "p_size % 3 as retries",
+        "cast(p_partkey % 50 as int) as row", "p_partkey div 50 as col", "round(p_retailprice, 2) as sharpness", "p_size % 3 as retries",
         "p_name as path"
     )
     return _csv(spark, rows)
@@ -396,10 +396,10 @@ def published_map(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_published(spark, folder, {"cells": cells.schema, "margins": margins.schema}, "canvas_px")
 
 
-@registry.add("""WITH n AS (SELECT max(p_partkey // 50) AS top FROM part) SELECT p_partkey AS id, (n.top - p_partkey // 50)::INT AS col, (p_partkey % 50)::INT AS "row", greatest(0, least(255, round_even(p_size * 5 * 1.07, 0)))::INT AS grey FROM part, n""")
+@registry.add("""WITH n AS (SELECT max(p_partkey // 50) AS top FROM part) SELECT p_partkey AS id, n.top - p_partkey // 50 AS col, (p_partkey % 50)::INT AS "row", greatest(0, least(255, round_even(p_size * 5 * 1.07, 0)))::INT AS grey FROM part, n""")
 def mirrored_dataset(spark: SparkSession, d: str) -> DataFrame:
     tiles = table(spark, d, "part").selectExpr(
-        "p_partkey as id", "cast(p_partkey div 50 as int) as col", "cast(p_partkey % 50 as int) as row", "p_size * 5 as grey"
+        "p_partkey as id", "p_partkey div 50 as col", "cast(p_partkey % 50 as int) as row", "p_size * 5 as grey"
     )
     return acquisition.mirrored(tiles, "col", {"grey": 1.07})
 

@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalogue
+from tessera.plans import catalogue, tiles
 from tests.compare import same
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -29,3 +29,13 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = QUERIES["stride_sample_counts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan.split("ReadSchema")[-1]
+
+
+def test_tiles_with_large_ids(spark, sf_dir, tmp_path):
+    """Every query on the grid of tiles runs where ids are far beyond 32 bits."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 150")
+    part.withColumn("p_partkey", part["p_partkey"] + 10_000_000_000_000_000).write.parquet(str(tmp_path / "part.parquet"))
+    names = [n for n in tiles.QUERIES if "tiles AS (" in SQL.get(n, "")] + ["position_solve", "gain_solve", "anchor_tiles", "csv_sharpness", "mirrored_dataset"]
+    assert len(names) > 15
+    for name in names:
+        QUERIES[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
