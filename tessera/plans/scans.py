@@ -13,7 +13,7 @@ from tessera.plans.base import journal as journal_view
 from tessera.plans.base import px as px_view
 from tessera.plans.rasters import BINS, COUNTS, FRACTIONS
 from tessera.session import new_folder, stored, table
-from tessera.sources import layouts, records, sinks
+from tessera.sources import containers, layouts, records, sinks
 
 registry = Registry()
 QUERIES, SQL = registry.queries, registry.sql
@@ -387,6 +387,18 @@ def content_store(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(folder).select("sha256", "bytes")
 
 
+@registry.add("""SELECT lang, count(*) AS members, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, min(md5(coalesce(text, ''))) AS least, max(md5(coalesce(text, ''))) AS most FROM documents GROUP BY lang""")
+def archive_members(spark: SparkSession, d: str) -> DataFrame:
+    """Texts packed into archives beside resource files, listed by the archives' ends, and read by range."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("in/"), F.coalesce("lang", F.lit("-")), F.lit("/"), "doc_id", F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
+    folder = new_folder(spark, "archives")
+    hidden = docs.select(F.concat(F.lit("__MACOSX/"), "member").alias("member"), F.lit(b"x").alias("content"))
+    containers.write_archives(docs.unionByName(hidden), folder).agg(F.sum("members")).collect()
+    read = containers.contents(containers.members(spark, f"{folder}/*.zip"))
+    lang = F.nullif(F.element_at(F.split("member", "/"), 2), F.lit("-"))
+    return read.groupBy(lang.alias("lang")).agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"), F.min(F.md5("content")).alias("least"), F.max(F.md5("content")).alias("most"))
+
+
 @registry.add(f"""WITH {PX}, c AS (SELECT *, {BINS} FROM px), g AS (SELECT grid_row, grid_col, {COUNTS} FROM c GROUP BY ALL) SELECT 'cells' AS output, count(*) AS "rows", true AS verified, sum(canvas_px)::BIGINT AS canvas_px FROM g UNION ALL SELECT 'margins', (SELECT count(DISTINCT grid_row) + count(DISTINCT grid_col) + 1 FROM g), true, (SELECT 3 * sum(canvas_px) FROM g)::BIGINT""")
 def published_map(spark: SparkSession, d: str) -> DataFrame:
     """Cells and margins published together: staged, checked, renamed, the manifest with each file's digest last."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -88,29 +87,6 @@ def npy_rasters(spark: SparkSession, path: str, name: str = "label") -> DataFram
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, y int, x int, {name} double")
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """Members of zip files: ``container, member, bytes, crc, content``; dotfiles and resource folders are skipped."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in z.infolist():
-                        last = m.filename.rsplit("/", 1)[-1]
-                        if not m.is_dir() and not last.startswith(".") and "__MACOSX" not in m.filename:
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array([file]), pa.array([m.filename]), pa.array([m.file_size]), pa.array([m.CRC]),
-                                    pa.array([z.read(m)], pa.binary())
-                                ],
-                                ["container", "member", "bytes", "crc", "content"]
-                            )
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(
-        run, "container string, member string, bytes long, crc long, content binary"
-    )
-
-
 def image_pixels(spark: SparkSession, path: str) -> DataFrame:
     """Pixels ``(file, y, x, r, g, b)`` of PNG and JPEG images, grey ones too; the source keeps bytes as blue, green, red
     by rows."""

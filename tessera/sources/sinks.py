@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.votes import upsert
-from tessera.session import new_folder, remove
+from tessera.session import new_folder, remove, shuffle_partitions
+from tessera.sources.containers import PORTION, system_of
+from tessera.sources.publishing import HashedParquet, manifest
 
 
 def _system(spark: SparkSession, path: str):
@@ -63,10 +67,24 @@ def merge_queue(old: DataFrame, new: DataFrame, key: list[str], target: str) ->
 
 
 def output_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, bytes, sha256`` of all files of a result, for its manifest."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    """``path, bytes, sha256`` of all files of a result, to hold them against its manifest. Files are read in portions, so
+    they can be of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path in b.column(0).to_pylist():
+                system, place = system_of(path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as raw:
+                    while part := raw.read(PORTION):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], ["path", "bytes", "sha256"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    dealt = files.repartition(shuffle_partitions(spark), "path")  # large files aren't split, but lie in tasks of their own
+    return dealt.mapInArrow(run, "path string, bytes long, sha256 string")
 
 
 def append_events(rows: DataFrame, folder: str, batch: int) -> bool:
@@ -104,21 +122,20 @@ def raster_rows(px: DataFrame, value: str) -> DataFrame:
 
 
 def publish_all(tables: Mapping[str, DataFrame], target: str) -> str:
-    """Several tables published as one folder: staged, each file's size and digest noted, the manifest written last, then
-    renamed. A target that exists is refused; a failed attempt leaves nothing under its name."""
+    """Several tables published as one folder: staged, files hashed by the tasks that write them, the manifest written
+    last, then renamed. Nothing is read again. A target that exists is refused; a failed attempt leaves nothing."""
     spark = next(iter(tables.values())).sparkSession
     system, place, jvm = _system(spark, target)
     if system.exists(place):
         raise FileExistsError(target)
+    spark.dataSource.register(HashedParquet)
     staging = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
     try:
         noted = None
         for name, df in tables.items():
-            df.write.parquet(f"{staging}/{name}")
-            hashes = output_hashes(spark, f"{staging}/{name}").where(F.col("path").endswith(".parquet")).withColumn("output", F.lit(name)).withColumn(
-                "path", F.regexp_extract("path", r"([^/]+)$", 1)
-            )
-            noted = hashes if noted is None else noted.unionByName(hashes)
+            df.write.format("hashed_parquet").mode("append").save(f"{staging}/{name}")
+            part = manifest(spark, f"{staging}/{name}").withColumn("output", F.lit(name))
+            noted = part if noted is None else noted.unionByName(part)
         noted.coalesce(1).write.json(f"{staging}/manifest")
         if not system.rename(jvm.org.apache.hadoop.fs.Path(staging), place):
             raise OSError(f"{staging} could not be renamed")

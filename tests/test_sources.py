@@ -1,3 +1,4 @@
+import hashlib
 import zipfile
 
 import numpy as np
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tessera.plans.memo import Stage, run_all
-from tessera.sources import layouts, records, sinks
+from tessera.sources import containers, layouts, publishing, records, sinks
 from tessera.streaming import journal as streams
 
 EVENT = StructType([StructField("event", StringType()), StructField("sequence", LongType())])
@@ -31,7 +32,7 @@ def test_arrays_zips_and_tables(spark, tmp_path):
         z.writestr("001.png", b"x" * 10)
         z.writestr("__MACOSX/001.png", b"y")
         z.writestr(".hidden", b"z")
-    assert [r.member for r in records.zip_members(spark, str(tmp_path / "t.zip")).collect()] == ["001.png"]
+    assert [r.member for r in containers.contents(containers.members(spark, str(tmp_path / "t.zip"))).collect()] == ["001.png"]
     (tmp_path / "s.csv").write_text("nm,b,c,signal\n619.921,0,0,2.5\nbad,0,0,1\n")
     got = records.spectra_csv(spark, str(tmp_path / "s.csv")).collect()
     assert got[0].x == pytest.approx(2.0) and got[1].x is None
@@ -152,3 +153,63 @@ def test_png_is_read_by_other_readers(spark, tmp_path):
     got = {(r.x, r.y): r.r for r in records.image_pixels(spark, str(tmp_path / "i.png")).collect()}
     want = {(r.x, r.y): r.g for r in px.collect()}
     assert len(got) == 2100 and all(v == want.get(k, 3) for k, v in got.items())
+
+
+def test_members_are_read_where_they_lie(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    held = {f"in/{i:03}.bin": rng.bytes(int(rng.integers(0, 5000))) for i in range(60)}
+    for n, kind in enumerate((zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED)):
+        with zipfile.ZipFile(tmp_path / f"a{n}.zip", "w", kind) as z:
+            for name, data in held.items():
+                z.writestr(name, data)
+            z.writestr("in/broken.bin", b"q" * 3000)
+            z.writestr("in/folder/", b"")
+    listed = containers.members(spark, str(tmp_path / "*.zip"))
+    assert listed.count() == 122
+    whole = bytearray((tmp_path / "a0.zip").read_bytes())
+    at = whole.index(b"q" * 3000)
+    whole[at + 5] = 0
+    (tmp_path / "a0.zip").write_bytes(bytes(whole))
+    monkeypatch.setattr(containers, "TASK", 20_000)
+    got = containers.contents(listed.where("member not like '%broken%'"))
+    assert got.rdd.getNumPartitions() > 4
+    rows = got.collect()
+    assert len(rows) == 120 and all(bytes(r.content) == held[r.member] and r.bytes == len(r.content) for r in rows)
+    with pytest.raises(Exception, match="broken.bin: damaged"):
+        containers.contents(listed).collect()
+    assert containers.contents(listed.limit(0)).count() == 0
+
+
+def test_archives_are_written_and_read(spark, tmp_path):
+    rows = spark.range(200).selectExpr("concat('x/', id) as member", "cast(repeat(id, 50) as binary) as content").repartition(3)
+    assert containers.write_archives(rows, str(tmp_path / "z")).agg({"members": "sum"}).head()[0] == 200
+    got = containers.contents(containers.members(spark, str(tmp_path / "z" / "*.zip"))).select("member", "content")
+    assert got.exceptAll(rows).count() == 0 and got.count() == 200
+
+
+def test_commit_writes_the_manifest_last(spark, tmp_path):
+    spark.dataSource.register(publishing.HashedParquet)
+    df = spark.range(1000).selectExpr("id", "cast(id as string) as s", "if(id % 7 = 0, null, id / 3) as x", "cast(id as decimal(12,3)) as d", "array(id) as a").repartition(3)
+    target = str(tmp_path / "out")
+    df.write.format("hashed_parquet").mode("append").save(target)
+    noted = publishing.manifest(spark, target).collect()
+    files = {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "out").glob("part-*")}
+    assert {r.path: r.sha256 for r in noted} == files and sum(r.rows for r in noted) == 1000
+    back = spark.read.parquet(target)
+    assert back.exceptAll(df).count() == 0 and back.count() == 1000
+    seen = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in sinks.output_hashes(spark, target).collect()}
+    assert {k: v for k, v in seen.items() if k in files} == files
+    empty = str(tmp_path / "empty")
+    df.limit(0).write.format("hashed_parquet").mode("append").save(empty)
+    assert publishing.manifest(spark, empty).count() == 0
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    spark.dataSource.register(publishing.HashedParquet)
+    bad = spark.range(0, 40_000, 1, 4).selectExpr("id", "assert_true(id < 35000) as fine")
+    with pytest.raises(Exception):
+        bad.write.format("hashed_parquet").mode("append").save(str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists()
+    with pytest.raises(Exception):
+        sinks.publish_all({"a": spark.range(5), "b": bad}, str(tmp_path / "all"))
+    assert not list(tmp_path.glob("all*"))
