@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import fitting, joins, solve
 from tessera.plans.base import JOURNAL, Registry, journal, rounded, tiles
-from tessera.session import table
+from tessera.session import new_folder, table
 from tessera.streaming import journal as streams
 
 registry = Registry()
@@ -47,6 +49,15 @@ def spectrum_fits(spark: SparkSession, d: str) -> DataFrame:
     return fitting.fit_spectra(s)
 
 
+def _in_two(spark: SparkSession, rows: DataFrame, first: str, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """A stream run over the rows that come first, stopped, and started again when the others are there."""
+    folder, out, state = (new_folder(spark, f"{name}-{n}") for n in ("in", "out", "state"))
+    for part in (rows.where(first), rows.where(f"not ({first})")):
+        part.write.mode("append").parquet(folder)
+        found = streams.run_available(spark, make(spark.readStream.schema(rows.schema).parquet(folder)), name, out, state)
+    return found
+
+
 @registry.add(f"""WITH {JOURNAL}, k AS (SELECT user_id, sequence, event_id, coalesce(lag(sequence) OVER (PARTITION BY user_id ORDER BY sequence), 0) + 1 AS upcoming FROM journal WHERE event <> 'view')
 SELECT user_id::VARCHAR AS stream_id, sequence, event_id::VARCHAR AS event_id, 'gap' AS fault FROM k WHERE sequence > upcoming UNION ALL SELECT user_id::VARCHAR, sequence, event_id::VARCHAR, 'no start' FROM k WHERE sequence = 1""")
 def journal_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -54,11 +65,7 @@ def journal_stream(spark: SparkSession, d: str) -> DataFrame:
     j = journal(spark, d).where("event <> 'view'").selectExpr(
         "cast(user_id as string) as stream_id", "sequence", "cast(event_id as string) as event_id", "event"
     )
-    from tessera.session import new_folder
-
-    folder = new_folder(spark, "journal")
-    j.write.parquet(folder)
-    return streams.run_available(spark, streams.validate_stream(spark.readStream.schema(j.schema).parquet(folder)), "faults")
+    return _in_two(spark, j, "sequence <= 25", streams.validate_stream, "faults")
 
 
 @registry.add(f"""WITH RECURSIVE {JOURNAL}, r(user_id, sequence, recent, reference, accepted) AS (SELECT DISTINCT user_id, 0::BIGINT, []::DOUBLE[], NULL::DOUBLE, true FROM journal
@@ -67,16 +74,15 @@ FROM r JOIN journal j ON j.user_id = r.user_id AND j.sequence = r.sequence + 1,
 SELECT user_id::VARCHAR AS stream_id, sequence, round(reference, 6) AS reference, accepted FROM r WHERE sequence > 0""")
 def running_focus(spark: SparkSession, d: str) -> DataFrame:
     frames = journal(spark, d).selectExpr("cast(user_id as string) as stream_id", "sequence", "value as score")
-    return rounded(streams.running_focus_batch(frames), "reference")
+    return rounded(_in_two(spark, frames, "sequence <= 25", streams.running_focus, "focus"), "reference")
 
 
 @registry.add("SELECT event_type AS event, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
 def mirrored_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events that come twice, mirrored once: by their id, within a delay of a day."""
-    from tessera.session import new_folder
-
+    """Events that come twice, in later batches too, mirrored once by their id."""
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("ts"))
-    folder = new_folder(spark, "mirror")
-    e.unionByName(e.where("event_id % 3 = 0")).write.parquet(folder)
-    out = streams.run_available(spark, streams.mirror(spark.readStream.schema(e.schema).parquet(folder), delay="36500 days"), "mirrored")
+    folder, target, state = (new_folder(spark, n) for n in ("mirror", "mirrored", "mirrored-state"))
+    for part in (e.where("event_id % 2 = 0"), e.unionByName(e.where("event_id % 3 = 0"))):
+        part.write.mode("append").parquet(folder)
+        out = streams.mirror(spark, spark.readStream.schema(e.schema).parquet(folder), target, state)
     return out.groupBy("event").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))

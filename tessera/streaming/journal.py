@@ -1,4 +1,4 @@
-"""Journals as streams: validation with state per stream, idempotent mirrors, sessions, and a running reference."""
+"""Journals as streams: validation with typed state per stream, mirrors without state, sessions, a running reference."""
 
 from __future__ import annotations
 
@@ -8,47 +8,68 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from tessera.session import new_folder
+from tessera.sources import sinks
 
 FAULTS = "stream_id string, sequence long, event_id string, fault string"
-STATE = "next long, closed boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Faults of one stream's new events: what comes twice, leaves a gap, or follows the close. The state is two
-    values, whatever the stream's length: numbers are contiguous, so one below the next is a repeat."""
-    upcoming, closed = state.get if state.exists else (1, False)
-    out = []
-    rows = pd.concat(list(frames)).sort_values(["sequence", "event_id"])
-    for sequence, ident, event in zip(rows["sequence"], rows["event_id"], rows["event"], strict=True):
-        if sequence < upcoming:
-            out.append((key[0], sequence, ident, "repeat"))
-            continue
-        if closed:
-            out.append((key[0], sequence, ident, "after close"))
-        if sequence > upcoming:
-            out.append((key[0], sequence, ident, "gap"))
-        if sequence == 1 and event != "history_started":
-            out.append((key[0], sequence, ident, "no start"))
-        upcoming, closed = int(sequence) + 1, closed or event == "history_closed"
-    state.update((upcoming, bool(closed)))
-    yield pd.DataFrame(out, columns=["stream_id", "sequence", "event_id", "fault"])
+def faults(rows: pd.DataFrame, upcoming: int, closed: bool) -> tuple[pd.DataFrame, int, bool]:
+    """``(sequence, event_id, fault)`` of a stream's new events, which may come in any order, and what to expect after
+    them: numbers are contiguous, so one below the next expected is a repeat, and the first event starts the journal."""
+    rows = rows.sort_values(["sequence", "event_id"])
+    s, event = rows["sequence"].to_numpy(np.int64), rows["event"].to_numpy()
+    expected = np.maximum(np.concatenate(([upcoming], s[:-1] + 1)), upcoming)
+    again = s < expected
+    ends = ~again & (event == "history_closed")
+    shut = closed | np.concatenate(([False], np.logical_or.accumulate(ends)[:-1]))
+    kinds = {"repeat": again, "after close": ~again & shut, "gap": s > expected, "no start": ~again & (s == 1) & (event != "history_started")}
+    found = [pd.DataFrame({"sequence": s[at], "event_id": rows["event_id"].to_numpy()[at], "fault": name}) for name, at in kinds.items()]
+    return pd.concat(found), max(upcoming, int(s[-1]) + 1), closed or bool(ends.any())
+
+
+class Validated(StatefulProcessor):
+    """Two values of state a stream, whatever its length."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", StructType().add("upcoming", "long").add("closed", "boolean"))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        upcoming, closed = self.at.get() if self.at.exists() else (1, False)
+        new = pd.concat([r[["sequence", "event_id", "event"]] for r in rows])
+        out, upcoming, closed = faults(new, int(upcoming), bool(closed))
+        self.at.update((upcoming, closed))
+        out.insert(0, "stream_id", key[0])
+        yield out
+
+    def close(self) -> None:
+        pass
 
 
 def validate_stream(events: DataFrame) -> DataFrame:
-    """Faults of journals ``(stream_id, sequence, event_id, event)`` as they come."""
+    """Faults of journals ``(stream_id, sequence, event_id, event)`` as they come: each micro-batch goes on where the one
+    before ended, also after a restart. A task holds a stream's events of one micro-batch, which the source bounds."""
     keyed = events.select(
         F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"),
         F.col("event_id").cast("string").alias("event_id"), "event"
     )
-    return keyed.groupBy("stream_id").applyInPandasWithState(_check, FAULTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("stream_id").transformWithStateInPandas(Validated(), StructType.fromDDL(FAULTS), "Append", "None")
+
 
+def mirror(spark: SparkSession, events: DataFrame, target: str, state: str, key: str = "event_id") -> DataFrame:
+    """Each event once, by its id, however late it comes again: a micro-batch is held against the ids that are published,
+    and only what is new is appended. No state is kept but the table itself; a batch that runs again adds nothing."""
 
-def mirror(events: DataFrame, key: str = "event_id", at: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Each event once, by its id, as long as repeats come within the delay."""
-    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+    def add(batch: DataFrame, _: int) -> None:
+        sinks.append_new(batch, target, key)
+
+    query = events.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(events.schema).parquet(target)
 
 
 def sessions(events: DataFrame, by: str, at: str = "ts", gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
@@ -58,54 +79,69 @@ def sessions(events: DataFrame, by: str, at: str = "ts", gap: str = "30 minutes"
     return out.select(by, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "events")
 
 
-def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    recent = list(state.get[0]) if state.exists else []
+JUDGED = "stream_id string, sequence long, reference double, accepted boolean"
+
+
+def judge(rows: pd.DataFrame, recent: list[float]) -> tuple[pd.DataFrame, list[float]]:
+    """A stream's new frames in order against the median of the last fifteen accepted scores; and these after them."""
     out = []
-    for seq, score in pd.concat(list(frames)).sort_values("sequence")[["sequence", "score"]].itertuples(index=False):
+    for seq, score in rows.sort_values("sequence")[["sequence", "score"]].itertuples(index=False):
         reference = float(np.median(recent)) if len(recent) >= 3 else None
         ok = bool(np.isfinite(score)) and (reference is None or score >= 0.6 * reference)
-        out.append((key[0], int(seq), reference, ok))
+        out.append((int(seq), reference, ok))
         if ok:
             recent = [*recent, float(score)][-15:]
-    state.update((recent,))
-    yield pd.DataFrame(out, columns=["stream_id", "sequence", "reference", "accepted"])
+    return pd.DataFrame(out, columns=["sequence", "reference", "accepted"]), recent
 
 
-def running_focus(frames: DataFrame) -> DataFrame:
-    """Frames ``(stream_id, sequence, score)`` against the median of the last fifteen accepted scores of their stream;
-    until three are accepted every finite score is. Whether one is accepted changes what later ones meet."""
-    rows = frames.select(
+class Judged(StatefulProcessor):
+    """A list of at most fifteen scores a stream."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", StructType().add("score", "double"))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
+        out, recent = judge(pd.concat([r[["sequence", "score"]] for r in rows]), recent)
+        if recent:
+            self.recent.put([(r,) for r in recent])
+        out.insert(0, "stream_id", key[0])
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _frames(frames: DataFrame) -> DataFrame:
+    return frames.select(
         F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"),
         F.col("score").cast("double").alias("score")
     )
-    return rows.groupBy("stream_id").applyInPandasWithState(
-        _judge, "stream_id string, sequence long, reference double, accepted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout
-    )
 
 
-def running_focus_batch(frames: DataFrame) -> DataFrame:
-    """The same over a finished journal, a stream per group."""
-    schema = "stream_id string, sequence long, reference double, accepted boolean"
+def running_focus(frames: DataFrame) -> DataFrame:
+    """Frames ``(stream_id, sequence, score)`` against the median of the last fifteen accepted scores of their stream;
+    until three are accepted every finite score is. Whether one is accepted changes what later ones meet. State has no
+    time to live: with one, a run over what is there would wait for it and never end."""
+    return _frames(frames).groupBy("stream_id").transformWithStateInPandas(Judged(), StructType.fromDDL(JUDGED), "Append", "None")
 
-    class Kept:
-        exists = False
 
-        def update(self, value: tuple) -> None:
-            pass
+def running_focus_batch(frames: DataFrame) -> DataFrame:
+    """The same over a finished journal, a stream per group."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(_judge(key, iter([pdf]), Kept()))
+        out, _ = judge(pdf, [])
+        out.insert(0, "stream_id", key[0])
+        return out
 
-    rows = frames.select(
-        F.col("stream_id").cast("string").alias("stream_id"), F.col("sequence").cast("long").alias("sequence"),
-        F.col("score").cast("double").alias("score")
-    )
-    return rows.groupBy("stream_id").applyInPandas(run, schema)
+    return _frames(frames).groupBy("stream_id").applyInPandas(run, JUDGED)
 
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there, write its result to the shared folder with its own checkpoint, and read it."""
-    out, state = new_folder(spark, name), new_folder(spark, f"{name}-state")
+def run_available(spark: SparkSession, stream: DataFrame, name: str, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a stream over what is there, write its result to the shared folder with its own checkpoint, and read it. With
+    the folders of an earlier run it goes on from there. Typed state needs RocksDB as its store."""
+    out, state = out or new_folder(spark, name), state or new_folder(spark, f"{name}-state")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -103,9 +103,12 @@ def test_mirror_and_sessions(spark, tmp_path):
     folder = str(tmp_path / "ev")
     df.write.parquet(folder)
     read = lambda: spark.readStream.schema(df.schema).parquet(folder)
-    assert streams.run_available(spark, streams.mirror(read()), "m").count() == 4
     first = min(streams.run_available(spark, streams.sessions(read(), "user"), "s").collect(), key=lambda r: r.started)
     assert first.events == 3
+    target, state = str(tmp_path / "mirror"), str(tmp_path / "mirror-state")
+    assert streams.mirror(spark, read(), target, state).count() == 4
+    df.where("event_id in (2, 4)").unionByName(df.where("event_id = 3").selectExpr("event_id + 2 as event_id", "user", "ts")).write.mode("append").parquet(folder)
+    assert sorted(r.event_id for r in streams.mirror(spark, read(), target, state).collect()) == [1, 2, 3, 4, 5]
 
 
 def test_running_reference_counts_accepted_only(spark):
@@ -117,6 +120,27 @@ def test_running_reference_counts_accepted_only(spark):
 
 
 
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for stream in "abc":
+        numbers = [int(x) for x in sorted(rng.choice(60, 45, replace=False) + 1)]
+        rows += [(stream, n, f"{stream}{n}", "history_started" if n == 1 else "history_closed" if n == 40 else "step", float(rng.normal(10, 4))) for n in numbers]
+        rows += [(stream, n, f"{stream}{n}-again", "step", float("nan")) for n in numbers[::9]]
+    df = spark.createDataFrame(rows, "stream_id string, sequence long, event_id string, event string, score double")
+    whole = {"faults": [], "focus": {(r.stream_id, r.sequence, r.reference, r.accepted) for r in streams.running_focus_batch(df.where("event_id not like '%again'")).collect()}}
+    for stream in "abc":
+        own = df.where(f"stream_id = '{stream}'").toPandas()
+        whole["faults"] += [(stream, *r) for r in streams.faults(own, 1, False)[0].itertuples(index=False, name=None)]
+    kept = df.where("event_id not like '%again'")
+    for name, make, source in (("faults", streams.validate_stream, df), ("focus", streams.running_focus, kept)):
+        folder, out, state = (str(tmp_path / f"{name}-{n}") for n in ("in", "out", "state"))
+        for part in (source.where("sequence <= 30"), source.where("sequence > 30")):
+            part.write.mode("append").parquet(folder)
+            got = streams.run_available(spark, make(spark.readStream.schema(df.schema).parquet(folder)), name, out, state)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(whole[name], key=str)
+
+
 def test_no_folder_of_one_machine_on_a_cluster():
     from types import SimpleNamespace
 
