@@ -307,11 +307,11 @@ def _smoothing() -> str:
     return ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, row in enumerate(windows.smoothing_weights(21, 3)) for j, w in enumerate(row))
 
 
-@registry.add(f"""WITH w(i, j, w) AS (VALUES {_smoothing()}), p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE vec_id % 20 = 0), t AS (SELECT range AS pos, least(greatest(range - 10, 0), 43) AS start FROM range(64))
+@registry.add(f"""WITH w(i, j, w) AS (VALUES {_smoothing()}), p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), t AS (SELECT range AS pos, least(greatest(range - 10, 0), 43) AS start FROM range(64))
 SELECT p.vec_id, t.pos::INT AS pos, round(sum(w.w * p.v), 6) AS smooth FROM t JOIN p ON p.pos BETWEEN t.start AND t.start + 20 JOIN w ON w.i = t.pos - t.start AND w.j = p.pos - t.start GROUP BY ALL""")
 def smoothed_spectra(spark: SparkSession, d: str) -> DataFrame:
     """A cubic smoothing over 21 samples, the ends by the polynomial of the first and last 21."""
-    s = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(
+    s = table(spark, d, "embeddings").select(
         "vec_id", F.posexplode(windows.smoothed(F.col("embedding").cast("array<double>"), 64, 21, 3)).alias("pos", "smooth")
     )
     return rounded(s, "smooth")

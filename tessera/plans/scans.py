@@ -256,10 +256,10 @@ def mask_sources(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@registry.add("SELECT p_partkey % 90 AS id, count(*) AS tiles, round(min(p_retailprice), 2) AS least FROM part WHERE p_size > 5 GROUP BY 1")
+@registry.add("SELECT p_partkey % 90 AS id, count(*) AS tiles, round(min(p_retailprice), 2) AS least FROM part GROUP BY 1")
 def feature_cache(spark: SparkSession, d: str) -> DataFrame:
     """Features per tile group, written in two rounds: the second adds only what the first left out."""
-    tiles = table(spark, d, "part").where("p_size > 5").groupBy(F.expr("p_partkey % 90").alias("id")).agg(
+    tiles = table(spark, d, "part").groupBy(F.expr("p_partkey % 90").alias("id")).agg(
         F.count("*").alias("tiles"), F.round(F.min("p_retailprice"), 2).alias("least")
     )
     folder = new_folder(spark, "features")

@@ -206,9 +206,9 @@ def anchor_tiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@registry.add("SELECT user_id, concat_ws(',', CASE WHEN bool_or(event_type = 'view') THEN 'view' END, CASE WHEN bool_or(event_type = 'error') THEN 'error' END, CASE WHEN bool_or(event_type = 'signup') THEN 'signup' END) AS answered, concat_ws(',', CASE WHEN NOT bool_or(event_type = 'view') THEN 'view' END, CASE WHEN NOT bool_or(event_type = 'error') THEN 'error' END, CASE WHEN NOT bool_or(event_type = 'signup') THEN 'signup' END) AS silent FROM events WHERE event_id % 9 = 0 GROUP BY user_id")
+@registry.add("SELECT user_id, concat_ws(',', CASE WHEN bool_or(event_type = 'view') THEN 'view' END, CASE WHEN bool_or(event_type = 'error') THEN 'error' END, CASE WHEN bool_or(event_type = 'signup') THEN 'signup' END) AS answered, concat_ws(',', CASE WHEN NOT bool_or(event_type = 'view') THEN 'view' END, CASE WHEN NOT bool_or(event_type = 'error') THEN 'error' END, CASE WHEN NOT bool_or(event_type = 'signup') THEN 'signup' END) AS silent FROM events GROUP BY user_id")
 def answered_roles(spark: SparkSession, d: str) -> DataFrame:
-    answers = table(spark, d, "events").where("event_id % 9 = 0").selectExpr("user_id", "event_type as role")
+    answers = table(spark, d, "events").selectExpr("user_id", "event_type as role")
     out = stages.ranked_roles(answers, "user_id", ["view", "error", "signup"])
     return out.select("user_id", F.array_join("answered", ",").alias("answered"), F.array_join("silent", ",").alias("silent"))
 
