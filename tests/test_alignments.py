@@ -1,10 +1,13 @@
 """Registration, overlaps, distances and blurs against plain numpy."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import lines, raster, registration
+from tessera.plans import catalogue
 
 
 def scene(seed, h, w):
@@ -169,3 +172,10 @@ def test_wide_blurs_equal_convolution(spark, sigma):
             wide = np.pad(v, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
             v = np.apply_along_axis(lambda line: np.convolve(line, weights, "valid"), axis, wide)
         assert all(abs(got[k, x, y] - v[y, x]) < 1e-9 for y in range(v.shape[0]) for x in range(v.shape[1]))
+
+
+@pytest.mark.parametrize("name", ["registered_pairs", "border_distance", "trimmed_border", "overlap_correlation"])
+def test_no_places_of_images_are_brought_to_the_driver(spark, sf_dir, name):
+    plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [image" in plan
+    assert not re.search(r"BroadcastHashJoin \[image#\d+L?, _?x#", plan)
