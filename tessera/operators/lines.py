@@ -124,4 +124,5 @@ def squared_distance(px: DataFrame, by: str, is_source: str, name: str = "d2") -
     flat = px.select(by, "x", "y", F.coalesce(near * near, F.lit(FAR * FAR)).alias("_h"))
     found = along(flat, by, "x", "y", "_h", envelope, "bigint")
     found = found.select(by, "x", "y", F.when(F.col("_h") < FAR * FAR, F.col("_h")).alias(name))
-    return px.join(found, [by, "x", "y"])
+    # never broadcast: a line's list becomes a row a pixel, which estimates don't see
+    return px.hint("merge").join(found, [by, "x", "y"])
