@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import luminance
 from tessera.operators.graph import connected_components
 from tessera.operators.lines import gaussian, squared_distance
-from tessera.session import settle, small
+from tessera.session import remove, settle, small, stored
 
 
 def valid_region(px: DataFrame, filler: str = "white", tolerance: int = 5) -> DataFrame:
@@ -146,9 +146,13 @@ def usable_samples(px: DataFrame, by: str, value: str, least_std: float = 3.0, m
 
 def flat_field(px: DataFrame, value: str = "grey", least: int = 8, blur: float | None = None) -> DataFrame:
     """Per pixel the median over tiles of values divided by their tile's mean, blurred by an eighth of the longer side
-    (or by ``blur``; 0: not at all), kept above a thousandth of the largest, and scaled to a mean of 1."""
+    (or by ``blur``; 0: not at all), kept above a thousandth of the largest, and scaled to a mean of 1. The pixels and
+    the medians are stored, as both are read again."""
+    px, kept_px = stored(px.select("tile", "x", "y", value), "pixels")
     tiles = px.groupBy("tile").agg(F.avg(value).alias("_m")).where("_m > 0")
-    ratio = px.join(tiles, "tile").groupBy("x", "y").agg(F.percentile(F.col(value) / F.col("_m"), 0.5).alias("gain"), F.count("*").alias("n"))
+    scaled = px.join(small(tiles, 100_000), "tile").select("x", "y", (F.col(value) / F.col("_m")).alias("_r"))
+    ratio, _ = stored(scaled.groupBy("x", "y").agg(F.percentile("_r", 0.5).alias("gain"), F.count("*").alias("n")), "ratios")
+    remove(px.sparkSession, kept_px)
     fewest = ratio.agg(F.min("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y")).head()
     if fewest.n is None or fewest.n < least:
         return ratio.select("x", "y", "gain").limit(0)
