@@ -111,3 +111,17 @@ def test_groups_across_ranges_equal_greedy(spark):
     for held in (60, 100_000):
         assert {(r.leader, r.member) for r in joins.first_seen_groups(df, held=held).collect()} == greedy(pairs)
     assert joins.first_seen_groups(df.limit(0)).count() == 0
+
+
+def test_coverage_counts_cells_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(x), int(y), bool(i % 3)) for i, (x, y) in enumerate(rng.integers(-400, 400, (90, 2)))]
+    tiles = spark.createDataFrame([*rows, (90, 5000, 0, False)], "id long, x long, y long, kept boolean")
+    found = joins.coverage_rescue(tiles, "not kept", 130, 70, 10)
+    cells = lambda x, y: {(i, j) for i in range(x // 10, (x + 129) // 10 + 1) for j in range(y // 10, (y + 69) // 10 + 1)}
+    hit = set().union(*(cells(x, y) for _, x, y, kept in rows if kept))
+    want = {(i, len(cells(x, y)), len(cells(x, y) & hit)) for i, x, y, kept in [*rows, (90, 5000, 0, False)] if not kept}
+    assert {(r.id, r.cells, r.covered) for r in found.collect()} == want
+    # a tile is a row for each block of cells that it touches, not one for each cell
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan
