@@ -16,7 +16,7 @@ from tessera.session import settle
 
 #: Different values of a group up to which the built-in is taken, bins of a narrowing step, and rows of a bin that are
 #: sorted in the end.
-HELD, BINS, SORTED = 1_000_000, 4096, 200_000
+HELD, BINS, SORTED = 20_000, 4096, 200_000
 
 
 def quantile(df: DataFrame, by: Sequence[str], value: str, p: float, name: str, held: int = HELD) -> DataFrame:

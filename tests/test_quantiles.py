@@ -18,3 +18,10 @@ def test_narrowing_equals_the_built_in(spark, monkeypatch, p):
     cut = {r.g: (r.q, r.n) for r in quantiles.quantile(df, ["g"], "v", p, "q", held=0).collect()}
     assert cut == plain
     assert plain["a"][0] == pytest.approx(np.quantile([v for g, v in rows if g == "a" and v == v], p))
+
+
+def test_no_map_of_many_different_values(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quantiles, "narrowed", lambda rows, by, p, name, f=quantiles.narrowed: seen.append(name) or f(rows, by, p, name))
+    df = spark.range(50_001).selectExpr("id % 1 as g", "cast(id * 7919 % 50001 as double) as v")
+    assert [tuple(r) for r in quantiles.quantile(df, ["g"], "v", 0.5, "q").collect()] == [(0, 25_000.0, 50_001)] and seen == ["q"]
