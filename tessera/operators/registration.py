@@ -8,13 +8,14 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.functions.scalar import luminance
 from tessera.operators.lines import kernel
-from tessera.session import small, stored
+from tessera.session import Scratch, shuffle_partitions, small, stored
 
 # Shares of the side at which a strip is cut, its margin, and how much of the other image it is sought in.
 STRIP, MARGIN, SEARCH = 0.04, 0.14, 0.45
@@ -24,6 +25,9 @@ THIN, THIN_PX, AREA, AREA_PX = 0.03, 8, 0.012, 64
 NEAR, FIRST = 3, 3
 #: Side of the blocks by which pixels are met, and the most edges whose rectangles are broadcast.
 BLOCK, FEW = 64, 100_000
+#: Pixels of a block of neighbouring images that are measured together, blocks of a task, the most images on a block's
+#: side, and the most rows of images and their blocks that are broadcast.
+HELD, BLOCKS, SIDE, ASKED = 500_000, 16, 8, 1_000_000
 
 
 def images_of(px: DataFrame, by: str, value: str = "grey") -> DataFrame:
@@ -240,19 +244,81 @@ def match_strips(edges: DataFrame, images: DataFrame, by: str = "image") -> Data
     return _measured(pairs, measure, "dx int, dy int, score double")
 
 
+def sampled(pairs: DataFrame, samples: int) -> DataFrame:
+    """The first pairs of each kind by the digests of their first images."""
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.md5(F.col("src").cast("string").cast("binary")), "src"))
+    return pairs.withColumn("_n", nth).where(F.col("_n") <= samples).select("kind", "src", "dst")
+
+
 def grid_direction(pairs: DataFrame, images: DataFrame, samples: int = 6, by: str = "image") -> DataFrame:
     """``(kind, side, pdx, pdy, score)``, a row for each kind of pair: on which side the next column lies (both are tried,
     the higher median score of the sampled pairs decides, left at a tie), and medians of the displacements; the next
-    row lies below. Pairs are sampled by the digests of their first images."""
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.md5(F.col("src").cast("string").cast("binary")), "src"))
-    sample = pairs.withColumn("_n", nth).where(F.col("_n") <= samples).drop("_n")
+    row lies below."""
     sides = F.explode(F.when(F.col("kind") == "h", F.array(F.lit("left"), F.lit("right"))).otherwise(F.array(F.lit("below"))))
-    tried = match_strips(sample.select(sides.alias("side"), "kind", "src", "dst"), images, by)
+    tried = match_strips(sampled(pairs, samples).select(sides.alias("side"), "kind", "src", "dst"), images, by)
     judged = tried.groupBy("kind", "side").agg(F.median("score").alias("score"), F.median("dx").alias("pdx"), F.median("dy").alias("pdy"))
     best = F.max_by(F.struct("side", "pdx", "pdy", "score"), F.struct("score", F.col("side") == "left"))
     return judged.groupBy("kind").agg(best.alias("b")).select("kind", "b.*")
 
 
+def pieces(px: DataFrame, by: str) -> DataFrame:
+    """Pixels ``(by, x, y, r, g, b)`` as rows ``(by, n, data)``, each what a batch has of one image, compressed: pieces are
+    dealt out afterwards, not pixels. The fewer they are, the better the pixels come image by image."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keys = t.column(0).dictionary_encode()
+            codes, columns = keys.indices.to_numpy(), [c.to_numpy(zero_copy_only=False) for c in t.columns[1:]]
+            order = np.argsort(codes, kind="stable")
+            own = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else []
+            data = [pa.compress(b"".join(c[i].tobytes() for c in columns), "zstd", asbytes=True) for i in own]
+            yield pa.RecordBatch.from_arrays([keys.dictionary, pa.array([len(i) for i in own], pa.int32()), pa.array(data, pa.binary())], [by, "n", "data"])
+
+    rows = px.where(F.col(by).isNotNull()).select(by, *(F.col(c).cast("int") for c in "xy"), *(F.col(c).cast("double") for c in "rgb"))
+    return rows.mapInArrow(run, StructType([rows.schema[by], *StructType.fromDDL("n int, data binary").fields]))
+
+
+def _whole(image: object, sizes: list[int], data: list[bytes]) -> np.ndarray:
+    """The channels of an image from its pieces."""
+    parts = [pa.decompress(d, n * 32, "zstd", asbytes=True) for n, d in zip(sizes, data, strict=True)]
+    at = np.concatenate([np.frombuffer(p, np.int32, 2 * n).reshape(2, n) for n, p in zip(sizes, parts, strict=True)], axis=1)
+    values = np.concatenate([np.frombuffer(p, np.float64, 3 * n, 8 * n).reshape(3, n) for n, p in zip(sizes, parts, strict=True)], axis=1)
+    out = np.full((3, *(at.max(axis=1)[::-1] + 1)), np.nan)
+    if values.shape[1] != out[0].size:
+        raise ValueError(f"image {image}: {values.shape[1]} pixels, not {out[0].size}")
+    out[:, at[1], at[0]] = values
+    return out
+
+
+def _light(v: np.ndarray) -> np.ndarray:
+    return 0.299 * v[0] + 0.587 * v[1] + 0.114 * v[2]
+
+
+RATIOS = ["ratio_r", "ratio_g", "ratio_b", "bright_r", "bright_g", "bright_b", "flat_fraction"]
+
+
+def pair_ratios(a: np.ndarray, b: np.ndarray, dx: int, dy: int, low: float = 20, high: float = 245, least: int = 500, least_side: int = 24) -> dict:
+    """What ``overlap_ratios`` says of an edge, from the channels of its two images."""
+    h, w = a.shape[1:]
+    x0, x1, y0, y1 = max(0, dx), min(w, w + dx), max(0, dy), min(h, h + dy)
+    out = {"pixels": 0, "overlap_w": x1 - x0, "overlap_h": y1 - y0}
+    if x1 - x0 < least_side or y1 - y0 < least_side:
+        return out
+    v = np.concatenate([a[:, y0:y1, x0:x1], b[:, y0 - dy : y1 - dy, x0 - dx : x1 - dx]])
+    v = sum(v[:, :, 1 + k : v.shape[2] - 5 + k] for k in range(5)) / 5
+    v = sum(v[:, 1 + k : v.shape[1] - 5 + k] for k in range(5)) / 5
+    v = v[:, (v.min(axis=0) > low) & (v.max(axis=0) < high)]
+    out["pixels"] = v.shape[1]
+    if v.shape[1] < least:
+        return out
+    light = _light(v)
+    middle = np.median(light)
+    for name, kept in (("ratio", v), ("bright", v[:, light >= middle - 1e-9])):
+        m = np.median(kept, axis=1)
+        out |= {f"{name}_{c}": float(m[i] / m[i + 3]) if m[i + 3] else None for i, c in enumerate("rgb")}
+    return out | {"flat_fraction": float((np.abs(light - middle) <= 0.1 * middle).mean())}
+
+
 def measured_edges(grid: DataFrame, px: DataFrame, least_ncc: float = 0.6, least_direction: float = 0.5, by: str = "image") -> DataFrame:
     """``(kind, src, dst, dx, dy, ncc, side, rejected, ...)`` for all neighbours of a grid ``(by, row, col)`` of images
     whose pixels are ``(by, x, y, r, g, b)``, with the columns of ``overlap_ratios``.
@@ -260,22 +326,58 @@ def measured_edges(grid: DataFrame, px: DataFrame, least_ncc: float = 0.6, least
     The side of the next column comes first. Pairs whose strips correlate too little are rejected for "registration";
     those too far from their kind's displacement (a tenth of the width, 0.15 of the height), and those whose overlap
     says nothing, for "overlap". If the next column's sampled pairs don't correlate, that is an error.
+
+    Edges are measured by blocks of the grid, and an image goes once to each block that has an edge of it. A block holds
+    some half a million pixels, or the edges of one image if images are larger.
     """
-    images = images_of(px.withColumn("_grey", luminance(F.col("r"), F.col("g"), F.col("b"))), by, "_grey")
-    images, _ = stored(images, "images")
-    pairs = next_in_grid(grid, by)
-    way, _ = stored(grid_direction(pairs, images, by=by), "direction")
+    spark, keep = grid.sparkSession, Scratch(grid.sparkSession)
+    pairs = keep.keep(next_in_grid(grid, by), "pairs")
+    sample = keep.keep(sampled(pairs, 6), "sample")
+    # a dozen pairs
+    named = sorted({i for r in sample.collect() for i in (r.src, r.dst)})
+    images = keep.keep(images_of(px.where(F.col(by).isin(named)).withColumn("_grey", luminance(F.col("r"), F.col("g"), F.col("b"))), by, "_grey"), "images")
+    way, _ = stored(grid_direction(sample, images, by=by), "direction")
+    size = images.agg(F.max(F.col("h") * F.col("w"))).head()[0] or 1
     poor = way.where((F.col("kind") == "h") & (F.col("score") < least_direction)).head()
     if poor:
+        keep.clear()
         raise ValueError(f"adjacent columns do not register (best correlation {poor.score:.2f}); do tiles overlap?")
-    prior = F.broadcast(way.select("kind", "side", "pdx", "pdy"))  # two rows
-    found = match_strips(pairs.join(prior, "kind"), images, by).join(images.select(F.col(by).alias("src"), "h", "w"), "src")
-    far = (F.abs(F.col("dx") - F.col("pdx")) > 0.1 * F.col("w")) | (F.abs(F.col("dy") - F.col("pdy")) > 0.15 * F.col("h"))
-    why = F.when(F.col("score") < least_ncc, "registration").when(far, "overlap")
-    found, _ = stored(found.select(F.monotonically_increasing_id().alias("edge"), "kind", "src", "dst", "dx", "dy", F.col("score").alias("ncc"), "side", why.alias("why")), "edges")
-    stats = overlap_ratios(found.where("why is null").select("edge", "src", "dst", "dx", "dy"), px, by=by).drop("src", "dst", "dx", "dy")
-    out = found.join(stats, "edge", "left")
-    return out.withColumn("rejected", F.coalesce("why", F.when(F.col("ratio_r").isNull(), "overlap"))).drop("why", "edge")
+    side = max(1, min(SIDE, int((HELD / size) ** 0.5)))
+    block = F.concat_ws(",", *(F.floor(F.col(c) / side).cast("string") for c in ("row", "col")))
+    edges = pairs.join(grid.select(F.col(by).alias("src"), block.alias("block")).dropDuplicates(["src"]), "src").join(F.broadcast(way.drop("score")), "kind")  # two rows
+    edges, _ = stored(edges.select("block", "kind", "src", "dst", "side", "pdx", "pdy"), "edges")
+    asked, _ = stored(edges.select("block", F.explode(F.array("src", "dst")).alias(by)).distinct(), "asked")
+    n = asked.count()
+    tasks = max(1, min(n, max(shuffle_partitions(spark), -(-n * size // (BLOCKS * HELD)))))
+    dealt = pieces(px, by).join(small(asked, ASKED), by).select("block", F.col(by).alias("image"), "n", "data")
+    ident = px.select(by).schema[0].dataType.simpleString()
+    kind = StructType.fromDDL(f"kind string, src {ident}, dst {ident}, dx int, dy int, ncc double, side string, pixels long, overlap_w int, overlap_h int, {' double, '.join(RATIOS)} double, rejected string")
+
+    def run(own: pa.Table, parts: pa.Table) -> pa.Table:
+        found: dict = {}
+        for image, n, data in zip(*(parts.column(c).to_pylist() for c in ("image", "n", "data")), strict=True):
+            found.setdefault(image, ([], []))[0].append(n)
+            found[image][1].append(data)
+        whole = {image: _whole(image, *found.pop(image)) for image in list(found)}
+        grey, out = {image: _light(v) for image, v in whole.items()}, []
+        for r in own.to_pylist():
+            a, b = whole.get(r["src"]), whole.get(r["dst"])
+            if a is None or b is None:
+                continue
+            dx, dy, ncc = match_strip(grey[r["src"]], grey[r["dst"]], r["side"])
+            far = abs(dx - r["pdx"]) > 0.1 * a.shape[2] or abs(dy - r["pdy"]) > 0.15 * a.shape[1]
+            why = "registration" if ncc < least_ncc else "overlap" if far else None
+            said = {} if why else pair_ratios(a, b, dx, dy)
+            why = why or (None if said.get("ratio_r") is not None else "overlap")
+            out.append({"kind": r["kind"], "src": r["src"], "dst": r["dst"], "dx": dx, "dy": dy, "ncc": ncc, "side": r["side"], **said, "rejected": why})
+        types = {"src": own.schema.field("src").type, "dst": own.schema.field("dst").type, "dx": pa.int32(), "dy": pa.int32(), "pixels": pa.int64(), "overlap_w": pa.int32(), "overlap_h": pa.int32()}
+        texts = ("kind", "side", "rejected")
+        return pa.table({c: pa.array([r.get(c) for r in out], types.get(c, pa.string() if c in texts else pa.float64())) for c in kind.names})
+
+    left, right = edges.repartition(tasks, "block"), dealt.repartition(tasks, "block")
+    out, _ = stored(left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, kind), "measured", gather=False)
+    keep.clear()
+    return out
 
 
 # ---- the pixels of many overlaps

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import lines, raster, registration
 from tessera.plans.base import Registry, rounded
-from tessera.session import table
+from tessera.session import shuffle_partitions, table
 
 registry = Registry()
 QUERIES, SQL = registry.queries, registry.sql
@@ -107,7 +107,9 @@ def measured_edges(spark: SparkSession, d: str) -> DataFrame:
         "s_suppkey as image", "(s_suppkey - 1) % 5 as col", "(s_suppkey - 1) div 5 as row", "cast(60 * ((s_suppkey - 1) % 5) + (s_suppkey * 7) % 5 as int) as lx",
         "cast(50 * ((s_suppkey - 1) div 5) + (s_suppkey * 11) % 5 as int) as ly", "s_suppkey % 9 = 4 as blank", "1 + (s_suppkey % 4) * 0.05D as gain"
     )
-    px = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("y"))
+    # a tile becomes thousands of pixels: dealt out before, however few files there are
+    dealt = placed.repartition(max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism), "image")
+    px = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("y"))
     value = F.expr("if(blank, 128, 60 + pmod(xxhash64(lx + x, ly + y), 100)) * gain")
     px = px.select("image", "x", "y", value.alias("r"), (value * 0.9).alias("g"), (value * 0.8).alias("b"))
     out = registration.measured_edges(placed.select("image", "row", "col"), px)

@@ -106,6 +106,26 @@ def test_grid_that_runs_to_the_left(spark):
         registration.measured_edges(grid, pixels(spark, noise))
 
 
+def test_edges_are_measured_by_blocks_of_packed_images(spark, monkeypatch):
+    """Pixels are packed before they are dealt out, and what is found doesn't depend on the blocks."""
+    whole = scene(18, 180, 330)
+    place = {f"{row}-{col}": (10 + 60 * col + row, 10 + 50 * row + col % 3, row, col) for row in range(2) for col in range(3)}
+    images = {k: whole[y : y + 80, x : x + 96] * (1 + 0.1 * i) for i, (k, (x, y, _, _)) in enumerate(place.items())}
+    rows = [(k, x, y, *(float(v[y, x]) * c for c in (1, 0.9, 0.8))) for k, v in images.items() for y in range(80) for x in range(96)]
+    px = spark.createDataFrame(rows, "image string, x int, y int, r double, g double, b double")
+    assert registration.pieces(px, "image").count() < 40 and registration.pieces(px.repartition(3), "image").agg(F.sum("n")).head()[0] == len(rows)
+    grid = spark.createDataFrame([(k, row, col) for k, (_, _, row, col) in place.items()], "image string, row int, col int")
+    found = []
+    for held in (registration.HELD, 1):
+        monkeypatch.setattr(registration, "HELD", held)
+        found.append(sorted(map(tuple, registration.measured_edges(grid, px.repartition(3), least_ncc=0.5).collect())))
+    assert found[0] == found[1] and len(found[0]) == 7
+    edges = spark.createDataFrame([(i, r[1], r[2], r[3], r[4]) for i, r in enumerate(found[0])], "edge long, src string, dst string, dx int, dy int")
+    for r in registration.overlap_ratios(edges, px).collect():
+        one = registration.pair_ratios(*(np.stack([images[k] * c for c in (1, 0.9, 0.8)]) for k in (r.src, r.dst)), r.dx, r.dy)
+        assert {k: r[k] for k in one} == pytest.approx(one)
+
+
 def test_overlaps_of_many_edges(spark):
     images = {1: scene(9, 70, 150), 2: scene(10, 70, 150), 3: scene(11, 70, 150)}
     px = pixels(spark, images)
