@@ -24,13 +24,23 @@ def tolerant_lines(spark: SparkSession, path: str, schema: StructType) -> DataFr
     return rows.withColumn("event", F.when(bad, "_unparseable_line").otherwise(F.col("event"))).withColumnRenamed("_corrupt_record", "line_text")
 
 
-def strict_journals(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Committed events of journal files: ``file, line_no, event, torn_tail``.
+#: What ends each document of a packed file (as in JSON text sequences); JSON can't hold it unescaped.
+SEPARATOR = "\x1e"
+
+
+def pack(documents: DataFrame, folder: str) -> None:
+    """Write a column of documents, which may have several lines, as files of many documents each."""
+    documents.write.option("lineSep", SEPARATOR).text(folder)
+
+
+def strict_journals(spark: SparkSession, path: str, schema: str, packed: bool = False) -> DataFrame:
+    """Committed events of journals: ``file, line_no, event, torn_tail``. A file is a journal, or ``packed`` with many.
 
     A last line without a newline is not committed: it is left out and ``torn_tail`` says so. A malformed committed
     line has a null event, which ``assert_clean`` refuses.
     """
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    texts = spark.read.option("lineSep", SEPARATOR).text(path) if packed else spark.read.text(path, wholetext=True)
+    files = texts.withColumn("file", F.input_file_name())
     parts = files.select("file", F.split("value", "\n").alias("lines"))
     torn = F.element_at("lines", -1) != ""
     lines = parts.select("file", torn.alias("torn_tail"), F.posexplode(F.expr("slice(lines, 1, size(lines) - 1)")).alias("n", "line"))
@@ -47,10 +57,12 @@ def assert_clean(journal: DataFrame, key: str) -> DataFrame:
     )
 
 
-def sessions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """One row per session document; unreadable ones keep their text in ``error``."""
+def sessions(spark: SparkSession, path: str, schema: StructType, packed: bool = False) -> DataFrame:
+    """One row per session document; unreadable ones keep their text in ``error``. A file is a document, or ``packed`` with
+    many."""
     full = StructType([*schema.fields]).add("error", "string")
-    return spark.read.schema(full).option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "error").json(path).withColumn("file", F.input_file_name())
+    way = ("lineSep", SEPARATOR) if packed else ("multiLine", "true")
+    return spark.read.schema(full).option(*way).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "error").json(path).withColumn("file", F.input_file_name())
 
 
 def spectra_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tessera.plans import scans
 from tessera.plans.memo import Stage, run_all
 from tessera.sources import containers, layouts, publishing, records, sinks
 from tessera.streaming import journal as streams
@@ -38,6 +39,24 @@ def test_arrays_zips_and_tables(spark, tmp_path):
     assert got[0].x == pytest.approx(2.0) and got[1].x is None
 
 
+def test_many_documents_to_a_file(spark, tmp_path):
+    journals = ['{"event":"a","sequence":1}\n{"event":"b","sequence":2}\n', '{"event":"c","sequence":1}\n{"event":"torn","sequence":2}', "", '{"event":"only","sequence":1}']
+    records.pack(spark.createDataFrame([(j,) for j in journals], "value string").coalesce(1), str(tmp_path / "j"))
+    got = records.strict_journals(spark, str(tmp_path / "j"), "event string, sequence long", packed=True).collect()
+    assert sorted((r.event.event, r.line_no, r.torn_tail) for r in got) == [("a", 1, False), ("b", 2, False), ("c", 1, True)]
+    documents = ['{"event": "x",\n "sequence": 1}', '{"event": "cut",\n "sequ', '{"event": "\\u001e", "sequence": 3}']
+    records.pack(spark.createDataFrame([(x,) for x in documents], "value string").coalesce(1), str(tmp_path / "s"))
+    read = records.sessions(spark, str(tmp_path / "s"), EVENT, packed=True).collect()
+    assert sorted((r.event, r.sequence) for r in read if not r.error) == [("\x1e", 3), ("x", 1)] and [r.error for r in read if r.error] == [documents[1]]
+
+
+@pytest.mark.parametrize("name", ["session_documents"])
+def test_no_file_is_made_for_a_key(spark, sf_dir, name, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "new_folder", lambda spark, what: str(tmp_path / what))
+    rows = scans.QUERIES[name](spark, sf_dir).count()
+    assert len(list(tmp_path.rglob("part-*"))) <= min(4, rows // 2)
+
+
 def test_palette_refuses_unknown_colours(spark):
     palette = spark.createDataFrame([(0, 0, 0, 0), (255, 0, 0, 1)], "r int, g int, b int, label int")
     px = spark.createDataFrame([(0, 0, 255, 0, 0), (1, 0, 0, 0, 0)], "x int, y int, r int, g int, b int")
