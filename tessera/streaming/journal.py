@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterable, Iterator
+from math import isfinite
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tessera.session import new_folder
 from tessera.sources import sinks
@@ -82,31 +85,37 @@ def sessions(events: DataFrame, by: str, at: str = "ts", gap: str = "30 minutes"
 JUDGED = "stream_id string, sequence long, reference double, accepted boolean"
 
 
-def judge(rows: pd.DataFrame, recent: list[float]) -> tuple[pd.DataFrame, list[float]]:
-    """A stream's new frames in order against the median of the last fifteen accepted scores; and these after them."""
-    out = []
-    for seq, score in rows.sort_values("sequence")[["sequence", "score"]].itertuples(index=False):
-        reference = float(np.median(recent)) if len(recent) >= 3 else None
-        ok = bool(np.isfinite(score)) and (reference is None or score >= 0.6 * reference)
-        out.append((int(seq), reference, ok))
+def judge(rows: Iterable[tuple[int, float | None]], recent: list[float]) -> tuple[list[tuple[int, float | None, bool]], list[float]]:
+    """A stream's new frames ``(sequence, score)`` in order against the median of the last fifteen accepted scores; and
+    these after them. The scores are kept in order of size too, so a frame costs no sorting."""
+    out, recent, ranked = [], deque(recent), sorted(recent)
+    for seq, score in sorted(rows, key=lambda r: r[0]):
+        n = len(ranked)
+        reference = (ranked[n // 2] + ranked[(n - 1) // 2]) / 2 if n >= 3 else None
+        ok = score is not None and isfinite(score) and (reference is None or score >= 0.6 * reference)
+        out.append((seq, reference, ok))
         if ok:
-            recent = [*recent, float(score)][-15:]
-    return pd.DataFrame(out, columns=["sequence", "reference", "accepted"]), recent
+            recent.append(score)
+            insort(ranked, score)
+            if n == 15:
+                ranked.pop(bisect_left(ranked, recent.popleft()))
+    return out, list(recent)
 
 
 class Judged(StatefulProcessor):
-    """A list of at most fifteen scores a stream."""
+    """A stream's last accepted scores, fifteen at most, as one value. A stream's frames come as rows: most streams have a
+    few dozen in a micro-batch, for which a table a stream would cost far more than judging them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", StructType().add("score", "double"))
+        self.recent = handle.getValueState("recent", StructType().add("scores", ArrayType(DoubleType())))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        recent = [r[0] for r in self.recent.get()] if self.recent.exists() else []
-        out, recent = judge(pd.concat([r[["sequence", "score"]] for r in rows]), recent)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.recent.get()
+        out, recent = judge(((r.sequence, r.score) for r in rows), known[0] if known else [])
         if recent:
-            self.recent.put([(r,) for r in recent])
-        out.insert(0, "stream_id", key[0])
-        yield out
+            self.recent.update((recent,))
+        for sequence, reference, accepted in out:
+            yield Row(stream_id=key[0], sequence=sequence, reference=reference, accepted=accepted)
 
     def close(self) -> None:
         pass
@@ -123,16 +132,17 @@ def running_focus(frames: DataFrame) -> DataFrame:
     """Frames ``(stream_id, sequence, score)`` against the median of the last fifteen accepted scores of their stream;
     until three are accepted every finite score is. Whether one is accepted changes what later ones meet. State has no
     time to live: with one, a run over what is there would wait for it and never end."""
-    return _frames(frames).groupBy("stream_id").transformWithStateInPandas(Judged(), StructType.fromDDL(JUDGED), "Append", "None")
+    return _frames(frames).groupBy("stream_id").transformWithState(Judged(), StructType.fromDDL(JUDGED), "Append", "None")
 
 
 def running_focus_batch(frames: DataFrame) -> DataFrame:
     """The same over a finished journal, a stream per group."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = judge(pdf, [])
-        out.insert(0, "stream_id", key[0])
-        return out
+        out, _ = judge(zip(pdf["sequence"].tolist(), pdf["score"].tolist(), strict=True), [])
+        found = pd.DataFrame(out, columns=["sequence", "reference", "accepted"])
+        found.insert(0, "stream_id", key[0])
+        return found
 
     return _frames(frames).groupBy("stream_id").applyInPandas(run, JUDGED)
 

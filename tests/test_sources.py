@@ -139,6 +139,29 @@ def test_running_reference_counts_accepted_only(spark):
 
 
 
+def test_running_reference_equals_medians_of_the_last_fifteen():
+    rng = np.random.default_rng(9)
+    scores = [float(x) for x in np.round(rng.normal(10, 4, 300), 1)] + [None, float("inf"), 10.0]  # with ties
+    frames, recent, want = list(enumerate(scores)), [], []
+    for i, x in frames:
+        reference = float(np.median(recent)) if len(recent) >= 3 else None
+        ok = x is not None and bool(np.isfinite(x)) and (reference is None or x >= 0.6 * reference)
+        want.append((i, reference, ok))
+        recent = [*recent, x][-15:] if ok else recent
+    first, held = streams.judge(reversed(frames[:100]), [])
+    rest, held = streams.judge(frames[100:], held)
+    assert first + rest == want and held == recent
+
+
+def test_frames_of_many_streams_come_as_rows(spark, tmp_path):
+    """No table is made for a stream in the workers: its frames come as rows, and its state is one value."""
+    assert isinstance(streams.judge([], [1.0])[0], list)
+    df = spark.range(6).selectExpr("cast(id % 3 as string) as stream_id", "id as sequence", "cast(id as double) as score")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = streams.running_focus(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    assert "TransformWithStateInPySpark" in (plan := stream._jdf.queryExecution().analyzed().toString()) and "Pandas" not in plan
+
+
 def test_streams_go_on_after_a_restart(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
