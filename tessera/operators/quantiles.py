@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import settle
+from tessera.session import settle, small
 
 #: Different values of a group up to which the built-in is taken, bins of a narrowing step, and rows of a bin that are
 #: sorted in the end.
@@ -41,7 +41,7 @@ def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
 def narrowed(rows: DataFrame, by: Sequence[str], p: float, name: str) -> DataFrame:
     """The quantile of ``_v`` by counting: each pass splits the values between two bounds into bins, by value, and goes
     on with the bin in which the wanted rank lies. Passes are map-side counts; nothing but bins is shuffled until the
-    few rows of the last bin are sorted."""
+    few rows of the last bin are sorted: bounds are broadcast if they have been counted to be few."""
     base = rows.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     base = base.withColumn("at", p * (F.col("n") - 1)).withColumn("k", F.floor("at"))
     bounds = settle(base.where("n > 0").select(*by, "n", "at", "k", "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside")))
@@ -50,14 +50,14 @@ def narrowed(rows: DataFrame, by: Sequence[str], p: float, name: str) -> DataFra
         if not bounds.where((F.col("inside") > SORTED) & (F.col("lo") < F.col("hi"))).limit(1).count():
             break
         share = (F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-        within = _same(rows, bounds.select(*by, "lo", "hi"), by).where("_v >= lo and _v <= hi")
+        within = _same(rows, small(bounds.select(*by, "lo", "hi")), by).where("_v >= lo and _v <= hi")
         binned = within.withColumn("bin", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1))))
         counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"))
         counts = counts.withColumn("earlier", F.sum("c").over(upto) - F.col("c"))
         hit = _same(counts, bounds.select(*by, "k", "before"), by).where("before + earlier <= k and before + earlier + c > k")
         step = hit.select(*by, "low", "high", "earlier", "c")
         bounds = settle(_same(bounds, step, by).select(*by, "n", "at", "k", F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("before") + F.col("earlier")).alias("before"), F.col("c").alias("inside")))
-    near = _same(rows, bounds, by)
+    near = _same(rows, small(bounds), by)
     after = near.where("_v > hi").groupBy(*by).agg(F.min("_v").alias("after"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1 + F.col("before")
     # where all values of the last bin are equal, two of them stand for all

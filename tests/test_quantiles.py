@@ -25,3 +25,16 @@ def test_no_map_of_many_different_values(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "narrowed", lambda rows, by, p, name, f=quantiles.narrowed: seen.append(name) or f(rows, by, p, name))
     df = spark.range(50_001).selectExpr("id % 1 as g", "cast(id * 7919 % 50001 as double) as v")
     assert [tuple(r) for r in quantiles.quantile(df, ["g"], "v", 0.5, "q").collect()] == [(0, 25_000.0, 50_001)] and seen == ["q"]
+
+
+def test_rows_meet_their_bounds_where_they_are(spark):
+    """Bounds of few groups are broadcast: a group's rows are not gathered in a task to be sorted."""
+    rows = spark.range(5_000).selectExpr("id % 2 as g", "cast(id * 7 % 5003 as double) as _v")
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quantiles.narrowed(rows, ["g"], 0.5, "q")
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
