@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import connected_components
+from tessera.operators.graph import range_components
 from tessera.session import Scratch, stored
 
 #: A level of the hierarchy with so few nodes is solved densely.
@@ -147,7 +147,7 @@ def _by_component(edges: DataFrame, src: str, dst: str, solve: Callable[[pd.Data
     """``solve`` on the edges of each component of the nodes in the two columns; the result is stored."""
     keep = Scratch(edges.sparkSession)
     edges = keep.keep(edges, "edges")
-    parts = connected_components(edges.select(src, dst).distinct(), src, dst)
+    parts = range_components(edges.select(src, dst), src, dst)
     placed = edges.join(parts.withColumnRenamed("node", src).hint("merge"), src)
     out, _ = stored(placed.groupBy("component").applyInPandas(solve, schema), "solved")
     keep.clear()

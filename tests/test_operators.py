@@ -84,6 +84,30 @@ def test_components_of_nothing(spark):
     assert graph.connected_components(spark.createDataFrame([(None, 1)], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("held", [graph.HELD, 20])
+def test_components_by_ranges_cross_them(spark, held, monkeypatch):
+    """Shapes side by side, by names; with few edges held the parts are linked by rounds."""
+    monkeypatch.setattr(graph, "HELD", held)
+    edges, want = [(None, "a"), ("z", "z")], {("z", "z")}
+    for name, pairs in _shapes(60).items():
+        name = name.replace(" ", "-")
+        edges += [(f"{name}{a:03}", f"{name}{b:03}") for a, b in pairs]
+        want |= {(f"{name}{x:03}", f"{name}000") for p in pairs for x in p}
+    found = graph.range_components(spark.createDataFrame(edges, "src string, dst string"))
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_a_long_scan_is_parted_without_rounds(spark, monkeypatch):
+    rounds = []
+    starry = graph._is_starry
+    monkeypatch.setattr(graph, "_is_starry", lambda e: rounds.append(1) or starry(e))
+    at = spark.range(20_000)
+    edges = at.selectExpr("id as src", "id + 1 as dst", "1.5D as dx", "0.0D as dy", "1.0D as w").where("src <> 9999")
+    found = solve.solve_positions(edges)
+    assert {tuple(r) for r in found.groupBy("component").count().collect()} == {(0, 10_000), (10_000, 10_001)}
+    assert not rounds
+
+
 def _flood(mask):
     names, seen = {}, np.zeros(mask.shape, bool)
     for y, x in zip(*np.nonzero(mask), strict=True):
