@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph, joins
 from tessera.plans import catalogue
@@ -125,3 +126,13 @@ def test_coverage_counts_cells_in_blocks(spark):
     # a tile is a row for each block of cells that it touches, not one for each cell
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or" in plan
+
+
+def test_pairs_of_a_crowd_of_boxes_are_dealt_out(spark, monkeypatch):
+    """Alarms and windows that have one box each are one pair of boxes, and more than one task's pairs."""
+    monkeypatch.setattr(joins, "PART", 10)
+    monkeypatch.setattr(joins, "MADE", 1_000)
+    box = spark.range(150).selectExpr("id", "0.0D as x1", "-0.0D as y1", "5.0D as x2", "5.0D as y2")
+    found = joins.box_overlaps(box.withColumnRenamed("id", "alarm"), box.withColumnRenamed("id", "window"), 8)
+    assert found.count() == found.distinct().count() == 22_500
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0] <= 9_000
