@@ -136,3 +136,13 @@ def test_pairs_of_a_crowd_of_boxes_are_dealt_out(spark, monkeypatch):
     found = joins.box_overlaps(box.withColumnRenamed("id", "alarm"), box.withColumnRenamed("id", "window"), 8)
     assert found.count() == found.distinct().count() == 22_500
     assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0] <= 9_000
+
+
+def test_pairs_of_a_crowded_place_are_dealt_out(spark, monkeypatch):
+    """Points of one place and of its neighbour are more than one task's pairs."""
+    monkeypatch.setattr(joins, "PART", 10)
+    monkeypatch.setattr(joins, "MADE", 1_000)
+    points = spark.range(200).selectExpr("id", "if(id % 4 = 0, 1.0D, 0.0D) as x", "if(id % 3 = 0, -0.0D, 0.0D) as y")
+    found = joins.band_pairs(points, 2.0, 2.0, "id")
+    assert found.count() == found.where("a < b").distinct().count() == 19_900
+    assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0] <= 8_000
