@@ -28,10 +28,36 @@ def system_of(path: str) -> tuple[pa.fs.FileSystem, str]:
     return (pa.fs.LocalFileSystem(), path) if path.startswith("/") else pa.fs.FileSystem.from_uri(path)
 
 
+class Ended(io.RawIOBase):
+    """A file to read, of which a place before its begin is an OSError, as zipfile expects when it looks for the end of an
+    archive that has no members; pyarrow's own error is another."""
+
+    def __init__(self, raw: pa.NativeFile):
+        self.raw = raw
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        return self.raw.readinto(to)
+
+    def tell(self) -> int:
+        return self.raw.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        try:
+            return self.raw.seek(offset, whence)
+        except pa.ArrowInvalid as e:
+            raise OSError(str(e)) from e
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
     """The members of zip archives, without their contents: where each lies, how large it is and how it is packed.
 
-    Only the ends of the archives are read. Folders, dotfiles and resource folders are left out; all else is for the
+    Only the ends of the archives are read; an archive may have no members. Folders, dotfiles and resource folders are left out; all else is for the
     caller to filter before ``contents``.
     """
 
@@ -39,7 +65,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for file in b.column(0).to_pylist():
                 system, place = system_of(file)
-                with system.open_input_file(place) as raw, zipfile.ZipFile(raw) as z:
+                with system.open_input_file(place) as raw, zipfile.ZipFile(Ended(raw)) as z:
                     found = z.infolist()
                     for i in range(0, len(found), 10_000):
                         rows = [(file, m.filename, m.file_size, m.compress_size, m.CRC, m.compress_type, m.flag_bits, m.header_offset) for m in found[i : i + 10_000]]

@@ -253,6 +253,26 @@ def test_archives_are_written_and_read(spark, tmp_path):
     assert got.exceptAll(rows).count() == 0 and got.count() == 200
 
 
+def test_archives_without_members_are_read(spark, tmp_path):
+    """A task without rows writes an archive without members, and others may have a comment."""
+    rows = spark.range(3).selectExpr("concat('x/', id) as member", "cast(string(id) as binary) as content").repartition(8, "member")
+    assert containers.write_archives(rows, str(tmp_path / "z")).where("members = 0").count() > 0
+    with zipfile.ZipFile(tmp_path / "z" / "noted.zip", "w") as z:
+        z.comment = b"nothing"
+    got = containers.contents(containers.members(spark, str(tmp_path / "z" / "*.zip"))).select("member", "content")
+    assert got.exceptAll(rows).count() == 0 and got.count() == 3
+    assert containers.contents(containers.members(spark, str(tmp_path / "z" / "noted.zip"))).count() == 0
+
+
+def test_archives_keep_any_language(spark, tmp_path):
+    rows = [(1, "a", "en/us"), (2, "b", "-"), (3, "c", None), (4, "d", "__MACOSX"), (5, "e", "e\0n"), (None, "f", "ü"), (7, None, ""), (8, "", ".")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(lang, 1, len(text or ""), hashlib.md5((text or "").encode()).hexdigest()) for _, text, lang in rows}
+    assert {tuple(r)[:4] for r in scans.archive_members(spark, str(tmp_path)).collect()} == want
+    spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert scans.archive_members(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_commit_writes_the_manifest_last(spark, tmp_path):
     spark.dataSource.register(publishing.HashedParquet)
     df = spark.range(1000).selectExpr("id", "cast(id as string) as s", "if(id % 7 = 0, null, id / 3) as x", "cast(id as decimal(12,3)) as d", "array(id) as a").repartition(3)
