@@ -146,3 +146,15 @@ def test_pairs_of_a_crowded_place_are_dealt_out(spark, monkeypatch):
     found = joins.band_pairs(points, 2.0, 2.0, "id")
     assert found.count() == found.where("a < b").distinct().count() == 19_900
     assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0] <= 8_000
+
+
+def test_pairs_are_not_made_in_one_loop(spark, sf_dir):
+    """A generated loop keeps copies of all that it makes of one row: the two sides' members are two loops."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("spatial_duplicates", "box_overlaps"):
+            plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            made = [line for line in plan.splitlines() if "Generate explode(" in line and "sequence" not in line][:2]
+            assert len(made) == 2 and ["*(" in line.split("Generate")[0] for line in made] == [True, False], made
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
