@@ -148,13 +148,14 @@ def test_pairs_of_a_crowded_place_are_dealt_out(spark, monkeypatch):
     assert found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0] <= 8_000
 
 
-def test_pairs_are_not_made_in_one_loop(spark, sf_dir):
-    """A generated loop keeps copies of all that it makes of one row: the two sides' members are two loops."""
+def test_many_pairs_are_not_made_in_one_loop(spark, sf_dir, monkeypatch):
+    """A generated loop keeps copies of all that it makes of one row: the two sides' members are two loops if these are many."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name in ("spatial_duplicates", "box_overlaps"):
+        for name, most, first in (("spatial_duplicates", 0, False), ("spatial_duplicates", 50_000, True), ("box_overlaps", 50_000, True)):
+            monkeypatch.setattr(joins, "COPIED", most)
             plan = catalogue.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
             made = [line for line in plan.splitlines() if "Generate explode(" in line and "sequence" not in line][:2]
-            assert len(made) == 2 and ["*(" in line.split("Generate")[0] for line in made] == [True, False], made
+            assert len(made) == 2 and ["*(" in line.split("Generate")[0] for line in made] == [True, first], made
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
